@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .quality import quality_rules
+from .sharding import shard_documents
+from .substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +22,67 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept_text")
+
+
+#: Tree of the documents: four domains of sources, their languages, their sources.
+LEVELS = {"domain": "concat('d', CAST(substring(source, 4) AS INT) % 4)", "lang": "lang", "source": "source"}
+WEIGHTS = {"domain=d0": 2, "lang=en": 3}
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), LEVELS, budget_share=1.0, weights=WEIGHTS, max_epochs=2)
+
+
+def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("source", "host_rate")
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM w, unnest(range(1, len(words) - 1)) AS u(i)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, unnest([0, 1, 2]) AS u(k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM judged GROUP BY source
+), moments AS (
+  SELECT least(greatest(avg(failed / n), 1e-6), 1 - 1e-6) AS mean, coalesce(var_samp(failed / n), 0) AS var FROM hosts
+), prior AS (
+  SELECT mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 1e6 END, 1.0), 1e6) AS strength FROM moments
+), rates AS (
+  SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    found = (op1_minhash_near_dedup, op5_substring_dedup, op7_source_mixing, op8_minimax_sharding, op9_host_quality)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_host_quality": OP9_SQL}
