@@ -3,29 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .pieces import encode_pieces
 from .quality import quality_rules
 from .sharding import shard_documents
 from .substrings import remove_repeats
+from .token_files import read_token_files, write_token_files
+from .topk import top_inner_products
+from .urls import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of the public tokenizer files, the same on all machines.
+TOKENIZERS = Path("/opt/tokenizers")
+PIECE_MODEL, BYTE_BPE = str(TOKENIZERS / "piece_bpe_32k.model"), str(TOKENIZERS / "byte_bpe_50k.json")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, parts = write_token_files(_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
+    return read_token_files(uri, parts)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept_text")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 #: Tree of the documents: four domains of sources, their languages, their sources.
 LEVELS = {"domain": "concat('d', CAST(substring(source, 4) AS INT) % 4)", "lang": "lang", "source": "source"}
 WEIGHTS = {"domain=d0": 2, "lang=en": 3}
@@ -79,10 +118,31 @@ FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), PIECE_MODEL, with_ids=False).drop("ids")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_near_dedup, op5_substring_dedup, op7_source_mixing, op8_minimax_sharding, op9_host_quality)
+    found = (
+        op1_minhash_near_dedup,
+        op2_url_filter,
+        op3_token_files,
+        op5_substring_dedup,
+        op6_exact_top_k,
+        op7_source_mixing,
+        op8_minimax_sharding,
+        op9_host_quality,
+        op10_sentencepiece,
+        pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_quality": OP9_SQL}
+    return {"op6_exact_top_k": OP6_SQL, "op9_host_quality": OP9_SQL}
