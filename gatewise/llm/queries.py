@@ -14,6 +14,7 @@ from .pieces import encode_pieces
 from .quality import quality_rules
 from .sharding import shard_documents
 from .substrings import remove_repeats
+from .suffixes import remove_repeated_bytes
 from .token_files import read_token_files, write_token_files
 from .topk import top_inner_products
 from .urls import filter_urls
@@ -44,6 +45,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(uri, parts)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept_text")
 
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_minhash_near_dedup,
         op2_url_filter,
         op3_token_files,
+        op4_suffix_dedup,
         op5_substring_dedup,
         op6_exact_top_k,
         op7_source_mixing,
