@@ -33,11 +33,18 @@ _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint6
 def _picks(off: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(48-bit rank sampled by each start of a window, text of each byte, whether a window starts there)."""
     half = window // 2
-    low = tk.sliding(tk.window_hashes(_BYTES[0][data], half), window - half + 1, True) >> np.uint64(16)
+    low = tk.sliding(tk.byte_windows(data, half, _BYTES[0]), window - half + 1, True) >> np.uint64(16)
     text = text_of(off)
     return low, text[: len(low)], within(off, window)[: len(low)]
 
 
+def _doubled(data: np.ndarray, window: int, which: int) -> np.ndarray:
+    """Rank of each ``window``-byte string as that of the pair of its halves' ranks, which overlap if it is odd."""
+    half = -(-window // 2)
+    h = tk.byte_windows(data, half, _BYTES[which])
+    return tk.pair_hash(h[: len(h) - (window - half)], h[window - half :], which)
+
+
 def _pack(parts: int, window: int):
     """(doc_id, text) -> (bucket, ranks, docs, counts): sampled ranks, six bytes each, packed by bucket."""
 
@@ -149,14 +156,19 @@ def _spans(window: int):
                 ok = within(off, window)
                 at = np.nonzero(ok)[0]
                 row = text_of(off)[at]
-                a, b = (tk.window_hashes(_BYTES[i][data], window, 7 * i)[at] for i in (0, 1))
+                a, b = (_doubled(data, window, i)[at] for i in (0, 1))
                 doc = ids[row]
                 n = len(held[0]) if held_rank == rank[0] else 0
                 a_, b_, doc_ = (np.concatenate([h[:n], x]) for h, x in zip(held, (a, b, doc), strict=True))
-                order = np.lexsort((doc_, b_, a_))
+                order = np.argsort(a_)
                 sa, sb = a_[order], b_[order]
+                if ((sa[1:] == sa[:-1]) & (sb[1:] != sb[:-1])).any():  # the first 64 bits don't tell all strings apart
+                    order = np.lexsort((b_, a_))
+                    sa, sb = a_[order], b_[order]
                 first = np.nonzero(np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]))[0]
-                least = doc_[order][first]
+                if not len(order):
+                    continue
+                least = np.minimum.reduceat(doc_[order], first)
                 gone = np.zeros(len(a_), bool)
                 gone[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < doc_[order]
                 ranks = np.concatenate([np.full(n, rank[0]), rank[row]])

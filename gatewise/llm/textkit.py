@@ -109,6 +109,18 @@ def window_hashes(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     return h
 
 
+def byte_windows(data: np.ndarray, length: int, table: np.ndarray) -> np.ndarray:
+    """Hash of ``length`` consecutive bytes at each start, from running sums; ``table`` has a number for each byte."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(table[data] * _powers_to(len(data), _BASE), out=total[1:])
+    h = total[length:] - total[:n]
+    h *= _powers_to(n, _BASE_INVERSE)
+    return mix(h)
+
+
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Minimum (or maximum) of each run of ``width`` items."""
     n = len(x)
