@@ -8,10 +8,10 @@ leave out one of its symbols (one key for each place of an allowed error), and s
 a pair must share a key. Sets of similarity 0.8 differ in 12.8 symbols on average
 (deviation 3.2): a distance over 31 has a chance below 1e-7.
 
-No key's group is expanded into pairs. In each round all members of a key are
-compared with one leader; later rounds only treat keys whose members are still in
-different components, and pass over what is joined already. Links are confirmed on
-the full shingle sets.
+No key's group is expanded into pairs. First all members of a key are
+compared with the key's smallest and greatest document; then the keys whose members
+are still in different components are compared in blocks, which gives one link for
+two components. Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .components import connected_components
 from .scratch import materialize
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 64, 4, 31
+#: Documents of a block, and so rows compared at once.
+BLOCK = 256
 _SEEDS = np.random.default_rng(977).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -144,6 +146,103 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _row_spans(column: pa.ListArray) -> np.ndarray:
+    return np.asarray(column.offsets)
+
+
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks that hold two near signatures of different components; (block_a, block_b, cards_a, cards_b)."""
+    for batch in batches:
+        sides = []
+        for i in (2, 3):
+            column = batch.column(i)
+            cards = column.values
+            sig = np.frombuffer(b"".join(cards.field("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            sides.append((_row_spans(column), sig, np.asarray(cards.field("component"))))
+        (at_a, sig_a, of_a), (at_b, sig_b, of_b) = sides
+        keep = np.zeros(batch.num_rows, bool)
+        for row in range(batch.num_rows):
+            mine, theirs = slice(at_a[row], at_a[row + 1]), slice(at_b[row], at_b[row + 1])
+            for x, of in zip(sig_a[mine], of_a[mine], strict=True):
+                if ((of_b[theirs] != of) & ((sig_b[theirs] != x).sum(1) <= MAX_DISTANCE)).any():
+                    keep[row] = True
+                    break
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _shared_counts(ha: np.ndarray, a: np.ndarray, na: int, hb: np.ndarray, b: np.ndarray, nb: int, width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of na sets with nb sets, given as (hash, owner)."""
+    counts = np.zeros((na, nb), np.int64)
+    common = np.intersect1d(ha, hb)
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+        sides = []
+        for h, owner, n in ((ha, a, na), (hb, b, nb)):
+            place = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            has = part[place] == h
+            one = np.zeros((n, len(part)), np.float32)
+            one[owner[has], place[has]] = 1
+            sides.append(one)
+        counts += (sides[0] @ sides[1].T).astype(np.int64)
+    return counts
+
+
+def _block_links(words: int, percent: int):
+    """One link for any two components that have one between two blocks; (texts_a, texts_b)."""
+
+    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [_distinct(*shingle_hashes(off, data, words)) for _, off, data in tk.blocks(texts)]
+        sizes = np.concatenate([np.diff(first) for _, first in found])
+        return np.concatenate([h for h, _ in found]), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cards = [batch.column(i).slice(row, 1).flatten() for i in (0, 1)]
+                (ha, a, na), (hb, b, nb) = (sets(c.field("text")) for c in cards)
+                both = _shared_counts(ha, a, len(na), hb, b, len(nb))
+                of = [np.asarray(c.field("component")) for c in cards]
+                hit = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (of[0][:, None] != of[1][None, :])
+                i, j = np.nonzero(hit)
+                _, one = np.unique(np.stack([of[0][i], of[1][j]]), axis=1, return_index=True)
+                ids = [np.asarray(c.field("doc_id")) for c in cards]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[one]]), pa.array(ids[1][j[one]])], names=["a", "b"])
+
+    return run
+
+
+def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of one key that are in different components; ``marked`` has (key, doc_id, component, largest).
+
+    Documents go into blocks of about ``BLOCK``, by the component that is the largest in
+    most of their keys, those of that component apart. In each key, blocks with a document outside its largest component
+    meet all blocks of the key; pairs of blocks are compared by signatures, and those with
+    a near pair on full sets, without a row for each pair of documents.
+    """
+    place = marked.groupBy("doc_id", "component", "largest").agg(F.count(F.lit(1)).alias("n"))
+    place = place.groupBy("doc_id", "component").agg(F.max_by("largest", F.struct("n", "largest")).alias("label"))
+    place = materialize(place, "labels")
+    place = place.withColumn("inside", F.col("component") == F.col("label"))
+    dealt = place.join(place.groupBy("label", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), ["label", "inside"])
+    placed = materialize(dealt.select("doc_id", "component", F.xxhash64("label", "inside", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("block")), "placed")
+    met = materialize(marked.join(placed.select("doc_id", "block"), "doc_id").select("key", "block", (F.col("component") != F.col("largest")).alias("other")).distinct(), "met")
+    pairs = met.where("other").select("key", F.col("block").alias("x")).join(met.select("key", F.col("block").alias("y")), "key")
+    pairs = pairs.select(F.least("x", "y").alias("block_a"), F.greatest("x", "y").alias("block_b")).distinct()
+
+    def on_both_sides(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(cards.select(F.col("block").alias(f"block_{side}"), F.col("cards").alias(f"cards_{side}")), f"block_{side}")
+        return pairs
+
+    cards = placed.join(reps.select("doc_id", "sig"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("component", "sig")).alias("cards"))
+    near = on_both_sides(pairs, materialize(cards, "cards")).select("block_a", "block_b", "cards_a", "cards_b")
+    near = materialize(near.mapInArrow(_near_blocks, "block_a long, block_b long"), "near-blocks")
+    wanted = near.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
+    cards = texts.join(placed.join(wanted, "block"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("cards"))
+    found = on_both_sides(near, materialize(cards, "block-texts")).select("cards_a", "cards_b")
+    return materialize(found.mapInArrow(_block_links(words, percent), "a long, b long"), "block-links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Class of near duplicates of each document: (doc_id, n_shingles, component_id, kept).
 
@@ -178,7 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         pairs = pairs.where(small).select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
         pairs = materialize(pairs, f"{name}-near")
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+            # by sort and merge at every size: the pairs grow with the documents, and both joins share one exchange of the texts
+            pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
         return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long"), f"{name}-links")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -186,16 +286,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     links = confirmed(filed.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).unionByName(filed.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))), "first")
     labels = labelled(links)
-    # what is left: members of one key in different components. The most common component of
-    # a key stays on one side; each other member meets all members that it isn't joined with.
+    # what is left: members of one key in different components, compared block by block
     marked = filed.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     groups = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    split = materialize(split, "split-keys")
-    marked = materialize(marked.join(split, "key"), "marked")
-    others = marked.where("component <> largest").select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-    rest = others.join(marked.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b")), "key").where("of_a <> of_b AND (of_b > of_a OR a <> b)")
-    links = links.unionByName(confirmed(rest.select("a", "b"), "rest"))
+    marked = materialize(marked.join(materialize(split, "split-keys"), "key"), "marked")
+    links = links.unionByName(_links_between_blocks(marked, reps, texts, words, percent))
     labels = labelled(links).withColumnRenamed("id", "head")
     classes = member.join(labels, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(classes.distinct(), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
