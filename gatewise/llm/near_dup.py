@@ -150,24 +150,39 @@ def _row_spans(column: pa.ListArray) -> np.ndarray:
     return np.asarray(column.offsets)
 
 
-def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks that hold two near signatures of different components; (block_a, block_b, cards_a, cards_b)."""
-    for batch in batches:
-        sides = []
-        for i in (2, 3):
-            column = batch.column(i)
-            cards = column.values
-            sig = np.frombuffer(b"".join(cards.field("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            sides.append((_row_spans(column), sig, np.asarray(cards.field("component"))))
-        (at_a, sig_a, of_a), (at_b, sig_b, of_b) = sides
-        keep = np.zeros(batch.num_rows, bool)
-        for row in range(batch.num_rows):
-            mine, theirs = slice(at_a[row], at_a[row + 1]), slice(at_b[row], at_b[row + 1])
-            for x, of in zip(sig_a[mine], of_a[mine], strict=True):
-                if ((of_b[theirs] != of) & ((sig_b[theirs] != x).sum(1) <= MAX_DISTANCE)).any():
-                    keep[row] = True
-                    break
-        yield batch.select([0, 1]).filter(pa.array(keep))
+def _near_in_blocks(percent: int):
+    """Near signatures of different components in pairs of blocks; (block_a, block_b, cards_a, cards_b).
+
+    Gives the pairs of documents (a, b), or, if there are more than ``BLOCK`` of them, one row
+    without a and b: such blocks are compared as wholes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for i in (2, 3):
+                column = batch.column(i)
+                cards = column.values
+                sig = np.frombuffer(b"".join(cards.field("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+                sides.append((_row_spans(column), sig, *(np.asarray(cards.field(x)) for x in ("component", "doc_id", "n_shingles"))))
+            blocks = [np.asarray(batch.column(i)) for i in (0, 1)]
+            for row in range(batch.num_rows):
+                (sig_a, of_a, id_a, n_a), (sig_b, of_b, id_b, n_b) = ([x[s[0][row] : s[0][row + 1]] for x in s[1:]] for s in sides)
+                apart = np.zeros((len(id_a), len(id_b)), np.uint8)
+                for k in range(SYMBOLS):
+                    apart += sig_a[:, k, None] != sig_b[None, :, k]
+                low, high = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
+                hit = (apart <= MAX_DISTANCE) & (100 * low >= percent * high) & (of_a[:, None] != of_b[None, :])
+                if blocks[0][row] == blocks[1][row]:
+                    hit &= id_a[:, None] < id_b[None, :]
+                i, j = np.nonzero(hit)
+                whole = len(i) > BLOCK
+                n = 1 if whole else len(i)
+                pair = [pa.nulls(1, pa.int64())] * 2 if whole else [pa.array(id_a[i]), pa.array(id_b[j])]
+                if n:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x[row])) for x in blocks), *pair], names=["block_a", "block_b", "a", "b"])
+
+    return run
 
 
 def _shared_counts(ha: np.ndarray, a: np.ndarray, na: int, hb: np.ndarray, b: np.ndarray, nb: int, width: int = 8192) -> np.ndarray:
@@ -211,21 +226,30 @@ def _block_links(words: int, percent: int):
     return run
 
 
+def _confirmed_on_texts(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    for side in ("a", "b"):
+        # by sort and merge at every size: the pairs grow with the documents, and both joins share one exchange of the texts
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
+    return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long"), f"{name}-links")
+
+
 def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between members of one key that are in different components; ``marked`` has (key, doc_id, component, largest).
+    """Links between members of one key that are in different components; ``marked`` has (key, doc_id, component, largest, members).
 
-    Documents go into blocks of about ``BLOCK``, by the component that is the largest in
-    most of their keys, those of that component apart. In each key, blocks with a document outside its largest component
-    meet all blocks of the key; pairs of blocks are compared by signatures, and those with
-    a near pair on full sets, without a row for each pair of documents.
+    Documents go into blocks of about ``BLOCK``, by the key of theirs with most members
+    (documents that share a passage share many keys, and so meet in few blocks), those of that key's largest
+    component apart. In each key, blocks with a document outside its largest component
+    meet all blocks of the key; pairs of blocks are compared by signatures. Few near pairs are confirmed one by one;
+    blocks with many are compared on full sets without a row for each pair of documents.
     """
-    place = marked.groupBy("doc_id", "component", "largest").agg(F.count(F.lit(1)).alias("n"))
-    place = place.groupBy("doc_id", "component").agg(F.max_by("largest", F.struct("n", "largest")).alias("label"))
+    place = marked.groupBy("doc_id", "component").agg(F.max_by(F.struct("key", "largest"), F.struct("members", "key")).alias("at"))
+    place = place.select("doc_id", "component", F.col("at.key").alias("label"), (F.col("component") == F.col("at.largest")).alias("inside"))
     place = materialize(place, "labels")
-    place = place.withColumn("inside", F.col("component") == F.col("label"))
     dealt = place.join(place.groupBy("label", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), ["label", "inside"])
     placed = materialize(dealt.select("doc_id", "component", F.xxhash64("label", "inside", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("block")), "placed")
-    met = materialize(marked.join(placed.select("doc_id", "block"), "doc_id").select("key", "block", (F.col("component") != F.col("largest")).alias("other")).distinct(), "met")
+    met = marked.join(placed.select("doc_id", "block"), "doc_id").groupBy("key", "block").agg(F.max(F.col("component") != F.col("largest")).alias("other"))
+    met = materialize(met, "met")
     pairs = met.where("other").select("key", F.col("block").alias("x")).join(met.select("key", F.col("block").alias("y")), "key")
     pairs = pairs.select(F.least("x", "y").alias("block_a"), F.greatest("x", "y").alias("block_b")).distinct()
 
@@ -234,13 +258,16 @@ def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame,
             pairs = pairs.join(cards.select(F.col("block").alias(f"block_{side}"), F.col("cards").alias(f"cards_{side}")), f"block_{side}")
         return pairs
 
-    cards = placed.join(reps.select("doc_id", "sig"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("component", "sig")).alias("cards"))
-    near = on_both_sides(pairs, materialize(cards, "cards")).select("block_a", "block_b", "cards_a", "cards_b")
-    near = materialize(near.mapInArrow(_near_blocks, "block_a long, block_b long"), "near-blocks")
-    wanted = near.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
-    cards = texts.join(placed.join(wanted, "block"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("cards"))
-    found = on_both_sides(near, materialize(cards, "block-texts")).select("cards_a", "cards_b")
-    return materialize(found.mapInArrow(_block_links(words, percent), "a long, b long"), "block-links")
+    cards = placed.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("component", "doc_id", "n_shingles", "sig")).alias("cards"))
+    near = on_both_sides(materialize(pairs, "block-pairs"), materialize(cards, "cards")).select("block_a", "block_b", "cards_a", "cards_b")
+    near = materialize(near.mapInArrow(_near_in_blocks(percent), "block_a long, block_b long, a long, b long"), "near-in-blocks")
+    single = near.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _confirmed_on_texts(single, texts, words, percent, "second")
+    whole = near.where("a IS NULL").select("block_a", "block_b")
+    wanted = materialize(placed.join(whole.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct(), "block"), "whole-blocks")
+    cards = texts.join(wanted, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("cards"))
+    found = on_both_sides(whole, materialize(cards, "block-texts")).select("cards_a", "cards_b")
+    return links.unionByName(materialize(found.mapInArrow(_block_links(words, percent), "a long, b long"), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -275,11 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
         small = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         pairs = pairs.where(small).select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
-        pairs = materialize(pairs, f"{name}-near")
-        for side in ("a", "b"):
-            # by sort and merge at every size: the pairs grow with the documents, and both joins share one exchange of the texts
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
-        return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long"), f"{name}-links")
+        return _confirmed_on_texts(materialize(pairs, f"{name}-near"), texts, words, percent, name)
 
     def labelled(links: DataFrame) -> DataFrame:
         return materialize(connected_components(links), "components")
@@ -289,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # what is left: members of one key in different components, compared block by block
     marked = filed.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     groups = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    split = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     marked = materialize(marked.join(materialize(split, "split-keys"), "key"), "marked")
     links = links.unionByName(_links_between_blocks(marked, reps, texts, words, percent))
     labels = labelled(links).withColumnRenamed("id", "head")
