@@ -30,6 +30,8 @@ from .scratch import materialize
 SYMBOLS, CHUNK, MAX_DISTANCE = 64, 4, 31
 #: Documents of a block, and so rows compared at once.
 BLOCK = 256
+#: Two blocks with more near pairs are compared as wholes.
+MANY = 256
 _SEEDS = np.random.default_rng(977).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -150,10 +152,10 @@ def _row_spans(column: pa.ListArray) -> np.ndarray:
     return np.asarray(column.offsets)
 
 
-def _near_in_blocks(percent: int):
+def _near_in_blocks(percent: int, many: int):
     """Near signatures of different components in pairs of blocks; (block_a, block_b, cards_a, cards_b).
 
-    Gives the pairs of documents (a, b), or, if there are more than ``BLOCK`` of them, one row
+    Gives the pairs of documents (a, b), or, if there are more than ``many`` of them, one row
     without a and b: such blocks are compared as wholes.
     """
 
@@ -176,7 +178,7 @@ def _near_in_blocks(percent: int):
                 if blocks[0][row] == blocks[1][row]:
                     hit &= id_a[:, None] < id_b[None, :]
                 i, j = np.nonzero(hit)
-                whole = len(i) > BLOCK
+                whole = len(i) > many
                 n = 1 if whole else len(i)
                 pair = [pa.nulls(1, pa.int64())] * 2 if whole else [pa.array(id_a[i]), pa.array(id_b[j])]
                 if n:
@@ -260,7 +262,7 @@ def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame,
 
     cards = placed.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("component", "doc_id", "n_shingles", "sig")).alias("cards"))
     near = on_both_sides(materialize(pairs, "block-pairs"), materialize(cards, "cards")).select("block_a", "block_b", "cards_a", "cards_b")
-    near = materialize(near.mapInArrow(_near_in_blocks(percent), "block_a long, block_b long, a long, b long"), "near-in-blocks")
+    near = materialize(near.mapInArrow(_near_in_blocks(percent, MANY), "block_a long, block_b long, a long, b long"), "near-in-blocks")
     single = near.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _confirmed_on_texts(single, texts, words, percent, "second")
     whole = near.where("a IS NULL").select("block_a", "block_b")

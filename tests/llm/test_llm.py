@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise.llm import sharding
+from gatewise.llm import near_dup, sharding
 from gatewise.llm.components import connected_components
 from gatewise.llm.mixing import mix_sources
 from gatewise.llm.near_dup import near_duplicates
@@ -71,6 +71,22 @@ def test_near_duplicates(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in range(len(rows))] == [(len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
+@pytest.mark.parametrize("many", [256, 0])
+def test_links_between_blocks(spark, monkeypatch, many):
+    monkeypatch.setattr(near_dup, "MANY", many)  # 0: all blocks with a near pair are compared as wholes
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    docs = frame(spark, [t for t in texts() if t and t.strip()]).select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), r["text"].encode()))
+        sets[r["doc_id"]] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    sigs = docs.mapInArrow(near_dup._signatures(2), "doc_id long, n_shingles long, print_a long, print_b long, sig binary")
+    marked = docs.select(F.lit(1).cast("long").alias("key"), "doc_id", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("largest"), F.lit(len(sets)).cast("long").alias("members"))
+    got = near_dup._links_between_blocks(marked, sigs, docs, 2, 80).collect()
+    assert len(want) > 50 and {tuple(sorted(r)) for r in got} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
