@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m, busy): smallest of each node and its neighbours; busy unless the node is the root or a leaf of a star."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    below, above = F.when(F.col("v") < F.col("u"), F.col("v")), F.when(F.col("v") > F.col("u"), F.col("v"))
+    ends = both.groupBy("u").agg(F.min(below).alias("low"), F.max(below).alias("next"), F.max(above).alias("above"))
+    busy = F.coalesce(F.col("low") < F.col("next"), F.lit(False)) | (F.col("low").isNotNull() & F.col("above").isNotNull())
+    return ends.select("u", F.coalesce("low", "u").alias("m"), busy.alias("busy"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,26 +23,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     ``links`` has columns ``a``, ``b``; direction, repetition and self links don't
     matter, null ends are dropped. Returns (id, component); an empty table gives none.
     Each round hangs neighbours on the smallest neighbour (larger ones, then smaller
-    ones with the node itself), a logarithmic number of rounds on chains as on stars;
-    every round is written to the shared folder. Minima are combined before they are
+    ones with the node itself), a logarithmic number of rounds on chains as on stars, until
+    stars alone are left; every round is written to the shared folder. Minima are combined before they are
     shuffled, and the joins are plain inner joins, so that a node with very many links
     is split among tasks.
     """
     clean = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = materialize(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    while True:
+        lowest = materialize(_lowest(edges), "lowest")
+        if not lowest.agg(F.max("busy").alias("busy")).first()["busy"]:
+            return lowest.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        # links aren't distinct in between: they are as many as before
+        large = edges.withColumnRenamed("u", "larger").join(lowest.select(F.col("u").alias("v"), "m"), "v").select(F.col("larger").alias("u"), F.col("m").alias("v"))
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )

@@ -266,6 +266,8 @@ def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame,
     single = near.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _confirmed_on_texts(single, texts, words, percent, "second")
     whole = near.where("a IS NULL").select("block_a", "block_b")
+    if whole.isEmpty():
+        return links
     wanted = materialize(placed.join(whole.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct(), "block"), "whole-blocks")
     cards = texts.join(wanted, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("cards"))
     found = on_both_sides(whole, materialize(cards, "block-texts")).select("cards_a", "cards_b")
@@ -280,23 +282,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     >= ``percent`` * union. component_id is the smallest doc_id reachable by links.
     Null, empty and wordless texts have no shingle, are linked with nothing and are
     kept. Repeated texts are equal sets and so linked; rows that repeat a doc_id get
-    that document's class each; rows without doc_id are returned with a null class and
+    the class of their own text each; rows without doc_id are linked with nothing, have a null class and are
     kept. Other columns are ignored. An empty table gives an empty result.
     """
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sigs = known.mapInArrow(_signatures(words), "doc_id long, n_shingles long, print_a long, print_b long, sig binary")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    sigs = docs.select("doc_id", "text").mapInArrow(_signatures(words), "doc_id long, n_shingles long, print_a long, print_b long, sig binary")
     sigs = materialize(sigs, "signatures")
-    # equal sets meet in their smallest document, which stands for them
+    # equal sets (which have equal signatures) meet in their smallest document, which stands for them
     same = ["n_shingles", "print_a", "print_b"]
-    full = sigs.where("n_shingles > 0")
-    heads = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("head")), "heads")
-    member = materialize(full.select("doc_id", *same).join(heads, same).select("doc_id", "head", "n_shingles"), "members")
-    reps = materialize(full.join(heads.select("head"), F.col("doc_id") == F.col("head"), "left_semi").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "representatives")
+    full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    heads = materialize(full.groupBy(*same, "sig").agg(F.min("doc_id").alias("head")), "heads")
+    reps = heads.select(F.col("head").alias("doc_id"), "n_shingles", "sig")
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc_id long")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     shared = materialize(shared.select("key", "low", "high"), "shared-keys")
     filed = materialize(keys.join(shared, "key"), "filed")
-    texts = known
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
@@ -306,18 +306,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         pairs = pairs.where(small).select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
         return _confirmed_on_texts(materialize(pairs, f"{name}-near"), texts, words, percent, name)
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return materialize(connected_components(links), "components")
-
     links = confirmed(filed.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).unionByName(filed.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))), "first")
-    labels = labelled(links)
+    labels = connected_components(links)
     # what is left: members of one key in different components, compared block by block
-    marked = filed.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    groups = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    classed = filed.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    classed = materialize(classed, "classed")
+    groups = classed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    marked = materialize(marked.join(materialize(split, "split-keys"), "key"), "marked")
+    marked = materialize(classed.join(split, "key"), "marked")
     links = links.unionByName(_links_between_blocks(marked, reps, texts, words, percent))
-    labels = labelled(links).withColumnRenamed("id", "head")
-    classes = member.join(labels, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles").join(classes.distinct(), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    labels = connected_components(links).withColumnRenamed("id", "head")
+    classes = heads.join(labels, "head", "left").select(*same, F.coalesce("component", "head").alias("component_id"))
+    out = full.join(classes, same).select("doc_id", "n_shingles", "component_id")
+    alone = sigs.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

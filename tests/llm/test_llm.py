@@ -235,6 +235,16 @@ def test_urls(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
+def test_near_duplicates_of_rows_without_id_and_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(4, text), (4, text), (None, text), (2, text + " end"), (2, other), (9, other), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, False) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs, words=5).collect()), key=str)
+    want = [(4, 56, 2, False)] * 2 + [(None, 56, None, True), (2, 57, 2, True), (2, 56, 2, True), (9, 56, 2, False), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     for out in (near_duplicates(docs), remove_repeats(docs), remove_repeated_bytes(docs), quality_rules(docs), shard_documents(docs), mix_sources(docs, LEVELS), encode_pieces(docs, PIECE_MODEL), read_token_files(*write_token_files(docs, BYTE_BPE))):
