@@ -25,6 +25,9 @@ from .segments import SegmentEncoder
 
 MASK = 0xA282EAD8  # fixed value of the record format
 HEAD, PAYLOAD, INDEX = "<QI", "<BqQB", np.dtype([("flag", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+#: Segments encoded as one text.
+TOGETHER = 1024
+NO_IDS = np.zeros(0, np.int32)
 _encoders: dict[str, SegmentEncoder] = {}
 
 
@@ -61,10 +64,30 @@ def _encoder(path: str) -> SegmentEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
+        vocabulary = tokenizer.get_vocab()
+        token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocabulary.items():
+            token_bytes[i] = len(token)
+
         def encode(pieces: list[bytes]) -> list[np.ndarray]:
-            out = []
-            for at in range(0, len(pieces), 4096):
-                out += [np.array(x.ids, np.int32) for x in tokenizer.encode_batch([p.decode() for p in pieces[at : at + 4096]], add_special_tokens=False)]
+            texts = [p.decode() for p in pieces]
+            # pieces that may stand one after another are encoded together, and their ids are parted by bytes
+            row = [i for i, x in enumerate(texts) if x[0] == " " and not x[-1].isspace()]
+            rows = [row[at : at + TOGETHER] for at in range(0, len(row), TOGETHER)]
+            rows += [[i] for i, x in enumerate(texts) if x[0] != " " or x[-1].isspace()]
+            out: list[np.ndarray] = [NO_IDS] * len(pieces)
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                for own, found in zip(some, tokenizer.encode_batch_fast(["".join([texts[i] for i in r]) for r in some], add_special_tokens=False), strict=True):
+                    ids = np.array(found.ids, np.int32)
+                    ends, upto = np.cumsum([len(pieces[i]) for i in own]), np.cumsum(token_bytes[ids])
+                    cut = np.searchsorted(upto, ends)
+                    if not np.array_equal(upto[cut], ends):
+                        raise ValueError("a token spans two segments: the tokenizer isn't byte-level, or splits in another way")
+                    start = 0
+                    for i, stop in zip(own, (cut + 1).tolist(), strict=True):
+                        out[i] = ids[start:stop]
+                        start = stop
             return out
 
         _encoders[path] = SegmentEncoder(encode, _space_cuts)
