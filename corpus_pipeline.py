@@ -23,16 +23,20 @@ from gatewise.llm.substrings import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without_rejected(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Documents but those of which no row is kept; rows without doc_id can't be told from each other and stay."""
+    rejected = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on the text and on their source."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without_rejected(docs, quality_rules(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five words, similarity 0.8."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without_rejected(docs, near_duplicates(docs, words=5, percent=80))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
