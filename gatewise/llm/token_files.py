@@ -62,12 +62,15 @@ def _encoder(path: str) -> SegmentEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
 
         vocabulary = tokenizer.get_vocab()
         token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             token_bytes[i] = len(token)
+        for i, added in tokenizer.get_added_tokens_decoder().items():  # these stand in texts as they are
+            token_bytes[i] = len(added.content.encode())
+            if " " in added.content:
+                raise ValueError(f"the added token {added.content!r} has a space, where segments are cut")
 
         def encode(pieces: list[bytes]) -> list[np.ndarray]:
             texts = [p.decode() for p in pieces]
@@ -166,7 +169,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabula
     """Encode whole texts and write them in ascending doc_id order; returns (folder, table of parts).
 
     A null text has the end id alone; null doc_ids come first and are written without one;
-    rows that repeat a doc_id are all written. Other columns are ignored; an empty table
+    rows that repeat a doc_id are all written. Added tokens of the tokenizer that stand in a text
+    get their own id, as in the library by default. Other columns are ignored; an empty table
     gives parts without records. Files are written by the tasks to ``uri`` (by default a new
     folder beside ``spark.checkpoint.dir``'s tables), under a name of the attempt, and then moved in place.
     """

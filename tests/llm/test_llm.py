@@ -201,6 +201,21 @@ def test_token_files(spark):
     assert read_record(uri, part, 0)[0] == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    end = "<|endoftext|>"
+    rows = [f"a {end} b", f"a{end}b", end, f" {end}", f"{end}  {end}\n{end}{end} x", f"a  {end}  b {end[:-1]} >", f"one two{end} three", "plain", None]
+    uri, parts = write_token_files(frame(spark, rows), BYTE_BPE)
+    got, at = sorted(read_token_files(uri, parts).collect()), 0
+    assert len(got) == len(rows)
+    for r, t in zip(got, rows, strict=True):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_pieces(spark):
     import sentencepiece
 
