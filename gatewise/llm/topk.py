@@ -104,10 +104,11 @@ def _search(roots: np.ndarray, top: int, k: int):
                 continue
             lo, hi = page["bounds"][node], page["bounds"][node + 1]
             near = np.nonzero(np.abs(to - page["own"][lo:hi]) <= limit + slack)[0] + lo
+            near = near[page["ids"][near] != qid]
             scores = page["vectors"][near] @ q
             ids = page["ids"][near]
-            rank = np.lexsort((ids, -scores))[: k + 1]
-            found = sorted([*found, *((-int(scores[i]), int(ids[i])) for i in rank if ids[i] != qid)])[:k]
+            rank = np.lexsort((ids, -scores))[:k]
+            found = sorted([*found, *((-int(scores[i]), int(ids[i])) for i in rank)])[:k]
             if len(found) == k:
                 limit = min(limit, math.sqrt(max(square + 2 * found[-1][0], 0)) + slack)
         return found

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise.llm import near_dup, sharding
+from gatewise.llm import near_dup, sharding, topk
 from gatewise.llm.components import connected_components
 from gatewise.llm.mixing import mix_sources
 from gatewise.llm.near_dup import near_duplicates
@@ -240,6 +240,22 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_top_k_of_repeated_query_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROOTS", 2)
+    monkeypatch.setattr(topk, "NODE", 2)  # so that the copies share a node with the true neighbours
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.ones((60, 8)), rng.normal(size=(100, 8))]) + rng.normal(size=(160, 8)) * 0.01
+    ids = [0] * 30 + list(range(1, 131))  # thirty rows of one query id, among near vectors with other ids
+    v[:30] = v[0] * 1.1
+    got = top_inner_products(spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")).collect()
+    q = np.floor(v * 1024).astype(np.int64)
+    want = []
+    for i in (0, ids.index(100)):
+        s = sorted((-int(q[i] @ q[j]), ids[j]) for j in range(len(ids)) if ids[j] != ids[i])[:10]
+        want += [(ids[i], r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_urls(spark):
     urls = ["http://A.Example.com/en/71?x", "https://x.org/es/1#a", "ftp://example.net/de/8", "http://q.net/de/9", "no scheme", None, "http://com/en/", "http://notexample.com/en/7", "http://cheappills.net/fr/1"]
     html = "<p>cheap pills cheap pills house house garden</p>"
