@@ -5,6 +5,9 @@ reject go; of each class of near duplicates the smallest doc_id stays; repeated
 word windows are cut out of the texts; sources are mixed to target weights, a
 document being repeated for each epoch that takes it; the texts are encoded as
 SentencePiece ids. All but the last return the columns of ``documents``.
+
+Every row is a document of its own: rows that repeat a doc_id or have none are
+judged by their own text, and stages map results back by row, not by doc_id.
 """
 
 from __future__ import annotations
@@ -23,33 +26,46 @@ from gatewise.llm.substrings import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without_rejected(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents but those of which no row is kept; rows without doc_id can't be told from each other and stay."""
-    rejected = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number for each row, written once: it ascends with doc_id.
+
+    Rows that repeat a doc_id are ordered by their text and other columns, rows without one come last.
+    The last column of the order only parts rows that are equal in all others.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), *[F.col(c).asc() for c in [*others, "_any"]]]
+    dealt = docs.withColumn("_any", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.drop("_any").withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on the text and on their source."""
-    return _without_rejected(docs, quality_rules(docs))
+    return quality_rules(docs, with_row=True).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five words, similarity 0.8."""
-    return _without_rejected(docs, near_duplicates(docs, words=5, percent=80))
+    rows = _numbered(docs)
+    judged = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    return rows.join(judged.where("NOT kept").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeat a smaller document's window of 50; a text that loses nothing stays as it is."""
-    cut = remove_repeats(docs, window=50).where("n_removed > 0").select("doc_id", "kept_text")
-    text = F.coalesce("kept_text", "text")
-    return docs.join(cut, "doc_id", "left").withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    rows = _numbered(docs).select(F.col("_row").alias("doc_id"), "text", *[F.col(c).alias(f"own_{c}") for c in docs.columns if c != "text"])
+    carry = tuple(c for c in rows.columns if c != "doc_id")
+    cut = remove_repeats(rows, window=50, carry=carry)
+    own = {c: F.col(f"_carried_{c}" if c == "text" else f"_carried_own_{c}") for c in docs.columns}
+    lost = F.col("n_removed") > 0
+    own |= {"text": F.when(lost, F.col("kept_text")).otherwise(own["text"]), "n_chars": F.when(lost, F.length("kept_text").cast("long")).otherwise(own["n_chars"])}
+    return cut.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them."""
-    taken = mix_sources(docs, LEVELS, weights=WEIGHTS, max_epochs=2).where("epochs > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("epoch"))
-    return docs.join(taken, "doc_id").select(*docs.columns)
+    rows = _numbered(docs)
+    taken = mix_sources(rows, LEVELS, weights=WEIGHTS, max_epochs=2, row="_row").where("epochs > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("epoch"))
+    return rows.join(taken, "_row").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

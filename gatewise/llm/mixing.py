@@ -61,7 +61,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], budget: int, weights: Map
 
 
 def mix_sources(
-    docs: DataFrame, levels: Mapping[str, str], budget_share: float = 1.0, weights: Mapping[str, int] | None = None, max_epochs: int = 2, seed: int = 17
+    docs: DataFrame, levels: Mapping[str, str], budget_share: float = 1.0, weights: Mapping[str, int] | None = None, max_epochs: int = 2, seed: int = 17, row: str | None = None
 ) -> DataFrame:
     """Choose documents so that their tokens follow the target weights of a tree.
 
@@ -77,14 +77,15 @@ def mix_sources(
     Returns (doc_id, level columns, n_tokens, leaf_budget, epochs): a row for each row of ``docs``,
     with the number of times it is taken (0: not at all). Rows without words have 0 tokens and
     are taken as often as the whole epochs of their leaf. Equal doc_ids are ordered alike and count as
-    separate rows. Other columns are ignored; an empty table gives an empty result.
+    separate rows. Other columns are ignored, but ``row`` names a column of unique values that is returned
+    too and orders rows of equal doc_id and size; an empty table gives an empty result.
     Leaves of any size are fine: the order is cut into 2 ** BUCKET_BITS parts by hash, the parts
     are summed, and only documents of one part are ordered in one task.
     """
-    names = list(levels)
-    rows = docs.select("doc_id", "text", *[F.coalesce(F.expr(e).cast("string"), F.lit("")).alias(c) for c, e in levels.items()])
+    names, key = list(levels), [row] if row else []
+    rows = docs.select("doc_id", "text", *key, *[F.coalesce(F.expr(e).cast("string"), F.lit("")).alias(c) for c, e in levels.items()])
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.select("doc_id", *names, F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"), order.alias("rank"))
+    rows = rows.select("doc_id", *key, *names, F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"), order.alias("rank"))
     rows = rows.withColumn("n_tokens", F.greatest("n_tokens", F.lit(0).cast("long"))).withColumn("part", F.shiftright("rank", 64 - BUCKET_BITS))
     rows = materialize(rows, "token-counts")
     parts = materialize(rows.groupBy(*names, "part").agg(F.sum("n_tokens").alias("tokens")), "part-totals")
@@ -95,9 +96,9 @@ def mix_sources(
     before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens").join(budgets, names)
     starts = materialize(starts, "part-starts")
-    own = Window.partitionBy(*names, "part").orderBy("rank", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*names, "part").orderBy("rank", "doc_id", "n_tokens", *key).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("run", F.sum("n_tokens").over(own)).join(starts, [*names, "part"])
     full = F.when(F.col("supply") > 0, F.expr("leaf_budget DIV supply")).otherwise(0)
     out = out.withColumn("whole", full)
     more = (F.col("start") + F.col("run") <= F.col("leaf_budget") - F.col("whole") * F.col("supply")) & (F.col("n_tokens") > 0)
-    return out.select("doc_id", *names, "n_tokens", "leaf_budget", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int").alias("epochs"))
+    return out.select("doc_id", *key, *names, "n_tokens", "leaf_budget", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int").alias("epochs"))

@@ -120,8 +120,8 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: n
     return out, at[np.concatenate([[0], np.cumsum(keep)])[first]]
 
 
-def _removals(window: int, with_text: bool):
-    """(doc_id, text, gone, copies) -> words removed and what is kept."""
+def _removals(window: int, with_text: bool, carry: tuple[str, ...] = ()):
+    """(doc_id, text, gone, copies, carried columns) -> words removed and what is kept, and the carried columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,8 @@ def _removals(window: int, with_text: bool):
                 words = np.diff(first)
                 columns = [batch.column(0).slice(row, n), pa.array(words), pa.array(words - np.diff(np.concatenate([[0], np.cumsum(keep)])[first]))]
                 columns += [pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept if with_text else [None] * n, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                columns += [batch.column(1 if c == "text" else batch.schema.get_field_index(f"_carried_{c}")).slice(row, n) for c in carry]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[f"_carried_{c}" for c in carry]])
 
     return run
 
@@ -157,7 +158,7 @@ def copies_of(docs: DataFrame) -> DataFrame:
     return materialize(prints.join(heads, "print").where("doc_id > head").groupBy("doc_id").agg(F.collect_set("print").alias("copies")), "copies")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove words covered by a ``window``-word sequence that also starts in a smaller doc_id.
 
     Words are runs of bytes other than space, tab to CR; windows are judged on the input.
@@ -165,21 +166,24 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True) ->
     words by one space (null unless ``with_text``). Null, empty and wordless texts have no
     word and keep the empty string. Rows that repeat a doc_id are versions of one document
     and don't remove each other's words; rows without doc_id lose nothing. Other columns
-    are ignored; an empty table gives an empty result.
+    are ignored, but those in ``carry`` (and the input's text, if named there) are returned under
+    the prefix "_carried_"; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    carried = [f"_carried_{c}" for c in carry if c != "text"]
+    types = "".join(f", `_carried_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    docs = docs.select("doc_id", "text", *[F.col(c).alias(f"_carried_{c}") for c in carry if c != "text"])
     copies = copies_of(docs)
-    picks = materialize(docs.where("doc_id IS NOT NULL").mapInArrow(_picks(window), "doc_id long, picks array<long>"), "picks")
+    picks = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_picks(window), "doc_id long, picks array<long>"), "picks")
     picks = picks.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("picks").alias("pick"))
     shared = picks.groupBy("pick").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("pick")
     live = picks.join(materialize(shared, "repeated-halves"), "pick").groupBy("doc_id").agg(F.collect_list("pick").alias("live"))
     live = materialize(live, "live-halves")
     # one exchange of the texts by doc_id serves all joins below
     known = docs.where("doc_id IS NOT NULL")
-    full = known.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(_candidates(window), "a long, b long, doc_id long")
+    full = known.join(live, "doc_id").select("doc_id", "text", "live", *carried).mapInArrow(_candidates(window), "a long, b long, doc_id long")
     least = full.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
     gone = full.join(least, ["a", "b"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("a").alias("gone"))
     facts = gone.join(copies, "doc_id", "full_outer")
-    judged = known.join(facts, "doc_id", "left").select("doc_id", "text", "gone", "copies")
-    nameless = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<string>").alias("copies"))
-    return judged.unionByName(nameless).mapInArrow(_removals(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    judged = known.join(facts, "doc_id", "left").select("doc_id", "text", "gone", "copies", *carried)
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<string>").alias("copies"), *carried)
+    return judged.unionByName(nameless).mapInArrow(_removals(window, with_text, carry), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string{types}")
