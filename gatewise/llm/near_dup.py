@@ -11,7 +11,8 @@ a pair must share a key. Sets of similarity 0.8 differ in 12.8 symbols on averag
 No key's group is expanded into pairs. First all members of a key are
 compared with the key's smallest and greatest document; then the keys whose members
 are still in different components are compared in blocks, which gives one link for
-two components. Links are confirmed on the full shingle sets.
+two components. Links are confirmed on the full shingle sets,
+by hashes other than those that led to them.
 """
 
 from __future__ import annotations
@@ -28,21 +29,24 @@ from .components import connected_components
 from .scratch import materialize
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 64, 4, 31
-#: Documents of a block, and so rows compared at once.
-BLOCK = 256
+#: Documents of a block, and so rows compared at once, and the shingles of all of them (a longer text is a block of its own in effect).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Two blocks with more near pairs are compared as wholes.
 MANY = 256
+#: Salt of the hashes with which links are confirmed, so that no collision confirms itself.
+OTHER = 1
 _SEEDS = np.random.default_rng(977).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(off: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(off: np.ndarray, data: np.ndarray, words: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, first of each text and of the end) of a block of texts, A-Z lower-cased.
 
     A text with at least one and fewer than ``words`` words has its whole sequence as one.
+    Another ``salt`` gives independent hashes of the words.
     """
     data = tk.LOWER[data]
     starts, ends, first = tk.word_bounds(off, data)
-    h = tk.span_hashes(data, starts, ends)
+    h = tk.span_hashes(data, starts, ends, salt)
     counts = np.diff(first)
     wide = tk.window_hashes(h, words)
     keep = np.zeros(len(h), bool)
@@ -60,15 +64,15 @@ def shingle_hashes(off: np.ndarray, data: np.ndarray, words: int) -> tuple[np.nd
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text, and their bounds."""
+def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes of each text, their bounds, the place of each in ``h``)."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.argsort(h)
     order = order[np.argsort(text[order], kind="stable")]
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[new], np.searchsorted(text[new], np.arange(len(first)))
+    return h[new], np.searchsorted(text[new], np.arange(len(first))), order[new]
 
 
 def _signatures(words: int):
@@ -76,8 +80,8 @@ def _signatures(words: int):
         for batch in batches:
             ids = batch.column(0)
             for row, off, data in tk.blocks(batch.column(1)):
-                h, first = shingle_hashes(off, data, words)
-                h, first = _distinct(h, first)
+                h, first, one = _distinct(*shingle_hashes(off, data, words))
+                other = shingle_hashes(off, data, words, OTHER)[0][one]
                 size = np.diff(first)
                 full = np.nonzero(size)[0]
                 sig = np.zeros((len(size), SYMBOLS), np.uint16)
@@ -88,7 +92,7 @@ def _signatures(words: int):
                         low = np.minimum.reduceat((h * seed) >> np.uint64(24), at)
                         sig[full, j] = (tk.mix(low, j) & np.uint64(0xFFFF)).astype(np.uint16)
                     prints[0, full] = np.add.reduceat(tk.mix(h, 5), at)
-                    prints[1, full] = np.add.reduceat(tk.mix(h, 6), at)
+                    prints[1, full] = np.add.reduceat(tk.mix(other, 6), at)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, len(size)), pa.array(size), tk.long_array(prints[0]), tk.long_array(prints[1]), pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["doc_id", "n_shingles", "print_a", "print_b", "sig"],
@@ -128,7 +132,7 @@ def _confirm(words: int, percent: int):
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         hs, sizes = [], []
         for _, off, data in tk.blocks(texts):
-            h, first = _distinct(*shingle_hashes(off, data, words))
+            h, first, _ = _distinct(*shingle_hashes(off, data, words, OTHER))
             hs.append(h)
             sizes.append(np.diff(first))
         return np.concatenate(hs), np.concatenate(sizes)
@@ -208,9 +212,9 @@ def _block_links(words: int, percent: int):
     """One link for any two components that have one between two blocks; (texts_a, texts_b)."""
 
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [_distinct(*shingle_hashes(off, data, words)) for _, off, data in tk.blocks(texts)]
-        sizes = np.concatenate([np.diff(first) for _, first in found])
-        return np.concatenate([h for h, _ in found]), np.repeat(np.arange(len(sizes)), sizes), sizes
+        found = [_distinct(*shingle_hashes(off, data, words, OTHER)) for _, off, data in tk.blocks(texts)]
+        sizes = np.concatenate([np.diff(first) for _, first, _ in found])
+        return np.concatenate([h for h, _, _ in found]), np.repeat(np.arange(len(sizes)), sizes), sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +252,9 @@ def _links_between_blocks(marked: DataFrame, reps: DataFrame, texts: DataFrame,
     place = marked.groupBy("doc_id", "component").agg(F.max_by(F.struct("key", "largest"), F.struct("members", "key")).alias("at"))
     place = place.select("doc_id", "component", F.col("at.key").alias("label"), (F.col("component") == F.col("at.largest")).alias("inside"))
     place = materialize(place, "labels")
-    dealt = place.join(place.groupBy("label", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), ["label", "inside"])
+    sized = place.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    dealt = place.join(materialize(sized.groupBy("label", "inside").agg(count.alias("blocks")), "block-counts"), ["label", "inside"])
     placed = materialize(dealt.select("doc_id", "component", F.xxhash64("label", "inside", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("block")), "placed")
     met = marked.join(placed.select("doc_id", "block"), "doc_id").groupBy("key", "block").agg(F.max(F.col("component") != F.col("largest")).alias("other"))
     met = materialize(met, "met")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folder of the public tokenizer files, the same on all machines.
-TOKENIZERS = Path("/opt/tokenizers")
-PIECE_MODEL, BYTE_BPE = str(TOKENIZERS / "piece_bpe_32k.model"), str(TOKENIZERS / "byte_bpe_50k.json")
+#: Public tokenizer files, at the same place on all machines.
+PIECE_MODEL, BYTE_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,11 @@ class SegmentEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         while self.used + len(flat) > len(self.ids):
@@ -36,15 +36,18 @@ class SegmentEncoder:
         self.ids[self.used : self.used + len(flat)] = flat
         sizes = np.array([len(x) for x in found], np.int64)
         at = len(self.place)
-        while at + len(keys) > len(self.start):
+        while at + len(pieces) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.size[at : at + len(keys)] = sizes
-        self.start[at : at + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(pieces)] = sizes
+        self.start[at : at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.place.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
 
     def block(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts of a block, first id of each text and of the end)."""
+        """(ids of all texts of a block, first id of each text and of the end).
+
+        Segments are grouped by a hash, but told apart by their bytes: one that isn't equal to its group's first is a group of its own.
+        """
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         if len(self.place) > CACHE:
@@ -53,15 +56,15 @@ class SegmentEncoder:
         edge[off[off < len(data)]] = True
         starts = np.nonzero(edge)[0]
         ends = np.concatenate([starts[1:], [len(data)]])
-        h = tk.span_hashes(data, starts, ends)
-        kinds, one, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = kinds.view(np.int64).tolist()
-        place = self.place
-        new = [i for i, k in enumerate(keys) if k not in place]
-        if new:
-            raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[one[i]] : ends[one[i]]] for i in new])
-        at = np.array([place[k] for k in keys], np.int64)[which]
+        _, one, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        odd = np.nonzero(~tk.same_spans(data, starts, ends, one[which]))[0]
+        which[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, odd])
+        raw, place = data.tobytes(), self.place
+        pieces = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        if new := [x for x in dict.fromkeys(pieces) if x not in place]:
+            self._learn(new)
+        at = np.array([place[x] for x in pieces], np.int64)[which]
         size = self.size[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         take = np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])

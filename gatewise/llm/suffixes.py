@@ -1,14 +1,18 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled positions.
 
-A position's rank is the class of the string that starts there. At length 25 ranks
-are taken of sampled positions alone: every 50-byte string samples the position in
-it whose 25 bytes hash least, so that equal strings sample equal ranks. Ranks that
-are unique to one document drop out. What is left is doubled once: Spark sorts the
-(rank, document) pairs of the sampled positions, each with the text around it, and the
-50-byte strings around a position get the rank of the pair of their halves, which
-tells in sorted order which of them a smaller document has had. Strings are
-compared by 128 hashed bits, ranks of the first step by 48 (a false match there only
-lets a candidate pass). Exact copies of a text are removed as wholes.
+A position's rank is the class of the string of the present length that starts there; the rank at
+twice the length is that of the pair of ranks at the position and at the offset. Ranks are hashes, so that a task
+knows them without a shuffle, and what Spark sorts are (rank, document) pairs: those
+of ranks that are unique to one document drop out after each length, the others are
+doubled, up to the window. Positions are sampled (see ``levels``): every full window
+is followed through one position, and equal windows through equal ranks. In the last step the windows around the
+positions of a rank are sorted by the pair of their halves' ranks, which tells which of
+them a smaller document has had. Full windows are compared by 128 hashed bits, ranks
+before by 47 (a false match there only lets a candidate pass). Copies of whole texts
+are removed as wholes.
+
+A rank that very many documents have isn't brought together: its windows are aggregated one by one instead,
+with minima combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,24 +22,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .levels import followed, lengths
 from .scratch import materialize
 from .substrings import copies_of, lists, member_of, text_of, within
 
 #: Text that a task samples before it sends the ranks on, in bytes.
 GATHER = 16 << 20
+#: A rank is hot if so many documents of ``GATHER`` bytes of text have it, or if that leaves more than ``HOT`` pairs of it.
+MANY_HERE, HOT = 64, 20_000
+#: Bits of a rank; marks of ranks that many documents of a pack have, and of hot ones.
+RANK, MARK, HOT_BIT = np.uint64((1 << 47) - 1), np.uint64(1 << 47), np.uint64(1 << 62)
 _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint64)
 
 
-def _picks(off: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(48-bit rank sampled by each start of a window, text of each byte, whether a window starts there)."""
-    half = window // 2
-    low = tk.sliding(tk.byte_windows(data, half, _BYTES[0]), window - half + 1, True) >> np.uint64(16)
-    text = text_of(off)
-    return low, text[: len(low)], within(off, window)[: len(low)]
+def _ranks(data: np.ndarray, steps: list[int], level: int) -> np.ndarray:
+    """Of each start of a full window: the 47-bit rank at length ``steps[level]`` of the position that it is followed through."""
+    first = tk.byte_windows(data, steps[0], _BYTES[0])
+    own = first if level == 0 else tk.byte_windows(data, steps[level], _BYTES[0])
+    return own[followed(first, steps, level)] >> np.uint64(17)
+
+
+def _alive(off: np.ndarray, data: np.ndarray, steps: list[int], level: int, live: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of full windows whose rank at ``level`` is among ``live``, all if there is none; their ranks, their texts)."""
+    starts = np.nonzero(within(off, steps[-1]))[0]
+    rank, text = _ranks(data, steps, level)[starts] if len(starts) else np.zeros(0, np.uint64), text_of(off)[starts]
+    if live is not None:
+        hit = member_of(rank, text, *live)
+        starts, rank, text = starts[hit], rank[hit], text[hit]
+    return starts, rank, text
 
 
 def _doubled(data: np.ndarray, window: int, which: int) -> np.ndarray:
@@ -45,99 +64,145 @@ def _doubled(data: np.ndarray, window: int, which: int) -> np.ndarray:
     return tk.pair_hash(h[: len(h) - (window - half)], h[window - half :], which)
 
 
-def _pack(parts: int, window: int):
-    """(doc_id, text) -> (bucket, ranks, docs, counts): sampled ranks, six bytes each, packed by bucket."""
+def _pack(parts: int, steps: list[int], level: int, many_here: int):
+    """(doc_id, text, live of the length before) -> (bucket, ranks, docs, counts): sampled ranks, six bytes each, packed by bucket.
+
+    A rank that ``many_here`` documents of a pack have is known to be repeated: its pairs go to a bucket that
+    needs no comparison, numbered from ``parts`` on, and only those of its smallest and greatest document, marked by the highest bit, to its own.
+    """
+
+    def row_of(bucket: int, rank: np.ndarray, doc: np.ndarray) -> tuple:
+        first = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0]
+        six = rank.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        return bucket, six, doc[first].tobytes(), np.diff(np.append(first, len(doc))).astype(np.uint32).tobytes()
 
-    def packed(ranks: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rank, doc = np.concatenate(ranks), np.concatenate(docs)
-        bucket = (tk.mix(rank, 3) % np.uint64(parts)).astype(np.int64)
+    def packed(ranks: list[np.ndarray], docs: list[np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
+        rank, doc, rows = np.concatenate(ranks), np.concatenate(docs), []
+        order = np.lexsort((doc, rank))
+        first = np.nonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))[0]
+        size = np.diff(np.append(first, len(rank)))
+        many = np.zeros(len(rank), bool)
+        many[order] = np.repeat(size >= many_here, size)
+        if many.any():
+            rows.append(row_of(parts + salt % parts, np.ascontiguousarray(rank[many]), doc[many]))
+            ends = order[np.concatenate([first[size >= many_here], (first + size - 1)[size >= many_here]])]
+            rank, doc = np.concatenate([rank[~many], rank[ends] | MARK]), np.concatenate([doc[~many], doc[ends]])
+        bucket = (tk.mix(rank & RANK, 3) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank, doc, bucket = rank[order], doc[order], bucket[order]
         at = np.searchsorted(bucket, np.arange(parts + 1))
-        rows = []
-        for b in np.nonzero(np.diff(at))[0]:
-            own, d = rank[at[b] : at[b + 1]], doc[at[b] : at[b + 1]]
-            new = np.concatenate([[True], d[1:] != d[:-1]])
-            first = np.nonzero(new)[0]
-            rows.append((int(b), own.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), d[first].tobytes(), np.diff(np.append(first, len(d))).astype(np.uint32).tobytes()))
+        rows += [row_of(int(b), rank[at[b] : at[b + 1]], doc[at[b] : at[b + 1]]) for b in np.nonzero(np.diff(at))[0]]
         columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ranks", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, docs, held = [], [], 0
+        ranks, docs, held, salt = [], [], 0, TaskContext.get().partitionId()
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for row, off, data in tk.blocks(batch.column(1)):
-                low, text, ok = _picks(off, data, window)
-                low, text = low[ok], text[ok]
-                new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
-                ranks.append(low[new])
+                live = _live(batch.column(2).slice(row, len(off) - 1))[0] if level else None
+                at, rank, text = _alive(off, data, steps, max(level - 1, 0), live)
+                if level and len(at):
+                    rank = _ranks(data, steps, level)[at]
+                new = np.ones(len(rank), bool)
+                new[1:] = (rank[1:] != rank[:-1]) | (text[1:] != text[:-1])
+                ranks.append(rank[new])
                 docs.append(ids[row + text[new]])
                 held += len(data)
                 if held >= GATHER and sum(map(len, ranks)):
-                    yield from packed(ranks, docs)
-                    ranks, docs, held = [], [], 0
+                    yield from packed(ranks, docs, salt)
+                    ranks, docs, held, salt = [], [], 0, salt + 1
         if sum(map(len, ranks)):
-            yield from packed(ranks, docs)
+            yield from packed(ranks, docs, salt)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed ranks of whole buckets, bucket by bucket -> (doc_id, rank) of ranks in two documents and more."""
+def _live(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(all, hot) live ranks of a list column, each as (rank, row)."""
+    values, row = lists(column)
+    hot = values >= HOT_BIT
+    return (values & RANK, row), (values[hot] & RANK, row[hot])
 
-    def unique_out(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+
+def _repeated(parts: int, hot_from: int):
+    """Packed ranks of whole buckets, bucket by bucket -> (doc_id, rank) of ranks in two documents and more, with ``HOT_BIT`` if in very many."""
+
+    def unique_out(bucket: int, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         six = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 6)
         rank = np.zeros((len(six), 8), np.uint8)
         rank[:, :6] = six
         rank = rank.view(np.uint64).ravel()
         doc = np.repeat(np.frombuffer(b"".join(r[1] for r in rows), np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint32))
-        order = np.argsort(rank)
+        if bucket >= parts:
+            return pa.RecordBatch.from_arrays([pa.array(doc), tk.long_array(rank | HOT_BIT)], names=["doc_id", "rank"])
+        order = np.argsort(rank & RANK)
         rank, doc = rank[order], doc[order]
-        first = np.nonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))[0]
+        plain = rank & RANK
+        first = np.nonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))[0]
         size = np.diff(np.append(first, len(rank)))
+        hot = np.repeat((np.maximum.reduceat(rank, first) >= MARK) | (size > hot_from), size)
         keep = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), tk.long_array(rank[keep])], names=["doc_id", "rank"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), tk.long_array(np.where(hot, plain | HOT_BIT, plain)[keep])], names=["doc_id", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (bucket != now or now >= parts):
+                    yield unique_out(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            yield unique_out(now, rows)
 
-    now, rows = None, []
-    for batch in batches:
-        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now and rows:
-                yield unique_out(rows)
-                rows = []
-            now = bucket
-            rows.append(row)
-    if rows:
-        yield unique_out(rows)
+    return run
 
 
-def _contexts(window: int):
-    """(doc_id, text, live) -> (rank, doc_id, start, around): windows in a row that sample one live rank, and their bytes."""
+def _contexts(steps: list[int]):
+    """(doc_id, version, text, live) -> (rank, doc_id, version, start, around): windows in a row of one live rank that isn't hot, and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for row, off, data in tk.blocks(batch.column(1)):
-                low, text, ok = _picks(off, data, window)
-                at = np.nonzero(ok & member_of(low, text, *lists(batch.column(2).slice(row, len(off) - 1))))[0]
+            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for row, off, data in tk.blocks(batch.column(2)):
+                every, hot = _live(batch.column(3).slice(row, len(off) - 1))
+                at, rank, text = _alive(off, data, steps, len(steps) - 2, every)
+                cold = ~member_of(rank, text, *hot)
+                at, rank, text = at[cold], rank[cold], text[cold]
                 if not len(at):
                     continue
                 new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
-                first = at[new]
-                last = at[np.append(np.nonzero(new)[0][1:], len(at)) - 1] + window
+                new[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1]) | (text[1:] != text[:-1])
+                first, last = at[new], at[np.append(np.nonzero(new)[0][1:], len(at)) - 1] + steps[-1]
                 size = last - first
                 upto = np.concatenate([[0], np.cumsum(size)])
                 flat = data[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
                 around = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([tk.long_array(low[first]), pa.array(ids[row + text[first]]), pa.array(first - off[text[first]]), around], names=["rank", "doc_id", "start", "around"])
+                of = text[new]
+                yield pa.RecordBatch.from_arrays([tk.long_array(rank[new]), pa.array(ids[row + of]), pa.array(versions[row + of]), pa.array(first - off[of]), around], names=["rank", "doc_id", "version", "start", "around"])
+
+    return run
+
+
+def _strings(steps: list[int]):
+    """(doc_id, version, text, live) -> (a, b, doc_id, version, start): each full window of a hot rank by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for row, off, data in tk.blocks(batch.column(2)):
+                at, _, text = _alive(off, data, steps, len(steps) - 2, _live(batch.column(3).slice(row, len(off) - 1))[1])
+                if len(at):
+                    a, b = (_doubled(data, steps[-1], i)[at] for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([tk.long_array(a), tk.long_array(b), pa.array(ids[row + text]), pa.array(versions[row + text]), pa.array(at - off[text])], names=["a", "b", "doc_id", "version", "start"])
 
     return run
 
 
 def _spans(window: int):
-    """Contexts sorted by (rank, doc_id) -> (doc_id, start, stop) of strings that a smaller document has.
+    """Contexts sorted by (rank, doc_id) -> (doc_id, version, start, stop) of strings that a smaller document has.
 
     What is kept between batches are the distinct strings of the rank at hand.
     """
@@ -148,8 +213,8 @@ def _spans(window: int):
         for whole in batches:
             for cut in range(0, whole.num_rows, 8192):
                 batch = whole.slice(cut, 8192)
-                rank, ids, start = (np.asarray(batch.column(i)) for i in range(3))
-                column = batch.column(3)
+                rank, ids, version, start = (np.asarray(batch.column(i)) for i in range(4))
+                column = batch.column(4)
                 off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
                 data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
                 off -= off[0]
@@ -180,23 +245,26 @@ def _spans(window: int):
                     new = np.ones(len(p), bool)
                     new[1:] = (p[1:] != p[:-1] + 1) | (r[1:] != r[:-1])
                     ends = np.append(np.nonzero(new)[0][1:], len(p)) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[new]]), pa.array(p[new]), pa.array(p[ends] + window)], names=["doc_id", "start", "stop"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[new]]), pa.array(version[r[new]]), pa.array(p[new]), pa.array(p[ends] + window)], names=["doc_id", "version", "start", "stop"])
 
     return run
 
 
 def _cut(window: int, with_text: bool):
-    """(doc_id, text, starts, stops, copies) -> what is removed and what is kept."""
+    """(doc_id, version, text, spans of all versions as starts, stops, versions, copies) -> what is removed and what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies = batch.column(4).to_pylist()
-            for row, off, data in tk.blocks(batch.column(1)):
+            copies = batch.column(6).to_pylist()
+            version = np.asarray(batch.column(1).fill_null(0)).view(np.uint64)
+            for row, off, data in tk.blocks(batch.column(2)):
                 n = len(off) - 1
                 cover = np.zeros(len(data) + 1, np.int32)
-                for column, step in ((2, 1), (3, -1)):
-                    at, text = lists(batch.column(column).slice(row, n))
-                    np.add.at(cover, at.view(np.int64) + off[text], step)
+                of, text = lists(batch.column(5).slice(row, n))
+                own = of == version[row + text]
+                for column, step in ((3, 1), (4, -1)):
+                    at = lists(batch.column(column).slice(row, n))[0][own]
+                    np.add.at(cover, at.view(np.int64) + off[text[own]], step)
                 keep = np.cumsum(cover[:-1]) == 0
                 for i in range(n):
                     if copies[row + i] and off[i + 1] - off[i] >= window and hashlib.md5(data[off[i] : off[i + 1]]).hexdigest() in copies[row + i]:
@@ -214,29 +282,47 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, with_text: bool = True, first: int = 25, hot_from: int = HOT, survivors: dict[int, int] | None = None) -> DataFrame:
     """Remove bytes covered by a ``window``-byte string that also starts in a smaller doc_id.
 
     Texts are whole, as UTF-8; strings lie in one document and are judged on the input.
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): maximal removed runs and
     the remaining bytes (null unless ``with_text``; a cut may split a character). Null and empty
-    texts have no bytes. Rows that repeat a doc_id are versions of one document and don't remove each other's
-    bytes; rows without doc_id lose nothing. Other columns are ignored; an empty table
-    gives an empty result.
+    texts have no bytes; very long ones are handled one at a time, in some ten arrays of eight bytes for each byte. Rows that repeat a doc_id
+    are versions of one document: they don't remove each other's bytes, and each loses what a smaller doc_id
+    has; rows without doc_id lose nothing. Other columns are ignored; an empty table gives an empty result.
+    ``first``: bytes of the first length at least; a rank with more than ``hot_from`` pairs is hot (neither
+    changes the results). ``survivors`` is filled with the number of (rank, document) pairs found repeated at each length.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
+    steps = lengths(window, min(max(first, 2), -(-window // 2)))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    copies = copies_of(docs)
-    packed = known.mapInArrow(_pack(parts, window), "bucket int, ranks binary, docs binary, counts binary")
-    shared = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "doc_id long, rank long")
-    live = shared.join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("rank").alias("live"))
-    live = materialize(live, "live-ranks")
-    # one exchange of the texts by doc_id serves both joins below
-    around = known.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(_contexts(window), "rank long, doc_id long, start long, around binary")
-    spans = around.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_spans(window), "doc_id long, start long, stop long")
-    spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    judged = known.join(spans.join(copies, "doc_id", "full_outer"), "doc_id", "left").select("doc_id", "text", "starts", "stops", "copies")
+    copies = copies_of(known)
+    live = None
+    for level, length in enumerate(steps[:-1]):
+        # one exchange of the texts by doc_id serves all joins but those of levels that were written before
+        asked = known.select("doc_id", "text") if live is None else known.join(live, "doc_id").select("doc_id", "text", "live")
+        packed = asked.mapInArrow(_pack(parts, steps, level, MANY_HERE), "bucket int, ranks binary, docs binary, counts binary")
+        shared = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(parts, hot_from), "doc_id long, rank long")
+        if live is None:
+            shared = shared.join(copies.where("wholly").select("doc_id"), "doc_id", "left_anti")
+        live = materialize(shared.groupBy("doc_id").agg(F.collect_set("rank").alias("live")), f"live-ranks-{length}")
+        if survivors is not None:
+            survivors[length] = live.agg(F.sum(F.size("live")).alias("n")).first()["n"] or 0
+        if live.isEmpty():
+            break
+    around = known.join(live, "doc_id").select("doc_id", "version", "text", "live").mapInArrow(_contexts(steps), "rank long, doc_id long, version long, start long, around binary")
+    spans = around.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_spans(window), "doc_id long, version long, start long, stop long")
+    hot = live.where(F.exists("live", lambda r: r >= int(HOT_BIT)))
+    if not hot.isEmpty():
+        strings = known.join(hot, "doc_id").select("doc_id", "version", "text", "live").mapInArrow(_strings(steps), "a long, b long, doc_id long, version long, start long")
+        strings = materialize(strings, "hot-strings")
+        least = materialize(strings.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low"), "repeated-hot-strings")
+        again = strings.join(least, ["a", "b"]).where("doc_id > low")
+        spans = spans.unionByName(again.select("doc_id", "version", "start", (F.col("start") + window).alias("stop")))
+    spans = spans.groupBy("doc_id").agg(*[F.collect_list(F.col(c)).alias(f"{c}s") for c in ("start", "stop", "version")])
+    judged = known.join(spans.join(copies.select("doc_id", "copies"), "doc_id", "full_outer"), "doc_id", "left").select("doc_id", "version", "text", "starts", "stops", "versions", "copies")
     none = F.lit(None).cast("array<long>")
-    nameless = docs.where("doc_id IS NULL").select("doc_id", "text", none.alias("starts"), none.alias("stops"), F.lit(None).cast("array<string>").alias("copies"))
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "version", "text", *[none.alias(c) for c in ("starts", "stops", "versions")], F.lit(None).cast("array<string>").alias("copies"))
     return judged.unionByName(nameless).mapInArrow(_cut(window, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -7,6 +7,8 @@ whatever the batch holds. Null texts have no bytes.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,9 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=U64)
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 64
+_LANE_MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], U64)
 _BASE, _BASE_INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
@@ -85,13 +89,49 @@ def word_bounds(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.nonzero(ends)[0] + 1, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * _powers_to(len(data), _BASE), out=total[1:])
-    h = total[ends] - total[starts]
-    h *= _powers_to(len(data) + 1, _BASE_INVERSE)[starts]
-    return mix(h ^ ((ends - starts).astype(U64) << U64(56)))
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (unaligned, no copy of each); zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand.
+
+    Eight bytes at a time are folded in by a mixer that isn't linear, so repetitive spans differ like any others;
+    spans of more than ``LONG_SPAN`` bytes are hashed by BLAKE2. Hashes of two salts are independent.
+    """
+    size = ends - starts
+    h = mix(size.astype(U64), salt)
+    lanes, live, at = _lanes(data), slice(None), 0
+    while at < LONG_SPAN:
+        left = np.minimum(size[live] - at, 8)
+        h[live] = mix(h[live] ^ (lanes[starts[live] + at] & _LANE_MASKS[left]), salt)
+        at += 8
+        live = np.nonzero(size > at)[0]
+        if not len(live):
+            return h
+    key = struct.pack("<q", salt)
+    for i in np.nonzero(size > LONG_SPAN)[0]:
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span are those of the span numbered ``others``."""
+    size = ends - starts
+    same = size == size[others]
+    lanes, at = _lanes(data), 0
+    live = np.nonzero(same & (size > 0))[0]
+    while len(live) and at < LONG_SPAN:
+        mask = _LANE_MASKS[np.minimum(size[live] - at, 8)]
+        same[live] = (lanes[starts[live] + at] & mask) == (lanes[starts[others[live]] + at] & mask)
+        at += 8
+        live = live[(size[live] > at) & same[live]]
+    for i in live:
+        j = others[i]
+        same[i] = i == j or bool(np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]]))
+    return same
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -110,7 +150,10 @@ def window_hashes(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
 
 
 def byte_windows(data: np.ndarray, length: int, table: np.ndarray) -> np.ndarray:
-    """Hash of ``length`` consecutive bytes at each start, from running sums; ``table`` has a number for each byte."""
+    """Hash of ``length`` consecutive bytes at each start, from running sums; ``table`` has a number for each byte.
+
+    For short windows alone: from about 1,000 bytes on, sums of powers are equal for some repetitive strings.
+    """
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, U64)

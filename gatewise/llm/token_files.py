@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import fresh_path, materialize
+from .scratch import fresh_path, materialize, qualified
 from .segments import SegmentEncoder
 
 MASK = 0xA282EAD8  # fixed value of the record format
@@ -169,15 +169,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabula
     """Encode whole texts and write them in ascending doc_id order; returns (folder, table of parts).
 
     A null text has the end id alone; null doc_ids come first and are written without one;
-    rows that repeat a doc_id are all written. Added tokens of the tokenizer that stand in a text
+    rows that repeat a doc_id are all written, in the order of their texts (nulls first). Added tokens of the tokenizer that stand in a text
     get their own id, as in the library by default. Other columns are ignored; an empty table
     gives parts without records. Files are written by the tasks to ``uri`` (by default a new
-    folder beside ``spark.checkpoint.dir``'s tables), under a name of the attempt, and then moved in place.
+    folder beside ``spark.checkpoint.dir``'s tables; without a scheme it is in Spark's default file system),
+    under a name of the attempt, and then moved in place.
     """
     spark = docs.sparkSession
-    uri = uri or fresh_path(spark, "tokens")
+    uri = qualified(spark, uri or fresh_path(spark, "tokens"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_write(tokenizer, end_id, 2 if vocabulary <= 65536 else 4, uri), "part int, docs long, tokens long")
     return uri, materialize(written, "token-parts")
 

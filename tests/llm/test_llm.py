@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise.llm import near_dup, sharding, topk
+from gatewise.llm import near_dup, sharding, suffixes, topk
 from gatewise.llm.components import connected_components
 from gatewise.llm.mixing import mix_sources
 from gatewise.llm.near_dup import near_duplicates
@@ -108,18 +108,72 @@ def removed(units, window):
     return out
 
 
-def test_word_windows(spark):
+@pytest.mark.parametrize("first", [7, 25, 50])
+def test_word_windows(spark, first):
     units = [tuple(WORD.findall((t or "").encode())) for t in texts()]
-    got = {r["doc_id"]: r for r in remove_repeats(frame(spark)).collect()}
+    left: dict = {}
+    got = {r["doc_id"]: r for r in remove_repeats(frame(spark), first=first, survivors=left).collect()}
+    assert list(left) == [n for n in (7, 13, 25) if n >= first] and all(left.values())
     for i, (u, keep) in enumerate(zip(units, removed(units, 50), strict=True)):
         kept = b" ".join(w for w, k in zip(u, keep, strict=True) if k)
         assert (got[i]["n_words"], got[i]["n_removed"]) == (len(u), keep.count(False))
         assert got[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest() and got[i]["kept_text"].encode() == kept
 
 
-def test_byte_strings(spark):
-    units = [(t or "").encode() for t in texts()]
-    got = {r["doc_id"]: r for r in remove_repeated_bytes(frame(spark)).collect()}
+def test_versions_of_a_document_lose_what_smaller_ones_have(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(n))
+    passage, tail, copy = prose(70), prose(30), prose(90)
+    rows = [(2, passage), (3, copy), (5, copy), (5, f"{tail} {passage}"), (5, f"{prose(20)} {passage} {prose(9)}"), (None, passage), (9, f"{tail} x"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in remove_repeats(docs).collect()))
+    assert got == sorted([(2, 70, 0), (3, 90, 0), (5, 90, 90), (5, 100, 70), (5, 99, 70), (0, 70, 0), (9, 31, 0), (9, 0, 0)])
+    units = [(i, (t or "").encode()) for i, t in rows]
+    seen: dict = {}
+    for i, u in units:
+        for p in range(len(u) - 49):
+            if i is not None:
+                seen[u[p : p + 50]] = min(i, seen.get(u[p : p + 50], i))
+    want = []
+    for i, u in units:
+        gone = {q for p in range(len(u) - 49) if i is not None and seen[u[p : p + 50]] < i for q in range(p, p + 50)}
+        want.append((i or 0, len(u), len(gone)))
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(docs).collect()) == sorted(want)
+
+
+def alternating(n):
+    """A string and its complement that polynomial hashes modulo a power of two don't tell apart."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_alternating_words_stay_apart(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    pairs = [*alternating(1024), *alternating(2048)]
+    rows = [*pairs, " ".join(pairs), " ".join(pairs[::-1]), *(f"{p} " * 60 for p in pairs)]
+    docs = frame(spark, rows)
+    tokenizer, model = Tokenizer.from_file(BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    got = {r["doc_id"]: r for r in read_token_files(*write_token_files(docs, BYTE_BPE)).collect()}
+    for i, t in enumerate(rows):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    got = {r["doc_id"]: r for r in encode_pieces(docs, PIECE_MODEL).collect()}
+    assert [got[i]["ids"] for i in range(len(rows))] == [model.encode(t) for t in rows]
+    near = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=2).collect()}
+    assert near == {i: i for i in range(len(rows))}
+    assert all(r["n_removed"] == 0 for r in remove_repeats(docs).collect())
+
+
+@pytest.mark.parametrize(("first", "hot_from", "many_here"), [(25, 20_000, 64), (7, 20_000, 64), (13, 3, 64), (25, 20_000, 2)])
+def test_byte_strings(spark, monkeypatch, first, hot_from, many_here):
+    monkeypatch.setattr(suffixes, "MANY_HERE", many_here)
+    units, left = [(t or "").encode() for t in texts()], {}
+    got = {r["doc_id"]: r for r in remove_repeated_bytes(frame(spark), first=first, hot_from=hot_from, survivors=left).collect()}
+    assert list(left) == [n for n in (7, 13, 25) if n >= first] and all(left.values())
     for i, (u, keep) in enumerate(zip(units, removed(units, 50), strict=True)):
         kept = bytes(c for c, k in zip(u, keep, strict=True) if k)
         runs = sum(not k and (p == 0 or keep[p - 1]) for p, k in enumerate(keep))
@@ -146,7 +200,7 @@ def test_bad_host_loses_all(spark):
     good = " ".join(f"w{i}" for i in range(80))
     rows = [(i, "x", None, "bad" if i < 40 else f"h{i % 5}", 0, True) if i < 39 else (i, f"{good} {i}", None, "bad" if i < 40 else f"h{i % 5}", 0, True) for i in range(100)]
     got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert [i for i, k in got.items() if k] == list(range(40, 100))
+    assert sorted(i for i, k in got.items() if k) == list(range(40, 100))
 
 
 @pytest.mark.parametrize("pull", [0, 100_000])
@@ -190,7 +244,6 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     uri, parts = write_token_files(frame(spark), BYTE_BPE)
     got, at = sorted(read_token_files(uri, parts).collect()), 0
     for r, t in zip(got, texts(), strict=True):
