@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from .quality import words_of
 from .scratch import materialize
 
-#: Parts of the seeded order of a leaf that are summed apart: 2 ** BUCKET_BITS.
-BUCKET_BITS = 14
+#: Hexadecimal digits of the seeded order that part a leaf: 16 ** PART_DIGITS parts are summed and ordered apart.
+PART_DIGITS = 3
 
 
 def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -22,20 +22,21 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     capacity over weight, the children that are full come first; the others share the
     rest. Integers are shared by rounding running totals, so nothing is lost.
     """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products of tokens and weights go beyond a long
     ratio = F.col("capacity") / F.col("weight")
     before = Window.partitionBy(*parent).orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parent)
     out = nodes.withColumn("ratio", ratio)
     out = out.withColumn("left", F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0)))
     out = out.withColumn("still", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    out = out.withColumn("full", F.col("left") * F.col("weight") >= F.col("capacity") * F.col("still"))
+    out = out.withColumn("full", wide("left") * wide("weight") >= wide("capacity") * wide("still"))
     # once one child isn't full, none after it is
     out = out.withColumn("full", F.min("full").over(Window.partitionBy(*parent).orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, 0)))
     rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(whole), F.lit(0))
     out = out.withColumn("rest", rest).withColumn("open", F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole))
     run = Window.partitionBy(*parent, "full").orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("weight").over(run)
-    share = F.expr("CAST(rest * upto AS DECIMAL(38,0)) DIV open") - F.expr("CAST(rest * (upto - weight) AS DECIMAL(38,0)) DIV open")
+    share = F.expr("(CAST(rest AS DECIMAL(38,0)) * CAST(upto AS DECIMAL(38,0))) DIV open") - F.expr("(CAST(rest AS DECIMAL(38,0)) * CAST(upto - weight AS DECIMAL(38,0))) DIV open")
     out = out.withColumn("upto", upto).withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(share).cast("long"))
     return out.drop("ratio", "left", "still", "full", "rest", "open", "upto")
 
@@ -66,39 +67,41 @@ def mix_sources(
     """Choose documents so that their tokens follow the target weights of a tree.
 
     ``levels``: name and SQL expression of each level of the tree, from the root down (null
-    values are a node ""). ``weights``: whole weights under "level=value", 1 for others. Tokens
+    values are a node ""). ``weights``: positive whole weights under "level=value", 1 for others. Tokens
     are words. The budget is ``budget_share`` of all tokens (rounded down), at most what
     ``max_epochs`` epochs of everything hold. It is handed down the tree by weight; what a
     child can't take in ``max_epochs`` epochs goes to its siblings, and only what they can't take
-    either goes to the siblings of their parent. Each leaf then takes its budget as whole epochs
-    and the prefix of one more epoch, in an order of its own seed; a document that crosses the
+    either goes to the siblings of their parent. Each leaf then takes the prefix of its budget from a
+    row of epochs, each in an order of its own, seeded by ``seed``, the leaf and the number of the epoch; a document that crosses the
     end of the prefix isn't taken in that epoch.
 
     Returns (doc_id, level columns, n_tokens, leaf_budget, epochs): a row for each row of ``docs``,
     with the number of times it is taken (0: not at all). Rows without words have 0 tokens and
-    are taken as often as the whole epochs of their leaf. Equal doc_ids are ordered alike and count as
+    are taken as often as the whole epochs of their leaf. Equal doc_ids (and missing ones) of a leaf stand side by side in its orders and count as
     separate rows. Other columns are ignored, but ``row`` names a column of unique values that is returned
     too and orders rows of equal doc_id and size; an empty table gives an empty result.
-    Leaves of any size are fine: the order is cut into 2 ** BUCKET_BITS parts by hash, the parts
+    Leaves of any size are fine: the order is cut into 16 ** PART_DIGITS parts by its first digits, the parts
     are summed, and only documents of one part are ordered in one task.
     """
+    if any(w < 1 for w in (weights or {}).values()):
+        raise ValueError("weights are positive")
     names, key = list(levels), [row] if row else []
     rows = docs.select("doc_id", "text", *key, *[F.coalesce(F.expr(e).cast("string"), F.lit("")).alias(c) for c, e in levels.items()])
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.select("doc_id", *key, *names, F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"), order.alias("rank"))
-    rows = rows.withColumn("n_tokens", F.greatest("n_tokens", F.lit(0).cast("long"))).withColumn("part", F.shiftright("rank", 64 - BUCKET_BITS))
+    rows = rows.select("doc_id", *key, *names, F.greatest(F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
     rows = materialize(rows, "token-counts")
-    parts = materialize(rows.groupBy(*names, "part").agg(F.sum("n_tokens").alias("tokens")), "part-totals")
-    leaves = parts.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    total = parts.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    leaves = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaf-tokens")
+    total = leaves.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     budgets = leaf_budgets(leaves, names, int(total * budget_share), weights or {}, max_epochs)
-    budgets = materialize(budgets.withColumnRenamed("tokens", "supply").withColumnRenamed("budget", "leaf_budget"), "leaf-budgets")
+    whole = F.when(F.col("supply") > 0, F.expr("leaf_budget DIV supply")).otherwise(0)
+    budgets = materialize(budgets.withColumnRenamed("tokens", "supply").withColumnRenamed("budget", "leaf_budget").withColumn("whole", whole), "leaf-budgets")
+    # whole epochs take everything, so only the order of the epoch in which the budget ends matters
+    parts_of_key = [F.lit(str(seed)), *names, F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    ordered = rows.join(budgets, names).withColumn("rank", F.substring(F.md5(F.concat_ws("|", *parts_of_key).cast("binary")), 1, 16))
+    ordered = materialize(ordered.withColumn("part", F.substring("rank", 1, PART_DIGITS)), "seeded-orders")
+    parts = ordered.groupBy(*names, "part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens").join(budgets, names)
-    starts = materialize(starts, "part-starts")
+    starts = materialize(parts.select(*names, "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")), "part-starts")
     own = Window.partitionBy(*names, "part").orderBy("rank", "doc_id", "n_tokens", *key).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("run", F.sum("n_tokens").over(own)).join(starts, [*names, "part"])
-    full = F.when(F.col("supply") > 0, F.expr("leaf_budget DIV supply")).otherwise(0)
-    out = out.withColumn("whole", full)
+    out = ordered.withColumn("run", F.sum("n_tokens").over(own)).join(starts, [*names, "part"])
     more = (F.col("start") + F.col("run") <= F.col("leaf_budget") - F.col("whole") * F.col("supply")) & (F.col("n_tokens") > 0)
     return out.select("doc_id", *key, *names, "n_tokens", "leaf_budget", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int").alias("epochs"))

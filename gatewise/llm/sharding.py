@@ -13,8 +13,8 @@ from .scratch import materialize
 TRIES = 16
 #: Ends of groups that may come to the driver.
 PULL = 100_000
-#: Parts that each group's documents are dealt into, to be numbered apart.
-SALTS = 64
+#: Parts that each group's documents are dealt into by doc_id, to be numbered apart.
+SALTS = 4096
 
 
 def _running(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
@@ -119,7 +119,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("print"))
-    rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "sizes")
+    rows = materialize(rows.withColumn("salt", F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0))), "sizes")
     salted = rows.groupBy("print", "salt").agg(F.min("doc_id").alias("low"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     salted = materialize(salted, "salted-groups")
     groups = salted.groupBy("print").agg(F.min("low").alias("low"), F.sum("size").alias("size"), F.sum("n").alias("n"))

@@ -68,7 +68,10 @@ def list_column(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
 
 def _level_hashes(h: np.ndarray, steps: list[int], level: int) -> np.ndarray:
     """Of each start of a full window: the hash of the window of length ``steps[level]`` that it is followed by."""
-    return tk.window_hashes(h, steps[level])[followed(tk.window_hashes(h, steps[0]), steps, level)]
+    first = tk.window_hashes(h, steps[0])
+    if level == 0:
+        return tk.sliding(first, steps[-1] - steps[0] + 1, True)
+    return tk.window_hashes(h, steps[level])[followed(first, steps, level)]
 
 
 def _distinct_of_rows(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,8 +11,8 @@ them a smaller document has had. Full windows are compared by 128 hashed bits, r
 before by 47 (a false match there only lets a candidate pass). Copies of whole texts
 are removed as wholes.
 
-A rank that very many documents have isn't brought together: its windows are aggregated one by one instead,
-with minima combined before the shuffle.
+A rank that very many documents have isn't brought together: its positions are told apart by their whole
+surroundings first, and only one of each kind, that of the smallest document, is taken apart into windows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .substrings import copies_of, lists, member_of, text_of, within
 #: Text that a task samples before it sends the ranks on, in bytes.
 GATHER = 16 << 20
 #: A rank is hot if so many documents of ``GATHER`` bytes of text have it, or if that leaves more than ``HOT`` pairs of it.
-MANY_HERE, HOT = 64, 20_000
+MANY_HERE, HOT = 128, 20_000
 #: Bits of a rank; marks of ranks that many documents of a pack have, and of hot ones.
 RANK, MARK, HOT_BIT = np.uint64((1 << 47) - 1), np.uint64(1 << 47), np.uint64(1 << 62)
 _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -43,8 +43,9 @@ _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint6
 def _ranks(data: np.ndarray, steps: list[int], level: int) -> np.ndarray:
     """Of each start of a full window: the 47-bit rank at length ``steps[level]`` of the position that it is followed through."""
     first = tk.byte_windows(data, steps[0], _BYTES[0])
-    own = first if level == 0 else tk.byte_windows(data, steps[level], _BYTES[0])
-    return own[followed(first, steps, level)] >> np.uint64(17)
+    if level == 0:
+        return tk.sliding(first, steps[-1] - steps[0] + 1, True) >> np.uint64(17)
+    return tk.byte_windows(data, steps[level], _BYTES[0])[followed(first, steps, level)] >> np.uint64(17)
 
 
 def _alive(off: np.ndarray, data: np.ndarray, steps: list[int], level: int, live: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,15 +79,16 @@ def _pack(parts: int, steps: list[int], level: int, many_here: int):
 
     def packed(ranks: list[np.ndarray], docs: list[np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
         rank, doc, rows = np.concatenate(ranks), np.concatenate(docs), []
-        order = np.lexsort((doc, rank))
+        order = np.argsort(rank)
         first = np.nonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))[0]
         size = np.diff(np.append(first, len(rank)))
-        many = np.zeros(len(rank), bool)
-        many[order] = np.repeat(size >= many_here, size)
-        if many.any():
-            rows.append(row_of(parts + salt % parts, np.ascontiguousarray(rank[many]), doc[many]))
-            ends = order[np.concatenate([first[size >= many_here], (first + size - 1)[size >= many_here]])]
-            rank, doc = np.concatenate([rank[~many], rank[ends] | MARK]), np.concatenate([doc[~many], doc[ends]])
+        if (size >= many_here).any():
+            many = np.zeros(len(rank), bool)
+            many[order] = np.repeat(size >= many_here, size)
+            rows.append(row_of(parts + salt % parts, rank[many], doc[many]))
+            ends = [f.reduceat(doc[order], first)[size >= many_here] for f in (np.minimum, np.maximum)]
+            own = rank[order][first][size >= many_here] | MARK
+            rank, doc = np.concatenate([rank[~many], own, own]), np.concatenate([doc[~many], *ends])
         bucket = (tk.mix(rank & RANK, 3) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank, doc, bucket = rank[order], doc[order], bucket[order]
@@ -160,47 +162,74 @@ def _repeated(parts: int, hot_from: int):
     return run
 
 
-def _contexts(steps: list[int]):
-    """(doc_id, version, text, live) -> (rank, doc_id, version, start, around): windows in a row of one live rank that isn't hot, and their bytes."""
+def _contexts(steps: list[int], hot: bool):
+    """(doc_id, version, text, live) -> (rank, a, b, doc_id, version, start, around): windows in a row of one live rank, and their bytes.
+
+    Those of hot ranks, or those of all others, which need no (a, b): 128 bits of their bytes, of which two windows hold all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for row, off, data in tk.blocks(batch.column(2)):
-                every, hot = _live(batch.column(3).slice(row, len(off) - 1))
-                at, rank, text = _alive(off, data, steps, len(steps) - 2, every)
-                cold = ~member_of(rank, text, *hot)
-                at, rank, text = at[cold], rank[cold], text[cold]
+                every, among = _live(batch.column(3).slice(row, len(off) - 1))
+                at, rank, text = _alive(off, data, steps, len(steps) - 2, among if hot else every)
+                if not hot and len(among[0]):
+                    cold = ~member_of(rank, text, *among)
+                    at, rank, text = at[cold], rank[cold], text[cold]
                 if not len(at):
                     continue
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1]) | (text[1:] != text[:-1])
-                first, last = at[new], at[np.append(np.nonzero(new)[0][1:], len(at)) - 1] + steps[-1]
-                size = last - first
+                first, last = at[new], at[np.append(np.nonzero(new)[0][1:], len(at)) - 1]
+                size = last + steps[-1] - first
                 upto = np.concatenate([[0], np.cumsum(size)])
                 flat = data[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
                 around = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                keys = []
+                for i in (0, 1) if hot else ():
+                    h = _doubled(data, steps[-1], i)
+                    keys.append(tk.long_array(tk.pair_hash(h[first], h[last] ^ size.astype(np.uint64), 17 + i)))
                 of = text[new]
-                yield pa.RecordBatch.from_arrays([tk.long_array(rank[new]), pa.array(ids[row + of]), pa.array(versions[row + of]), pa.array(first - off[of]), around], names=["rank", "doc_id", "version", "start", "around"])
+                keys = keys or [tk.long_array(rank[new])]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[row + of]), pa.array(versions[row + of]), pa.array(first - off[of]), around], names=[*(["a", "b"] if hot else ["rank"]), "doc_id", "version", "start", "around"])
 
     return run
 
 
-def _strings(steps: list[int]):
-    """(doc_id, version, text, live) -> (a, b, doc_id, version, start): each full window of a hot rank by itself."""
+def _strings(window: int):
+    """(a, b, doc_id, around) -> (x, y, a, b, doc_id, at): each full window of a context, by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for row, off, data in tk.blocks(batch.column(2)):
-                at, _, text = _alive(off, data, steps, len(steps) - 2, _live(batch.column(3).slice(row, len(off) - 1))[1])
+            for row, off, data in tk.blocks(batch.column(3)):
+                at = np.nonzero(within(off, window))[0]
                 if len(at):
-                    a, b = (_doubled(data, steps[-1], i)[at] for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([tk.long_array(a), tk.long_array(b), pa.array(ids[row + text]), pa.array(versions[row + text]), pa.array(at - off[text])], names=["a", "b", "doc_id", "version", "start"])
+                    of = text_of(off)[at]
+                    x, y = (tk.long_array(_doubled(data, window, i)[at]) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([x, y, *(batch.column(c).take(pa.array(row + of)) for c in range(3)), pa.array(at - off[of])], names=["x", "y", "a", "b", "doc_id", "at"])
 
     return run
 
 
+def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts (a, b, doc_id, version, start, around) -> (doc_id, version, start, stop) of strings that a smaller document has.
+
+    All documents with a context but the smallest lose it whole; for that one, the strings of
+    different contexts are compared. Minima are combined before they are shuffled, and what
+    joins are plain inner and left joins, which AQE splits.
+    """
+    kinds = materialize(contexts.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min("around").alias("around")), "hot-kinds")
+    strings = materialize(kinds.mapInArrow(_strings(window), "x long, y long, a long, b long, doc_id long, at long"), "hot-strings")
+    least = materialize(strings.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("x", "y", "low"), "repeated-hot-strings")
+    again = strings.join(least, ["x", "y"]).where("doc_id > low").groupBy("a", "b").agg(F.collect_list("at").alias("ats"))
+    known = materialize(kinds.select("a", "b", F.col("doc_id").alias("smallest")).join(again, ["a", "b"], "left"), "hot-known")
+    span = lambda at, size: F.struct((F.col("start") + at).alias("start"), (F.col("start") + at + size).alias("stop"))
+    own = F.transform(F.coalesce("ats", F.array().cast("array<long>")), lambda at: span(at, F.lit(window)))
+    lost = F.when(F.col("doc_id") > F.col("smallest"), F.array(span(F.lit(0).cast("long"), F.octet_length("around").cast("long")))).otherwise(own)
+    return contexts.join(known, ["a", "b"]).select("doc_id", "version", F.inline(lost))
+
+
 def _spans(window: int):
     """Contexts sorted by (rank, doc_id) -> (doc_id, version, start, stop) of strings that a smaller document has.
 
@@ -312,15 +341,14 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, with_text: bool = T
             survivors[length] = live.agg(F.sum(F.size("live")).alias("n")).first()["n"] or 0
         if live.isEmpty():
             break
-    around = known.join(live, "doc_id").select("doc_id", "version", "text", "live").mapInArrow(_contexts(steps), "rank long, doc_id long, version long, start long, around binary")
+    columns = "doc_id long, version long, start long, around binary"
+    judged = lambda live: known.join(live, "doc_id").select("doc_id", "version", "text", "live")
+    around = judged(live).mapInArrow(_contexts(steps, False), f"rank long, {columns}")
     spans = around.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_spans(window), "doc_id long, version long, start long, stop long")
     hot = live.where(F.exists("live", lambda r: r >= int(HOT_BIT)))
     if not hot.isEmpty():
-        strings = known.join(hot, "doc_id").select("doc_id", "version", "text", "live").mapInArrow(_strings(steps), "a long, b long, doc_id long, version long, start long")
-        strings = materialize(strings, "hot-strings")
-        least = materialize(strings.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low"), "repeated-hot-strings")
-        again = strings.join(least, ["a", "b"]).where("doc_id > low")
-        spans = spans.unionByName(again.select("doc_id", "version", "start", (F.col("start") + window).alias("stop")))
+        contexts = materialize(judged(hot).mapInArrow(_contexts(steps, True), f"a long, b long, {columns}"), "hot-contexts")
+        spans = spans.unionByName(_hot_spans(contexts, window))
     spans = spans.groupBy("doc_id").agg(*[F.collect_list(F.col(c)).alias(f"{c}s") for c in ("start", "stop", "version")])
     judged = known.join(spans.join(copies.select("doc_id", "copies"), "doc_id", "full_outer"), "doc_id", "left").select("doc_id", "version", "text", "starts", "stops", "versions", "copies")
     none = F.lit(None).cast("array<long>")

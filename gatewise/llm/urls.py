@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-#: Longest dictionary word that a host name is split into, in characters.
-LONGEST = 20
+#: Longest label of a host name (a rule of the domain name system), and so the longest word that one is split into.
+LONGEST = 63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,7 +59,7 @@ def _viterbi(total: int):
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(word, n) over all texts: lower-case runs of two and more letters; tags of HTML are left out."""
+    """(word, n) over all texts: lower-case runs of two and more letters, no longer than a label; tags of HTML are left out."""
     plain = F.regexp_replace(F.coalesce(column, F.lit("")), "<[^>]*>", " ")
     words = F.explode(F.split(F.lower(plain), r"[^\p{L}]+"))
     return texts.select(words.alias("word")).where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -69,16 +69,18 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) for distinct ``names``: split by the unigram ``counts``.
 
     The substrings of the names are joined with the counts, so that the dictionary, which
-    grows with the corpus, isn't sent to every task.
+    grows with the corpus, isn't sent to every task. A name of more than ``LONGEST`` letters is
+    no valid label and stays one word.
     """
     counts = materialize(counts, "word-counts")
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
     names = materialize(names.select("name").distinct(), "names")
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).where("length(name) > 0")
+    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).where(F.length("name").between(1, LONGEST))
     parts = starts.select("name", (F.col("start") - 1).alias("start"), F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))).alias("size"))
     parts = parts.withColumn("word", F.substr("name", F.col("start") + 1, F.col("size")))
     found = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("found"))
-    return names.join(found, "name", "left").select("name", "found").mapInArrow(_viterbi(total), "name string, words array<string>")
+    split = names.where(F.length("name") <= LONGEST).join(found, "name", "left").select("name", "found").mapInArrow(_viterbi(total), "name string, words array<string>")
+    return split.unionByName(names.where(F.length("name") > LONGEST).select("name", F.array("name").alias("words")))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], corpus: DataFrame | None = None, column: str = "html") -> DataFrame:
