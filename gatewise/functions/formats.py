@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def csv_number(x: Column, digits: int = 4, missing: str = "NA") -> Column:
     """Fixed decimals; null and non-finite values as ``missing``."""
-    return F.when(finite(x).isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise(missing)
+    return F.when(finite(x).isNotNull(), fixed(x, digits)).otherwise(missing)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value (``format_string`` would round its shortest decimal form)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
 
 
 def finite(x: Column) -> Column:

@@ -8,11 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..model import Transform
+from ..model import Panel, Transform
 
 TERMS = 16
 
@@ -143,11 +143,32 @@ def inverse(y: Column, tf: Transform) -> Column:
 
 def inverse_value(y: float, tf: Transform) -> float:
     """The same for one number, on the driver."""
-    if tf.kind == "log":
-        return 10.0**y
-    if tf.kind == "asinh":
-        return math.sinh(y) * tf.cofactor
+    try:
+        if tf.kind == "log":
+            return 10.0**y
+        if tf.kind == "asinh":
+            return math.sinh(y) * tf.cofactor
+    except OverflowError:
+        return math.copysign(math.inf, y if tf.kind == "asinh" else 1.0)
     if tf.kind == "logicle" and _valid(tf):
         k = logicle(tf.t, tf.w, tf.m, tf.a)
         return float(k.inverse(np.array([y / k.m]))[0])
     return y
+
+
+def forward_value(x: float, tf: Transform) -> float:
+    """Display position of one number, on the driver."""
+    if tf.kind == "log":
+        floor = max(tf.floor, sys.float_info.min)
+        return math.log10(floor if math.isnan(x) else max(x, floor))
+    if tf.kind == "asinh":
+        return math.asinh(x / tf.cofactor)
+    if tf.kind == "logicle" and _valid(tf):
+        return float(logicle(tf.t, tf.w, tf.m, tf.a).forward(np.array([x]))[0])
+    return x
+
+
+def asinh_panel(events: DataFrame, panel: Panel, cofactor: float = 150.0) -> DataFrame:
+    """``events`` with every fluorescence channel on an asinh axis; other columns stay."""
+    shown = {c for _, c in panel.fluorescence()}
+    return events.select(*[asinh(F.col(c) / F.lit(float(cofactor))).alias(c) if c in shown else F.col(c) for c in events.columns])

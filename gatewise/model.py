@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 ALL_EVENTS, NO_PARENT = "All events", "—"
@@ -35,6 +36,13 @@ class Transform:
         return json.dumps(self.to_json(), sort_keys=True)
 
 
+    @property
+    def label(self) -> str:
+        """Short form for people."""
+        figures = {"linear": "", "log": f" {self.floor:g}", "asinh": f" {self.cofactor:g}", "logicle": f" T={self.t:g} W={self.w:g} M={self.m:g} A={self.a:g}"}
+        return self.kind + figures[self.kind]
+
+
 @dataclass(frozen=True)
 class Gate:
     """A gate; ``shape`` is {"shape": rect | ellipse | polygon | range | boolean, ...}."""
@@ -172,3 +180,67 @@ def gate_path(gates: list[Gate], id: int) -> list[str]:
         out.append(known[at].name)
         at = known[at].parent
     return [ALL_EVENTS, *out[::-1]]
+
+
+def inside(shape: dict, x: float, y: float) -> bool:
+    """Whether one display position lies in a drawn shape; edges of rectangles, ranges and ellipses are inside."""
+    kind = shape["shape"]
+    if math.isnan(x) or math.isnan(y) or kind == "boolean":
+        return False
+    if kind in ("rect", "range"):
+        return shape["x_min"] <= x <= shape["x_max"] and (kind == "range" or shape["y_min"] <= y <= shape["y_max"])
+    if kind == "ellipse":
+        if shape["rx"] <= 0 or shape["ry"] <= 0:
+            return False
+        turn = complex(math.cos(shape["angle"]), -math.sin(shape["angle"]))
+        at = complex(x - shape["cx"], y - shape["cy"]) * turn
+        return (at.real / shape["rx"]) ** 2 + (at.imag / shape["ry"]) ** 2 <= 1.0
+    points, crossed = shape["vertices"], 0
+    for (xi, yi), (xj, yj) in zip(points, [points[-1], *points[:-1]], strict=True):
+        if (yi > y) != (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi:
+            crossed += 1
+    return len(points) >= 3 and crossed % 2 == 1
+
+
+@dataclass(frozen=True)
+class Session:
+    """A workspace: tubes with their groups, axes, gates and compensation; display settings in ``view`` are carried along."""
+
+    paths: tuple[str, ...]
+    groups: tuple[str, ...] = ()
+    active: int = 0
+    compensated: bool = False
+    transforms: tuple[Transform, ...] = ()
+    gates: tuple[Gate, ...] = ()
+    spillover: dict | None = None
+    view: dict = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, text: str, found: Iterable[str] | None = None) -> Session:
+        """Parse a saved session; with ``found`` (the paths there are), lost files go.
+
+        Groups stay with their files, the active tube is counted among those left, and a matrix that
+        isn't square is dropped. Raises ValueError if no file is left.
+        """
+        data = json.loads(text)
+        known = {"sample_paths", "groups", "active_sample", "do_compensate", "channel_tf", "gates", "spill_override"}
+        there = None if found is None else set(found)
+        tubes = [(i, p, (data.get("groups") or [])[i : i + 1]) for i, p in enumerate(data["sample_paths"]) if there is None or p in there]
+        if not tubes:
+            raise ValueError("none of the session's files is there")
+        active = min(sum(i < data.get("active_sample", 0) for i, *_ in tubes), len(tubes) - 1)
+        matrix = data.get("spill_override")
+        if matrix and (not matrix["channels"] or [len(r) for r in matrix["rows"]] != [len(matrix["channels"])] * len(matrix["channels"])):
+            matrix = None
+        groups = tuple(g[0] if g else "" for *_, g in tubes)
+        axes = tuple(Transform.from_json(t) for t in data.get("channel_tf", []))
+        return cls(tuple(p for _, p, _ in tubes), groups, active, data["do_compensate"], axes, tuple(map(Gate.from_json, data.get("gates", []))), matrix, {k: v for k, v in data.items() if k not in known})
+
+    def dump(self) -> str:
+        own = {"sample_paths": self.paths, "groups": self.groups, "active_sample": self.active, "do_compensate": self.compensated}
+        own |= {"channel_tf": [t.to_json() for t in self.transforms], "gates": [g.to_json() for g in self.gates], "spill_override": self.spillover}
+        return json.dumps({**self.view, **own}, indent=2)
+
+    @property
+    def next_gate_id(self) -> int:
+        return max((g.id for g in self.gates), default=0) + 1

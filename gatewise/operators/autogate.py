@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formats import finite
-from ..functions.transforms import asinh
+from ..functions.transforms import asinh, forward, inverse_value
 from ..model import Gate, Panel, Transform
 from .compensation import Spillover
 
@@ -48,7 +49,7 @@ def valley(counts: list[int], lo: float, hi: float) -> tuple[float, float] | Non
     at = first + int(np.argmin(y[first : second + 1]))
     low = min(y[first], y[second])
     depth = min(max((low - y[at]) / low, 0.0), 1.0) if low > 0 else 0.0
-    return lo + (at + 0.5) / n * (hi - lo), depth
+    return float(lo + (at + 0.5) / n * (hi - lo)), float(depth)
 
 
 def valley_thresholds(values: DataFrame, value: str, bins: int, by: list[str]) -> dict[tuple, tuple[float, float] | None]:
@@ -63,21 +64,66 @@ def mode_of(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFram
     return h.select(*by, F.when(F.col("hi") > F.col("lo"), F.col("lo") + (best["i"] + 0.5) / bins * (F.col("hi") - F.col("lo"))).otherwise(F.col("lo")).alias("mode"))
 
 
+def values_at_ranks(values: DataFrame, value: str, shares: tuple[float, ...], by: list[str], bins: int = 1024) -> DataFrame:
+    """(by, at0, at1, ...): the sorted values at the truncated index (n - 1) * share.
+
+    Counts by equal-width ranges tell in which range a rank lies; only the distinct values of
+    those ranges are ordered, so that no group is sorted as a whole.
+    """
+    ends = values.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    binned = values.join(ends, by).withColumn("_bin", F.coalesce(equal_width_bin(F.col(value), F.col("_lo"), F.col("_hi"), bins), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*by, "_bin", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    ranks = F.array(*[F.floor((F.col("_n") - 1) * F.lit(p)) for p in shares])
+    wanted = counts.withColumn("_ranks", F.filter(ranks, lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0)
+    inside = binned.join(wanted.select(*by, "_bin", "_before"), [*by, "_bin"]).groupBy(*by, "_bin", "_before", "_n", value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    hit = lambda p: F.floor((F.col("_n") - 1) * F.lit(p)).between(F.col("_end") - F.col("_c"), F.col("_end") - 1)
+    return placed.groupBy(*by).agg(*[F.max(F.when(hit(p), F.col(value))).alias(f"at{i}") for i, p in enumerate(shares)])
+
+
 def singlet_vertices(events: DataFrame, area: str, height: str, by: list[str], tolerance: float = 0.15) -> DataFrame:
     """(by, a_lo, a_hi, ratio, vertices): a band of area to height ratios about their mode.
 
-    Edges in area are the values at 2 % and 98 % of the sorted positive areas, by truncated index.
+    Edges in area are the values at 2 % and 98 % of the sorted areas of events with a positive height, by truncated index.
     """
     clean = events.select(*by, finite(F.col(area)).alias("a"), finite(F.col(height)).alias("h")).where("a IS NOT NULL AND h > 0")
-    ranks = clean.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("a")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * F.lit(p)), F.col("a")))
-    ends = ranks.groupBy(*by).agg(at(0.02).alias("a_lo"), at(0.98).alias("a_hi"))
+    ends = values_at_ranks(clean, "a", (0.02, 0.98), by).withColumnsRenamed({"at0": "a_lo", "at1": "a_hi"})
     ratio = mode_of(clean.withColumn("r", F.col("h") / F.when(F.col("a") != 0, F.col("a"))), "r", 64, by).withColumnRenamed("mode", "ratio")
     out = ends.join(ratio, by)
     corner = lambda a, t: F.array(F.col(a), F.col(a) * F.col("ratio") * (1 + t))
     return out.withColumn("vertices", F.array(corner("a_lo", tolerance), corner("a_hi", tolerance), corner("a_hi", -tolerance), corner("a_lo", -tolerance)))
 
 
+def singlet_gate(id: int, panel: Panel, events: DataFrame, parent: int | None = None, tolerance: float = 0.15) -> Gate | None:
+    """The suggested singlet gate of one population's events on area and height of forward scatter; None if the panel hasn't both or no event is left."""
+    area, height = forward_scatter(panel, "A"), forward_scatter(panel, "H")
+    if area is None or height is None:
+        return None
+    found = singlet_vertices(events.withColumn("_all", F.lit(0)), panel.find(area), panel.find(height), ["_all"], tolerance).first()
+    if found is None:
+        return None
+    return Gate(id, "Singlets (auto)", {"shape": "polygon", "vertices": [list(v) for v in found["vertices"]]}, parent, area, height)
+
+
+def forward_scatter(panel: Panel, kind: str) -> str | None:
+    """The channel FSC-A or FSC-H (``kind``), in any case, else the first FSC channel that ends so."""
+    names = [n for n in panel.channels if n.upper() == f"FSC-{kind}"] + [n for n in panel.channels if n.upper().startswith("FSC") and n.upper().endswith(f"-{kind}")]
+    return names[0] if names else None
+
+
+def auto_threshold(id: int, panel: Panel, events: DataFrame, channel: str, transform: Transform, parent: int | None = None) -> Gate | None:
+    """A range gate over the valley of one population's values in display space, in 128 bins; None without a valley."""
+    column = panel.find(channel)
+    if column is None:
+        return None
+    shown = events.select(forward(F.col(column).cast("double"), transform).alias("_d"))
+    found = histogram(shown, "_d", 128, []).first()
+    cut = valley(list(found["counts"]), found["lo"], found["hi"]) if found else None
+    return replace(threshold_gate(id, channel, cut, max(found["hi"], cut[0]), parent, transform), name=f"{channel}+ (auto)") if cut else None
+
+
 def threshold_gate(id: int, channel: str, found: tuple[float, float] | None, top: float, parent: int | None = None, transform: Transform = Transform()) -> Gate | None:  # noqa: B008
     """Range gate from a valley to the greatest value."""
     if found is None:
@@ -93,9 +139,9 @@ class Controls:
     stains: tuple[str, ...]
 
 
-def positive_medians(events: DataFrame, gate_column: str, columns: list[str], by: str) -> DataFrame:
-    """(by, medians): of events over the valley of asinh(x / 150) in their own gate column, or of all if fewer than 50 are over it."""
-    shown = events.withColumn("_d", asinh(finite(F.col(gate_column)) / COFACTOR))
+def positive_medians(events: DataFrame, gate: Column, columns: list[str], by: str) -> DataFrame:
+    """(by, medians): of events over the valley of asinh(x / 150) of their ``gate`` value, or of all if fewer than 50 are over it."""
+    shown = events.withColumn("_d", asinh(finite(gate) / COFACTOR))
     cuts = {k[0]: v[0] for k, v in valley_thresholds(shown, "_d", 128, [by]).items() if v}
     cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])[F.col(by)] if cuts else F.lit(None).cast("double")
     shown = shown.withColumn("_p", F.coalesce(F.col("_d") > cut, F.lit(False)))
@@ -104,21 +150,34 @@ def positive_medians(events: DataFrame, gate_column: str, columns: list[str], by
 
 
 def compute_spillover(events: DataFrame, panel: Panel, controls: Controls, sample: str = "sample_id") -> Spillover:
-    """Matrix from single-stained controls: medians over background, by the primary channel of each control."""
+    """Matrix from single-stained controls: medians over background, by the primary channel of each control.
+
+    All controls go through each pass together; a row for each of them comes to the driver.
+    """
     names, columns = zip(*panel.fluorescence(), strict=True)
     if len(controls.stains) != len(names):
         raise ValueError("there is one control for each channel")
-    plain = {r[sample]: np.array([r[c] or 0.0 for c in columns]) for r in events.groupBy(sample).agg(*[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in columns]).where(F.col(sample).isin(controls.unstained, *controls.stains)).collect()}
-    background, rows = plain[controls.unstained], {}
+    events = events.where(F.col(sample).isin(controls.unstained, *controls.stains))
+    row_of = lambda df: {r[sample]: np.array([r[c] or 0.0 for c in columns]) for r in df.collect()}
+    plain = row_of(events.groupBy(sample).agg(*[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in columns]))
+    if lost := [s for s in (controls.unstained, *controls.stains) if s not in plain]:
+        raise ValueError(f"controls without events: {', '.join(lost)}")
+    background, primary = plain[controls.unstained], {}
     for stain in controls.stains:
-        primary = int(np.argmax(plain[stain] - background))
-        if (plain[stain] - background)[primary] <= 0 or primary in rows:
+        at = int(len(columns) - 1 - np.argmax((plain[stain] - background)[::-1]))  # the last of equals
+        if (plain[stain] - background)[at] <= 0 or at in primary.values():
             raise ValueError(f"{stain}: no signal, or its channel is another control's")
-        r = positive_medians(events.where(F.col(sample) == stain), columns[primary], list(columns), sample).first()
-        row = np.array([r[c] for c in columns]) - background
-        if row[primary] <= 0:
+        primary[stain] = at
+    gate = F.lit(None).cast("double")
+    for stain, at in primary.items():
+        gate = F.when(F.col(sample) == stain, F.col(columns[at])).otherwise(gate)
+    bright = row_of(positive_medians(events.where(F.col(sample) != controls.unstained), gate, list(columns), sample))
+    rows = {}
+    for stain, at in primary.items():
+        row = bright[stain] - background
+        if row[at] <= 0:
             raise ValueError(f"{stain}: no positive signal")
-        rows[primary] = row / row[primary]
+        rows[at] = row / row[at]
     return Spillover(names, tuple(tuple(float(x) for x in rows[i]) for i in range(len(names))))
 
 
@@ -131,10 +190,29 @@ def residual(x: Column, y: Column, cut: Column) -> Column:
     return F.when((F.count_if(over) >= 20) & (F.count_if(under) >= 20) & (F.abs(dx) >= 1e-6), (med(y, over) - med(y, under)) / dx)
 
 
-def cross_check(events: DataFrame, panel: Panel, cuts: dict[str, float], by: str = "sample_id") -> DataFrame:
-    """Residual spill of each source into each other channel: (by, source, target, residual), in one pass."""
+def display_cuts(events: DataFrame, panel: Panel, transforms: Mapping[str, Transform] | None = None, bins: int = 160, least_depth: float = 0.05) -> dict[str, float]:
+    """Cut of each fluorescence channel in data space: the valley of its display values over all samples, if it is deep enough."""
     fluor = panel.fluorescence()
+    tf = lambda n: (transforms or {}).get(n, Transform("logicle"))
+    long = events.select(F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), forward(F.col(c).cast("double"), tf(n)).alias("_d")) for n, c in fluor])))
+    found = valley_thresholds(long, "_d", bins, ["channel"])
+    return {n: inverse_value(found[n,][0], tf(n)) for n, _ in fluor if found.get((n,)) and found[n,][1] >= least_depth}
+
+
+def cross_check(events: DataFrame, panel: Panel, cuts: Mapping[str, float] | None = None, by: str = "sample_id", transforms: Mapping[str, Transform] | None = None) -> DataFrame:
+    """Residual spill of each source into each other channel: (by, source, target, residual), in one pass.
+
+    Sources are the channels with a cut; without ``cuts`` these are the valleys of ``display_cuts``.
+    """
+    fluor, cuts = panel.fluorescence(), display_cuts(events, panel, transforms) if cuts is None else cuts
     cells = [(s, t, residual(F.col(cs), F.col(ct), F.lit(cuts[s]))) for s, cs in fluor if s in cuts for t, ct in fluor if s != t]
+    if not cells:
+        return events.select(by, F.lit("").alias("source"), F.lit("").alias("target"), F.lit(0.0).alias("residual")).where("false")
     out = events.groupBy(by).agg(*[r.alias(f"_{i}") for i, (_, _, r) in enumerate(cells)])
     rows = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.col(f"_{i}").alias("residual")) for i, (s, t, _) in enumerate(cells)])
     return out.select(by, F.inline(rows))
+
+
+def residual_grade(value: Column) -> Column:
+    """By size: "good" under 0.02, "fair" under 0.05, else "poor"; null if undefined."""
+    return F.when(F.abs(value) < 0.02, "good").when(F.abs(value) < 0.05, "fair").when(value.isNotNull(), "poor")

@@ -43,6 +43,12 @@ def channel_union(panels: list[Panel]) -> list[str]:
     return list(seen.values())
 
 
+def channel_names(channels: DataFrame) -> DataFrame:
+    """(ord, channel) of all samples' channels, each once in any case, as first used; ``channels`` has (ord, name), ord the place of use."""
+    first = channels.where(F.upper("name") != "TIME").groupBy(F.upper("name").alias("_upper")).agg(F.min(F.struct("ord", "name")).alias("f"))
+    return first.select("f.ord", F.col("f.name").alias("channel"))
+
+
 def chart_series(stats: DataFrame, population: str, channel: str, figure: str, sample: str = "sample_id", group: str | None = None) -> DataFrame:
     """(group, sample, value) of one figure; undefined values are left out."""
     rows = stats.where((F.col("population") == population) & (F.upper("channel") == channel.upper()))

@@ -111,7 +111,7 @@ def parsed_spillover(text: Column) -> Column:
 
 
 def range_mask(value: Column, span: Column) -> Column:
-    """Integer data under the mask of their range: next power of two less one; a range under 1 or not whole masks nothing."""
-    bits = F.ceil(F.log2(span)).cast("int")
-    whole = (span >= 1) & (span == F.floor(span))
-    return F.when(whole, value.bitwiseAND((F.pow(F.lit(2.0), bits) - 1).cast("long"))).otherwise(value)
+    """Integer data under the mask of their range: next power of two less one; a range under 1, not whole or of 63 bits and more masks nothing."""
+    whole = (span >= 1) & (span == F.floor(span)) & (span <= 2.0**62)
+    bits = F.when(span > 1, F.length(F.bin(F.when(whole, span).cast("long") - 1))).otherwise(0)
+    return F.when(whole, value.bitwiseAND(F.when(bits > 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(64) - bits)).otherwise(F.lit(0).cast("long")))).otherwise(value)

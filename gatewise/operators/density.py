@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Contour levels as parts of the greatest count.
 LEVELS = (0.04, 0.10, 0.20, 0.35, 0.55, 0.80)
@@ -16,26 +17,21 @@ def clamped_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     return F.when(F.isnan(x) | (x < lo), 0).when(x >= hi, bins - 1).otherwise(F.least(at, F.lit(bins - 1))).cast("int")
 
 
-def _mean_around(y: Column, i: Column, bins: int, radius: int = 2) -> Column:
-    """Mean of the items of an array at most ``radius`` from index i."""
-    first, last = F.greatest(i - radius, F.lit(0)), F.least(i + radius, F.lit(bins - 1))
-    return F.aggregate(F.slice(y, first + 1, last - first + 1), F.lit(0.0), lambda a, v: a + v) / (last - first + 1)
-
-
-def _smoothed(column: str, bins: int):
-    return lambda i: _mean_around(F.col(column), i, bins)
-
-
 def overlay(values: DataFrame, value: str, series: str, lo: float, hi: float, bins: int = 256, modal: bool = True) -> DataFrame:
-    """(series, bin, height) for all bins: counts smoothed twice by a moving mean of five, or these over their maximum."""
+    """(series, bin, height) for all bins: counts smoothed twice by a moving mean of five, or these over their maximum.
+
+    Events are counted before they are shuffled; what is smoothed are ``bins`` rows of a series.
+    """
     counts = values.where(F.col(value).isNotNull()).groupBy(series, clamped_bin(F.col(value), lo, hi, bins).alias("bin")).count()
     held = counts.groupBy(series).agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("held"))
-    all_bins = F.sequence(F.lit(0), F.lit(bins - 1))
-    out = held.withColumn("y", F.transform(all_bins, lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long")).cast("double")))
-    for step, before in (("y1", "y"), ("y2", "y1")):
-        out = out.withColumn(step, F.transform(all_bins, _smoothed(before, bins)))
-    top = F.when(F.lit(modal), F.greatest(F.array_max("y2"), F.lit(1e-300))).otherwise(1.0)
-    return out.select(series, F.posexplode(F.transform("y2", lambda v: v / top)).alias("bin", "height"))
+    rows = held.select(series, "held", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    rows = rows.select(series, "bin", F.coalesce(F.try_element_at("held", F.col("bin")), F.lit(0).cast("long")).cast("double").alias("height"))
+    around = Window.partitionBy(series).orderBy("bin").rowsBetween(-2, 2)
+    for _ in range(2):
+        rows = rows.withColumn("height", F.avg("height").over(around))
+    if modal:
+        rows = rows.withColumn("height", F.col("height") / F.greatest(F.max("height").over(Window.partitionBy(series)), F.lit(1e-300)))
+    return rows
 
 
 def density(events: DataFrame, x: Column, y: Column, box: tuple[float, float, float, float], bins: int = 160, by: list[str] | None = None) -> DataFrame:
@@ -49,6 +45,12 @@ def heat_bucket(n: Column, top: Column, buckets: int = 14) -> Column:
     return F.least(F.floor(F.sqrt(n / top) * buckets).cast("int"), F.lit(buckets - 1))
 
 
+def backgate(events: DataFrame, mask: Column, parent: Column, n_parent: int, most: int = 20_000, index: str = "event_idx") -> DataFrame:
+    """Events of the parent population with ``inside``, whether they are in the population: those inside all, the others by stride as a backdrop."""
+    shown = events.where(parent).withColumn("inside", F.coalesce(mask, F.lit(False)))
+    return shown.where(F.col("inside") | (F.col(index) % max(1, n_parent // most) == 0))
+
+
 def stride_sample(events: DataFrame, n_events: int, most: int = 20_000, index: str = "event_idx") -> DataFrame:
     """Every k-th event, so that at most about ``most`` are drawn."""
     return events.where(F.col(index) % max(1, n_events // most) == 0)

@@ -26,17 +26,24 @@ def cv(x: Column) -> Column:
     return F.when(F.abs(mean) > FLAT, 100 * sample_sd(x) / F.abs(mean))
 
 
-def robust_sd(x: Column) -> Column:
-    return (F.percentile(x, F.lit(0.84)) - F.percentile(x, F.lit(0.5))) / F.lit(0.995)
+def percentiles(x: Column, *at: float) -> list[Column]:
+    """Exact percentiles from one state of the distinct values."""
+    found = F.percentile(x, F.array(*[F.lit(p) for p in at]))
+    return [F.get(found, i) for i in range(len(at))]
+
+
+def median_and_robust_sd(x: Column) -> tuple[Column, Column]:
+    median, p84 = percentiles(x, 0.5, 0.84)
+    return median, (p84 - median) / F.lit(0.995)
 
 
 def channel_stats(events: DataFrame, panel: Panel, sample: str = "sample_id") -> DataFrame:
     """One row for each sample and channel; non-finite values are left out, undefined figures are null."""
     def figures(c: str) -> Column:
         x = finite(F.col(c))
-        at = lambda p: F.percentile(x, F.lit(p))
-        parts = {"n": F.count(x), "mean": F.avg(x), "geo_mean": F.exp(F.avg(F.when(x > 0, F.ln(x)))), "median": at(0.5), "sd": sample_sd(x), "cv": cv(x)}
-        parts |= {"min": F.min(x), "max": F.max(x), "p05": at(0.05), "p25": at(0.25), "p75": at(0.75), "p95": at(0.95)}
+        p05, p25, median, p75, p95 = percentiles(x, 0.05, 0.25, 0.5, 0.75, 0.95)
+        parts = {"n": F.count(x), "mean": F.avg(x), "geo_mean": F.exp(F.avg(F.when(x > 0, F.ln(x)))), "median": median, "sd": sample_sd(x), "cv": cv(x)}
+        parts |= {"min": F.min(x), "max": F.max(x), "p05": p05, "p25": p25, "p75": p75, "p95": p95}
         return F.struct(*[v.alias(k) for k, v in parts.items()])
 
     out = events.groupBy(sample).agg(*[figures(c).alias(f"_{i}") for i, (_, c) in enumerate(panel.stat_channels())])
@@ -73,8 +80,8 @@ def population_stats(events: DataFrame, gates: list[Gate], panel: Panel, sample:
     for i in range(len(pops)):
         for j, (_, c) in enumerate(wanted):
             x = F.when(F.col(f"_m{i}"), finite(F.col(c)))
-            rsd = robust_sd(x)
-            aggs.append(F.struct(F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), cv(x).alias("cv"), rsd.alias("rsd")).alias(f"_s{i}_{j}"))
+            median, rsd = median_and_robust_sd(x)
+            aggs.append(F.struct(median.alias("median"), F.avg(x).alias("mean"), cv(x).alias("cv"), rsd.alias("rsd")).alias(f"_s{i}_{j}"))
     out = marked.groupBy(sample).agg(*aggs)
     rows = []
     for i, (name, parent, depth, _, above) in enumerate(pops):

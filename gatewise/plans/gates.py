@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.transforms import forward, inverse_value
-from ..model import Gate, Panel
+from ..functions.transforms import forward, forward_value, inverse_value
+from ..model import Gate, Panel, Transform, inside, tree_order
 
 DEEPEST = 1000
 
@@ -117,6 +117,25 @@ def missing_channels(gates: list[Gate], panel: Panel) -> list[str]:
     return [c for c in named if panel.find(c) is None]
 
 
+def missing_by_sample(gates: list[Gate], channels: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """(sample, channel): channels that gates name and a sample hasn't; ``channels`` has (sample, name)."""
+    named = dict.fromkeys(c for g in gates if g.kind != "boolean" for c in (g.x_channel, g.y_channel))
+    wanted = channels.select(sample).distinct().select(sample, F.explode(F.array(*[F.lit(c) for c in named]).cast("array<string>")).alias("channel"))
+    has = channels.select(sample, F.upper("name").alias("_upper")).distinct()
+    return wanted.withColumn("_upper", F.upper("channel")).join(has, [sample, "_upper"], "left_anti").drop("_upper")
+
+
+def gate_at(gates: list[Gate], x_channel: str, y_channel: str, x: float, y: float, x_transform: Transform = Transform(), y_transform: Transform = Transform()) -> int | None:  # noqa: B008
+    """The deepest gate on two channels that holds a display position of these axes, the first of equals; each gate on axes of its own."""
+    best, depths = None, {g.id: d for g, d in tree_order(gates)}
+    for g in gates:
+        if (g.x_channel.upper(), g.y_channel.upper()) == (x_channel.upper(), y_channel.upper()):
+            at = forward_value(inverse_value(x, x_transform), g.x_transform), forward_value(inverse_value(y, y_transform), g.y_transform)
+            if inside(g.shape, *at) and (best is None or depths[g.id] > depths[best]):
+                best = g.id
+    return best
+
+
 def data_bounds(gate: Gate, panel: Panel) -> Column:
     """A wider test on data values, which a scan can use to leave out blocks, for rect and range gates.
 
@@ -132,10 +151,7 @@ def data_bounds(gate: Gate, panel: Panel) -> Column:
         column = panel.find(channel)
         if column is None or tf.kind == "log":  # all values below its floor are one there
             continue
-        try:
-            low, high = inverse_value(lo, tf), inverse_value(hi, tf)
-        except OverflowError:
-            continue
+        low, high = inverse_value(lo, tf), inverse_value(hi, tf)
         wide = 1e-6 * (1 + abs(low) + abs(high))
         if math.isfinite(low) and math.isfinite(high):
             out = out & F.col(column).between(low - wide, high + wide)

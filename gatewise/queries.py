@@ -11,12 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.transforms import forward, inverse, logicle
+from .functions import formats
+from .functions.transforms import asinh_panel, forward, inverse, logicle
 from .model import Gate, Panel, Transform, boolean_gate, quadrant_gates
 from .operators import autogate, qc, stats
-from .operators.batch import batch
+from .operators.batch import batch, channel_names, chart_series
 from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask
-from .operators.density import density, overlay
+from .operators.density import backgate, density, overlay
+from .plans.gates import GatePlan, missing_by_sample
+from .sources import sinks
 
 PANEL = Panel(("FSC-A", "SSC-A", "FITC-A", "PE-A", "Time"))
 SPILL = Spillover(("FITC-A", "PE-A"), ((1.0, 0.08), (0.03, 1.0)))
@@ -311,16 +314,181 @@ def a_stain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", F.round(stats.stain_index(F.col("p_retailprice"), F.col("p_size").cast("double"), F.col("p_size") - F.lit(10.0)), 6).alias("si"))
 
 
+def _valley_ctes(values: str, by: str, bins: int, name: str = "valley") -> str:
+    """CTEs up to ``name`` (by, thr, depth): the valley of ``v`` of the CTE ``values``, over its groups ``by``."""
+    w, p = max(bins // 48, 1), f"{name}_"
+    smooth = lambda to, of: f"{p}{to} AS (SELECT {by}, lo, hi, bin, avg(y) OVER (PARTITION BY {by} ORDER BY bin ROWS BETWEEN {w} PRECEDING AND {w} FOLLOWING) AS y FROM {p}{of})"
+    return f"""{p}e AS (SELECT {by}, min(v) AS lo, max(v) AS hi, count(v) AS n FROM {values} WHERE isfinite(v) GROUP BY {by}),
+{p}c AS (SELECT {by}, least(CAST(floor((v - lo) / (hi - lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, count(*) AS k FROM {values} JOIN {p}e USING ({by}) WHERE hi > lo AND n >= 50 AND isfinite(v) GROUP BY ALL),
+{p}g AS (SELECT {by}, lo, hi, CAST(b AS INTEGER) AS bin FROM {p}e, range(0, {bins}) r(b) WHERE hi > lo AND n >= 50),
+{p}h AS (SELECT {by}, lo, hi, bin, CAST(coalesce(k, 0) AS DOUBLE) AS y FROM {p}g LEFT JOIN {p}c USING ({by}, bin)),
+{smooth("s1", "h")}, {smooth("s2", "s1")}, {smooth("s3", "s2")},
+{p}n AS (SELECT *, lag(y) OVER o AS b, lead(y) OVER o AS a, max(y) OVER (PARTITION BY {by}) AS top FROM {p}s3 WINDOW o AS (PARTITION BY {by} ORDER BY bin)),
+{p}p AS (SELECT {by}, bin, y FROM {p}n WHERE y >= b AND y >= a AND (y > b OR y > a) AND y >= 0.02 * top QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY y DESC, bin) <= 2),
+{p}t AS (SELECT {by}, min(bin) AS first, max(bin) AS last, min(y) AS low FROM {p}p GROUP BY {by} HAVING count(*) = 2),
+{p}m AS (SELECT {by}, lo, hi, low, bin, y FROM {p}s3 JOIN {p}t USING ({by}) WHERE bin BETWEEN first AND last QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY y, bin) = 1),
+{name} AS (SELECT {by}, lo + (bin + 0.5) / {bins} * (hi - lo) AS thr, CASE WHEN low > 0 THEN least(greatest((low - y) / low, 0), 1) ELSE 0 END AS depth FROM {p}m)"""
+
+
+def _logicle_sql() -> str:
+    """Bisection of the scale's closed form; the axis is mirrored about zero."""
+    k = logicle(262144.0, 0.5, 4.5, 0.0)
+    value = f"({k.a!r} * exp({k.b!r} * (lo + hi) / 2) + ({k.f!r}) - {k.c!r} * exp(-{k.d!r} * (lo + hi) / 2))"
+    return f"""WITH RECURSIVE it AS (
+  SELECT c_custkey, c_acctbal AS x, CAST({k.x1!r} AS DOUBLE) AS lo, CAST(3.0 AS DOUBLE) AS hi, 0 AS i FROM customer
+  UNION ALL
+  SELECT c_custkey, x, CASE WHEN {value} < abs(x) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {value} < abs(x) THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM it WHERE i < 60
+)
+SELECT c_custkey, round({k.m!r} * CASE WHEN x < 0 THEN {2 * k.x1!r} - (lo + hi) / 2 ELSE (lo + hi) / 2 END, 6) AS value FROM it WHERE i = 60"""
+
+
+def _spillover_sql() -> str:
+    """Controls AF and RF over NO: medians over background, of events over the valley in the channel of the greatest signal."""
+    names = [n for n, _ in CONTROL_PANEL.fluorescence()]
+    med = lambda c, where: f"coalesce(quantile_cont({c}, 0.5){where}, 0)"
+    picked = lambda c: f"CASE WHEN count(*) FILTER (WHERE v > thr) >= 50 THEN {med(c, ' FILTER (WHERE v > thr)')} ELSE {med(c, '')} END"
+    cells = " UNION ALL ".join(f"SELECT source, '{n}' AS target, round({c} / CASE WHEN source = '{names[0]}' THEN c2 ELSE c3 END, 6) AS value FROM r" for n, c in zip(names, ("c2", "c3"), strict=True))
+    return f"""WITH {TUBES}, ctl AS (
+  SELECT sample_id, CASE sample_id WHEN 'AF' THEN c0 + 0.1 * c2 WHEN 'RF' THEN 0.02 * c0 ELSE c1 END AS c2, CASE sample_id WHEN 'AF' THEN 0.05 * c0 WHEN 'RF' THEN c0 + 0.1 * c3 ELSE c1 END AS c3
+  FROM tubes WHERE sample_id IN ('NO', 'AF', 'RF')
+), plain AS (SELECT sample_id, quantile_cont(c2, 0.5) AS m2, quantile_cont(c3, 0.5) AS m3 FROM ctl GROUP BY sample_id),
+bg AS (SELECT m2 AS b2, m3 AS b3 FROM plain WHERE sample_id = 'NO'),
+own AS (SELECT sample_id, CASE WHEN m3 - b3 >= m2 - b2 THEN '{names[1]}' ELSE '{names[0]}' END AS source FROM plain, bg WHERE sample_id <> 'NO'),
+shown AS (SELECT sample_id, source, c2, c3, asinh(CASE WHEN source = '{names[0]}' THEN c2 ELSE c3 END / 150.0) AS v FROM ctl JOIN own USING (sample_id)),
+{_valley_ctes("shown", "sample_id", 128)},
+med AS (SELECT source, {picked("c2")} AS m2, {picked("c3")} AS m3 FROM shown LEFT JOIN valley USING (sample_id) GROUP BY source),
+r AS (SELECT source, m2 - b2 AS c2, m3 - b3 AS c3 FROM med, bg) {cells}"""
+
+
+def a_valley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tubes(spark, sf_dir)
+    shown = t.select("sample_id", forward(F.when(F.col("event_idx") % 3 == 0, F.col("c0") / 100).otherwise(F.col("c0")), ASINH).alias("v"))
+    found = autogate.valley_thresholds(shown, "v", 128, ["sample_id"])
+    rows = [(k[0], None if v is None else round(v[0], 6), None if v is None else round(v[1], 6)) for k, v in sorted(found.items())]
+    return spark.createDataFrame(rows, "sample_id string, thr double, depth double")
+
+
+VALLEY_SQL = f"""WITH {TUBES}, shown AS (SELECT sample_id, asinh(CASE WHEN event_idx % 3 = 0 THEN c0 / 100 ELSE c0 END / 150.0) AS v FROM tubes), {_valley_ctes("shown", "sample_id", 128)}
+SELECT sample_id, round(thr, 6) AS thr, round(depth, 6) AS depth FROM (SELECT DISTINCT sample_id FROM tubes) LEFT JOIN valley USING (sample_id)"""
+
+BRIGHT = Panel(("FITC-A", "PE-A"), ("c2", "c3"))
+
+
+def _bright_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tubes with a dim and a bright half in either channel."""
+    t, odd = tubes(spark, sf_dir), F.col("event_idx") % 3 == 0
+    even = F.col("event_idx") % 2 == 0
+    return t.select("sample_id", F.when(odd, F.col("c0")).otherwise(F.col("c1") * 10).alias("c2"), (F.when(even, F.col("c0")).otherwise(F.col("c1") * 10) + F.when(odd, 0.03 * F.col("c0")).otherwise(0.0)).alias("c3"))
+
+
+def a_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals with cuts of its own: valleys of 160 bins."""
+    axes = {n: ASINH for n in BRIGHT.channels}
+    out = autogate.cross_check(_bright_tubes(spark, sf_dir), BRIGHT, transforms=axes)
+    return _rounded(out.withColumn("grade", autogate.residual_grade(F.col("residual"))))
+
+
+def _cross_check_sql() -> str:
+    d = lambda v, c: f"(quantile_cont({v}, 0.5) FILTER (WHERE {c} > cut) - quantile_cont({v}, 0.5) FILTER (WHERE {c} <= cut))"
+    cell = lambda s, cs, t, ct: f"SELECT sample_id, '{s}' AS source, '{t}' AS target, CASE WHEN count(*) FILTER (WHERE {cs} > cut) >= 20 AND count(*) FILTER (WHERE {cs} <= cut) >= 20 AND abs({d(cs, cs)}) >= 1e-6 THEN {d(ct, cs)} / {d(cs, cs)} END AS r FROM b JOIN cuts ON channel = '{s}' GROUP BY sample_id"
+    return f"""WITH {TUBES}, b AS (
+  SELECT sample_id, CASE WHEN event_idx % 3 = 0 THEN c0 ELSE c1 * 10 END AS c2, CASE WHEN event_idx % 2 = 0 THEN c0 ELSE c1 * 10 END + CASE WHEN event_idx % 3 = 0 THEN 0.03 * c0 ELSE 0 END AS c3 FROM tubes
+), long_ AS (SELECT 'FITC-A' AS channel, asinh(c2 / 150.0) AS v FROM b UNION ALL SELECT 'PE-A', asinh(c3 / 150.0) FROM b), {_valley_ctes("long_", "channel", 160)},
+cuts AS (SELECT channel, (exp(thr) - exp(-thr)) / 2 * 150.0 AS cut FROM valley WHERE depth >= 0.05),
+cells AS ({cell("FITC-A", "c2", "PE-A", "c3")} UNION ALL {cell("PE-A", "c3", "FITC-A", "c2")})
+SELECT sample_id, source, target, round(r, 6) AS residual, CASE WHEN abs(r) < 0.02 THEN 'good' WHEN abs(r) < 0.05 THEN 'fair' WHEN r IS NOT NULL THEN 'poor' END AS grade FROM cells"""
+
+
+def k_population_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.population_table(_rounded(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL)).withColumn("grp", F.substring("sample_id", 1, 1)), "grp")
+
+
+def k_titration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.titration_table(a_titration(spark, sf_dir).withColumn("concentration", F.lit(None).cast("double")))
+
+
+def k_qc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.qc_table(a_qc(spark, sf_dir).withColumn("flags", F.split("flags", "; ")))
+
+
+def k_transform_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.transform_dump(_table(spark, sf_dir, "customer"), F.col("c_acctbal"), F.round(forward(F.col("c_acctbal"), ASINH), 8))
+
+
+def k_events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.events_text(tubes(spark, sf_dir), PANEL)
+
+
+def p_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    tag = formats.numeric_tag(F.concat(F.lit(" "), F.substring("c_name", 10, 20), F.lit(" ")))
+    return c.select("c_custkey", formats.csv_number(F.col("c_acctbal"), 2).alias("two"), formats.safe_name(F.col("c_name")).alias("safe"), tag.alias("tag"), formats.numeric_tag(F.col("c_mktsegment")).alias("no_tag"))
+
+
+def p_utc_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", formats.utc_date(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("day"))
+
+
+TOKENS = ["WIDGET-A", "BOLT-A", "LARGE-A", "SMALL BOLT-A", "COLD-A"]
+
+
+def p_file_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", formats.file_token(F.col("p_name"), TOKENS).alias("token"))
+
+
+def _token_sql() -> str:
+    """The longest token first, the first of equals."""
+    order = sorted(TOKENS, key=lambda t: -len(t))
+    return "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(upper(p_name), '{t.removesuffix('-A')}') THEN '{t}'" for t in order) + " END AS token FROM part"
+
+
+CHANNELS_SQL = """channels AS (
+  SELECT n_name AS sample_id, n_nationkey * 10 + k AS ord, CASE k WHEN 0 THEN CASE WHEN n_regionkey = 0 THEN 'fsc-a' ELSE 'FSC-A' END WHEN 1 THEN 'SSC-A' WHEN 2 THEN 'Time' ELSE 'FITC-A' END AS name
+  FROM nation, range(0, 4) r(k) WHERE k < 3 OR n_nationkey % 2 = 0
+)"""
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of a tube for each nation; every other one has no FITC-A."""
+    n = _table(spark, sf_dir, "nation").select("n_name", "n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).where("k < 3 OR n_nationkey % 2 = 0")
+    name = F.when(F.col("k") == 0, F.when(F.col("n_regionkey") == 0, "fsc-a").otherwise("FSC-A")).when(F.col("k") == 1, "SSC-A").when(F.col("k") == 2, "Time").otherwise("FITC-A")
+    return n.select(F.col("n_name").alias("sample_id"), (F.col("n_nationkey") * 10 + F.col("k")).cast("long").alias("ord"), name.alias("name"))
+
+
+def g_missing_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_by_sample([CELLS, FITC, DIM], _channels(spark, sf_dir))
+
+
+def a_channel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel_names(_channels(spark, sf_dir))
+
+
+def a_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rounded(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"])).withColumn("grp", F.substring("sample_id", 1, 1))
+    return chart_series(rows, "Cells", "fsc-a", "median", group="grp")
+
+
+def p_asinh_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(asinh_panel(tubes(spark, sf_dir), PANEL))
+
+
+def a_backgate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, plan = tubes(spark, sf_dir), GatePlan([CELLS, FITC], PANEL)
+    return backgate(t, plan.effective(2), plan.effective(1), 100_000, 20_000).select("event_idx", "sample_id", "inside")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     x, y = F.col, F.col
     columns = {
         "p_log": lambda: forward(x("c_acctbal"), Transform("log")),
         "p_asinh": lambda: forward(x("c_acctbal"), ASINH),
         "p_asinh_inverse": lambda: inverse(y("c_acctbal") / 2000, ASINH),
+        "p_log_inverse": lambda: inverse(y("c_acctbal") / 5000, Transform("log")),
         "p_logicle": lambda: forward(x("c_acctbal"), LOGICLE),
         "p_logicle_inverse": lambda: inverse((y("c_acctbal") + 1000) / 11000 * 4.5, LOGICLE),
     }
     named = (p_compensate, a_channel_stats, a_popstats, a_popstats_empty, a_spillover, a_residual, a_flow_rate, a_margins, a_qc, a_stain_index, a_titration, a_batch, a_histogram, a_density, a_singlet, a_mode, s_range_mask, s_spillover_parse)
+    named += (a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
     return {n: _column_query(c) for n, c in columns.items()} | {n: _count_query(n) for n in COUNTS} | {f.__name__: f for f in named}
 
 
@@ -330,7 +498,27 @@ def oracle_sql() -> dict[str, str]:
         "p_log": customer("log10(greatest(c_acctbal, 1.0))"),
         "p_asinh": customer("asinh(c_acctbal / 150.0)"),
         "p_asinh_inverse": customer("(exp(c_acctbal / 2000) - exp(-c_acctbal / 2000)) / 2 * 150.0"),
+        "p_log_inverse": customer("pow(10, c_acctbal / 5000)"),
+        "p_logicle": _logicle_sql(),
         "p_logicle_inverse": _logicle_inverse_sql(),
+        "a_spillover": _spillover_sql(),
+        "a_valley": VALLEY_SQL,
+        "a_cross_check": _cross_check_sql(),
+        "k_population_table": "WITH r AS (" + _popstats_sql(POPS, STATS) + """) SELECT substr(sample_id, 1, 1) AS "group", sample_id AS sample, population, parent, CAST(depth AS VARCHAR) AS depth, CAST(count AS VARCHAR) AS count,
+          printf('%.4f', pct_parent) AS pct_parent, printf('%.4f', pct_total) AS pct_total, channel, coalesce(printf('%.4f', median), 'NA') AS median, coalesce(printf('%.4f', mean), 'NA') AS mean, coalesce(printf('%.4f', cv), 'NA') AS cv FROM r""",
+        "k_titration_table": "WITH r AS (" + TITRATION_SQL + """) SELECT '' AS "group", sample_id AS sample, '' AS concentration, """ + ", ".join(f"coalesce(printf('%.4f', {c}), 'NA') AS {c}" for c in sinks.TITRATION[3:]) + " FROM r",
+        "k_qc_table": "WITH r AS (" + QC_SQL + """) SELECT '' AS "group", sample_id AS sample, CAST(n_events AS VARCHAR) AS events, coalesce(printf('%.2f', viable), '') AS pct_viable, coalesce(printf('%.2f', flow_dev), '') AS flow_dev_pct,
+          coalesce(printf('%.2f', offscale_pct), '') AS offscale_pct, coalesce(offscale_channel, '') AS offscale_channel, flags FROM r""",
+        "k_transform_dump": "SELECT printf('%.6f', c_acctbal) AS raw, printf('%.10f', round(asinh(c_acctbal / 150.0), 8)) AS transformed FROM customer",
+        "k_events_text": f"WITH {TUBES} SELECT " + ", ".join(f"printf('%.4f', {c}) AS \"{n}\"" for n, c in zip(PANEL.channels, PANEL.columns, strict=True)) + " FROM tubes",
+        "p_formats": "SELECT c_custkey, printf('%.2f', c_acctbal) AS two, regexp_replace(c_name, '[^A-Za-z0-9._-]', '_', 'g') AS safe, TRY_CAST(trim(substr(c_name, 10, 20)) AS DOUBLE) AS tag, CAST(NULL AS DOUBLE) AS no_tag FROM customer",
+        "p_utc_date": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS day FROM orders",
+        "p_file_token": _token_sql(),
+        "p_asinh_panel": f"WITH {TUBES} SELECT sample_id, event_idx, round(c0, 6) AS c0, round(c1, 6) AS c1, round(asinh(c2 / 150.0), 6) AS c2, round(asinh(c3 / 150.0), 6) AS c3, c4 FROM tubes",
+        "g_missing_channels": f"WITH {CHANNELS_SQL}, wanted AS (SELECT DISTINCT sample_id, c AS channel FROM channels, unnest(['FSC-A', 'SSC-A', 'FITC-A', 'PE-A']) AS u(c)) SELECT w.sample_id, w.channel FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM channels c WHERE c.sample_id = w.sample_id AND upper(c.name) = upper(w.channel))",
+        "a_channel_names": f"WITH {CHANNELS_SQL} SELECT CAST(min(ord) AS BIGINT) AS ord, arg_min(name, ord) AS channel FROM channels WHERE upper(name) <> 'TIME' GROUP BY upper(name)",
+        "a_chart": f"WITH {TUBES} SELECT substr(sample_id, 1, 1) AS \"group\", sample_id, round(quantile_cont(c0, 0.5) FILTER (WHERE {_M[1]}), 6) AS value FROM tubes GROUP BY sample_id HAVING count(*) FILTER (WHERE {_M[1]}) > 0",
+        "a_backgate": f"WITH {TUBES} SELECT event_idx, sample_id, {_FITC} AS inside FROM tubes WHERE {_M[1]} AND ({_FITC} OR event_idx % 5 = 0)",
         "p_compensate": f"WITH {COMPENSATED} SELECT event_idx, sample_id, round(c2, 6) AS fitc, round(c3, 6) AS pe FROM comp",
         **{n: _counts_sql(rows) for n, (_, rows) in COUNTS.items()},
         "a_channel_stats": _channel_stats_sql(),

@@ -1,4 +1,9 @@
-"""FCS list-mode files: parsing, a Spark source that splits files by events, and a writer."""
+"""FCS list-mode files: parsing, a Spark source that splits files by events, and a writer.
+
+Files are listed by Spark; header and TEXT, and later the bytes of each range of events, are read by the tasks
+through ``pyarrow.fs``, so that no task holds a whole file. Where only Spark can read a store, ``whole``
+takes the files as ``binaryFile`` rows instead.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Panel
+from ..operators.compensation import SPILL_KEYWORDS
 
 #: Header layout and limits of the format.
 VERSIONS, HEADER, MOST_PARAMETERS = ("FCS2.0", "FCS3.0", "FCS3.1"), 58, 100_000
@@ -139,32 +145,80 @@ def decode(head: FcsText, data: bytes, first: int = 0, count: int | None = None)
     return out
 
 
-def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each file; a file that can't be read has its ``error`` and nothing else."""
+class _Remote:
+    """A file whose slices are read when they are asked for."""
+
+    def __init__(self, path: str):
+        files, place = _filesystem(path)
+        self.file = files.open_input_file(place)
+
+    def __len__(self) -> int:
+        return self.file.size()
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(len(self))
+        return self.file.read_at(max(stop - start, 0), start)
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def _said(path: str, content) -> tuple:
+    try:
+        h = read_header(content)
+        return path, h.version, h.n_events, h.n_params, h.keywords, h.channels(), h.data_start, None
+    except (FcsError, OSError) as e:
+        return path, None, None, None, None, None, None, str(e)
+
+
+def read_metadata(spark: SparkSession, paths: str | list[str], whole: bool = False) -> DataFrame:
+    """One row for each file, of its header and TEXT alone; a file that can't be read has its ``error`` and nothing else."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    h = read_header(bytes(content))
-                    rows.append((path, h.version, h.n_events, h.n_params, h.keywords, h.channels(), h.data_start, None))
-                except FcsError as e:
-                    rows.append((path, None, None, None, None, None, None, str(e)))
+            rows = [_said(path, bytes(pdf["content"].iloc[i]) if whole else _Remote(path)) for i, path in enumerate(pdf["path"])]
             yield pd.DataFrame(rows, columns=["path", "version", "n_events", "n_params", "keywords", "channels", "data_start", "error"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, META)
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", *(["content"] if whole else [])).mapInPandas(run, META)
 
 
-def peek_events(raw: bytes) -> int:
+def peek_events(raw) -> int:
     """$TOT from the TEXT segment alone."""
     return _whole(parse_text(raw[_offset(raw[10:18]) : _offset(raw[18:26]) + 1]), "$TOT")
 
 
+def peek_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, n_events): $TOT of each file, with no other check; null if it has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for path in pdf["path"]:
+                try:
+                    found.append(peek_events(_Remote(path)))
+                except (FcsError, OSError):
+                    found.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "n_events": pd.array(found, "Int64")})
+
+    return spark.read.format("binaryFile").load(paths).select("path").mapInPandas(run, "path string, n_events long")
+
+
 def events_schema(n_params: int) -> str:
     return "sample_id string, event_idx long, " + ", ".join(f"c{i} double" for i in range(n_params))
 
 
+def _frame(path: str, head: FcsText, data: bytes, first: int) -> pd.DataFrame:
+    values = decode(head, data, 0, len(data) // head.record().itemsize)
+    out = pd.DataFrame(values, columns=[f"c{i}" for i in range(head.n_params)])
+    out.insert(0, "event_idx", np.arange(first, first + len(values)))
+    out.insert(0, "sample_id", path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+    return out
+
+
 def decode_files(files: DataFrame, n_params: int, chunk: int = 65_536) -> DataFrame:
     """(sample_id, event_idx, c0..cN) of ``binaryFile`` rows of one panel; the sample is the file's stem.
 
@@ -179,31 +233,50 @@ def decode_files(files: DataFrame, n_params: int, chunk: int = 65_536) -> DataFr
                     head = read_header(raw)
                 except FcsError:
                     continue
-                if head.n_params != n_params:
-                    continue
-                data, name = raw[head.data_start : head.data_end + 1], path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                for at in range(0, head.n_events, chunk):
-                    values = decode(head, data, at, min(chunk, head.n_events - at))
-                    out = pd.DataFrame(values, columns=[f"c{i}" for i in range(n_params)])
-                    out.insert(0, "event_idx", np.arange(at, at + len(values)))
-                    out.insert(0, "sample_id", name)
-                    yield out
+                if head.n_params == n_params:
+                    width = head.record().itemsize
+                    for at in range(0, head.n_events, chunk):
+                        yield _frame(path, head, raw[head.data_start + at * width : head.data_start + min(at + chunk, head.n_events) * width], at)
 
     return files.select("path", "content").mapInPandas(run, events_schema(n_params))
 
 
+def decode_ranges(meta: DataFrame, n_params: int, chunk: int = 65_536) -> DataFrame:
+    """The same from rows of ``read_metadata``: ranges of ``chunk`` events are dealt to tasks, which read their bytes alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, ranges in pdf.groupby("path"):
+                remote = _Remote(path)
+                head = read_header(remote)
+                width = head.record().itemsize
+                for at in ranges["first"]:
+                    yield _frame(path, head, remote[head.data_start + at * width : head.data_start + min(at + chunk, head.n_events) * width], at)
+
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_events") - 1, F.lit(chunk).cast("long")))
+    ranges = meta.where((F.col("n_params") == n_params) & (F.col("n_events") > 0)).select("path", starts.alias("first"))
+    parts = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(parts, "path", "first").mapInPandas(run, events_schema(n_params))
+
+
 def read_panels(spark: SparkSession, paths: str | list[str]) -> tuple[dict[tuple[str, ...], tuple[Panel, DataFrame]], DataFrame]:
-    """({channel names: (panel, events)}, rejected files). A row for each distinct panel comes to the driver."""
-    meta = read_metadata(spark, paths)
-    good = meta.where("error IS NULL").select("path", F.transform("channels", lambda c: c["name"]).alias("names"))
-    groups = good.groupBy("names").agg(F.collect_list("path").alias("paths")).collect()
+    """({channel names: (panel, events)}, rejected files). The distinct panels alone come to the driver, not the files."""
+    meta = read_metadata(spark, paths).withColumn("names", F.transform("channels", lambda c: c["name"]))
     found = {}
-    for g in groups:
-        files = spark.read.format("binaryFile").load(list(g["paths"]))
-        found[tuple(g["names"])] = (Panel(tuple(g["names"])), decode_files(files, len(g["names"])))
+    for (names,) in meta.where("error IS NULL").select("names").distinct().collect():
+        files = meta.where(F.col("names") == F.array(*[F.lit(n) for n in names]))
+        found[tuple(names)] = (Panel(tuple(names)), decode_ranges(files, len(names)))
     return found, meta.where("error IS NOT NULL").select("path", "error")
 
 
+def samples(meta: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(path, sample_id, grp, n_events, n_params, error): the tubes of a listing; ``groups`` has (sample_id, grp), others have the group ""."""
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    out = meta.select("path", stem.alias("sample_id"), "n_events", "n_params", "error")
+    out = out.join(groups, "sample_id", "left") if groups is not None else out.withColumn("grp", F.lit(""))
+    return out.select("path", "sample_id", F.coalesce("grp", F.lit("")).alias("grp"), "n_events", "n_params", "error")
+
+
 def info(meta: DataFrame) -> DataFrame:
     """What a file says of itself: version, counts, cytometer, date, channels, start of the spillover keyword."""
     k = lambda *names: F.coalesce(*[F.try_element_at("keywords", F.lit(n)) for n in names])
@@ -243,21 +316,35 @@ def to_bytes(values: np.ndarray, names: list[str], labels: list[str | None] | No
     return b"FCS3.0    " + b"".join(f"{x:>8d}".encode() for x in [*places, 0, 0]) + text(begin) + data
 
 
-def write_samples(events: DataFrame, panel: Panel, folder: str, spillover: str | None = None, keywords: dict[str, str] | None = None) -> DataFrame:
-    """Write each sample as ``folder``/sample_id.fcs, in event order; returns (sample_id, n_events, path).
+def write_samples(events: DataFrame, panel: Panel, folder: str, spillover: str | None = None, keywords: dict[str, str] | None = None, originals: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """Write each sample as ``folder``/sample_id + suffix.fcs, in event order; returns (sample_id, n_events, path).
 
-    A file is one sample and so is written by one task; ``folder`` is a path or URI that all executors see.
+    ``keywords`` go into every file; ``originals`` has (sample_id, keywords) of the files that the events
+    come from, and each file gets its own, stains and ranges included. A file is one sample and so is written
+    by one task; ``folder`` is a path or URI that all executors see. Samples without events give no file.
     """
     names, columns = list(panel.channels), list(panel.columns)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    def written(pdf: pd.DataFrame, known: dict[str, str]) -> pd.DataFrame:
+        files, base = _filesystem(folder)
         name = pdf["sample_id"].iloc[0]
         files.create_dir(base, recursive=True)
-        with files.open_output_stream(f"{base}/{name}.fcs") as out:
-            out.write(to_bytes(pdf.sort_values("event_idx")[columns].to_numpy(), names, None, keywords, spillover))
-        return pd.DataFrame({"sample_id": [name], "n_events": [len(pdf)], "path": [f"{base}/{name}.fcs"]})
+        place = f"{base}/{name}{suffix}.fcs"
+        with files.open_output_stream(place) as out:
+            out.write(to_bytes(pdf.sort_values("event_idx")[columns].to_numpy(), names, [known.get(f"$P{i + 1}S") for i in range(len(names))], known, spillover or next((known[k] for k in SPILL_KEYWORDS if known.get(k)), None)))
+        return pd.DataFrame({"sample_id": [name], "n_events": [len(pdf)], "path": [place]})
+
+    def with_own(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"sample_id": [], "n_events": [], "path": []})
+        return written(pdf, (dict(own["keywords"].iloc[0]) if len(own) else {}) | (keywords or {}))
+
+    rows, schema = events.select("sample_id", "event_idx", *columns).groupBy("sample_id"), "sample_id string, n_events long, path string"
+    if originals is None:
+        return rows.applyInPandas(lambda pdf: written(pdf, keywords or {}), schema)
+    return rows.cogroup(originals.select("sample_id", "keywords").groupBy("sample_id")).applyInPandas(with_own, schema)
+
 
-    return events.select("sample_id", "event_idx", *columns).groupBy("sample_id").applyInPandas(run, "sample_id string, n_events long, path string")
+def export_population(events: DataFrame, mask: Column, panel: Panel, originals: DataFrame, population: str, folder: str) -> DataFrame:
+    """Raw events of one population, a file for each tube with the tube's own keywords; ``mask`` is that of compensated data."""
+    return write_samples(events.where(mask), panel, folder, originals=originals, suffix="_" + re.sub(r"[^A-Za-z0-9._-]", "_", population))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from gatewise.functions.formats import csv_number, file_token, numeric_tag
 from gatewise.functions.transforms import forward, inverse, logicle
-from gatewise.model import Gate, Panel, Transform, boolean_gate, default_transforms, delete_gate, dump_gates, gate_path, load_gates, move_quadrant, quadrant_gates, reparent, tree_order
+from gatewise.model import Gate, Panel, Session, Transform, boolean_gate, default_transforms, delete_gate, dump_gates, gate_path, load_gates, move_quadrant, quadrant_gates, reparent, tree_order
 from gatewise.operators import autogate, density, qc, stats
 from gatewise.operators.batch import batch, channel_union
 from gatewise.operators.compensation import Spillover, choose_spillover, compensate, range_mask
-from gatewise.plans.gates import GatePlan, missing_channels
+from gatewise.plans.gates import GatePlan, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
 
 # Published asinh(x / 150) and logicle (T 262144, W 0.5, M 4.5, A 0) results.
@@ -188,6 +188,108 @@ def test_fcs_round_trip(spark, tmp_path):
         fcs.to_bytes(values[:0], ["a", "b"])
 
 
+def test_gated_export_keeps_each_tube_own_keywords(spark, tmp_path):
+    values = np.array([[1.0, 5.0], [2.0, 6.0], [3.0, 7.0]])
+    for i, spill in ((1, "2,FSC-A,FITC-A,1,0.1,0,1"), (2, None)):
+        (tmp_path / f"t{i}.fcs").write_bytes(fcs.to_bytes(values * i, ["FSC-A", "FITC-A"], ["", f"CD{i}"], {"TUBE": str(i), "$P2R": "1024"}, spill))
+    panel, ev = fcs.read_panels(spark, str(tmp_path))[0][("FSC-A", "FITC-A")]
+    meta = fcs.read_metadata(spark, str(tmp_path))
+    originals = fcs.samples(meta).join(meta.select("path", "keywords"), "path")
+    out = fcs.export_population(ev, F.col("c0") >= 2, panel, originals, "Cells +", str(tmp_path / "out")).collect()
+    assert sorted((r["sample_id"], r["n_events"]) for r in out) == [("t1", 2), ("t2", 3)]
+    for i in (1, 2):
+        h = fcs.read_header((tmp_path / "out" / f"t{i}_Cells__.fcs").read_bytes())
+        assert (h.keywords["TUBE"], h.keywords["$P2S"], h.keywords["$P2R"]) == (str(i), f"CD{i}", "1024") and ("$SPILLOVER" in h.keywords) == (i == 1)
+    assert sorted(r["n_events"] for r in fcs.peek_files(spark, str(tmp_path / "out")).collect()) == [2, 3]
+
+
+def test_ranges_of_events_and_whole_files_agree(spark, tmp_path):
+    values = np.arange(2 * 70_001, dtype=float).reshape(-1, 2)
+    (tmp_path / "big.fcs").write_bytes(fcs.to_bytes(values, ["a", "b"]))
+    meta = fcs.read_metadata(spark, str(tmp_path))
+    assert meta.collect() == fcs.read_metadata(spark, str(tmp_path), whole=True).collect()
+    got = fcs.decode_ranges(meta, 2, chunk=9_000).orderBy("event_idx").toPandas()
+    assert got["event_idx"].tolist() == list(range(70_001)) and np.array_equal(got[["c0", "c1"]].to_numpy(), values)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert fcs.decode_files(files, 2, chunk=9_000).orderBy("event_idx").toPandas().equals(got)
+
+
+def test_session():
+    gates = [rect(1, 0, 5), rect(4, 0, 5, parent=1)]
+    kept = Session(("a.fcs", "b.fcs", "c.fcs"), ("x", "", "y"), 2, True, (Transform("asinh"),), tuple(gates), {"channels": ["A"], "rows": [[1.0]]}, {"x_ch": 1})
+    assert Session.load(kept.dump()) == kept and kept.next_gate_id == 5
+    left = Session.load(kept.dump(), ["b.fcs", "c.fcs"])
+    assert (left.paths, left.groups, left.active) == (("b.fcs", "c.fcs"), ("", "y"), 1)
+    assert Session.load(kept.dump(), ["a.fcs"]).active == 0
+    odd = kept.dump().replace('"A"', '"A", "B"')
+    assert Session.load(odd).spillover is None
+    with pytest.raises(ValueError):
+        Session.load(kept.dump(), [])
+
+
+def test_gate_at_a_point():
+    field = Gate(3, "f", {"shape": "polygon", "vertices": [[0, 0], [2, 0], [2, 2], [0, 2]]}, 1, "FSC-A", "fitc-a")
+    round_ = Gate(4, "r", {"shape": "ellipse", "cx": 1, "cy": 1, "rx": 1, "ry": 0.5, "angle": math.pi / 2}, 3, "FSC-A", "FITC-A")
+    log = Gate(5, "l", {"shape": "rect", "x_min": 2, "x_max": 4, "y_min": 0, "y_max": 9}, None, "FSC-A", "FITC-A", Transform("log"))
+    gates = [rect(1, 0, 5), field, round_, log]
+    at = lambda x, y, *tf: gate_at(gates, "fsc-a", "FITC-A", x, y, *tf)
+    assert at(1, 1.9) == 4 and at(1.9, 1) == 3 and at(1000, 1) == 5 and at(50, 50) is None
+    assert at(math.asinh(1000 / 150), 1, Transform("asinh")) == 5
+    assert gate_at(gates, "FSC-A", "PE-A", 1, 1) is None
+
+
+def test_suggested_gates(spark):
+    rng = np.random.default_rng(5)
+    panel = Panel(("fsc-a", "FSC-Width-H", "FITC-A", "Time"))
+    area = rng.uniform(1e4, 1e5, 2000)
+    rows = [(float(a), float(a * 0.5), float(v), 0.0) for a, v in zip(area, np.concatenate([rng.normal(50, 20, 1200), rng.normal(9000, 900, 800)]), strict=True)]
+    ev = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")
+    g = autogate.singlet_gate(7, panel, ev, parent=1)
+    order = np.sort(area)
+    assert (g.x_channel, g.y_channel, g.parent) == ("fsc-a", "FSC-Width-H", 1)
+    assert g.shape["vertices"][0] == pytest.approx([order[int(1999 * 0.02)], order[int(1999 * 0.02)] * 0.5 * 1.15], rel=0.02)
+    assert g.shape["vertices"][2][0] == order[int(1999 * 0.98)]
+    up = autogate.auto_threshold(8, panel, ev, "fitc-a", Transform("asinh"))
+    assert 0.6 < up.shape["x_min"] < 4.2 and up.shape["x_max"] == pytest.approx(math.asinh(max(r[2] for r in rows) / 150))
+    assert autogate.auto_threshold(8, panel, ev, "Time", Transform()) is None and autogate.singlet_gate(1, Panel(("FSC-A",)), ev) is None
+
+
+def test_own_cuts_of_the_cross_check(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", float(x), float(0.04 * x + rng.normal(0, 1)), float(y)) for x, y in zip(np.concatenate([rng.normal(20, 90, 500), rng.normal(8000, 900, 500)]), rng.normal(100, 5, 1000), strict=True)]
+    ev = spark.createDataFrame(rows, "sample_id string, c0 double, c1 double, c2 double")
+    panel = Panel(("FITC-A", "PE-A", "APC-A"))
+    got = {(r["source"], r["target"]): r["residual"] for r in autogate.cross_check(ev, panel, transforms={n: Transform("asinh") for n in panel.channels}).collect()}
+    assert got["FITC-A", "PE-A"] == pytest.approx(0.04, abs=0.002) and abs(got["FITC-A", "APC-A"]) < 0.002
+    assert [r[0] for r in spark.createDataFrame([(0.019,), (-0.03,), (0.05,), (None,)], "r double").select(autogate.residual_grade(F.col("r"))).collect()] == ["good", "fair", "poor", None]
+
+
+def test_report_and_bundle(spark, tmp_path):
+    gates = [rect(1, 0, 5, name="<low>"), rect(2, 1, 2, parent=1, name="in"), boolean_gate(3, "not", [rect(1, 0, 5)])]
+    found = stats.population_stats(events(spark, [(1, 10), (4, 20), (8, 30)]), gates, PANEL).withColumn("group", F.lit("a"))
+    m = Spillover(("FSC-A", "fitc-a"), ((1.0, 0.1), (0.0, 1.0)))
+    parts = sinks.report_sections({"file": "t.fcs", "events": 3}, PANEL, ["", "CD3", None], {"fitc-a": Transform("asinh")}, gates, [r.asDict() for r in found.orderBy("ord").collect()], True, m)
+    assert list(parts) == ["Sample", "Channels and transforms", "Compensation", "Compensation source", "Gating strategy", "Population statistics", "Gates as JSON"]
+    page = sinks.html_report(parts)
+    assert "asinh 150" in page and "&lt;low&gt;" in page and "0.1000" in page and "NOT of 1 gates" in page
+    assert load_gates(parts["Gates as JSON"]) == gates and [r[0].strip() for r in parts["Population statistics"][1]] == ["All events", "<low>", "in", "NOT g1"]
+    bare = sinks.report_sections({}, PANEL, [None] * 3, {}, [], None, False)
+    assert bare["Compensation"].startswith("Not applied") and bare["Gating strategy"] == "No gates."
+    script = sinks.r_bundle(found, str(tmp_path))
+    assert 'levels = c("a")' in script and "<low>" in script
+    table = spark.read.option("header", True).csv(str(tmp_path / "populations.csv"))
+    assert table.columns == ["group", *sinks.POPULATION] and table.count() == found.count()
+    header, rows = sinks.sheet_rows(found, "group")
+    assert header[-1] == "rsd" and len(rows) == found.count() and sinks.xlsx(header, rows)[:2] == b"PK"
+    assert sinks.tsv(found.select("population", "median").where("population = 'in' AND channel = 'FSC-A'")).first()[0].startswith("in\t")
+
+
+def test_masks_of_wide_ranges(spark):
+    rows = [(-1 & (2**62 - 1), float(2**53 + 2)), (2**62 + 5, float(2**62)), (7, 1.0), (9, 1.5), (1025, 1025.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v long, r double").select(range_mask(F.col("v"), F.col("r"))).collect()]
+    assert got == [2**54 - 1, 5, 0, 9, 1025]
+
+
 def test_fcs_integers():
     text = b"/$PAR/1/$TOT/2/$DATATYPE/I/$BYTEORD/2,1/$P1N/a//b/$P1B/16/$P1R/1024/"
     begin = 58 + len(text)
@@ -213,10 +315,19 @@ def test_exports(spark):
     xml, warnings = sinks.gating_ml(gates)
     import xml.etree.ElementTree as ET
 
-    assert len(ET.fromstring(xml.split("\n", 1)[1])) == 3 and len(warnings) == 1 and "min=" not in xml.split("</gating:RectangleGate>")[0]
+    assert len(ET.fromstring(xml.split("\n", 1)[1])) == 3 and not warnings and "min=" not in xml.split("</gating:RectangleGate>")[0]
+    wide = Gate(7, "wide", {"shape": "range", "x_min": 1.0, "x_max": 1000.0}, None, "FITC-A", "FITC-A", Transform("asinh"), Transform("asinh"))
+    lost = [wide, Gate(8, "wide", {"shape": "boolean", "op": "and", "refs": [99]}), Gate(9, "p", {"shape": "polygon", "vertices": [[0, 0], [1, 0], [1, 1]]}, 77, "FITC-A", "SSC-A", Transform("asinh"))]
+    xml, warnings = sinks.gating_ml(lost, ["FITC-A"], compensated=True)
+    assert len(ET.fromstring(xml.split("\n", 1)[1])) == 2 and len(warnings) == 2 and "max=" not in xml and "parent_id" not in xml
+    assert xml.count('compensation-ref="FCS"') == 2 and xml.count('compensation-ref="uncompensated"') == 1
+    assert sinks.gating_ml([wide])[0].count("uncompensated") == 1
+    assert sinks.gate_idents([wide, Gate(8, "wide", {}), Gate(3, "a b+", {}), Gate(4, "", {})]) == {7: "wide", 8: "wide_8", 3: "a_b_", 4: "gate_4"}
     assert sinks.xlsx(["a", "b"], [(1, "x"), (float("nan"), None)])[:2] == b"PK"
     assert "&lt;b&gt;" in sinks.html_report({"<b>": (["h"], [(1.0,)])})
-    assert "wilcox" in sinks.r_script("f.csv", "p", "c", "median", ["a", "b"]) and "kruskal" in sinks.r_script("f", "p", "c", "m", ["a", "b", "c"])
+    assert "wilcox" in sinks.r_script("f.csv", ["a", "b"], ["p"]) and "kruskal" in sinks.r_script("f", ["a", "b", "c"], ["p"])
+    none = sinks.r_script("f.csv", [], ["All events", 'B "x"'])
+    assert "levels" not in none and ".test(" not in none and r'"B \"x\""' in none
     table = sinks.population_table(stats.population_stats(events(spark, [(1, 1)]), [rect(1, 5, 6)], PANEL, channels=["FSC-A"]).orderBy("ord"))
     assert table.columns == sinks.POPULATION and table.collect()[1]["median"] == "NA"
     assert column(spark, [1.23456, float("inf")], csv_number(F.col("x"))) == ["1.2346", "NA"]
