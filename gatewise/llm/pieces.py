@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The distinct segments of a block (a run of spaces and what follows up to the next) are
-laid one after another and indexed by a suffix array; binary search finds the range of
+laid one after another and indexed by a suffix array (its parts hold ``SORTED`` suffixes each); binary search finds the range of
 occurrences of every piece, which gives an edge for each occurrence, sorted by position.
 The edges are then relaxed in the order of a BPE model: of the edges that join two
 neighbouring symbols, each segment takes the one of highest score, the leftmost of equals, until none is
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ SPACE = "▁".encode()
 GAP, TOP = b"\xfe", b"\xff"
 #: Segments of more bytes are relaxed one by one.
 LONG = 256
+#: Suffixes sorted at once; a block with more is indexed in parts, each of which finds the edges that start in it.
+SORTED = 1 << 18
 _models: dict[str, "PieceModel"] = {}
 
 
@@ -64,17 +68,21 @@ class PieceModel:
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, number of piece) of every occurrence of a piece, sorted by position."""
         padded = np.concatenate([data, np.full(self.width, GAP[0], np.uint8)])
-        starts = np.nonzero((data & 0xC0) != 0x80)[0]
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[starts]).view(f"S{self.width}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
-        first, last = np.searchsorted(ranked, self.low), np.searchsorted(ranked, self.high)
-        n = last - first
-        piece = np.repeat(np.arange(len(n)), n)
-        upto = np.cumsum(n)
-        at = starts[order[np.arange(upto[-1]) - np.repeat(upto - n, n) + np.repeat(first, n)]]
-        by = np.lexsort((self.piece_size[piece], at))
-        return at[by], (at + self.piece_size[piece])[by], piece[by]
+        every, found = np.nonzero((data & 0xC0) != 0x80)[0], []
+        for part in range(0, len(every), SORTED):
+            starts = every[part : part + SORTED]
+            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[starts]).view(f"S{self.width}").ravel()
+            order = np.argsort(suffixes, kind="stable")
+            ranked = suffixes[order]
+            first, last = np.searchsorted(ranked, self.low), np.searchsorted(ranked, self.high)
+            n = last - first
+            piece = np.repeat(np.arange(len(n)), n)
+            upto = np.cumsum(n)
+            at = starts[order[np.arange(upto[-1]) - np.repeat(upto - n, n) + np.repeat(first, n)]]
+            by = np.lexsort((self.piece_size[piece], at))
+            found.append((at[by], piece[by]))
+        at, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        return at, at + self.piece_size[piece], piece
 
     def encode_segments(self, segments: list[bytes]) -> list[np.ndarray]:
         marked = [s.replace(b" ", SPACE) for s in segments]
@@ -113,29 +121,37 @@ class PieceModel:
         return self._ids(data, bound, start, end, piece, begin, size)
 
     def _relax_one(self, bound: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> None:
-        """The same on a long segment, with a heap of the edges that join neighbours."""
+        """The same on a long segment, with a heap of the edges that join neighbours; symbols and edges are kept in flat arrays."""
         if not len(start):
             return
         lo, hi = int(start.min()), int(end.max())
-        score = dict(zip(zip(start.tolist(), end.tolist(), strict=True), self.score[piece].tolist(), strict=True))
-        at = [lo + int(x) for x in np.nonzero(bound[lo:hi])[0]]
-        after = dict(zip(at, [*at[1:], hi], strict=True))
-        before = {b: a for a, b in after.items()}
-        heap = []
-
-        def offer(a: int | None) -> None:
-            if a is not None and a in after and after[a] in after and (a, after[after[a]]) in score:
-                heapq.heappush(heap, (-score[a, after[after[a]]], a, after[a], after[after[a]]))
-
-        for a in at:
+        base = hi + 1
+        edges, score = array("q", (start * base + end).tobytes()), self.score[piece]  # ascending: by start, then by length
+        at = lo + np.nonzero(bound[lo:hi])[0]
+        after, before = array("q", bytes(8 * (hi - lo + 1))), array("q", bytes(8 * (hi - lo + 1)))  # 0: no symbol starts here (lo counts from 1)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), hi], strict=True):
+            after[a - lo], before[b - lo] = b - lo + 1, a - lo + 1
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a] - 1
+            c = after[b] - 1 if b < hi - lo else -1
+            if c > 0:
+                key = (a + lo) * base + c + lo
+                place = bisect_left(edges, key)
+                if place < len(edges) and edges[place] == key:
+                    heapq.heappush(heap, (-score[place], a, b, c))
+
+        for a in (at - lo).tolist():
             offer(a)
         while heap:
             _, a, b, c = heapq.heappop(heap)
-            if after.get(a) == b and after.get(b) == c:
-                bound[b] = False
-                del after[b]
-                after[a], before[c] = c, a
-                offer(before.get(a))
+            if after[a] == b + 1 and after[b] == c + 1:
+                bound[b + lo] = False
+                after[b] = 0
+                after[a], before[c] = c + 1, a + 1
+                if before[a]:
+                    offer(before[a] - 1)
                 offer(a)
 
     def _ids(self, data, bound, start, end, piece, begin, size) -> list[np.ndarray]:
@@ -229,7 +245,8 @@ def encode_pieces(docs: DataFrame, model: str, with_ids: bool = True) -> DataFra
     ``model``: path of the model on all machines. Returns (doc_id, n_ids, ids_crc32, decoded_crc32, round_trip,
     ids), a row for each row of ``docs``: ids_crc32 of the ids as little-endian unsigned
     32-bit integers; round_trip: the decoded text is the text (false only if it has U+2581,
-    which the model reads as a space); ids are null unless ``with_ids``. Null and empty texts have no ids.
+    which the model reads as a space); ids are null unless ``with_ids``. Null and empty texts have no ids. A very long text
+    without spaces is one segment; its edges take some 30 bytes each, about as many as its bytes.
     Repeated and null doc_ids are kept as they are; other columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_coded(model, with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, ids array<int>")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +33,31 @@ def qualified(spark: SparkSession, path: str) -> str:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
+#: Folder of the intermediate tables of the work at hand, below the shared one, and the catalog's names for those in buckets.
+_folder: ContextVar[str] = ContextVar("folder", default="kept")
+_tables: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gatewise/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/gatewise/{_folder.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Intermediate tables of the block go to a folder of their own; the function it gives deletes them, once what reads them is written."""
+    own = f"work-{uuid.uuid4().hex}"
+    before = _folder.set(own)
+    try:
+        yield lambda: _delete(spark, own)
+    finally:
+        _folder.reset(before)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    for table in _tables.pop(folder, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gatewise/{folder}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,4 +75,5 @@ def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
     table = f"gatewise_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.repartition(parts, *by).write.bucketBy(parts, *by).sortBy(*by)
     writer.option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(table)
+    _tables.setdefault(_folder.get(), []).append(table)
     return spark.table(table)
