@@ -22,7 +22,7 @@ from gatewise.llm.near_dup import near_duplicates
 from gatewise.llm.pieces import encode_pieces
 from gatewise.llm.quality import quality_rules
 from gatewise.llm.queries import EPOCHS, LEVELS, PIECE_MODEL, SEED, WEIGHTS
-from gatewise.llm.scratch import materialize
+from gatewise.llm.scratch import materialize, temporary
 from gatewise.llm.substrings import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -95,10 +95,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written in the shared folder and read again."""
+    """All stages over documents; each stage's result is written in the shared folder and read again, and its intermediate tables are deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+    for name, stage in STAGES:
+        with temporary(spark) as delete:
+            docs = stage(spark, docs, sf_dir)
+        docs = materialize(docs, name.replace(" ", "-"))
+        delete()
     return docs
