@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 #: Single-byte white space: a word is a run of other bytes; no byte of a longer UTF-8 character is among them.
 SPACES = b" \t\n\x0b\x0c\r"
