@@ -247,10 +247,11 @@ def _grown(routed: DataFrame, top: float) -> DataFrame:
     """Vectors with the page they are in: (vec_id, v, root, page, far)."""
     done, level = None, 0
     while True:
-        sizes = materialize(routed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")), "node-sizes")
-        large = sizes.where((F.col("n") > 2 * PAGE) & (F.col("radius") > 0)) if level < DEEPEST else sizes.where("false")
-        if large.isEmpty():
+        sizes = routed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+        large = sizes.where((F.col("n") > 2 * PAGE) & (F.col("radius") > 0))
+        if level == DEEPEST or large.isEmpty():
             break
+        large = materialize(large, "large-nodes")
         finished = routed.join(large.select("node"), "node", "left_anti").select(*routed.columns)
         done = finished if done is None else done.unionByName(finished)
         # about one object for each page, at most FAN, drawn by hash anew at each level
@@ -263,7 +264,7 @@ def _grown(routed: DataFrame, top: float) -> DataFrame:
         routed = cards.join(pivots, "node").select("root", "node", "pivots", "cards").mapInArrow(_split(top), "vec_id long, v array<double>, root int, node string, far double")
         routed, level = materialize(routed, "routed"), level + 1
     out = routed if done is None else done.unionByName(routed)
-    sizes = materialize(out.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "leaf-sizes")
+    sizes = out.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     parts = F.when(F.col("n") > 2 * PAGE, F.ceil(F.col("n") / PAGE)).otherwise(1)
     out = out.join(sizes, "node").withColumn("page", F.concat("node", F.lit("#"), F.pmod(F.xxhash64("vec_id", "v", "far"), parts).cast("string")))
     return materialize(out.drop("node", "n"), "paged")
@@ -318,7 +319,7 @@ def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale:
 
     def floors(hits: DataFrame) -> DataFrame:
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
-        return materialize(ranked.select("query_id", F.col("score").alias("floor")), "floors")
+        return ranked.select("query_id", F.col("score").alias("floor"))
 
     # a query is a vector under an id; vectors of one id are searched apart, under the floor of the id
     queries = paged.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.min("page").alias("page"))
