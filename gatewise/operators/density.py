@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.transforms import forward
+from ..model import Panel, Transform
+
 #: Contour levels as parts of the greatest count.
 LEVELS = (0.04, 0.10, 0.20, 0.35, 0.55, 0.80)
 
@@ -56,6 +59,15 @@ def stride_sample(events: DataFrame, n_events: int, most: int = 20_000, index: s
     return events.where(F.col(index) % max(1, n_events // most) == 0)
 
 
+def reference_overlay(events: DataFrame, panel: Panel, x: tuple[str, Transform], y: tuple[str, Transform], n_events: int, most: int = 20_000, index: str = "event_idx") -> DataFrame | None:
+    """(x, y) of a reference tube by stride, on the axes of the tube it is drawn under; None if its panel hasn't a channel."""
+    columns = [panel.find(name) for name, _ in (x, y)]
+    if None in columns:
+        return None
+    shown = [forward(F.col(c).cast("double"), tf).alias(n) for n, c, (_, tf) in zip(("x", "y"), columns, (x, y), strict=True)]
+    return stride_sample(events, n_events, most, index).select(*shown)
+
+
 def contours(grid: np.ndarray, levels: tuple[float, ...] = LEVELS) -> dict[float, list[tuple[tuple[float, float], tuple[float, float]]]]:
     """Line segments of each level in a small grid, by marching squares on the driver."""
     out: dict = {}

@@ -167,6 +167,15 @@ def test_density(spark):
     assert len(density.contours(grid, (0.5,))[0.5]) == 4
 
 
+def test_reference_overlay_and_backgate(spark):
+    ev = events(spark, [(i, 10 * i) for i in range(100)])
+    got = density.reference_overlay(ev, PANEL, ("fsc-a", Transform()), ("FITC-A", Transform("log")), 100, most=10).orderBy("x").collect()
+    assert [r["x"] for r in got] == list(range(0, 100, 10)) and got[1]["y"] == 2.0
+    assert density.reference_overlay(ev, PANEL, ("PE-A", Transform()), ("FITC-A", Transform()), 100) is None
+    shown = density.backgate(ev, F.col("c0") >= 95, F.col("c0") >= 50, 50, most=5).collect()
+    assert sorted((r["c0"], r["inside"]) for r in shown) == [(50, False), (60, False), (70, False), (80, False), (90, False)] + [(x, True) for x in range(95, 100)]
+
+
 def test_fcs_round_trip(spark, tmp_path):
     values = np.array([[1.5, -2.0], [3.0, 4.25], [5.0, 1e5]])
     raw = fcs.to_bytes(values, ["FSC-A", "FITC-A"], ["", "CD3"], {"$CYT": "x|y", "NOTE": "", "TUBE": "7"}, "2,A,B,1,0,0,1")
