@@ -98,9 +98,13 @@ def mix_sources(
     parts_of_key = [F.lit(str(seed)), *names, F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
     ordered = rows.join(budgets, names).withColumn("rank", F.substring(F.md5(F.concat_ws("|", *parts_of_key).cast("binary")), 1, 16))
     ordered = materialize(ordered.withColumn("part", F.substring("rank", 1, PART_DIGITS)), "seeded-orders")
-    parts = ordered.groupBy(*names, "part").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(parts.select(*names, "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")), "part-starts")
+    # where each part starts: sums before it under its first digit, and sums of the digits before
+    parts = materialize(ordered.groupBy(*names, "part", F.substring("part", 1, 1).alias("digit")).agg(F.sum("n_tokens").alias("tokens")), "part-tokens")
+    upto = lambda c, *by: F.coalesce(F.sum("tokens").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    digits = parts.groupBy(*names, "digit").agg(F.sum("tokens").alias("tokens"))
+    digits = digits.select(*names, "digit", upto("digit", *names).alias("above"))
+    starts = parts.withColumn("within", upto("part", *names, "digit")).join(digits, [*names, "digit"])
+    starts = materialize(starts.select(*names, "part", (F.col("above") + F.col("within")).alias("start")), "part-starts")
     own = Window.partitionBy(*names, "part").orderBy("rank", "doc_id", "n_tokens", *key).rowsBetween(Window.unboundedPreceding, 0)
     out = ordered.withColumn("run", F.sum("n_tokens").over(own)).join(starts, [*names, "part"])
     more = (F.col("start") + F.col("run") <= F.col("leaf_budget") - F.col("whole") * F.col("supply")) & (F.col("n_tokens") > 0)
