@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z alone.
@@ -39,6 +39,54 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
 """
 
+
+
+def op2(rules: Sequence[tuple[str, str]], longest: int) -> str:
+    """Rules from the longest on; names are split by going through their ends with the least costs so far, and back from the last end."""
+    fits = []
+    for text, said in sorted(rules, key=lambda r: -len(r[0])):
+        name, _, rest = text.partition("/")
+        fits.append((f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN", text, said))
+    case = lambda i: "CASE " + " ".join(f"{f[0]} '{f[i]}'" for f in fits) + " END"
+    return rf"""
+WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), u AS (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS said, regexp_replace(path, '[0-9]+', '0', 'g') AS shape FROM parts),
+shapes AS (SELECT host, shape, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS b FROM u GROUP BY ALL),
+spelt AS (SELECT unnest(regexp_split_to_array(lower(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g')), '[^\p{{L}}]+')) AS word FROM pages),
+words AS (SELECT word, count(*) AS n FROM spelt WHERE length(word) BETWEEN 2 AND {longest} GROUP BY word),
+total AS (SELECT CAST(coalesce(sum(n), 1) AS DOUBLE) AS t FROM words),
+named AS (SELECT host, shape, a, b, unnest(regexp_split_to_array(host, '[^\p{{L}}]+')) AS name FROM shapes),
+names AS (SELECT DISTINCT name FROM named WHERE name <> ''),
+found AS (
+  SELECT name, start, start + size AS stop, ln(t / n) AS cost FROM names, range(0, {longest}) x(start), range(1, {longest + 1}) y(size), total JOIN words ON word = substr(name, start + 1, size)
+  WHERE start + size <= length(name) AND length(name) <= {longest}
+), walk(name, stop, costs, backs) AS (
+  SELECT name, CAST(0 AS BIGINT), [CAST(0 AS DOUBLE)], CAST([] AS BIGINT[]) FROM names WHERE length(name) <= {longest}
+  UNION ALL
+  SELECT name, stop + 1, list_append(costs, best.cost), list_append(backs, best.start) FROM (
+    SELECT w.name, w.stop, w.costs, w.backs, min({{'cost': coalesce(w.costs[f.start + 1] + f.cost, w.costs[w.stop + 1] + (ln(t) + 10)), 'start': coalesce(f.start, w.stop)}}) AS best
+    FROM walk w CROSS JOIN total LEFT JOIN (SELECT * FROM found UNION ALL SELECT name, NULL, unnest(range(1, length(name) + 1)), NULL FROM names) f ON f.name = w.name AND f.stop = w.stop + 1
+    WHERE w.stop < length(w.name) GROUP BY w.name, w.stop, w.costs, w.backs
+  )
+), back(name, backs, stop, word) AS (
+  SELECT name, backs, stop, CAST(NULL AS VARCHAR) FROM walk WHERE stop = length(name)
+  UNION ALL
+  SELECT name, backs, backs[stop], substr(name, backs[stop] + 1, stop - backs[stop]) FROM back WHERE stop > 0
+), pieces AS (SELECT name, word FROM back WHERE word IS NOT NULL UNION ALL SELECT name, name FROM names WHERE length(name) > {longest}),
+tokens AS (
+  SELECT host, shape, a, b, word AS token FROM named JOIN pieces USING (name)
+  UNION ALL SELECT host, shape, a, b, '/' || t FROM (SELECT host, shape, a, b, unnest(regexp_split_to_array(lower(shape), '[^\p{{L}}0]+')) AS t FROM shapes) WHERE t <> ''
+), seen AS (SELECT token, sum(a) AS a, sum(b) AS b FROM tokens GROUP BY token),
+sums AS (SELECT sum(a) AS sa, sum(b) AS sb, count(*) AS v FROM seen),
+score AS (SELECT host, shape, sum(ln((s.b + 1) / (sb + v)) - ln((s.a + 1) / (sa + v))) AS score FROM tokens JOIN seen s USING (token), sums GROUP BY host, shape),
+n AS (SELECT count(*) FILTER (WHERE said = 'allow') AS na, count(*) FILTER (WHERE said = 'block') AS nb FROM u)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN na > 0 AND nb > 0 AND coalesce(score, 0) + ln(nb / na) > 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN score USING (host, shape), n
+"""
+
+
 #: Texts are cut into overlapping pieces first, so that a window is taken from a short string.
 OP4 = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),

@@ -18,7 +18,7 @@ from .substrings import remove_repeats
 from .suffixes import remove_repeated_bytes
 from .token_files import read_token_files, write_token_files
 from .topk import top_inner_products
-from .urls import filter_urls
+from .urls import LONGEST, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,9 +104,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op2's verdicts, op3's and op10's ids and the pipeline can't be said in SQL; their tests compare them with brute force or the libraries."""
+    """op3's and op10's ids and the pipeline can't be said in SQL; their tests compare them with the libraries and brute force."""
     return {
         "op1_minhash_near_dedup": oracles.OP1,
+        "op2_url_filter": oracles.op2(RULES, LONGEST),
         "op4_suffix_dedup": oracles.OP4,
         "op5_substring_dedup": oracles.OP5,
         "op6_exact_top_k": oracles.OP6,

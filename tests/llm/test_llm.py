@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import mixed
 from pyspark.sql import functions as F
 
 from gatewise.llm import near_dup, sharding, suffixes, topk
@@ -242,20 +243,6 @@ def test_mixing(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mix_sources(spark.createDataFrame(rows[::-1], SCHEMA), LEVELS, weights={"domain=d0": 1, "domain=d1": 1}).collect()))
 
 
-def water_filled(budget, children):
-    """Shares of (name, weight, capacity) by filling those of the least capacity over weight, the rest by running totals."""
-    out, left = {}, sorted(children, key=lambda c: (c[2] / c[1], c[0]))
-    while left and budget * left[0][1] >= left[0][2] * sum(w for _, w, _ in left):
-        name, _, capacity = left.pop(0)
-        out[name] = capacity
-        budget -= capacity
-    total, upto = sum(w for _, w, _ in left), 0
-    for name, weight, _ in left:
-        out[name] = budget * (upto + weight) // total - budget * upto // total
-        upto += weight
-    return out
-
-
 def test_mixing_by_brute_force(spark):
     rng = random.Random(31)
     rows = [(i if i % 11 else None, "w " * rng.choice([0, 3, 20, 400]), rng.choice(["en", "de", "fr", None]), rng.choice(["src0", "src0", "src4", "src1", "src2", "web", None]), 0, True) for i in range(300)]
@@ -263,26 +250,9 @@ def test_mixing_by_brute_force(spark):
     domain = {"src0": "d0", "src4": "d0", "src1": "d1", "src2": "d2", "web": "other", None: "other"}
     paths = [(domain[r[3]], r[2] or "", r[3] or "") for r in rows]
     tokens = [len((r[1] or "").split()) for r in rows]
-    weight = lambda level, value: weights.get(f"{level}={value}", 1)
     for share in (0.3, 1.0, 1.7, 5.0):
-        capacity: dict = {}
-        for p, n in zip(paths, tokens, strict=True):
-            for d in range(4):
-                capacity[p[:d]] = capacity.get(p[:d], 0) + 2 * n
-        budgets = {(): min(int(sum(tokens) * share), capacity[()])}
-        for d, level in enumerate(("domain", "lang", "source")):
-            for parent in sorted({p[:d] for p in paths}):
-                names = sorted({p[d] for p in paths if p[:d] == parent})
-                found = water_filled(budgets[parent], [(n, weight(level, n), capacity[*parent, n]) for n in names])
-                budgets |= {(*parent, n): b for n, b in found.items()}
-        want = []
-        for leaf in set(paths):
-            own, supply = [i for i, p in enumerate(paths) if p == leaf], capacity[leaf] // 2
-            whole, run = budgets[leaf] // supply if supply else 0, 0
-            key = lambda i: hashlib.md5("|".join(["17", *leaf, str(whole), "" if rows[i][0] is None else str(rows[i][0])]).encode()).hexdigest()[:16]  # noqa: B023, E731
-            for i in sorted(own, key=lambda i: (key(i), rows[i][0] or -1, tokens[i])):
-                run += tokens[i]
-                want.append((rows[i][0], *leaf, tokens[i], budgets[leaf], whole + (run <= budgets[leaf] - whole * supply and tokens[i] > 0)))
+        budgets, times = mixed([r[0] for r in rows], paths, tokens, weights, share)
+        want = [(r[0], *p, n, budgets[p], t) for r, p, n, t in zip(rows, paths, tokens, times, strict=True)]
         got = mix_sources(spark.createDataFrame(rows, SCHEMA), LEVELS, budget_share=share, weights=weights, max_epochs=2)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 

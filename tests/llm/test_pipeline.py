@@ -7,8 +7,10 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import sentencepiece
+from brute import mixed
+from pyspark.sql import functions as F
 
-from gatewise.llm.queries import PIECE_MODEL
+from gatewise.llm.queries import PIECE_MODEL, WEIGHTS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,11 +114,33 @@ def test_mixing_keeps_budgets(spark):
     assert max(got.values()) <= 2
 
 
+def taken(data):
+    """How often each (doc_id, words) of a source's rows is taken, by brute force."""
+    paths = [(f"d{int(r[3][3:]) % 4}" if r[3] and r[3][3:].isdigit() else "other", r[2] or "", r[3] or "") for r in data]
+    sizes = [len(WORD.findall(r[1] or "")) for r in data]
+    _, times = mixed([r[0] for r in data], paths, sizes, WEIGHTS, 1.0)
+    out = Counter()
+    for r, n, t in zip(data, sizes, times, strict=True):
+        out[r[0], n] += t
+    return +out
+
+
+def test_mixing_by_brute_force(spark):
+    data = [(None if i % 9 == 0 else i, f"w{i} " * (5 + i * 7 % 40), ("en", "de", None)[i % 3], ("src0", "src4", "src1", "web", None)[i % 5], i) for i in range(120)]
+    got = Counter((r["doc_id"], len(WORD.findall(r["text"]))) for r in corpus_pipeline.mixing(spark, frame(spark, data), "").collect())
+    assert got == taken(data) and max(got.values()) > 1
+
+
 def test_run(spark, tmp_path):
-    frame(spark, rows()).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, rows()).withColumn("epoch", F.lit("x")).withColumn("kept_text", F.lit(1)).withColumn("_row", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
-    # mixing draws from these rows; ids tell which
-    left = {tuple(model.encode(r[1])): r[0] for r in cut(one_of_each(ordered(good(rows()))))}
-    assert got and all(left[tuple(r["ids"])] == r["doc_id"] for r in got)
-    assert max(Counter(tuple(r["ids"]) for r in got).values()) <= 2 and any(r["doc_id"] is None for r in got)
+    left = cut(one_of_each(ordered(good(rows()))))
+    of = {tuple(model.encode(r[1])): r for r in left}
+    assert all(r["round_trip"] for r in got)
+    assert Counter((r["doc_id"], len(WORD.findall(of[tuple(r["ids"])][1]))) for r in got) == taken(left)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
