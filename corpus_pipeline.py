@@ -29,23 +29,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number for each row, written once: it ascends with doc_id.
+    """The columns of ``docs`` and ``_row``, a number for each row that ascends with doc_id.
 
-    Rows that repeat a doc_id are ordered by their text and other columns, rows without one come last.
+    That is doc_id itself if every row has one of its own. Else rows are numbered and written once: those that repeat
+    a doc_id are ordered by their text and other columns, those without one come last.
     The last column of the order only parts rows that are equal in all others.
     """
-    docs, others = docs.select(*COLUMNS), COLUMNS[2:]
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), *[F.col(c).asc() for c in [*others, "_any"]]]
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), *[F.col(c).asc() for c in [*COLUMNS[2:], "_any"]]]
     dealt = docs.withColumn("_any", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(dealt.drop("_any").withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` as the operators take documents: the row's number is its id."""
+    return rows.drop("doc_id").withColumnRenamed("_row", "doc_id")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on the text and on their source.
 
     Null and empty texts fail; rows that repeat a doc_id or have none pass or fail each by itself; a null source is a source of its own.
     """
-    return quality_rules(docs.select(*COLUMNS), with_row=True).where("kept").select(*[F.col("row")[c].alias(c) for c in COLUMNS])
+    rows = _numbered(docs)
+    kept = quality_rules(_judged(rows)).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +64,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The row of the smallest doc_id stays, of equal ones that of the least text hash, one without doc_id last. Null, empty and wordless texts stay.
     """
     rows = _numbered(docs)
-    judged = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
-    return rows.join(judged.where("NOT kept").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
+    gone = near_duplicates(_judged(rows), words=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
