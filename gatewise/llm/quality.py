@@ -55,7 +55,7 @@ def document_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least_rate: float = 0.5, with_row: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least_rate: float = 0.5) -> DataFrame:
     """Judge documents by rules on the text and by the failure rate of their host.
 
     The rate of each host (values of ``host``) is shrunk towards the mean by a beta prior
@@ -63,12 +63,10 @@ def quality_rules(docs: DataFrame, host: str = "source", least_rate: float = 0.5
     ``least_rate`` loses all of its documents. Rows with a null host are one host.
     Returns (doc_id, ``host``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, host_rate, kept), a row for each row of ``docs``; null texts count as
-    empty, and so fail; a null doc_id is kept as it is. Other columns are ignored, but ``with_row``
-    adds a struct ``row`` of all columns of the judged row. An
+    empty, and so fail; a null doc_id is kept as it is. Other columns are ignored. An
     empty table gives an empty result. Host totals are summed before they are shuffled.
     """
-    row = ["row"] if with_row else []
-    judged = docs.select("doc_id", F.col(host).cast("string").alias("_host"), "text", *[F.struct(*docs.columns).alias(c) for c in row])
+    judged = docs.select("doc_id", F.col(host).cast("string").alias("_host"), "text")
     stats = materialize(document_rules(judged), "document-rules")
     failures = F.sum(F.when(F.col("base_failed"), 1).otherwise(0))
     hosts = materialize(stats.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), failures.alias("failed")), "hosts")
@@ -79,6 +77,6 @@ def quality_rules(docs: DataFrame, host: str = "source", least_rate: float = 0.5
     strength = min(max(strength, 1.0), 1e6)  # at least the weight of one document
     shrunk = hosts.select("_host", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
     out = stats.join(shrunk, stats["_host"].eqNullSafe(shrunk["_host"])).select(
-        "doc_id", stats["_host"].alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", *row
+        "doc_id", stats["_host"].alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate"
     )
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= least_rate))
