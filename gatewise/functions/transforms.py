@@ -56,7 +56,8 @@ class Logicle:
     def inverse(self, s: np.ndarray) -> np.ndarray:
         s = np.asarray(s, float)
         up = np.where(s < self.x1, 2 * self.x1 - s, s)
-        far = self.a * np.exp(self.b * up) + self.f - self.c * np.exp(-self.d * up)
+        with np.errstate(over="ignore"):  # far beyond the scale the value is infinite
+            far = self.a * np.exp(self.b * up) + self.f - self.c * np.exp(-self.d * up)
         z, near = up - self.x1, np.zeros_like(up)
         for k in reversed(self.taylor):
             near = (near + k) * z

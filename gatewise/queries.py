@@ -10,14 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import formats
 from .functions.transforms import asinh_panel, forward, inverse, logicle
 from .model import Gate, Panel, Transform, boolean_gate, quadrant_gates
 from .operators import autogate, qc, stats
 from .operators.batch import batch, channel_names, chart_series
-from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask
-from .operators.density import backgate, density, overlay
+from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask, spillover_keyword
+from .operators.density import backgate, density, heat_bucket, overlay
 from .plans.gates import GatePlan, missing_by_sample
 from .sources import sinks
 
@@ -247,6 +248,11 @@ TITRATION_SQL = f"""WITH {TUBES}, t AS (SELECT sample_id, 100.0 * count(*) FILTE
 SELECT sample_id, round(pct, 6) AS pct_positive, round(p, 6) AS mfi_pos, round(n, 6) AS mfi_neg, round(rsd, 6) AS rsd_neg, round(CASE WHEN abs(rsd) >= 1e-9 THEN (p - n) / (2 * rsd) END, 6) AS stain_index FROM t"""
 
 
+def a_best_titration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.titration(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"]), "Cells", "Round", "FSC-A")
+    return _rounded(stats.best_titration(rows)).select("sample_id", "stain_index")
+
+
 def a_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tubes(spark, sf_dir)
     small = Panel(("Fsc-a", "Ssc-a", "FITC-A"), ("c0", "c1", "c2"))
@@ -275,8 +281,8 @@ def a_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), (0.0, 100000.0, 0.0, 50.0), 160, ["sample_id"])
 
 
-def _bin_sql(c: str, hi: float) -> str:
-    return f"CAST(CASE WHEN {c} < 0 THEN 0 WHEN {c} >= {hi} THEN 159 ELSE least(floor(({c} - 0.0) / {hi} * 160), 159) END AS INTEGER)"
+def _bin_sql(c: str, hi: float, bins: int = 160) -> str:
+    return f"CAST(CASE WHEN {c} < 0 THEN 0 WHEN {c} >= {hi} THEN {bins - 1} ELSE least(floor(({c} - 0.0) / {hi} * {bins}), {bins - 1}) END AS INTEGER)"
 
 
 def a_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,6 +316,18 @@ def s_spillover_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("n_nationkey", F.col("p.n").alias("n"), F.array_join("p.names", "|").alias("names"), F.round(F.aggregate("p.values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+def s_spillover_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("n_nationkey") % 3 == 0, "SPILL").when(F.col("n_nationkey") % 3 == 1, "SPILLOVER").otherwise("$CYT")
+    words = F.map_concat(F.create_map(key, F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("$SPILL"), F.lit("own"))).otherwise(F.create_map(F.lit("X"), F.lit("x"))))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", spillover_keyword(words).alias("spill"))
+
+
+def a_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = density(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), (0.0, 100000.0, 0.0, 50.0), 20)
+    top = F.max("n").over(Window.partitionBy(F.lit(0)))
+    return grid.select("bx", "by_", heat_bucket(F.col("n"), top).alias("bucket"))
+
+
 def a_stain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", F.round(stats.stain_index(F.col("p_retailprice"), F.col("p_size").cast("double"), F.col("p_size") - F.lit(10.0)), 6).alias("si"))
 
@@ -488,7 +506,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_logicle_inverse": lambda: inverse((y("c_acctbal") + 1000) / 11000 * 4.5, LOGICLE),
     }
     named = (p_compensate, a_channel_stats, a_popstats, a_popstats_empty, a_spillover, a_residual, a_flow_rate, a_margins, a_qc, a_stain_index, a_titration, a_batch, a_histogram, a_density, a_singlet, a_mode, s_range_mask, s_spillover_parse)
-    named += (a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
+    named += (a_best_titration, a_heat, s_spillover_keyword, a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
     return {n: _column_query(c) for n, c in columns.items()} | {n: _count_query(n) for n in COUNTS} | {f.__name__: f for f in named}
 
 
@@ -530,6 +548,9 @@ def oracle_sql() -> dict[str, str]:
         "a_qc": QC_SQL,
         "a_stain_index": "SELECT p_partkey, round(CASE WHEN abs(p_size - 10.0) >= 1e-9 THEN (p_retailprice - p_size) / (2 * (p_size - 10.0)) END, 6) AS si FROM part",
         "a_titration": TITRATION_SQL,
+        "a_best_titration": f"SELECT sample_id, stain_index FROM ({TITRATION_SQL}) WHERE stain_index IS NOT NULL ORDER BY stain_index DESC, sample_id DESC LIMIT 1",
+        "a_heat": f"WITH {TUBES}, g AS (SELECT {_bin_sql('c0', 100000.0, 20)} AS bx, {_bin_sql('c1', 50.0, 20)} AS by_, count(*) AS n FROM tubes GROUP BY ALL) SELECT bx, by_, CAST(least(floor(sqrt(n / max(n) OVER ()) * 14), 13) AS INTEGER) AS bucket FROM g",
+        "s_spillover_keyword": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN n_name WHEN n_nationkey % 2 = 0 THEN 'own' WHEN n_nationkey % 3 = 0 THEN n_name END AS spill FROM nation",
         "a_batch": _batch_sql(),
         "a_histogram": HISTOGRAM_SQL,
         "a_density": f"WITH {TUBES} SELECT sample_id, {_bin_sql('c0', 100000.0)} AS bx, {_bin_sql('c1', 50.0)} AS by_, count(*) AS n FROM tubes GROUP BY ALL",

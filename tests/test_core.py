@@ -12,7 +12,7 @@ from gatewise.model import Gate, Panel, Session, Transform, boolean_gate, defaul
 from gatewise.operators import autogate, density, qc, stats
 from gatewise.operators.batch import batch, channel_union
 from gatewise.operators.compensation import Spillover, choose_spillover, compensate, range_mask
-from gatewise.plans.gates import GatePlan, gate_at, missing_channels
+from gatewise.plans.gates import GatePlan, data_bounds, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
 
 # Published asinh(x / 150) and logicle (T 262144, W 0.5, M 4.5, A 0) results.
@@ -223,6 +223,16 @@ def test_ranges_of_events_and_whole_files_agree(spark, tmp_path):
     assert fcs.decode_files(files, 2, chunk=9_000).orderBy("event_idx").toPandas().equals(got)
 
 
+def test_bounds_on_data_hold_wherever_the_gate_does(spark):
+    values = [float(x) for x in np.random.default_rng(9).normal(0, 2000, 400)] + [-1e5, 1e5, 0.0]
+    ev = spark.createDataFrame([(v, v / 2, 0.0) for v in values], "c0 double, c1 double, c2 double")
+    for tf in (Transform(), Transform("log"), Transform("asinh"), Transform("logicle")):
+        for shape in ({"shape": "range", "x_min": 0.5, "x_max": 2.0}, {"shape": "rect", "x_min": -1.0, "x_max": 2.5, "y_min": 0.1, "y_max": 1e12}):
+            g = Gate(1, "g", shape, None, "FSC-A", "FITC-A", tf, tf)
+            inside = ev.where(GatePlan([g], PANEL).effective(1))
+            assert inside.count() == inside.where(data_bounds(g, PANEL)).count()
+
+
 def test_session():
     gates = [rect(1, 0, 5), rect(4, 0, 5, parent=1)]
     kept = Session(("a.fcs", "b.fcs", "c.fcs"), ("x", "", "y"), 2, True, (Transform("asinh"),), tuple(gates), {"channels": ["A"], "rows": [[1.0]]}, {"x_ch": 1})
