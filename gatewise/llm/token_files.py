@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .scratch import fresh_path, materialize, qualified
