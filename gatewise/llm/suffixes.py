@@ -32,9 +32,9 @@ from .scratch import materialize
 from .substrings import copies_of, lists, member_of, text_of, within
 
 #: Text that a task samples before it sends the ranks on, in bytes.
-GATHER = 8 << 20
+GATHER = 64 << 20
 #: A rank is hot if so many documents of ``GATHER`` bytes of text have it, or if that leaves more than ``HOT`` pairs of it.
-MANY_HERE, HOT = 64, 20_000
+MANY_HERE, HOT = 512, 100_000
 #: Bits of a rank; marks of ranks that many documents of a pack have, and of hot ones.
 RANK, MARK, HOT_BIT = np.uint64((1 << 47) - 1), np.uint64(1 << 47), np.uint64(1 << 62)
 _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint64)
