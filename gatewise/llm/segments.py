@@ -8,7 +8,7 @@ import numpy as np
 
 from . import textkit as tk
 
-#: Cached segments of a worker; beyond it the cache starts anew (results are the same).
+#: Cached segments of a worker, of some 50 bytes each; beyond it the cache starts anew (results are the same).
 CACHE = 500_000
 
 
@@ -24,48 +24,57 @@ class SegmentEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
+        # known segments: their hashes in ascending order with their numbers, and by number their bytes and ids
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.raw, self.raw_at, self.ids, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known segments by their hashes, -1 of unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.numbers[place], -1)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        sizes = np.array([len(x) for x in found], np.int64)
-        at = len(self.place)
-        while at + len(pieces) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.size[at : at + len(pieces)] = sizes
-        self.start[at : at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        numbers = np.arange(len(self.numbers), len(self.numbers) + len(pieces), dtype=np.int32)
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")  # two ascending runs, which this merges
+        self.hashes, self.numbers = both[order], np.concatenate([self.numbers, numbers])[order]
+        self.raw, self.ids = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)]), np.concatenate([self.ids, *found])
+        for name, sizes in (("raw_at", map(len, pieces)), ("at", map(len, found))):
+            known = getattr(self, name)
+            setattr(self, name, np.concatenate([known, known[-1] + np.cumsum(np.fromiter(sizes, np.int64, len(pieces)))]))
 
     def block(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, first id of each text and of the end).
 
-        Segments are grouped by a hash, but told apart by their bytes: one that isn't equal to its group's first is a group of its own.
+        Segments are looked up by a hash, but all are compared with the known one byte by byte: one that
+        differs from it is encoded by itself.
         """
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        if len(self.place) > CACHE:
+        if len(self.hashes) > CACHE:
             self._clear()
         edge = self.cuts(data)
         edge[off[off < len(data)]] = True
         starts = np.nonzero(edge)[0]
         ends = np.concatenate([starts[1:], [len(data)]])
-        _, one, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        odd = np.nonzero(~tk.same_spans(data, starts, ends, one[which]))[0]
-        which[odd] = len(one) + np.arange(len(odd))
-        one = np.concatenate([one, odd])
-        raw, place = data.tobytes(), self.place
-        pieces = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        if new := [x for x in dict.fromkeys(pieces) if x not in place]:
-            self._learn(new)
-        at = np.array([place[x] for x in pieces], np.int64)[which]
-        size = self.size[at]
+        kinds, one, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        new, raw = np.nonzero(self._numbers(kinds) < 0)[0], data.tobytes()
+        if len(new):
+            self._learn(kinds[new], [raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+        number = self._numbers(kinds)[which]
+        start, size = self.at[number], self.at[number + 1] - self.at[number]
+        bytes_of = self.raw_at[number + 1] - self.raw_at[number]
+        same = bytes_of == ends - starts
+        same[same] = tk.same_bytes(data, starts[same], self.raw, self.raw_at[number[same]], bytes_of[same])
+        ids = self.ids
+        if len(odd := np.nonzero(~same)[0]):
+            found = self.encode([raw[starts[i] : ends[i]] for i in odd])
+            size[odd] = [len(x) for x in found]
+            start[odd] = len(ids) + np.cumsum(size[odd]) - size[odd]
+            ids = np.concatenate([ids, *found])
         upto = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])
-        return self.ids[take], upto[np.searchsorted(starts, off)]
+        take = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
+        return ids[take], upto[np.searchsorted(starts, off)]

@@ -117,20 +117,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return h
 
 
-def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether the bytes of each span are those of the span numbered ``others``."""
-    size = ends - starts
-    same = size == size[others]
-    lanes, at = _lanes(data), 0
-    live = np.nonzero(same & (size > 0))[0]
+def same_bytes(left: np.ndarray, left_starts: np.ndarray, right: np.ndarray, right_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of ``size`` bytes in two arrays are equal."""
+    same = np.ones(len(size), bool)
+    a, b, at = _lanes(left), _lanes(right), 0
+    live = np.nonzero(size > 0)[0]
     while len(live) and at < LONG_SPAN:
         mask = _LANE_MASKS[np.minimum(size[live] - at, 8)]
-        same[live] = (lanes[starts[live] + at] & mask) == (lanes[starts[others[live]] + at] & mask)
+        same[live] = (a[left_starts[live] + at] & mask) == (b[right_starts[live] + at] & mask)
         at += 8
         live = live[(size[live] > at) & same[live]]
     for i in live:
-        j = others[i]
-        same[i] = i == j or bool(np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]]))
+        same[i] = np.array_equal(left[left_starts[i] : left_starts[i] + size[i]], right[right_starts[i] : right_starts[i] + size[i]])
     return same
 
 

@@ -446,6 +446,26 @@ def test_verdicts_by_brute_force(spark):
     assert set(want) == {"allow", "block"} and [got[i] for i in range(len(urls))] == want
 
 
+def test_segments_with_one_hash_are_told_apart(monkeypatch):
+    from gatewise.llm import textkit
+    from gatewise.llm.segments import SegmentEncoder
+
+    monkeypatch.setattr(textkit, "span_hashes", lambda data, starts, ends, salt=0: ((ends - starts) % 3).astype(np.uint64))  # a poor one
+    asked = []
+
+    def encode(pieces):
+        asked.append(len(pieces))
+        return [np.frombuffer(p, np.uint8).astype(np.int32) for p in pieces]
+
+    encoder = SegmentEncoder(encode, lambda data: data == 32)
+    for texts in (["one two six", "", " ten  two", "x" * 100 + " " + "y" * 100], ["six one " + "y" * 100 + " two"]):
+        raw = "".join(texts).encode()
+        off = np.cumsum([0, *map(len, texts)])
+        ids, first = encoder.block(off, np.frombuffer(raw, np.uint8))
+        assert bytes(ids.tolist()) == raw and first.tolist() == off.tolist()
+    assert len(encoder.hashes) == 3 and len(asked) >= 3
+
+
 def test_near_duplicates_of_rows_without_id_and_of_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
