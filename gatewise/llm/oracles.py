@@ -7,13 +7,19 @@ from collections.abc import Mapping, Sequence
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z alone.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-#: Unsigned crc32 of the UTF-8 bytes of ``text``, by the reflected polynomial 0xEDB88320.
-CRC32_CTES = """crc_table AS (
+
+
+def crc_ctes(strings: str) -> str:
+    """CTEs up to ``crcs`` (text, text_crc32): unsigned crc32 of the UTF-8 bytes of the distinct ``text`` of a query, by the reflected polynomial 0xEDB88320."""
+    return f"""crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), hexed AS (SELECT DISTINCT coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+), hexed AS (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM ({strings}))),
 bytes_of AS (SELECT text, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM hexed),
 crcs AS (SELECT text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes_of, crc_table)"""
 
+
+CRC32_CTES = crc_ctes("SELECT coalesce(text, '') AS text FROM documents")
+
 #: Two documents of a similarity of 0.8 share one of the rarest shingles of each (as many as may be missing, and one more).
 OP1 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS words FROM documents),
@@ -220,3 +226,74 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """
+
+
+#: A place belongs to a stretch of period p if its six words come again p words later; six are equal in every stretch that a run needs.
+OP11 = rf"""
+WITH {crc_ctes("SELECT CAST(doc_id AS VARCHAR) AS text FROM documents WHERE doc_id IS NOT NULL")},
+split AS (SELECT doc_id, text_crc32 AS h, regexp_extract_all(coalesce(d.text, ''), '{WORD}') AS w FROM documents d LEFT JOIN crcs ON crcs.text = CAST(doc_id AS VARCHAR)),
+sized AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM split),
+t AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8)) + 1] END) ELSE w END AS w FROM sized
+), grams AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM t, unnest(range(0, n - 5)) AS u(i)),
+places AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+stretches AS (SELECT doc_id, p, min(i) AS s, count(*) + 5 + p AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM places) GROUP BY doc_id, p, island),
+long_ AS (SELECT * FROM stretches WHERE size >= greatest(12, 2 * p)),
+runs AS (SELECT * FROM long_ x WHERE NOT EXISTS (SELECT 1 FROM long_ y WHERE y.doc_id = x.doc_id AND y.p < x.p AND x.p % y.p = 0 AND y.s <= x.s AND x.s + x.size <= y.s + y.size)),
+told AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': s, 'size': size, 'p': p}}, {{'a': -size, 'b': s, 'c': p}}) AS best, sha256(string_agg(s || ',' || size || ',' || p || chr(10), '' ORDER BY s, p)) AS runs_sha256 FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(s + p, s + size)) AS u(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM t) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.size AS length, best.p AS period, 1000 * best.size // best.p AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12(terms: Sequence[Sequence], phrases: Sequence[tuple[Sequence[str], str]], rarest: int, least: float) -> str:
+    """terms: (label, words, key phrases as words); phrases: (words, label). All starts of all templates are weighed."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({t}, {y}, {text(w)})" for t, (_, words, _) in enumerate(terms) for y, w in enumerate(words))
+    labels = ", ".join(f"({t}, {text(label)}, {len(words)})" for t, (label, words, _) in enumerate(terms))
+    keys = ", ".join(f"({t}, {k}, {len(key)}, {text(' '.join(key))})" for t, (*_, own) in enumerate(terms) for k, key in enumerate(own))
+    spoken = ", ".join(f"({len(words)}, {text(' '.join(words))}, {text(label)})" for words, label in phrases)
+    return rf"""
+WITH tpl(t, y, word) AS (VALUES {rows}), named(t, label, size) AS (VALUES {labels}), keys(t, k, size, phrase) AS (VALUES {keys}), phrases(size, phrase, label) AS (VALUES {spoken}),
+docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spelt AS (SELECT d, i, w[i + 1] AS word, w FROM docs, unnest(range(0, len(w))) AS u(i)),
+known AS (SELECT d, i, word FROM spelt WHERE word IN (SELECT word FROM tpl)),
+weights AS (SELECT word, ln(1 + ((SELECT count(*) FROM docs) + 1) / (coalesce(files, 0) + 1)) AS weight FROM (SELECT DISTINCT word FROM tpl) LEFT JOIN (SELECT word, count(DISTINCT d) AS files FROM known GROUP BY word) USING (word)),
+total AS (SELECT t, sum(weight) AS total, count(DISTINCT word) AS kinds FROM tpl JOIN weights USING (word) GROUP BY t),
+asked AS (
+  SELECT d, t, word FROM (SELECT DISTINCT d, t, word, weight FROM known JOIN tpl USING (word) JOIN weights USING (word)) QUALIFY row_number() OVER (PARTITION BY d, t ORDER BY weight DESC, word) <= {rarest}
+), starts AS (SELECT d, t, i - y AS s FROM asked JOIN known USING (d, word) JOIN tpl USING (t, word) JOIN total USING (t) GROUP BY d, t, i - y HAVING count(DISTINCT word) >= least(2, any_value(kinds))),
+weighed AS (SELECT d, t, s, round(sum(weight) / any_value(total), 6) AS share FROM starts JOIN tpl USING (t) JOIN known USING (d, word) JOIN weights USING (word) JOIN total USING (t) WHERE i = s + y GROUP BY d, t, s),
+found AS (
+  SELECT d, label, share FROM weighed x JOIN named USING (t) JOIN docs USING (d)
+  WHERE share >= {least} AND NOT EXISTS (SELECT 1 FROM keys WHERE keys.t = x.t AND strpos(' ' || array_to_string(w[greatest(s, 0) + 1 : s + named.size], ' ') || ' ', ' ' || phrase || ' ') = 0)
+), base AS (SELECT d, i, label FROM spelt JOIN phrases ON word = split_part(phrase, ' ', 1) AND array_to_string(w[i + 1 : i + phrases.size], ' ') = phrase),
+told AS (SELECT d, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY d),
+both_ AS (SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT d, label FROM base UNION ALL SELECT d, label FROM found) GROUP BY d),
+best AS (SELECT d, max(share) AS score FROM found GROUP BY d)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN told USING (d) LEFT JOIN both_ USING (d) LEFT JOIN best USING (d)
+"""
+
+
+#: A node is the keys of its turns, joined; those in its subtree begin with it.
+OP13 = rf"""
+WITH {crc_ctes("SELECT CAST(conv_id AS VARCHAR) AS text FROM conversations WHERE conv_id IS NOT NULL")},
+keyed AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k, n) AS turns FROM keyed GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1 : text_crc32 % 4], []), c.turns[text_crc32 % 4 + 1 : ]) AS turns
+  FROM own c JOIN crcs ON crcs.text = CAST(c.conv_id AS VARCHAR) LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+  SELECT conv_id, d AS depth, array_to_string(list_transform(turns[1 : d], lambda x: x.k), '') AS path, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS n, d = len(turns) AS ends FROM built, unnest(range(0, len(turns) + 1)) AS u(d)
+), nodes AS (
+  SELECT depth, path, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM members GROUP BY depth, path
+), kids AS (SELECT depth - 1 AS depth, left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, path)),
+below AS (SELECT path, depth AS own, unnest(range(0, depth + 1)) AS depth, n_convs, n, n_children FROM full_),
+sums AS (SELECT depth, left(path, 32 * depth) AS path, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens FROM below GROUP BY ALL)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums USING (depth, path) LEFT JOIN nodes up ON f.depth > 0 AND up.depth = f.depth - 1 AND up.path = left(f.path, 32 * (f.depth - 1))
+"""
