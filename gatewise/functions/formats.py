@@ -13,7 +13,7 @@ def csv_number(x: Column, digits: int = 4, missing: str = "NA") -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number with so many decimals, rounded by its exact binary value (``format_string`` would round its shortest decimal form)."""
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def finite(x: Column) -> Column:
@@ -31,10 +31,10 @@ def utc_date(seconds: Column) -> Column:
 
 
 def file_token(path: Column, channels: list[str]) -> Column:
-    """The longest channel name (without "-A") found in a file name, the first of equals; null if none."""
+    """The channel whose name (without "-A") is the longest found in a file name as it is written, the first of equals; null if none."""
     out = F.lit(None).cast("string")
     for c in sorted(reversed(channels), key=lambda c: len(c.removesuffix("-A"))):
-        out = F.when(F.contains(F.upper(path), F.lit(c.removesuffix("-A").upper())), c).otherwise(out)
+        out = F.when(F.contains(path, F.lit(c.removesuffix("-A"))), c).otherwise(out)
     return out
 
 

@@ -7,14 +7,14 @@ import sys
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..model import Panel, Transform
+from .binding import let
 
-TERMS = 16
+#: Terms of the series near zero, steps of the root finder in Columns.
+TERMS, STEPS = 16, 6
 
 
 class Logicle:
@@ -103,13 +103,25 @@ def asinh(x: Column) -> Column:
 
 
 def _logicle_column(x: Column, tf: Transform) -> Column:
-    t, w, m, a = tf.t, tf.w, tf.m, tf.a
-
-    @pandas_udf("double")
-    def scale(values: pd.Series) -> pd.Series:
-        return pd.Series(logicle(t, w, m, a).forward(values.to_numpy()))
-
-    return F.when(x.isNotNull(), scale(F.coalesce(x, F.lit(0.0))))
+    """Halley's iteration from a line near zero, else from the exponential: its error is cubed by each step, so ``STEPS`` reach the last digits."""
+    k = logicle(tf.t, tf.w, tf.m, tf.a)
+    v = F.abs(x)
+
+    def step(s: Column) -> Column:
+        def moved(up: Column, down: Column) -> Column:
+            near, z = F.lit(0.0), s - k.x1
+            for c in reversed(k.taylor):
+                near = (near + c) * z
+            y = F.when(s < k.series_to, near).otherwise(up + k.f - down) - v
+            d1, d2 = k.b * up + k.d * down, k.b * k.b * up - k.d * k.d * down
+            return let(F.try_divide(y, d1 * (1 - y * d2 / (2 * d1 * d1))), lambda d: F.when(F.abs(d) < float("inf"), s - d).otherwise(s))
+
+        return let(k.a * F.exp(k.b * s), lambda up: let(k.c * F.exp(-k.d * s), lambda down: moved(up, down)))
+
+    start = F.when(v < k.a, k.x1 + v / k.taylor[0]).otherwise(F.ln(v / k.a) / k.b)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: step(s))
+    s = F.when(v == 0, k.x1).when(x < 0, 2 * k.x1 - found).otherwise(found)
+    return F.when(v < float("inf"), s).otherwise(x) * k.m
 
 
 def forward(x: Column, tf: Transform) -> Column:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from ..functions.formats import finite
-from ..functions.transforms import asinh, forward, inverse_value
+from ..functions.transforms import asinh, forward, inverse
 from ..model import Gate, Panel, Transform
 from .compensation import Spillover
 
@@ -34,34 +34,53 @@ def histogram(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFr
     return counts.select(*by, "lo", "hi", "n", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias("counts"))
 
 
-def valley(counts: list[int], lo: float, hi: float) -> tuple[float, float] | None:
-    """(threshold, depth) between the two tallest peaks of a smoothed histogram; None without two peaks."""
-    n = len(counts)
-    if sum(counts) < FEWEST or hi <= lo:
-        return None
-    w, y = max(n // 48, 1), np.array(counts, float)
+def valley(counts: Column, lo: Column, hi: Column, n: Column, bins: int) -> Column:
+    """Struct (threshold, depth) of the valley between the two tallest peaks of a histogram of ``bins`` counts; null without two peaks.
+
+    Counts are smoothed three times by a moving mean that is cut off at the ends; a peak isn't at an end, is no lower than its
+    neighbours and higher than one, and has 2 % of the greatest height. The valley is the first lowest bin between.
+    """
+    w, at = max(bins // 48, 1), lambda y, i: F.get(y, i.cast("int"))
+
+    def smoothed(y: Column) -> Column:
+        def mean(i: Column) -> Column:
+            first, last = F.greatest(i - w, F.lit(0)), F.least(i + w, F.lit(bins - 1))
+            return F.aggregate(F.slice(y, first + 1, last - first + 1), F.lit(0.0), lambda a, x: a + x) / (last - first + 1)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), mean)
+
+    def between(y: Column, top: Column) -> Column:
+        peak = lambda i: (at(y, i) >= at(y, i - 1)) & (at(y, i) >= at(y, i + 1)) & ((at(y, i) > at(y, i - 1)) | (at(y, i) > at(y, i + 1))) & (at(y, i) >= 0.02 * top)
+        peaks = F.filter(F.sequence(F.lit(1), F.lit(bins - 2)), peak)
+        tallest = F.slice(F.sort_array(F.transform(peaks, lambda i: F.struct((-at(y, i)).alias("y"), i.alias("i")))), 1, 2)
+
+        def cut(two: Column) -> Column:
+            first, last = F.least(two[0]["i"], two[1]["i"]), F.greatest(two[0]["i"], two[1]["i"])
+            low = F.array_min(F.transform(F.sequence(first, last), lambda i: F.struct(at(y, i).alias("y"), i.alias("i"))))
+            shorter = -F.greatest(two[0]["y"], two[1]["y"])
+            depth = F.when(shorter > 0, F.least(F.greatest((shorter - low["y"]) / shorter, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+            return F.struct((lo + (low["i"] + 0.5) / bins * (hi - lo)).alias("threshold"), depth.alias("depth"))
+
+        return let(tallest, lambda two: F.when(F.size(two) == 2, cut(two)))
+
+    found = F.transform(counts, lambda c: c.cast("double"))
     for _ in range(3):
-        y = np.array([y[max(i - w, 0) : i + w + 1].mean() for i in range(n)])
-    peaks = [i for i in range(1, n - 1) if y[i] >= y[i - 1] and y[i] >= y[i + 1] and (y[i] > y[i - 1] or y[i] > y[i + 1]) and y[i] >= 0.02 * y.max()]
-    if len(peaks) < 2:
-        return None
-    first, second = sorted(sorted(peaks, key=lambda i: -y[i])[:2])
-    at = first + int(np.argmin(y[first : second + 1]))
-    low = min(y[first], y[second])
-    depth = min(max((low - y[at]) / low, 0.0), 1.0) if low > 0 else 0.0
-    return float(lo + (at + 0.5) / n * (hi - lo)), float(depth)
+        found = let(found, smoothed)
+    found = let(found, lambda y: let(F.array_max(y), lambda top: between(y, top)))
+    return F.when((n >= FEWEST) & (hi > lo) & F.lit(bins >= 3), found)
 
 
-def valley_thresholds(values: DataFrame, value: str, bins: int, by: list[str]) -> dict[tuple, tuple[float, float] | None]:
-    """Threshold for each group; only the histograms come to the driver."""
-    return {tuple(r[c] for c in by): valley(list(r["counts"]), r["lo"], r["hi"]) for r in histogram(values, value, bins, by).collect()}
+def valley_table(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
+    """(by, threshold, depth, top): the valley of each group's finite values and the greatest of them; null without a valley. One plan for any number of groups."""
+    h = histogram(values, value, bins, by).withColumn("_v", valley(F.col("counts"), F.col("lo"), F.col("hi"), F.col("n"), bins))
+    return h.select(*by, F.col("_v.threshold").alias("threshold"), F.col("_v.depth").alias("depth"), F.col("hi").alias("top"))
 
 
 def mode_of(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
-    """(by, mode): centre of the fullest bin, the last of equals."""
+    """(by, mode): centre of the fullest bin, the last of equals; null if all values are the same."""
     h = histogram(values, value, bins, by)
     best = F.array_max(F.transform("counts", lambda n, i: F.struct(n.alias("n"), i.alias("i"))))
-    return h.select(*by, F.when(F.col("hi") > F.col("lo"), F.col("lo") + (best["i"] + 0.5) / bins * (F.col("hi") - F.col("lo"))).otherwise(F.col("lo")).alias("mode"))
+    return h.select(*by, F.when(F.col("hi") > F.col("lo"), F.col("lo") + (best["i"] + 0.5) / bins * (F.col("hi") - F.col("lo"))).alias("mode"))
 
 
 def values_at_ranks(values: DataFrame, value: str, shares: tuple[float, ...], by: list[str], bins: int = 1024) -> DataFrame:
@@ -84,20 +103,23 @@ def values_at_ranks(values: DataFrame, value: str, shares: tuple[float, ...], by
 
 
 def singlet_vertices(events: DataFrame, area: str, height: str, by: list[str], tolerance: float = 0.15) -> DataFrame:
-    """(by, a_lo, a_hi, ratio, vertices): a band of area to height ratios about their mode.
+    """(by, h_lo, h_hi, slope, vertices): a band of areas about the mode of the area to height ratio, between two heights.
 
-    Edges in area are the values at 2 % and 98 % of the sorted areas of events with a positive height, by truncated index.
+    The heights are the values at 2 % and 98 % of the sorted positive heights, by truncated index; ratios are those of events between them, their mode
+    of 64 bins. Groups with fewer than 50 heights or ratios, one height alone or no positive slope have no row. Vertices are (area, height).
     """
-    clean = events.select(*by, finite(F.col(area)).alias("a"), finite(F.col(height)).alias("h")).where("a IS NOT NULL AND h > 0")
-    ends = values_at_ranks(clean, "a", (0.02, 0.98), by).withColumnsRenamed({"at0": "a_lo", "at1": "a_hi"})
-    ratio = mode_of(clean.withColumn("r", F.col("h") / F.when(F.col("a") != 0, F.col("a"))), "r", 64, by).withColumnRenamed("mode", "ratio")
-    out = ends.join(ratio, by)
-    corner = lambda a, t: F.array(F.col(a), F.col(a) * F.col("ratio") * (1 + t))
-    return out.withColumn("vertices", F.array(corner("a_lo", tolerance), corner("a_hi", tolerance), corner("a_hi", -tolerance), corner("a_lo", -tolerance)))
+    clean = events.select(*by, finite(F.col(area)).alias("a"), finite(F.col(height)).alias("h")).where("h > 0")
+    many = clean.groupBy(*by).agg(F.count("h").alias("_heights")).where(F.col("_heights") >= FEWEST)
+    core = values_at_ranks(clean, "h", (0.02, 0.98), by).withColumnsRenamed({"at0": "h_lo", "at1": "h_hi"}).join(many, by).where("h_hi > h_lo").select(*by, "h_lo", "h_hi")
+    ratios = clean.join(core, by).where("a IS NOT NULL AND h BETWEEN h_lo AND h_hi").select(*by, (F.col("a") / F.col("h")).alias("r"))
+    enough = ratios.groupBy(*by).agg(F.count("r").alias("_ratios")).where(F.col("_ratios") >= FEWEST)
+    out = core.join(mode_of(ratios, "r", 64, by).withColumnRenamed("mode", "slope"), by).join(enough.select(*by), by).where("slope > 0")
+    corner = lambda h, t: F.array(F.col("slope") * F.col(h) * (1 + t), F.col(h))
+    return out.withColumn("vertices", F.array(corner("h_lo", -tolerance), corner("h_hi", -tolerance), corner("h_hi", tolerance), corner("h_lo", tolerance)))
 
 
 def singlet_gate(id: int, panel: Panel, events: DataFrame, parent: int | None = None, tolerance: float = 0.15) -> Gate | None:
-    """The suggested singlet gate of one population's events on area and height of forward scatter; None if the panel hasn't both or no event is left."""
+    """The suggested singlet gate of one population's events on area and height of forward scatter; None if the panel hasn't both or there is no band."""
     area, height = forward_scatter(panel, "A"), forward_scatter(panel, "H")
     if area is None or height is None:
         return None
@@ -119,16 +141,11 @@ def auto_threshold(id: int, panel: Panel, events: DataFrame, channel: str, trans
     if column is None:
         return None
     shown = events.select(forward(F.col(column).cast("double"), transform).alias("_d"))
-    found = histogram(shown, "_d", 128, []).first()
-    cut = valley(list(found["counts"]), found["lo"], found["hi"]) if found else None
-    return replace(threshold_gate(id, channel, cut, max(found["hi"], cut[0]), parent, transform), name=f"{channel}+ (auto)") if cut else None
-
-
-def threshold_gate(id: int, channel: str, found: tuple[float, float] | None, top: float, parent: int | None = None, transform: Transform = Transform()) -> Gate | None:  # noqa: B008
-    """Range gate from a valley to the greatest value."""
-    if found is None:
+    found = valley_table(shown, "_d", 128, []).first()
+    if found is None or found["threshold"] is None:
         return None
-    return Gate(id, f"{channel}+", {"shape": "range", "x_min": found[0], "x_max": top}, parent, channel, channel, transform, transform)
+    top = max(found["top"], found["threshold"])
+    return Gate(id, f"{channel}+ (auto)", {"shape": "range", "x_min": found["threshold"], "x_max": top}, parent, channel, channel, transform, transform)
 
 
 @dataclass(frozen=True)
@@ -139,78 +156,87 @@ class Controls:
     stains: tuple[str, ...]
 
 
-def positive_medians(events: DataFrame, gate: Column, columns: list[str], by: str) -> DataFrame:
-    """(by, medians): of events over the valley of asinh(x / 150) of their ``gate`` value, or of all if fewer than 50 are over it."""
-    shown = events.withColumn("_d", asinh(finite(gate) / COFACTOR))
-    cuts = {k[0]: v[0] for k, v in valley_thresholds(shown, "_d", 128, [by]).items() if v}
-    cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])[F.col(by)] if cuts else F.lit(None).cast("double")
-    shown = shown.withColumn("_p", F.coalesce(F.col("_d") > cut, F.lit(False)))
-    med = lambda c: F.when(F.count_if(F.col("_p")) >= FEWEST, F.percentile(F.when(F.col("_p"), finite(F.col(c))), F.lit(0.5))).otherwise(F.percentile(finite(F.col(c)), F.lit(0.5)))
-    return shown.groupBy(by).agg(*[F.coalesce(med(c), F.lit(0.0)).alias(c) for c in columns])
-
+def spillover_table(events: DataFrame, panel: Panel, controls: Controls, sample: str = "sample_id") -> DataFrame:
+    """(control, source, target, value, reason): the spillover rows of single-stained controls, or why a control gives none.
 
-def compute_spillover(events: DataFrame, panel: Panel, controls: Controls, sample: str = "sample_id") -> Spillover:
-    """Matrix from single-stained controls: medians over background, by the primary channel of each control.
-
-    All controls go through each pass together; a row for each of them comes to the driver.
+    A control's primary channel has the greatest median over the unstained control's, the last of equals. Its row are the medians of its positive events
+    over background, by the primary one: events over the valley of asinh(x / 150) in that channel, or all if fewer than 50 are over it. All controls
+    go through each pass together; what is joined with events are tables of a row for each control.
     """
     names, columns = zip(*panel.fluorescence(), strict=True)
-    if len(controls.stains) != len(names):
-        raise ValueError("there is one control for each channel")
+    middle = lambda x: F.coalesce(F.percentile(x, F.lit(0.5)), F.lit(0.0))
     events = events.where(F.col(sample).isin(controls.unstained, *controls.stains))
-    row_of = lambda df: {r[sample]: np.array([r[c] or 0.0 for c in columns]) for r in df.collect()}
-    plain = row_of(events.groupBy(sample).agg(*[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in columns]))
-    if lost := [s for s in (controls.unstained, *controls.stains) if s not in plain]:
-        raise ValueError(f"controls without events: {', '.join(lost)}")
-    background, primary = plain[controls.unstained], {}
-    for stain in controls.stains:
-        at = int(len(columns) - 1 - np.argmax((plain[stain] - background)[::-1]))  # the last of equals
-        if (plain[stain] - background)[at] <= 0 or at in primary.values():
-            raise ValueError(f"{stain}: no signal, or its channel is another control's")
-        primary[stain] = at
-    gate = F.lit(None).cast("double")
-    for stain, at in primary.items():
-        gate = F.when(F.col(sample) == stain, F.col(columns[at])).otherwise(gate)
-    bright = row_of(positive_medians(events.where(F.col(sample) != controls.unstained), gate, list(columns), sample))
-    rows = {}
-    for stain, at in primary.items():
-        row = bright[stain] - background
-        if row[at] <= 0:
-            raise ValueError(f"{stain}: no positive signal")
-        rows[at] = row / row[at]
-    return Spillover(names, tuple(tuple(float(x) for x in rows[i]) for i in range(len(names))))
-
-
-def residual(x: Column, y: Column, cut: Column) -> Column:
-    """(median y over the cut - under) / (median x over - under), as an aggregate; null with fewer than 20 on a side or no spread in x."""
-    ok = finite(x).isNotNull() & finite(y).isNotNull()
-    over, under = ok & (x > cut), ok & ~(x > cut)
-    med = lambda v, m: F.percentile(F.when(m, v), F.lit(0.5))
-    dx = med(x, over) - med(x, under)
-    return F.when((F.count_if(over) >= 20) & (F.count_if(under) >= 20) & (F.abs(dx) >= 1e-6), (med(y, over) - med(y, under)) / dx)
-
-
-def display_cuts(events: DataFrame, panel: Panel, transforms: Mapping[str, Transform] | None = None, bins: int = 160, least_depth: float = 0.05) -> dict[str, float]:
-    """Cut of each fluorescence channel in data space: the valley of its display values over all samples, if it is deep enough."""
+    plain = events.groupBy(sample).agg(F.array(*[middle(finite(F.col(c))) for c in columns]).alias("_plain"))
+    bare = F.max(F.when(F.col(sample) == controls.unstained, F.col("_plain"))).over(Window.partitionBy(F.lit(0)))
+    plain = plain.withColumn("_background", bare).where(F.col(sample) != controls.unstained)
+    signal = F.zip_with("_plain", "_background", lambda x, b: x - b)
+    best = F.array_max(F.transform(signal, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    stains = plain.select(sample, "_background", best.alias("_best"))
+    place = F.get(F.array(*[F.col(c).cast("double") for c in columns]), F.col("_best.i"))
+    shown = events.join(stains.select(sample, "_best"), sample).withColumn("_d", asinh(place / COFACTOR))
+    shown = shown.join(valley_table(shown, "_d", 128, [sample]).select(sample, "threshold"), sample, "left")
+    shown = shown.withColumn("_p", F.col("threshold").isNull() | (F.coalesce(F.col("_d") > F.col("threshold"), F.lit(False)) & ~F.isnan("_d")))
+    picked = lambda c: F.when(F.count_if(F.col("_p")) >= FEWEST, middle(F.when(F.col("_p"), finite(F.col(c))))).otherwise(middle(finite(F.col(c))))
+    bright = shown.groupBy(sample).agg(F.array(*[picked(c) for c in columns]).alias("_bright"))
+    wanted = events.sparkSession.createDataFrame([(s,) for s in controls.stains], f"{sample} string")
+    rows = wanted.join(stains, sample, "left").join(bright, sample, "left").withColumn("_row", F.zip_with("_bright", "_background", lambda x, b: x - b))
+    own, taken = F.get("_row", F.col("_best.i")), F.count_if(F.col("_best.v") > 0).over(Window.partitionBy("_best.i"))
+    reason = F.when(F.lit(len(controls.stains) != len(names)), "there is one control for each channel").when(F.col("_best").isNull(), "the control or the unstained one has no events")
+    reason = reason.when(~(F.col("_best.v") > 0), "no signal").when(taken > 1, "its channel is another control's").when(~(own > 0), "no positive signal")
+    rows = rows.withColumn("reason", reason).withColumn("source", F.get(F.array(*[F.lit(n) for n in names]), F.col("_best.i")))
+    cells = F.transform(F.array(*[F.lit(n) for n in names]), lambda n, i: F.struct(n.alias("target"), (F.get("_row", i) / own).alias("value")))
+    cells = F.when(F.col("reason").isNull(), cells).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("value"))))
+    return rows.select(F.col(sample).alias("control"), F.when(F.col("reason").isNull(), F.col("source")).alias("source"), "reason", F.inline(cells)).select("control", "source", "target", "value", "reason")
+
+
+def compute_spillover(events: DataFrame, panel: Panel, controls: Controls, sample: str = "sample_id") -> Spillover:
+    """The matrix of ``spillover_table`` on the driver; a control that gives no row is an error."""
+    return Spillover.of_table(spillover_table(events, panel, controls, sample), [n for n, _ in panel.fluorescence()])
+
+
+def display_cuts(events: DataFrame, panel: Panel, transforms: Mapping[str, Transform] | None = None, bins: int = 160, least_depth: float = 0.05, by: str = "sample_id") -> DataFrame:
+    """(by, channel, cut): the valley of each tube's display values of each fluorescence channel, if it is deep enough, in data space."""
     fluor = panel.fluorescence()
     tf = lambda n: (transforms or {}).get(n, Transform("logicle"))
-    long = events.select(F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), forward(F.col(c).cast("double"), tf(n)).alias("_d")) for n, c in fluor])))
-    found = valley_thresholds(long, "_d", bins, ["channel"])
-    return {n: inverse_value(found[n,][0], tf(n)) for n, _ in fluor if found.get((n,)) and found[n,][1] >= least_depth}
+    long = events.select(by, F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), forward(F.col(c).cast("double"), tf(n)).alias("_d")) for n, c in fluor])))
+    found = valley_table(long, "_d", bins, [by, "channel"]).where(F.col("depth") >= least_depth)
+    cut = F.coalesce(*[F.when(F.col("channel") == n, inverse(F.col("threshold"), tf(n))) for n, _ in fluor])
+    return found.select(by, "channel", cut.alias("cut"))
 
 
-def cross_check(events: DataFrame, panel: Panel, cuts: Mapping[str, float] | None = None, by: str = "sample_id", transforms: Mapping[str, Transform] | None = None) -> DataFrame:
-    """Residual spill of each source into each other channel: (by, source, target, residual), in one pass.
+def cross_check(events: DataFrame, panel: Panel, cuts: Mapping[str, float] | DataFrame | None = None, by: str = "sample_id", transforms: Mapping[str, Transform] | None = None) -> DataFrame:
+    """Residual spill of each source into each other channel of each tube: (by, source, target, residual).
 
-    Sources are the channels with a cut; without ``cuts`` these are the valleys of ``display_cuts``.
+    (median of the target over the source's cut - under it) / (the same of the source), of events finite in both; null with fewer than 20 on a side or no spread in the source.
+    Sources are the channels with a cut: one for all tubes (a mapping), or of each tube (by, channel, cut), which are the valleys of ``display_cuts`` if not given.
+    The two sides of a source are groups of their own, so the state of an aggregation grows with the channels, not with their square.
     """
-    fluor, cuts = panel.fluorescence(), display_cuts(events, panel, transforms) if cuts is None else cuts
-    cells = [(s, t, residual(F.col(cs), F.col(ct), F.lit(cuts[s]))) for s, cs in fluor if s in cuts for t, ct in fluor if s != t]
-    if not cells:
-        return events.select(by, F.lit("").alias("source"), F.lit("").alias("target"), F.lit(0.0).alias("residual")).where("false")
-    out = events.groupBy(by).agg(*[r.alias(f"_{i}") for i, (_, _, r) in enumerate(cells)])
-    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.col(f"_{i}").alias("residual")) for i, (s, t, _) in enumerate(cells)])
-    return out.select(by, F.inline(rows))
+    fluor = panel.fluorescence()
+    if isinstance(cuts, Mapping):
+        given = {n: F.lit(float(cuts[n])) if n in cuts else F.lit(None).cast("double") for n, _ in fluor}
+        told = events
+    else:
+        found = display_cuts(events, panel, transforms, by=by) if cuts is None else cuts
+        wide = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("channel", "cut"))).alias("_cuts"))
+        told, given = events.join(wide, by), {n: F.try_element_at("_cuts", F.lit(n)) for n, _ in fluor}
+    sources = F.array(*[F.struct(F.lit(n).alias("source"), finite(F.col(c).cast("double")).alias("_x"), given[n].alias("_cut")) for n, c in fluor])
+    split = told.select(by, *[finite(F.col(c).cast("double")).alias(f"_y{i}") for i, (_, c) in enumerate(fluor)], F.inline(sources)).where("_cut IS NOT NULL AND _x IS NOT NULL")
+
+    def side(i: int) -> Column:
+        y = F.col(f"_y{i}")
+        middle = lambda v: F.percentile(F.when(y.isNotNull(), v), F.lit(0.5))
+        return F.struct(F.count(y).alias("n"), middle(y).alias("y"), middle(F.col("_x")).alias("x"))
+
+    halves = split.groupBy(by, "source", (F.col("_x") > F.col("_cut")).alias("_over")).agg(F.array(*[side(i) for i in range(len(fluor))]).alias("_t"))
+    both = halves.groupBy(by, "source").agg(F.max(F.when(F.col("_over"), F.col("_t"))).alias("_hi"), F.max(F.when(~F.col("_over"), F.col("_t"))).alias("_lo"))
+
+    def cell(i: int, name: str) -> Column:
+        hi, lo = F.get("_hi", F.lit(i)), F.get("_lo", F.lit(i))
+        spread = hi["x"] - lo["x"]
+        value = F.when((hi["n"] >= 20) & (lo["n"] >= 20) & (F.abs(spread) >= 1e-6), (hi["y"] - lo["y"]) / spread)
+        return F.struct(F.lit(name).alias("target"), value.alias("residual"))
+
+    return both.select(by, "source", F.inline(F.array(*[cell(i, n) for i, (n, _) in enumerate(fluor)]))).where("source <> target")
 
 
 def residual_grade(value: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Gate, Panel
-from ..plans.gates import missing_channels
-from .compensation import Spillover, compensate
+from ..plans.gates import gate_channels, missing_channels
+from .compensation import Spillover, compensate, compensate_tubes, tube_matrices
 from .stats import population_stats
 
 
@@ -34,6 +34,21 @@ def batch(panels: Mapping[str, tuple[Panel, DataFrame]], gates: list[Gate], spil
     return (reduce(DataFrame.unionByName, found) if found else None), skipped
 
 
+def batch_tubes(panels: Mapping[str, tuple[Panel, DataFrame]], gates: list[Gate], tubes: DataFrame, override: Spillover | None = None, on: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """(population statistics, skipped tubes with the reason), each tube compensated by the override or by its own matrix.
+
+    ``tubes`` has (sample_id, channels, keywords), ``panels`` the events of the tubes of each panel. A tube is skipped by itself: for channels that gates name
+    and it hasn't, or for a matrix that can't be read, inverted or found in its channels. A tube without a matrix is taken as it is.
+    """
+    lost = F.filter(F.array(*[F.lit(c) for c in gate_channels(gates)]).cast("array<string>"), lambda c: ~F.exists("channels", lambda n: F.upper(n) == F.upper(c)))
+    judged = tubes.withColumn("_lost", lost)
+    absent = judged.where(F.size("_lost") > 0).select("sample_id", F.concat(F.lit("missing channels: "), F.array_join("_lost", ", ")).alias("reason"))
+    matrices = tube_matrices(judged.where(F.size("_lost") == 0), override, on)
+    skipped = absent.unionByName(matrices.where("reason IS NOT NULL").select("sample_id", "reason"))
+    found = [population_stats(compensate_tubes(events, panel, matrices), gates, panel).withColumn("panel", F.lit(name)) for name, (panel, events) in panels.items() if not missing_channels(gates, panel)]
+    return (reduce(DataFrame.unionByName, found) if found else None), skipped
+
+
 def channel_union(panels: list[Panel]) -> list[str]:
     """Channel names of all panels, each once in any case, in the order of their first use."""
     seen: dict[str, str] = {}

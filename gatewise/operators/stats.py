@@ -101,15 +101,15 @@ def stain_index(pos: Column, neg: Column, rsd: Column) -> Column:
 def titration(stats: DataFrame, positive: str, negative: str, channel: str, sample: str = "sample_id") -> DataFrame:
     """(sample, concentration, pct_positive, mfi_pos, mfi_neg, rsd_neg, stain_index) of ``population_stats``.
 
-    The concentration is a number in a ``tag`` column if there is one. Of populations of one name the
-    first counts; samples without the channel or a population are left out.
+    The share is that of the positive population in its parent. The concentration is a number in a ``tag`` column if there is one. Of populations of one name the
+    first counts; one that a sample hasn't leaves its figures undefined. Samples without the channel are left out.
     """
     tag = F.trim("tag").try_cast("double") if "tag" in stats.columns else F.lit(None).cast("double")
     one = lambda name, c: F.min_by(F.when(F.col("population") == name, F.col(c)), F.when(F.col("population") == name, F.col("ord")))
     rows = stats.where(F.upper("channel") == channel.upper()).withColumn("_c", finite(tag)).groupBy(sample).agg(
-        F.max("_c").alias("concentration"), one(positive, "pct_total").alias("pct_positive"), one(positive, "median").alias("mfi_pos"), one(negative, "median").alias("mfi_neg"), one(negative, "rsd").alias("rsd_neg"), F.count_if(F.col("population") == positive).alias("_p"), F.count_if(F.col("population") == negative).alias("_q")
+        F.max("_c").alias("concentration"), one(positive, "pct_parent").alias("pct_positive"), one(positive, "median").alias("mfi_pos"), one(negative, "median").alias("mfi_neg"), one(negative, "rsd").alias("rsd_neg")
     )
-    return rows.where("_p > 0 AND _q > 0").drop("_p", "_q").withColumn("stain_index", stain_index(F.col("mfi_pos"), F.col("mfi_neg"), F.col("rsd_neg")))
+    return rows.withColumn("stain_index", stain_index(F.col("mfi_pos"), F.col("mfi_neg"), F.col("rsd_neg")))
 
 
 def best_titration(rows: DataFrame, sample: str = "sample_id") -> DataFrame:

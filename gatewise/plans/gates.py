@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import forward, forward_value, inverse_value
-from ..model import Gate, Panel, Transform, inside, tree_order
+from ..model import ALL_EVENTS, Gate, Panel, Transform, gate_path, inside, tree_order
 
 DEEPEST = 1000
 
@@ -111,20 +111,40 @@ class GatePlan:
         return events.select("*", *[self.effective(i).alias(f"g{i}") for i in self.known])
 
 
+def gate_channels(gates: list[Gate]) -> list[str]:
+    """Channels that gates name, each once, in the order of their first use; Boolean gates name none."""
+    return list(dict.fromkeys(c for g in gates if g.kind != "boolean" for c in (g.x_channel, g.y_channel)))
+
+
 def missing_channels(gates: list[Gate], panel: Panel) -> list[str]:
-    """Channels that gates name and the panel hasn't; Boolean gates name none."""
-    named = dict.fromkeys(c for g in gates if g.kind != "boolean" for c in (g.x_channel, g.y_channel))
-    return [c for c in named if panel.find(c) is None]
+    """Channels that gates name and the panel hasn't."""
+    return [c for c in gate_channels(gates) if panel.find(c) is None]
 
 
 def missing_by_sample(gates: list[Gate], channels: DataFrame, sample: str = "sample_id") -> DataFrame:
     """(sample, channel): channels that gates name and a sample hasn't; ``channels`` has (sample, name)."""
-    named = dict.fromkeys(c for g in gates if g.kind != "boolean" for c in (g.x_channel, g.y_channel))
-    wanted = channels.select(sample).distinct().select(sample, F.explode(F.array(*[F.lit(c) for c in named]).cast("array<string>")).alias("channel"))
+    wanted = channels.select(sample).distinct().select(sample, F.explode(F.array(*[F.lit(c) for c in gate_channels(gates)]).cast("array<string>")).alias("channel"))
     has = channels.select(sample, F.upper("name").alias("_upper")).distinct()
     return wanted.withColumn("_upper", F.upper("channel")).join(has, [sample, "_upper"], "left_anti").drop("_upper")
 
 
+def deepest_population(events: DataFrame, gates: list[Gate], panel: Panel) -> DataFrame:
+    """``events`` with ``population`` (id of the deepest gate that holds the event with all its ancestors, the first of equals in the list; null in none), its ``depth`` and ``path``.
+
+    Depths are those of the tree, so orphans lie at the top. One scan: labels are a chain of conditions, from the deepest gates on.
+    """
+    plan, depths = GatePlan(gates, panel), {g.id: d for g, d in tree_order(gates)}
+    order = sorted((g for g in gates if plan.known[g.id] is g), key=lambda g: -depths[g.id])
+    label = F.lit(None).cast("int")
+    for g in reversed(order):
+        label = F.when(plan.effective(g.id), g.id).otherwise(label)
+    paths = {g.id: gate_path(gates, g.id) for g in order}
+    of = lambda table, kind: F.coalesce(*[F.when(F.col("population") == i, value) for i, value in table.items()], F.lit(None).cast(kind))
+    told = events.select("*", label.alias("population"))
+    path = of({i: F.array(*[F.lit(n) for n in names]) for i, names in paths.items()}, "array<string>")
+    return told.select("*", of({g.id: F.lit(depths[g.id] + 1) for g in order}, "int").alias("depth"), F.coalesce(path, F.array(F.lit(ALL_EVENTS))).alias("path"))
+
+
 def gate_at(gates: list[Gate], x_channel: str, y_channel: str, x: float, y: float, x_transform: Transform = Transform(), y_transform: Transform = Transform()) -> int | None:  # noqa: B008
     """The deepest gate on two channels that holds a display position of these axes, the first of equals; each gate on axes of its own."""
     best, depths = None, {g.id: d for g, d in tree_order(gates)}

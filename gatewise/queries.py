@@ -7,19 +7,20 @@ discount and tax stand for FSC-A, SSC-A, FITC-A and PE-A, the ship day for Time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import formats
-from .functions.transforms import asinh_panel, forward, inverse, logicle
+from .functions.transforms import asinh_panel, forward, inverse, inverse_value, logicle
 from .model import Gate, Panel, Transform, boolean_gate, quadrant_gates
 from .operators import autogate, qc, stats
-from .operators.batch import batch, channel_names, chart_series
-from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask, spillover_keyword
-from .operators.density import backgate, density, heat_bucket, overlay
-from .plans.gates import GatePlan, missing_by_sample
+from .operators.batch import batch, batch_tubes, channel_names, chart_series
+from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask, spillover_keyword, tube_matrices
+from .operators.density import backgate, contours, density, density_grid, heat_bucket, overlay, stride_sample
+from .operators.selfcheck import compare_probes
+from .plans.gates import GatePlan, deepest_population, missing_by_sample
 from .sources import sinks
 
 PANEL = Panel(("FSC-A", "SSC-A", "FITC-A", "PE-A", "Time"))
@@ -148,7 +149,7 @@ def _channel_stats_sql() -> str:
         f" round(CASE WHEN abs(avg({c})) > 1e-12 THEN 100 * ({sd(c)}) / abs(avg({c})) END, 6) AS cv, round(min({c}), 6) AS min, round(max({c}), 6) AS max, {q(c, 0.05)} AS p05, {q(c, 0.25)} AS p25, {q(c, 0.75)} AS p75, {q(c, 0.95)} AS p95 FROM tubes GROUP BY sample_id"
         for n, c in STATS
     ]
-    return f"WITH {TUBES.replace('l_discount * 1e5 AS c2', 'l_discount * 1e5 AS c2')} " + " UNION ALL ".join(rows).replace("ln(c2)", "ln(CASE WHEN c2 > 0 THEN c2 END)").replace("ln(c3)", "ln(CASE WHEN c3 > 0 THEN c3 END)")
+    return f"WITH {TUBES} " + " UNION ALL ".join(rows).replace("ln(c2)", "ln(CASE WHEN c2 > 0 THEN c2 END)").replace("ln(c3)", "ln(CASE WHEN c3 > 0 THEN c3 END)")
 
 
 def _column_query(out: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
@@ -181,8 +182,7 @@ def _control_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a_spillover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = autogate.compute_spillover(_control_tubes(spark, sf_dir), CONTROL_PANEL, CONTROLS)
-    return spark.createDataFrame([(s, t, round(v, 6)) for s, row in zip(m.channels, m.matrix, strict=True) for t, v in zip(m.channels, row, strict=True)], "source string, target string, value double")
+    return _rounded(autogate.spillover_table(_control_tubes(spark, sf_dir), CONTROL_PANEL, CONTROLS).select("source", "target", "value"))
 
 
 def a_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,42 +214,49 @@ full_ AS (SELECT g.sample_id, g.n_bins, g.bin, coalesce(c, 0) AS c FROM grid g L
 lists AS (SELECT sample_id, n_bins, list(c ORDER BY c) AS s, string_agg(CAST(c AS VARCHAR), ' ' ORDER BY bin) AS counts FROM full_ GROUP BY sample_id, n_bins),
 flow AS (SELECT sample_id, n_bins, counts, list_max(list_transform(s, lambda x: abs(x - greatest(s[CAST(floor(len(s) / 2) AS INTEGER) + 1], 1)) * 100.0 / greatest(s[CAST(floor(len(s) / 2) AS INTEGER) + 1], 1))) AS dev FROM lists)"""
 EV = "ev AS (SELECT event_type AS sample_id, CAST(epoch_us(ts) AS DOUBLE) AS t, value AS c0 FROM events)"
-RANGES = {"FSC-A": 100000.0, "SSC-A": 50.0, "FITC-A": 10000.0, "PE-A": 1.0}
+RANGES = {"FSC-A": 100000.0, "SSC-A": 50.0, "FITC-A": 10000.0, "PE-A": 1.0, "Time": 10400.0}
 
 
 def a_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(qc.margin_shares(tubes(spark, sf_dir), PANEL, RANGES))
 
 
-MARGINS = "marg AS (" + " UNION ALL ".join(f"SELECT sample_id, {i} AS ord, '{n}' AS channel, 100.0 * count(*) FILTER (WHERE {c} >= 0.999 * {RANGES[n]}) / count(*) AS pct FROM tubes GROUP BY sample_id" for i, (n, c) in enumerate(STATS[:3])) + ")"
+MARGINS = "marg AS (" + " UNION ALL ".join(f"SELECT sample_id, {i} AS ord, '{n}' AS channel, 100.0 * count(*) FILTER (WHERE {c} >= 0.999 * {RANGES[n]}) / count(*) AS pct FROM tubes GROUP BY sample_id" for i, (n, c) in enumerate([*STATS[:3], ("Time", "c4")])) + ")"
 
 
 def a_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tubes(spark, sf_dir)
-    viable = stats.gate_counts(t, [CELLS], PANEL).select("sample_id", F.col("pct_parent").alias("viable"))
-    out = qc.qc_scan(t, PANEL, RANGES, "c4", viable)
+    lost = t.where("sample_id = 'NO'").select(F.concat("sample_id", F.lit("-copy")).alias("sample_id"), F.lit("no FCS file").alias("reason")).distinct()
+    out = qc.qc_scan(t, PANEL, RANGES, "c4", ([CELLS, FITC], 2), skipped=lost)
     return _rounded(out.withColumn("flags", F.array_join("flags", "; ")))
 
 
 QC_SQL = f"""WITH {TUBES}, ev AS (SELECT sample_id, c4 AS t FROM tubes), {FLOW}, {MARGINS},
-worst AS (SELECT sample_id, arg_max(channel, pct * 1000 + ord) AS offscale_channel, max(pct) AS offscale_pct FROM marg GROUP BY sample_id),
-v AS (SELECT sample_id, count(*) AS n_events, 100.0 * count(*) FILTER (WHERE {_M[1]}) / count(*) AS viable FROM tubes GROUP BY sample_id)
+worst AS (SELECT sample_id, channel AS offscale_channel, pct AS offscale_pct FROM marg QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY pct DESC, ord DESC) = 1),
+v AS (SELECT sample_id, count(*) AS n_events, coalesce(100.0 * count(*) FILTER (WHERE {_FITC}) / nullif(count(*) FILTER (WHERE {_M[1]}), 0), 0) AS viable FROM tubes GROUP BY sample_id)
 SELECT sample_id, n_events, round(viable, 6) AS viable, round(dev, 6) AS flow_dev, round(offscale_pct, 6) AS offscale_pct, offscale_channel,
-  concat_ws('; ', CASE WHEN n_events < 5000 THEN 'few events' END, CASE WHEN viable < 50 THEN 'low viability' END, CASE WHEN dev > 40 THEN 'uneven flow' END, CASE WHEN offscale_pct > 1 THEN 'off scale' END) AS flags
-FROM v LEFT JOIN flow USING (sample_id) LEFT JOIN worst USING (sample_id)"""
+  concat_ws('; ', CASE WHEN n_events < 5000 THEN 'low events (' || n_events || ')' END, CASE WHEN viable < 50 THEN printf('low viability (%.0f%%)', viable) END, CASE WHEN dev > 40 THEN printf('flow-rate Δ%.0f%%', dev) END, CASE WHEN offscale_pct > 1 THEN printf('%.1f%% off-scale on ', offscale_pct) || offscale_channel END) AS flags
+FROM v LEFT JOIN flow USING (sample_id) LEFT JOIN worst USING (sample_id)
+UNION ALL SELECT DISTINCT 'NO-copy', 0, NULL, NULL, NULL, NULL, 'skipped: no FCS file' FROM tubes WHERE sample_id = 'NO'"""
 
 
 def a_titration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.titration(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"]), "Cells", "Round", "FSC-A").drop("concentration"))
+    return _rounded(stats.titration(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"]), "FITC+", "Round", "fsc-a").drop("concentration"))
 
 
-TITRATION_SQL = f"""WITH {TUBES}, t AS (SELECT sample_id, 100.0 * count(*) FILTER (WHERE {_M[1]}) / count(*) AS pct, quantile_cont(c0, 0.5) FILTER (WHERE {_M[1]}) AS p, quantile_cont(c0, 0.5) FILTER (WHERE {_M[3]}) AS n,
+TITRATION_SQL = f"""WITH {TUBES}, t AS (SELECT sample_id, 100.0 * count(*) FILTER (WHERE {_FITC}) / count(*) FILTER (WHERE {_M[1]}) AS pct, quantile_cont(c0, 0.5) FILTER (WHERE {_FITC}) AS p, quantile_cont(c0, 0.5) FILTER (WHERE {_M[3]}) AS n,
   (quantile_cont(c0, 0.84) FILTER (WHERE {_M[3]}) - quantile_cont(c0, 0.5) FILTER (WHERE {_M[3]})) / 0.995 AS rsd FROM tubes GROUP BY sample_id)
 SELECT sample_id, round(pct, 6) AS pct_positive, round(p, 6) AS mfi_pos, round(n, 6) AS mfi_neg, round(rsd, 6) AS rsd_neg, round(CASE WHEN abs(rsd) >= 1e-9 THEN (p - n) / (2 * rsd) END, 6) AS stain_index FROM t"""
 
 
+def a_titration_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The negative population isn't among the gates: its figures and the index are undefined."""
+    rows = stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"])
+    return _rounded(stats.titration(rows, "FITC+", "Unstained", "FSC-A").drop("concentration"))
+
+
 def a_best_titration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.titration(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"]), "Cells", "Round", "FSC-A")
+    rows = stats.titration(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL, channels=["FSC-A"]), "FITC+", "Round", "FSC-A")
     return _rounded(stats.best_titration(rows)).select("sample_id", "stain_index")
 
 
@@ -290,8 +297,16 @@ def a_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a_singlet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tubes(spark, sf_dir).withColumn("h", F.col("c0") * (0.8 + F.col("c3") / 1e6))
-    return _rounded(autogate.singlet_vertices(t, "c0", "h", ["sample_id"]).drop("vertices"))
+    """Heights and areas that part the three readings of the rule: ratios spread with the tax, areas have a floor."""
+    out = autogate.singlet_vertices(_singlet_tubes(spark, sf_dir), "c0", "h", ["sample_id"])
+    return _rounded(out.select("sample_id", "h_lo", "h_hi", "slope", *[F.element_at(F.element_at("vertices", i), 1).alias(f"area{i}") for i in (1, 2, 3, 4)]))
+
+
+def _singlet_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the events are doublets of twice the area; some heights aren't positive."""
+    t = tubes(spark, sf_dir)
+    height = F.when(F.col("event_idx") % 50 == 0, -1.0).otherwise(F.col("c0") * (0.8 + F.col("c3") / 1e5))
+    return t.select("sample_id", F.when(F.col("event_idx") % 3 == 0, F.col("c0") * 2).otherwise(F.col("c0")).alias("c0"), height.alias("h"))
 
 
 def _mode_ctes(v: str, source: str) -> str:
@@ -300,10 +315,14 @@ b_ AS (SELECT sample_id, lo, hi, least(CAST(floor(({v} - lo) / (hi - lo) * 64) A
 m_ AS (SELECT sample_id, lo, hi, bin FROM b_ QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, bin DESC) = 1)"""
 
 
-SINGLET_SQL = f"""WITH {TUBES}, s AS (SELECT sample_id, c0 AS a, c0 * (0.8 + c3 / 1e6) AS h, c0 * (0.8 + c3 / 1e6) / c0 AS r FROM tubes WHERE c0 * (0.8 + c3 / 1e6) > 0), {_mode_ctes('r', 's')},
-o AS (SELECT sample_id, a, row_number() OVER (PARTITION BY sample_id ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM s)
-SELECT o.sample_id, round(max(a) FILTER (WHERE i = floor((n - 1) * CAST(0.02 AS DOUBLE))), 6) AS a_lo, round(max(a) FILTER (WHERE i = floor((n - 1) * CAST(0.98 AS DOUBLE))), 6) AS a_hi, round(any_value(lo + (bin + 0.5) / 64 * (hi - lo)), 6) AS ratio
-FROM o JOIN m_ USING (sample_id) GROUP BY o.sample_id"""
+SINGLET_SQL = f"""WITH {TUBES}, s AS (
+  SELECT sample_id, CASE WHEN event_idx % 3 = 0 THEN c0 * 2 ELSE c0 END AS a, CASE WHEN event_idx % 50 = 0 THEN -1.0 ELSE c0 * (0.8 + c3 / 1e5) END AS h FROM tubes
+), hs AS (SELECT sample_id, h, row_number() OVER (PARTITION BY sample_id ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM s WHERE h > 0),
+core AS (SELECT sample_id, max(h) FILTER (WHERE i = floor(CAST(0.02 AS DOUBLE) * (n - 1))) AS h_lo, max(h) FILTER (WHERE i = floor(CAST(0.98 AS DOUBLE) * (n - 1))) AS h_hi FROM hs WHERE n >= 50 GROUP BY sample_id),
+rs AS (SELECT sample_id, a / h AS r FROM s JOIN core USING (sample_id) WHERE h_hi > h_lo AND h BETWEEN h_lo AND h_hi), {_mode_ctes('r', 'rs')},
+fit AS (SELECT sample_id, h_lo, h_hi, lo + (bin + 0.5) / 64 * (hi - lo) AS slope FROM core JOIN m_ USING (sample_id) WHERE (SELECT count(*) FROM rs WHERE rs.sample_id = core.sample_id) >= 50)
+SELECT sample_id, round(h_lo, 6) AS h_lo, round(h_hi, 6) AS h_hi, round(slope, 6) AS slope, round(slope * h_lo * (1 - 0.15), 6) AS area1, round(slope * h_hi * (1 - 0.15), 6) AS area2, round(slope * h_hi * (1 + 0.15), 6) AS area3, round(slope * h_lo * (1 + 0.15), 6) AS area4
+FROM fit WHERE slope > 0"""
 
 
 def s_range_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,9 +342,39 @@ def s_spillover_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = density(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), (0.0, 100000.0, 0.0, 50.0), 20)
-    top = F.max("n").over(Window.partitionBy(F.lit(0)))
-    return grid.select("bx", "by_", heat_bucket(F.col("n"), top).alias("bucket"))
+    grid = density_grid(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), ["sample_id"], 20)
+    top = grid.groupBy("sample_id").agg(F.max("n").alias("top"))
+    return grid.join(top, "sample_id").select("sample_id", "bx", "by_", heat_bucket(F.col("n"), F.col("top")).alias("bucket"))
+
+
+def _grid_sql(bins: int) -> str:
+    """CTEs up to ``g``: counts of each tube's grid over its own extent."""
+    at = lambda v, lo, hi: f"CAST(floor(least(greatest(({v} - {lo}) / ({hi} - {lo}) * {bins}, 0), {bins - 1})) AS INTEGER)"
+    return f"""{TUBES}, box AS (SELECT sample_id, min(c0) AS x0, max(c0) AS x1, min(c1) AS y0, max(c1) AS y1 FROM tubes GROUP BY sample_id),
+g AS (SELECT sample_id, x0, x1, y0, y1, {at('c0', 'x0', 'x1')} AS bx, {at('c1', 'y0', 'y1')} AS by_, count(*) AS n FROM tubes JOIN box USING (sample_id) GROUP BY ALL)"""
+
+
+def a_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours of a grid in which doublets make a second ridge, so that saddles occur."""
+    grid = density_grid(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), ["sample_id"], 24)
+    return _rounded(contours(grid, ["sample_id"], 24), 8)
+
+
+def _contours_sql(bins: int) -> str:
+    cases = "(1,0,'l','b'), (14,0,'l','b'), (2,0,'b','r'), (13,0,'b','r'), (3,0,'l','r'), (12,0,'l','r'), (4,0,'r','t'), (11,0,'r','t'), (6,0,'b','t'), (9,0,'b','t'), (7,0,'l','t'), (8,0,'l','t'), (5,0,'l','b'), (5,1,'r','t'), (10,0,'b','r'), (10,1,'t','l')"
+    f = lambda a, b: f"CASE WHEN abs({b} - {a}) < 1e-12 THEN 0.5 ELSE least(greatest((lev - {a}) / ({b} - {a}), 0), 1) END"
+    pick = lambda e, c: "CASE " + " ".join(f"WHEN {e} = '{k}' THEN {k}{c}" for k in "brtl") + " END"
+    return f"""WITH {_grid_sql(bins)},
+full_ AS (SELECT box.*, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, coalesce(n, 0) AS n FROM box CROSS JOIN range(0, {bins}) a(i) CROSS JOIN range(0, {bins}) b(j) LEFT JOIN g ON g.sample_id = box.sample_id AND g.bx = i AND g.by_ = j),
+cells AS (SELECT a.*, CAST(a.n AS DOUBLE) AS va, CAST(b.n AS DOUBLE) AS vb, CAST(c.n AS DOUBLE) AS vc, CAST(d.n AS DOUBLE) AS vd, max(a.n) OVER (PARTITION BY a.sample_id) AS inner_top
+  FROM full_ a JOIN full_ b ON b.sample_id = a.sample_id AND b.i = a.i + 1 AND b.j = a.j JOIN full_ c ON c.sample_id = a.sample_id AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN full_ d ON d.sample_id = a.sample_id AND d.i = a.i AND d.j = a.j + 1),
+tops AS (SELECT sample_id, max(n) AS top FROM g GROUP BY sample_id),
+levelled AS (SELECT cells.*, f AS level, f * top AS lev FROM cells JOIN tops USING (sample_id), (VALUES (CAST(0.04 AS DOUBLE)), (0.10), (0.20), (0.35), (0.55), (0.80)) l(f)),
+ends AS (SELECT *, CASE WHEN va > lev THEN 1 ELSE 0 END + CASE WHEN vb > lev THEN 2 ELSE 0 END + CASE WHEN vc > lev THEN 4 ELSE 0 END + CASE WHEN vd > lev THEN 8 ELSE 0 END AS k,
+  x0 + (i + 0.5) * (x1 - x0) / {bins} AS xi, x0 + (i + 1.5) * (x1 - x0) / {bins} AS xj, y0 + (j + 0.5) * (y1 - y0) / {bins} AS yi, y0 + (j + 1.5) * (y1 - y0) / {bins} AS yj FROM levelled),
+edges AS (SELECT *, xi + {f('va', 'vb')} * (xj - xi) AS bx_, yi AS by__, xj AS rx_, yi + {f('vb', 'vc')} * (yj - yi) AS ry_, xj + {f('vc', 'vd')} * (xi - xj) AS tx_, yj AS ty_, xi AS lx_, yj + {f('vd', 'va')} * (yi - yj) AS ly_ FROM ends)
+SELECT sample_id, level, i, j, part, round({pick('e1', 'x_')}, 8) AS xa, round({pick('e1', 'y_').replace('by_', 'by__')}, 8) AS ya, round({pick('e2', 'x_')}, 8) AS xb, round({pick('e2', 'y_').replace('by_', 'by__')}, 8) AS yb
+FROM edges JOIN (VALUES {cases}) c(k, part, e1, e2) USING (k)"""
 
 
 def a_stain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,9 +430,14 @@ r AS (SELECT source, m2 - b2 AS c2, m3 - b3 AS c3 FROM med, bg) {cells}"""
 def a_valley(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tubes(spark, sf_dir)
     shown = t.select("sample_id", forward(F.when(F.col("event_idx") % 3 == 0, F.col("c0") / 100).otherwise(F.col("c0")), ASINH).alias("v"))
-    found = autogate.valley_thresholds(shown, "v", 128, ["sample_id"])
-    rows = [(k[0], None if v is None else round(v[0], 6), None if v is None else round(v[1], 6)) for k, v in sorted(found.items())]
-    return spark.createDataFrame(rows, "sample_id string, thr double, depth double")
+    return _rounded(autogate.valley_table(shown, "v", 128, ["sample_id"]).select("sample_id", F.col("threshold").alias("thr"), "depth"))
+
+
+def a_auto_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range gate that each tube's valley suggests, on the display axis."""
+    shown = _bright_tubes(spark, sf_dir).select("sample_id", forward(F.col("c2"), ASINH).alias("v"))
+    found = autogate.valley_table(shown, "v", 128, ["sample_id"]).where("threshold IS NOT NULL")
+    return _rounded(found.select("sample_id", F.col("threshold").alias("x_min"), F.greatest("top", "threshold").alias("x_max")))
 
 
 VALLEY_SQL = f"""WITH {TUBES}, shown AS (SELECT sample_id, asinh(CASE WHEN event_idx % 3 = 0 THEN c0 / 100 ELSE c0 END / 150.0) AS v FROM tubes), {_valley_ctes("shown", "sample_id", 128)}
@@ -393,14 +447,19 @@ BRIGHT = Panel(("FITC-A", "PE-A"), ("c2", "c3"))
 
 
 def _bright_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tubes with a dim and a bright half in either channel."""
+    """Tubes with a dim and a bright half in either channel; how dim depends on the tube."""
     t, odd = tubes(spark, sf_dir), F.col("event_idx") % 3 == 0
     even = F.col("event_idx") % 2 == 0
-    return t.select("sample_id", F.when(odd, F.col("c0")).otherwise(F.col("c1") * 10).alias("c2"), (F.when(even, F.col("c0")).otherwise(F.col("c1") * 10) + F.when(odd, 0.03 * F.col("c0")).otherwise(0.0)).alias("c3"))
+    return t.select("sample_id", F.when(odd, F.col("c0")).otherwise(F.col("c1") * 10 * F.when(F.col("sample_id") < "N", 1).otherwise(3)).alias("c2"), (F.when(even, F.col("c0")).otherwise(F.col("c1") * 10) + F.when(odd, 0.03 * F.col("c0")).otherwise(0.0)).alias("c3"))
+
+
+_BRIGHT_SQL = """b AS (
+  SELECT sample_id, CASE WHEN event_idx % 3 = 0 THEN c0 ELSE c1 * 10 * CASE WHEN sample_id < 'N' THEN 1 ELSE 3 END END AS c2, CASE WHEN event_idx % 2 = 0 THEN c0 ELSE c1 * 10 END + CASE WHEN event_idx % 3 = 0 THEN 0.03 * c0 ELSE 0 END AS c3 FROM tubes
+)"""
 
 
 def a_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Residuals with cuts of its own: valleys of 160 bins."""
+    """Residuals with cuts of each tube's own: valleys of 160 bins."""
     axes = {n: ASINH for n in BRIGHT.channels}
     out = autogate.cross_check(_bright_tubes(spark, sf_dir), BRIGHT, transforms=axes)
     return _rounded(out.withColumn("grade", autogate.residual_grade(F.col("residual"))))
@@ -408,11 +467,10 @@ def a_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cross_check_sql() -> str:
     d = lambda v, c: f"(quantile_cont({v}, 0.5) FILTER (WHERE {c} > cut) - quantile_cont({v}, 0.5) FILTER (WHERE {c} <= cut))"
-    cell = lambda s, cs, t, ct: f"SELECT sample_id, '{s}' AS source, '{t}' AS target, CASE WHEN count(*) FILTER (WHERE {cs} > cut) >= 20 AND count(*) FILTER (WHERE {cs} <= cut) >= 20 AND abs({d(cs, cs)}) >= 1e-6 THEN {d(ct, cs)} / {d(cs, cs)} END AS r FROM b JOIN cuts ON channel = '{s}' GROUP BY sample_id"
-    return f"""WITH {TUBES}, b AS (
-  SELECT sample_id, CASE WHEN event_idx % 3 = 0 THEN c0 ELSE c1 * 10 END AS c2, CASE WHEN event_idx % 2 = 0 THEN c0 ELSE c1 * 10 END + CASE WHEN event_idx % 3 = 0 THEN 0.03 * c0 ELSE 0 END AS c3 FROM tubes
-), long_ AS (SELECT 'FITC-A' AS channel, asinh(c2 / 150.0) AS v FROM b UNION ALL SELECT 'PE-A', asinh(c3 / 150.0) FROM b), {_valley_ctes("long_", "channel", 160)},
-cuts AS (SELECT channel, (exp(thr) - exp(-thr)) / 2 * 150.0 AS cut FROM valley WHERE depth >= 0.05),
+    cell = lambda s, cs, t, ct: f"SELECT sample_id, '{s}' AS source, '{t}' AS target, CASE WHEN count(*) FILTER (WHERE {cs} > cut) >= 20 AND count(*) FILTER (WHERE {cs} <= cut) >= 20 AND abs({d(cs, cs)}) >= 1e-6 THEN {d(ct, cs)} / {d(cs, cs)} END AS r FROM b JOIN cuts USING (sample_id) WHERE channel = '{s}' GROUP BY sample_id"
+    return f"""WITH {TUBES}, {_BRIGHT_SQL},
+long_ AS (SELECT sample_id, 'FITC-A' AS channel, asinh(c2 / 150.0) AS v FROM b UNION ALL SELECT sample_id, 'PE-A', asinh(c3 / 150.0) FROM b), {_valley_ctes("long_", "sample_id, channel", 160)},
+cuts AS (SELECT sample_id, channel, (exp(thr) - exp(-thr)) / 2 * 150.0 AS cut FROM valley WHERE depth >= 0.05),
 cells AS ({cell("FITC-A", "c2", "PE-A", "c3")} UNION ALL {cell("PE-A", "c3", "FITC-A", "c2")})
 SELECT sample_id, source, target, round(r, 6) AS residual, CASE WHEN abs(r) < 0.02 THEN 'good' WHEN abs(r) < 0.05 THEN 'fair' WHEN r IS NOT NULL THEN 'poor' END AS grade FROM cells"""
 
@@ -447,7 +505,7 @@ def p_utc_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", formats.utc_date(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("day"))
 
 
-TOKENS = ["WIDGET-A", "BOLT-A", "LARGE-A", "SMALL BOLT-A", "COLD-A"]
+TOKENS = ["widget-A", "bolt-A", "Bolt-A", "large-A", "small bolt-A", "COLD-A"]
 
 
 def p_file_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +515,7 @@ def p_file_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _token_sql() -> str:
     """The longest token first, the first of equals."""
     order = sorted(TOKENS, key=lambda t: -len(t))
-    return "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(upper(p_name), '{t.removesuffix('-A')}') THEN '{t}'" for t in order) + " END AS token FROM part"
+    return "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(p_name, '{t.removesuffix('-A')}') THEN '{t}'" for t in order) + " END AS token FROM part"
 
 
 CHANNELS_SQL = """channels AS (
@@ -491,8 +549,134 @@ def p_asinh_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a_backgate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, plan = tubes(spark, sf_dir), GatePlan([CELLS, FITC], PANEL)
-    return backgate(t, plan.effective(2), plan.effective(1), 100_000, 20_000).select("event_idx", "sample_id", "inside")
+    plan = GatePlan([CELLS, FITC], PANEL)
+    return backgate(tubes(spark, sf_dir), plan.effective(2), plan.effective(1)).select("event_idx", "sample_id", "layer", "position", "n_members")
+
+
+def a_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every k-th member of a population, for at most about 700 of them."""
+    plan = GatePlan([CELLS, FITC], PANEL)
+    return stride_sample(tubes(spark, sf_dir), plan.effective(2), 700).select("event_idx", "sample_id", "position", "n_members")
+
+
+def _sample_sql(mask: str, most: int) -> str:
+    placed = f"SELECT event_idx, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY event_idx) - 1 AS position, count(*) OVER (PARTITION BY sample_id) AS n_members FROM tubes WHERE {mask}"
+    return f"SELECT * FROM ({placed}) WHERE position % greatest(n_members // least({most}, n_members), 1) = 0"
+
+
+DEEP = [ROUND, CELLS, FITC, DIM, boolean_gate(7, "not", [FITC], parent=1), FIELD]
+
+
+def g_deepest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = deepest_population(tubes(spark, sf_dir), DEEP, PANEL)
+    return told.groupBy("sample_id", "population", "depth", F.array_join("path", " / ").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _deepest_sql() -> str:
+    """Depth 2 first (FITC+, Dim, NOT FITC+ in list order), then depth 1 (Round, Cells, Field)."""
+    chain = [(2, 2, "Cells / FITC+", _FITC), (5, 2, "Cells / Dim", f"({_M[1]} AND {_M[5]})"), (7, 2, "Cells / NOT FITC+", f"({_M[1]} AND NOT {_FITC})"), (3, 1, "Round", _M[3]), (1, 1, "Cells", _M[1]), (4, 1, "Field", _M[4])]
+    said = lambda i, last: "CASE " + " ".join(f"WHEN {c[3]} THEN {c[i]!r}" for c in chain) + f" {last} END"
+    path = "CASE " + " ".join(f"WHEN {c[3]} THEN 'All events / {c[2]}'" for c in chain) + " ELSE 'All events' END"
+    return f"WITH {TUBES} SELECT sample_id, {said(0, '')} AS population, {said(1, '')} AS depth, {path} AS path, count(*) AS n FROM tubes GROUP BY ALL"
+
+
+#: Matrix keyword of each tube: two channels, the same in the other order, three; a singular one, one over a channel that isn't there, none.
+TUBE_SPILL = {
+    "AF": ("$SPILLOVER", "2,FITC-A,PE-A,1,0.08,0.03,1"),
+    "AO": ("SPILL", "2,pe-a,FITC-A,1,0.02,0.1,1,ignored"),
+    "NF": ("$SPILL", "3,FITC-A,SSC-A,PE-A,1,0.01,0.2,0.001,1,0.002,0.05,0.03,1"),
+    "NO": ("SPILLOVER", "2,FITC-A,PE-A,1,0.5,2,1"),
+    "RF": ("SPILL", "2,FITC-A,APC-A,1,0.1,0.1,1"),
+}
+
+
+def _tube_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = tubes(spark, sf_dir).select("sample_id").distinct()
+    words = F.coalesce(*[F.when(F.col("sample_id") == s, F.create_map(F.lit(k), F.lit(v))) for s, (k, v) in TUBE_SPILL.items()], F.create_map(F.lit("$CYT"), F.lit("none")))
+    return names.select("sample_id", F.array(*[F.lit(c) for c in PANEL.channels]).alias("channels"), words.alias("keywords"))
+
+
+def a_tube_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population statistics of tubes that bring their own matrices; two of them can't be compensated."""
+    return _rounded(batch_tubes({"full": (PANEL, tubes(spark, sf_dir))}, TREE, _tube_table(spark, sf_dir))[0])
+
+
+def a_tube_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tubes that a batch skips, with the reason: here every fourth has lost a channel that a gate names, besides those of ``a_tube_batch``."""
+    t = _tube_table(spark, sf_dir).withColumn("channels", F.when(F.col("sample_id") == "RO", F.slice("channels", 2, 3)).otherwise(F.col("channels")))
+    return batch_tubes({}, [*TREE, DIM], t)[1]
+
+
+def p_tube_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each tube's inverse matrix."""
+    m = tube_matrices(_tube_table(spark, sf_dir)).where("columns IS NOT NULL")
+    return _rounded(m.select("sample_id", F.posexplode("columns").alias("target", "column")).select("sample_id", "target", F.posexplode("column").alias("source", "value")))
+
+
+def _tube_batch_sql() -> str:
+    """Each tube's unmixed columns by literals of its own inverse."""
+    import numpy as np
+
+    columns, parts = {n.upper(): c for n, c in zip(PANEL.channels, PANEL.columns, strict=True)}, []
+    for s, (_, text) in TUBE_SPILL.items():
+        if s in ("NO", "RF"):
+            continue
+        parts_ = text.split(",")
+        n = int(parts_[0])
+        own, inv = [columns[x.upper()] for x in parts_[1 : 1 + n]], np.linalg.inv(np.array(parts_[1 + n : 1 + n + n * n], float).reshape(n, n))
+        mixed = {c: " + ".join(f"{r} * {float(inv[i][j])!r}" for i, r in enumerate(own)) for j, c in enumerate(own)}
+        parts.append("SELECT sample_id, event_idx, " + ", ".join(f"{mixed.get(c, c)} AS {c}" for c in PANEL.columns) + f" FROM tubes WHERE sample_id = '{s}'")
+    parts.append("SELECT * FROM tubes WHERE sample_id = 'RO'")
+    return _popstats_sql(POPS, STATS, "own_", f"{TUBES}, own_ AS ({' UNION ALL '.join(parts)})", ", 'full' AS panel")
+
+
+def _tube_inverse_sql() -> str:
+    """Two channels by the closed form, three by cofactors."""
+    rows = []
+    for s, (_, text) in TUBE_SPILL.items():
+        n, v = int(text[0]), text.split(",")
+        m = f"CAST([{', '.join(v[1 + n : 1 + n + n * n])}] AS DOUBLE[])"
+        if s in ("NO", "RF"):
+            continue
+        at = lambda i, j, n=n: f"m[{i % n * n + j % n + 1}]"
+        minor = (lambda i, j: f"({at(i + 1, j + 1)} * {at(i + 2, j + 2)} - {at(i + 1, j + 2)} * {at(i + 2, j + 1)})") if n == 3 else (lambda i, j: f"({'-' if i != j else ''}{at(i + 1, j + 1)})")
+        det = " + ".join(f"{at(0, j)} * {minor(0, j)}" for j in range(n))
+        rows += [f"SELECT '{s}' AS sample_id, {j} AS target, {i} AS source, {minor(j, i)} / ({det}) AS value FROM (SELECT {m} AS m)" for i in range(n) for j in range(n)]
+    return f"SELECT sample_id, target, source, round(value, 6) AS value FROM ({' UNION ALL '.join(rows)}) WHERE sample_id IN (SELECT l_returnflag || l_linestatus FROM lineitem)"
+
+
+def _self_check_sql() -> str:
+    """All values come back, so nothing deviates in six digits; a tenth of one layer's probes aren't there."""
+    n, lost = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM customer WHERE c_custkey % 10 = 0)"
+    row = lambda layer, probes, missing: f"SELECT '{layer}' AS layer, {probes} AS probes, {missing} AS missing, 0 AS unknown, CAST(0 AS DOUBLE) AS max_dev, {missing} = 0 AS pass"
+    return f"WITH {TUBES} " + " UNION ALL ".join([row("asinh", n, 0), row("logicle", n, 0), row("lost", n, lost), row("comp", "(SELECT count(*) FROM (SELECT DISTINCT sample_id, event_idx FROM tubes))", 0)])
+
+
+def a_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values against what they become on an axis and back, and raw events against compensated ones mixed again; one layer lacks probes."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").alias("x"))
+    probe = lambda df, layer, value: df.select(F.lit(layer).alias("layer"), F.lit(None).cast("string").alias("channel"), "key", value.alias("value"))
+    x, axes = F.col("x"), {"asinh": ASINH, "logicle": LOGICLE}
+    golden, computed = [probe(c, n, x) for n in axes], [probe(c, n, inverse(forward(x, tf), tf)) for n, tf in axes.items()]
+    golden.append(probe(c, "lost", x))
+    computed.append(probe(c.where(F.col("key").cast("long") % 10 != 0), "lost", x))
+    t = tubes(spark, sf_dir).groupBy("sample_id", "event_idx").agg(F.max("c2").alias("c2"), F.max("c3").alias("c3")).withColumn("key", F.concat_ws(":", "sample_id", "event_idx"))
+    back = compensate(t, Panel(("FITC-A", "PE-A"), ("c2", "c3")), SPILL).withColumn("value", F.col("c2") + F.lit(SPILL.matrix[1][0]) * F.col("c3"))
+    golden.append(probe(t, "comp", F.col("c2")))
+    computed.append(probe(back, "comp", F.col("value")))
+    rows = [compare_probes(g, k) for g, k in zip(golden, computed, strict=True)]
+    return _rounded(reduce(DataFrame.unionByName, rows))
+
+
+def g_logicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate on a logicle axis, over values that are below zero too."""
+    t = tubes(spark, sf_dir).withColumn("c2", F.col("c2") - 4000.25)
+    return _rounded(stats.gate_counts(t, [Gate(1, "Bright", {"shape": "range", "x_min": 0.1, "x_max": 2.7}, None, "FITC-A", "FITC-A", LOGICLE, LOGICLE)], PANEL))
+
+
+def _logicle_counts_sql() -> str:
+    lo, hi = (inverse_value(y, LOGICLE) for y in (0.1, 2.7))
+    return _counts_sql([("Bright", f"(c2 - 4000.25 BETWEEN {lo!r} AND {hi!r})", "true")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -506,6 +690,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_logicle_inverse": lambda: inverse((y("c_acctbal") + 1000) / 11000 * 4.5, LOGICLE),
     }
     named = (p_compensate, a_channel_stats, a_popstats, a_popstats_empty, a_spillover, a_residual, a_flow_rate, a_margins, a_qc, a_stain_index, a_titration, a_batch, a_histogram, a_density, a_singlet, a_mode, s_range_mask, s_spillover_parse)
+    named += (a_titration_lost, a_contours, a_auto_threshold, a_sample, a_tube_batch, a_tube_rejects, a_self_check, g_deepest, g_logicle, p_tube_inverse)
     named += (a_best_titration, a_heat, s_spillover_keyword, a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
     return {n: _column_query(c) for n, c in columns.items()} | {n: _count_query(n) for n in COUNTS} | {f.__name__: f for f in named}
 
@@ -536,7 +721,17 @@ def oracle_sql() -> dict[str, str]:
         "g_missing_channels": f"WITH {CHANNELS_SQL}, wanted AS (SELECT DISTINCT sample_id, c AS channel FROM channels, unnest(['FSC-A', 'SSC-A', 'FITC-A', 'PE-A']) AS u(c)) SELECT w.sample_id, w.channel FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM channels c WHERE c.sample_id = w.sample_id AND upper(c.name) = upper(w.channel))",
         "a_channel_names": f"WITH {CHANNELS_SQL} SELECT CAST(min(ord) AS BIGINT) AS ord, arg_min(name, ord) AS channel FROM channels WHERE upper(name) <> 'TIME' GROUP BY upper(name)",
         "a_chart": f"WITH {TUBES} SELECT substr(sample_id, 1, 1) AS \"group\", sample_id, round(quantile_cont(c0, 0.5) FILTER (WHERE {_M[1]}), 6) AS value FROM tubes GROUP BY sample_id HAVING count(*) FILTER (WHERE {_M[1]}) > 0",
-        "a_backgate": f"WITH {TUBES} SELECT event_idx, sample_id, {_FITC} AS inside FROM tubes WHERE {_M[1]} AND ({_FITC} OR event_idx % 5 = 0)",
+        "a_backgate": f"WITH {TUBES} SELECT *, 'population' AS layer FROM ({_sample_sql(_FITC, 20000)}) UNION ALL SELECT *, 'parent' FROM ({_sample_sql(_M[1], 8000)})",
+        "a_sample": f"WITH {TUBES} {_sample_sql(_FITC, 700)}",
+        "g_deepest": _deepest_sql(),
+        "g_logicle": _logicle_counts_sql(),
+        "a_contours": _contours_sql(24),
+        "a_tube_batch": _tube_batch_sql(),
+        "a_tube_rejects": f"WITH {TUBES} SELECT DISTINCT sample_id, CASE sample_id WHEN 'NO' THEN 'compensation failed: the matrix is singular' WHEN 'RF' THEN 'compensation failed: no channel APC-A' ELSE 'missing channels: FSC-A' END AS reason FROM tubes WHERE sample_id IN ('NO', 'RF', 'RO')",
+        "p_tube_inverse": _tube_inverse_sql(),
+        "a_self_check": _self_check_sql(),
+        "a_titration_lost": f"SELECT sample_id, pct_positive, mfi_pos, CAST(NULL AS DOUBLE) AS mfi_neg, CAST(NULL AS DOUBLE) AS rsd_neg, CAST(NULL AS DOUBLE) AS stain_index FROM ({TITRATION_SQL})",
+        "a_auto_threshold": f"WITH {TUBES}, {_BRIGHT_SQL}, shown AS (SELECT sample_id, asinh(c2 / 150.0) AS v FROM b), {_valley_ctes('shown', 'sample_id', 128)} SELECT sample_id, round(thr, 6) AS x_min, round(greatest(hi, thr), 6) AS x_max FROM valley JOIN valley_e USING (sample_id)",
         "p_compensate": f"WITH {COMPENSATED} SELECT event_idx, sample_id, round(c2, 6) AS fitc, round(c3, 6) AS pe FROM comp",
         **{n: _counts_sql(rows) for n, (_, rows) in COUNTS.items()},
         "a_channel_stats": _channel_stats_sql(),
@@ -549,7 +744,7 @@ def oracle_sql() -> dict[str, str]:
         "a_stain_index": "SELECT p_partkey, round(CASE WHEN abs(p_size - 10.0) >= 1e-9 THEN (p_retailprice - p_size) / (2 * (p_size - 10.0)) END, 6) AS si FROM part",
         "a_titration": TITRATION_SQL,
         "a_best_titration": f"SELECT sample_id, stain_index FROM ({TITRATION_SQL}) WHERE stain_index IS NOT NULL ORDER BY stain_index DESC, sample_id DESC LIMIT 1",
-        "a_heat": f"WITH {TUBES}, g AS (SELECT {_bin_sql('c0', 100000.0, 20)} AS bx, {_bin_sql('c1', 50.0, 20)} AS by_, count(*) AS n FROM tubes GROUP BY ALL) SELECT bx, by_, CAST(least(floor(sqrt(n / max(n) OVER ()) * 14), 13) AS INTEGER) AS bucket FROM g",
+        "a_heat": f"WITH {_grid_sql(20)} SELECT sample_id, bx, by_, CAST(least(floor(sqrt(n / max(n) OVER (PARTITION BY sample_id)) * 13), 13) AS INTEGER) AS bucket FROM g",
         "s_spillover_keyword": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN n_name WHEN n_nationkey % 2 = 0 THEN 'own' WHEN n_nationkey % 3 = 0 THEN n_name END AS spill FROM nation",
         "a_batch": _batch_sql(),
         "a_histogram": HISTOGRAM_SQL,

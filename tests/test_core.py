@@ -10,9 +10,10 @@ from gatewise.functions.formats import csv_number, file_token, numeric_tag
 from gatewise.functions.transforms import forward, inverse, logicle
 from gatewise.model import Gate, Panel, Session, Transform, boolean_gate, default_transforms, delete_gate, dump_gates, gate_path, load_gates, move_quadrant, quadrant_gates, reparent, tree_order
 from gatewise.operators import autogate, density, qc, stats
-from gatewise.operators.batch import batch, channel_union
-from gatewise.operators.compensation import Spillover, choose_spillover, compensate, range_mask
-from gatewise.plans.gates import GatePlan, data_bounds, gate_at, missing_channels
+from gatewise.operators.batch import batch, batch_tubes, channel_union
+from gatewise.operators.compensation import Spillover, choose_spillover, compensate, compensate_tubes, range_mask, tube_matrices
+from gatewise.operators.selfcheck import compare_probes
+from gatewise.plans.gates import GatePlan, data_bounds, deepest_population, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
 
 # Published asinh(x / 150) and logicle (T 262144, W 0.5, M 4.5, A 0) results.
@@ -140,16 +141,55 @@ def test_spillover_from_controls(spark):
 
 def test_valley(spark):
     rng = np.random.default_rng(3)
-    values = [(float(v),) for v in np.concatenate([rng.normal(0, 1, 3000), rng.normal(10, 1, 2000)])]
-    found = autogate.valley_thresholds(spark.createDataFrame(values, "v double"), "v", 128, [])[()]
-    assert 3 < found[0] < 7 and found[1] > 0.8
-    assert autogate.valley([60] * 10, 0.0, 1.0) is None and autogate.valley([10, 0, 10], 0.0, 1.0) is None
+    rows = {"two": [*rng.normal(1, 0.4, 3000), *rng.normal(5, 0.4, 3000)], "rare": [*rng.normal(1, 0.4, 9500), *rng.normal(5, 0.4, 500)], "one": rng.normal(3, 0.8, 4000), "few": [1.0, 5.0] * 20, "flat": [2.0] * 90}
+    values = spark.createDataFrame([(k, float(v)) for k, vs in rows.items() for v in vs] + [("two", float("nan")), ("two", float("inf"))], "k string, v double")
+    found = {r["k"]: r for r in autogate.valley_table(values, "v", 128, ["k"]).collect()}
+    assert 2 < found["two"]["threshold"] < 4 and found["two"]["depth"] > 0.7 and found["two"]["top"] == max(rows["two"])
+    assert 2 < found["rare"]["threshold"] < 4.5
+    assert [found[k]["threshold"] for k in ("one", "few", "flat")] == [None] * 3
+    counts = spark.createDataFrame([([60] * 8,), ([10, 0, 0, 0, 0, 0, 0, 10],)], "c array<long>")
+    told = [r[0] for r in counts.select(autogate.valley(F.col("c"), F.lit(0.0), F.lit(8.0), F.lit(84), 8)).collect()]
+    assert told == [None, None]
+
+
+def test_valley_by_hand(spark):
+    """Smoothing, peaks and the first lowest bin between the two tallest, step by step."""
+    rng = np.random.default_rng(8)
+    for bins in (24, 60, 128):
+        counts = [int(x) for x in rng.integers(0, 40, bins)]
+        w, y = max(bins // 48, 1), np.array(counts, float)
+        for _ in range(3):
+            y = np.array([sum(y[max(i - w, 0) : i + w + 1]) / len(y[max(i - w, 0) : i + w + 1]) for i in range(bins)])
+        peaks = [i for i in range(1, bins - 1) if y[i] >= y[i - 1] and y[i] >= y[i + 1] and (y[i] > y[i - 1] or y[i] > y[i + 1]) and y[i] >= 0.02 * y.max()]
+        first, last = sorted(sorted(peaks, key=lambda i: -y[i])[:2])
+        at = first + int(np.argmin(y[first : last + 1]))
+        low = min(y[first], y[last])
+        df = spark.createDataFrame([(counts,)], "c array<long>")
+        got = df.select(autogate.valley(F.col("c"), F.lit(-3.0), F.lit(5.0), F.lit(sum(counts)), bins).alias("v")).first()["v"]
+        assert tuple(got) == pytest.approx((-3 + (at + 0.5) / bins * 8, (low - y[at]) / low))
 
 
 def test_flow_rate(spark):
     even = spark.createDataFrame([("a", float(i)) for i in range(2000)] + [("flat", 1.0)] * 5, "sample_id string, t double")
     got = {r["sample_id"]: r for r in qc.flow_rate(even, "t").collect()}
     assert got["a"]["n_bins"] == 20 and got["a"]["max_dev_pct"] < 2 and got["flat"]["counts"] is None
+    odd = spark.createDataFrame([("a", float(i)) for i in range(150)] + [("a", float("nan"))] * 50, "sample_id string, t double")
+    assert qc.flow_rate(odd, "t").first()["n_bins"] == 2
+
+
+def test_qc_flags(spark):
+    rows = [("low", i, float(i), 990.0 if i < 2 else 1.0, float(i)) for i in range(200)] + [("good", i, 1.0, 1.0, float(i)) for i in range(6000)]
+    ev = spark.createDataFrame(rows, "sample_id string, event_idx long, c0 double, c1 double, c2 double")
+    live = [rect(1, 0, 40), rect(2, 0, 9, parent=1)]
+    lost = spark.createDataFrame([("bad", "no header")], "sample_id string, reason string")
+    scan = {r["sample_id"]: r for r in qc.qc_scan(ev, PANEL, {"fitc-a": 990.9, "Time": 200.0, "FSC-A": 1.0}, "c2", (live, 1), skipped=lost).collect()}
+    assert scan["low"]["flags"] == ["low events (200)", "low viability (20%)"] and scan["low"]["offscale_pct"] == 1.0
+    assert scan["good"]["offscale_channel"] == "Time" and scan["good"]["flags"] == ["96.7% off-scale on Time"]
+    assert (scan["bad"]["n_events"], scan["bad"]["flags"], scan["bad"]["viable"]) == (0, ["skipped: no header"], None)
+    assert {r["sample_id"]: r["viable"] for r in qc.qc_scan(ev, PANEL, {}, None, (live, 2)).collect()} == {"low": pytest.approx(100 * 10 / 41), "good": 100.0}
+    assert qc.qc_scan(ev, PANEL, {}, None, (live, 9), ev).first()["viable"] is None
+    only = qc.qc_scan(ev, PANEL, {}, None, (live, 1), ev.where("sample_id = 'low'")).collect()
+    assert {r["sample_id"]: r["viable"] for r in only} == {"low": 20.5, "good": None}
 
 
 def test_batch_skips(spark):
@@ -162,18 +202,102 @@ def test_batch_skips(spark):
 def test_density(spark):
     values = [0.0, -5.0, 10.0, 11.0, float("nan"), 5.0]
     assert column(spark, values, density.clamped_bin(F.col("x"), 0.0, 10.0, 10)) == [0, 0, 9, 9, 0, 5]
-    grid = np.zeros((5, 5))
-    grid[2, 2] = 1
-    assert len(density.contours(grid, (0.5,))[0.5]) == 4
+    assert column(spark, [0, 50, 81, 90, 100], density.heat_bucket(F.col("x"), F.lit(100.0))) == [0, 9, 11, 12, 13]
+    ev = spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, 5.0), ("a", float("nan"), 5.0), ("b", float("inf"), None)], "s string, x double, y double")
+    assert {tuple(r) for r in density.display_box(ev, F.col("x"), F.col("y"), ["s"]).collect()} == {("a", 1.0, 3.0, 5.0, 6.0), ("b", 0.0, 1.0, 0.0, 1.0)}
+    assert sorted(tuple(r)[5:] for r in density.density_grid(ev.where("s = 'a'"), F.col("x"), F.col("y"), ["s"], 4).collect()) == [(0, 0, 2), (3, 0, 1)]
+
+
+def segments(spark, corners, level=0.5):
+    """Lines of one cell over the square from 0 to 2, whose corner bins are centred on 0.5 and 1.5."""
+    rows = [("t", 0.0, 2.0, 0.0, 2.0, x, y, n) for (x, y), n in zip([(0, 0), (1, 0), (1, 1), (0, 1)], corners, strict=True) if n]
+    grid = spark.createDataFrame(rows, "s string, x0 double, x1 double, y0 double, y1 double, bx int, by_ int, n long")
+    return [tuple(r)[5:] for r in density.contours(grid, ["s"], 2, (level,)).orderBy("part").collect()]
+
 
+def test_contours(spark):
+    left, bottom, right, top = (0.5, 1.0), (1.0, 0.5), (1.5, 1.0), (1.0, 1.5)
+    want = {(9, 0, 0, 0): [left, bottom], (0, 9, 0, 0): [bottom, right], (0, 0, 9, 0): [right, top], (0, 0, 0, 9): [left, top], (9, 9, 0, 0): [left, right], (9, 0, 0, 9): [bottom, top]}
+    want |= {(9, 0, 9, 0): [left, bottom, right, top], (0, 9, 0, 9): [bottom, right, top, left]}
+    for corners, points in want.items():
+        assert segments(spark, corners) == [(*a, *b) for a, b in zip(points[::2], points[1::2], strict=True)]
+    assert segments(spark, (9, 9, 9, 9)) == [] and segments(spark, (8, 4, 0, 0)) == [(0.5, 1.0, 1.5, 0.5)]  # a corner at the level isn't over it
 
-def test_reference_overlay_and_backgate(spark):
+
+def test_samples_of_a_population(spark):
+    ev = spark.createDataFrame([(s, 3 * i, float(i)) for s in "ab" for i in range(1000 if s == "a" else 10)], "sample_id string, event_idx long, c0 double")
+    placed = density.population_index(ev, F.col("c0") >= 5, width=100)
+    assert {(r["sample_id"], r["c0"] - 5, r["n_members"]) for r in placed.collect()} == {(r["sample_id"], r["position"], r["n_members"]) for r in placed.collect()}
+    got = density.stride_sample(ev, F.col("c0") >= 5, 100).collect()
+    assert sorted(r["c0"] for r in got if r["sample_id"] == "a") == list(range(5, 1000, 9)) and sum(r["sample_id"] == "b" for r in got) == 5
+    both = density.backgate(ev.where("sample_id = 'a'"), F.col("c0") >= 995, F.col("c0") >= 900, 5, 10).collect()
+    assert sorted(r["c0"] for r in both if r["layer"] == "population") == list(range(995, 1000)) and sorted(r["c0"] for r in both if r["layer"] == "parent") == list(range(900, 1000, 10))
+
+
+def test_reference_overlay(spark):
     ev = events(spark, [(i, 10 * i) for i in range(100)])
-    got = density.reference_overlay(ev, PANEL, ("fsc-a", Transform()), ("FITC-A", Transform("log")), 100, most=10).orderBy("x").collect()
+    got = density.reference_overlay(ev, PANEL, ("fsc-a", Transform()), ("FITC-A", Transform("log")), most=10).orderBy("x").collect()
     assert [r["x"] for r in got] == list(range(0, 100, 10)) and got[1]["y"] == 2.0
-    assert density.reference_overlay(ev, PANEL, ("PE-A", Transform()), ("FITC-A", Transform()), 100) is None
-    shown = density.backgate(ev, F.col("c0") >= 95, F.col("c0") >= 50, 50, most=5).collect()
-    assert sorted((r["c0"], r["inside"]) for r in shown) == [(50, False), (60, False), (70, False), (80, False), (90, False)] + [(x, True) for x in range(95, 100)]
+    assert density.reference_overlay(ev, PANEL, ("PE-A", Transform()), ("FITC-A", Transform())) is None
+
+
+def test_deepest_population(spark):
+    gates = [rect(1, 0, 9, name="a"), rect(2, 2, 9, parent=1, name="b"), rect(3, 2, 5, parent=1, name="c"), rect(4, 4, 5, parent=99, name="lost")]
+    got = [(r["population"], r["depth"], r["path"]) for r in deepest_population(events(spark, [(1, 0), (3, 0), (20, 0), (4, 0)]), gates, PANEL).orderBy("event_idx").collect()]
+    assert got == [(1, 1, ["All events", "a"]), (2, 2, ["All events", "a", "b"]), (None, None, ["All events"]), (2, 2, ["All events", "a", "b"])]
+
+
+def test_probes(spark):
+    golden = spark.createDataFrame([("x", None, "1", 10.0), ("x", "c", "2", 0.0), ("y", None, "1", 1.0), ("z", None, "1", 1.0)], "layer string, channel string, key string, value double")
+    computed = spark.createDataFrame([("x", None, "1", 10.0001), ("x", "c", "2", 5e-6), ("z", None, "1", float("nan")), ("z", None, "2", 3.0)], golden.schema)
+    got = {r["layer"]: r for r in compare_probes(golden, computed).collect()}
+    assert (got["x"]["probes"], got["x"]["missing"], got["x"]["pass"]) == (2, 0, True) and got["x"]["max_dev"] == pytest.approx(1e-4 / 11)
+    assert (got["y"]["missing"], got["y"]["pass"]) == (1, False) and (got["z"]["unknown"], got["z"]["pass"]) == (1, False)
+    published = [(n, None, str(x), v) for n, t in (("asinh", ASINH), ("logicle", LOGICLE)) for x, v in t.items()]
+    shown = [(n, None, str(x), float(x)) for n, t in (("asinh", ASINH), ("logicle", LOGICLE)) for x in t]
+    own = spark.createDataFrame(shown, golden.schema).withColumn("value", F.when(F.col("layer") == "asinh", forward(F.col("value"), Transform("asinh"))).otherwise(forward(F.col("value"), Transform("logicle"))))
+    assert all(r["pass"] and r["probes"] == 7 for r in compare_probes(spark.createDataFrame(published, golden.schema), own).collect())
+
+
+def test_tubes_with_their_own_matrices(spark):
+    rng = np.random.default_rng(4)
+    names = ["FSC-A", "A", "B", "C", "Time"]
+    true = {s: rng.normal(0, 100, (6, 5)) for s in "abcdefghi"}
+    m3 = np.array([[0.0, 0.2, 1.0], [1.0, 0.1, 0.0], [0.3, 1.0, 0.2]])
+    text = lambda names, m: f"{len(names)},{','.join(names)}," + ",".join(map(str, np.ravel(m)))
+    words = {"a": {"$SPILLOVER": text(["b", "a"], [[1, 0.5], [0.25, 1]]), "SPILL": "broken"}, "b": {"SPILL": text("CAB", m3)}, "c": {}, "d": {"SPILL": text("AB", [[1, 1], [1, 1]])}}
+    words |= {"e": {"SPILL": text("AX", np.eye(2))}, "f": {"SPILL": "2,A,B,1,0,0"}, "g": {"SPILL": text("AB", [[1, 1], [1, 1 + 1e-9]])}, "h": {"SPILL": "2,A,B,1,0,nan,1"}, "i": {"SPILL": text("AB", np.eye(2))}}
+    tubes = spark.createDataFrame([(s, names if s != "i" else names[1:], w) for s, w in words.items()], "sample_id string, channels array<string>, keywords map<string,string>")
+    seen = {s: v.copy() for s, v in true.items()}
+    seen["a"][:, [2, 1]] = true["a"][:, [2, 1]] @ np.array([[1, 0.5], [0.25, 1]])
+    seen["b"][:, [3, 1, 2]] = true["b"][:, [3, 1, 2]] @ m3
+    seen["a"][0, 0] = np.nan
+    rows = [(s, i, *map(float, v)) for s, vs in seen.items() if s != "i" for i, v in enumerate(vs)]
+    ev = spark.createDataFrame(rows, "sample_id string, event_idx long, c0 double, c1 double, c2 double, c3 double, c4 double")
+    got = compensate_tubes(ev, Panel(tuple(names)), tube_matrices(tubes.where("sample_id <> 'i'"))).orderBy("sample_id", "event_idx").collect()
+    assert [r["sample_id"] for r in got[::6]] == ["a", "b", "c"]
+    for r in got:
+        assert tuple(r)[3:] == pytest.approx(true[r["sample_id"]][r["event_idx"]][1:])
+    gates = [rect(1, -1e9, 1e9, channel="FSC-A")]
+    found, skipped = batch_tubes({"p": (Panel(tuple(names)), ev)}, gates, tubes)
+    failed = "compensation failed: "
+    assert {r["sample_id"]: r["reason"] for r in skipped.collect()} == {"d": failed + "the matrix is singular", "e": failed + "no channel X", "f": failed + "the matrix can't be read", "g": failed + "the matrix is ill-conditioned", "h": failed + "the matrix can't be read", "i": "missing channels: FSC-A"}
+    assert {r["sample_id"] for r in found.collect()} == {"a", "b", "c"}
+    over = batch_tubes({"p": (Panel(tuple(names)), ev)}, gates, tubes, Spillover(("A", "B"), ((1.0, 0.0), (0.0, 1.0))))
+    assert [r["sample_id"] for r in over[1].collect()] == ["i"] and over[0].select("sample_id").distinct().count() == 8
+    assert batch_tubes({"p": (Panel(tuple(names)), ev)}, gates, tubes, on=False)[1].count() == 1
+
+
+def test_spillover_of_bad_controls(spark):
+    rng = np.random.default_rng(1)
+    ev = spark.createDataFrame([(n, float(rng.normal(10, 1) + a), float(rng.normal(10, 1) + b)) for n, a, b in (("none", 0, 0), ("x", 500, 50), ("y", 900, 20), ("dim", -50, -50)) for _ in range(200)], "sample_id string, c0 double, c1 double")
+    panel = Panel(("FITC-A", "PE-A"))
+    table = lambda *stains: {r["control"]: r["reason"] for r in autogate.spillover_table(ev, panel, autogate.Controls("none", stains)).collect()}
+    assert table("x", "y") == {"x": "its channel is another control's", "y": "its channel is another control's"}
+    assert table("x", "dim") == {"x": None, "dim": "no signal"} and table("x", "gone")["gone"] == "the control or the unstained one has no events"
+    assert set(table("x").values()) == {"there is one control for each channel"}
+    with pytest.raises(ValueError):
+        autogate.compute_spillover(ev, panel, autogate.Controls("none", ("x", "y")))
 
 
 def test_fcs_round_trip(spark, tmp_path):
@@ -261,13 +385,14 @@ def test_suggested_gates(spark):
     rng = np.random.default_rng(5)
     panel = Panel(("fsc-a", "FSC-Width-H", "FITC-A", "Time"))
     area = rng.uniform(1e4, 1e5, 2000)
-    rows = [(float(a), float(a * 0.5), float(v), 0.0) for a, v in zip(area, np.concatenate([rng.normal(50, 20, 1200), rng.normal(9000, 900, 800)]), strict=True)]
+    rows = [(float(a * (1 + 0.01 * np.sin(i))), float(a * 0.5), float(v), 0.0) for i, (a, v) in enumerate(zip(area, np.concatenate([rng.normal(50, 20, 1200), rng.normal(9000, 900, 800)]), strict=True))]
     ev = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")
     g = autogate.singlet_gate(7, panel, ev, parent=1)
-    order = np.sort(area)
+    order = np.sort(area) * 0.5
     assert (g.x_channel, g.y_channel, g.parent) == ("fsc-a", "FSC-Width-H", 1)
-    assert g.shape["vertices"][0] == pytest.approx([order[int(1999 * 0.02)], order[int(1999 * 0.02)] * 0.5 * 1.15], rel=0.02)
-    assert g.shape["vertices"][2][0] == order[int(1999 * 0.98)]
+    assert [v[1] for v in g.shape["vertices"]] == [order[int(1999 * p)] for p in (0.02, 0.98, 0.98, 0.02)]
+    assert [v[0] / v[1] for v in g.shape["vertices"]] == pytest.approx([1.7, 1.7, 2.3, 2.3], rel=0.02)
+    assert autogate.singlet_gate(7, panel, ev.limit(49)) is None
     up = autogate.auto_threshold(8, panel, ev, "fitc-a", Transform("asinh"))
     assert 0.6 < up.shape["x_min"] < 4.2 and up.shape["x_max"] == pytest.approx(math.asinh(max(r[2] for r in rows) / 150))
     assert autogate.auto_threshold(8, panel, ev, "Time", Transform()) is None and autogate.singlet_gate(1, Panel(("FSC-A",)), ev) is None
@@ -352,4 +477,4 @@ def test_exports(spark):
     assert column(spark, [1.23456, float("inf")], csv_number(F.col("x"))) == ["1.2346", "NA"]
     df = spark.createDataFrame([(" 1.5 ", "my_PE-Cy7 tube"), ("x", "pe"), ("inf", "none")], "t string, f string")
     assert [r[0] for r in df.select(numeric_tag(F.col("t"))).collect()] == [1.5, None, None]
-    assert [r[0] for r in df.select(file_token(F.col("f"), ["PE-A", "PE-Cy7-A"])).collect()] == ["PE-Cy7-A", "PE-A", None]
+    assert [r[0] for r in df.select(file_token(F.col("f"), ["PE-A", "PE-Cy7-A"])).collect()] == ["PE-Cy7-A", None, None]
