@@ -21,7 +21,9 @@ from .operators.compensation import Spillover, compensate, parsed_spillover, ran
 from .operators.density import backgate, contours, density, density_grid, heat_bucket, overlay, stride_sample
 from .operators.selfcheck import compare_probes
 from .plans.gates import GatePlan, deepest_population, missing_by_sample
-from .sources import sinks
+from .sources import fcs, sinks
+from .sources.fcs_source import read_events, read_files, save_events, stream_events
+from .sources.shared import shared_folder
 
 PANEL = Panel(("FSC-A", "SSC-A", "FITC-A", "PE-A", "Time"))
 SPILL = Spillover(("FITC-A", "PE-A"), ((1.0, 0.08), (0.03, 1.0)))
@@ -347,24 +349,24 @@ def a_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(top, "sample_id").select("sample_id", "bx", "by_", heat_bucket(F.col("n"), F.col("top")).alias("bucket"))
 
 
-def _grid_sql(bins: int) -> str:
+def _grid_sql(bins: int, x: str = "c0", y: str = "c1") -> str:
     """CTEs up to ``g``: counts of each tube's grid over its own extent."""
-    at = lambda v, lo, hi: f"CAST(floor(least(greatest(({v} - {lo}) / ({hi} - {lo}) * {bins}, 0), {bins - 1})) AS INTEGER)"
-    return f"""{TUBES}, box AS (SELECT sample_id, min(c0) AS x0, max(c0) AS x1, min(c1) AS y0, max(c1) AS y1 FROM tubes GROUP BY sample_id),
-g AS (SELECT sample_id, x0, x1, y0, y1, {at('c0', 'x0', 'x1')} AS bx, {at('c1', 'y0', 'y1')} AS by_, count(*) AS n FROM tubes JOIN box USING (sample_id) GROUP BY ALL)"""
+    at = lambda v, lo, hi: f"CAST(floor(least(greatest((({v}) - {lo}) / ({hi} - {lo}) * {bins}, 0), {bins - 1})) AS INTEGER)"
+    return f"""{TUBES}, box AS (SELECT sample_id, min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM tubes GROUP BY sample_id),
+g AS (SELECT sample_id, x0, x1, y0, y1, {at(x, 'x0', 'x1')} AS bx, {at(y, 'y0', 'y1')} AS by_, count(*) AS n FROM tubes JOIN box USING (sample_id) GROUP BY ALL)"""
 
 
 def a_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contours of a grid in which doublets make a second ridge, so that saddles occur."""
-    grid = density_grid(tubes(spark, sf_dir), F.col("c0"), F.col("c1"), ["sample_id"], 24)
-    return _rounded(contours(grid, ["sample_id"], 24), 8)
+    """Contours over irrational multiples, whose coordinates don't end on the digit that is rounded."""
+    grid = density_grid(tubes(spark, sf_dir), F.col("c0") * F.sqrt(F.lit(0.5)), F.col("c1") * F.sqrt(F.lit(0.3)), ["sample_id"], 24)
+    return _rounded(contours(grid, ["sample_id"], 24))
 
 
 def _contours_sql(bins: int) -> str:
     cases = "(1,0,'l','b'), (14,0,'l','b'), (2,0,'b','r'), (13,0,'b','r'), (3,0,'l','r'), (12,0,'l','r'), (4,0,'r','t'), (11,0,'r','t'), (6,0,'b','t'), (9,0,'b','t'), (7,0,'l','t'), (8,0,'l','t'), (5,0,'l','b'), (5,1,'r','t'), (10,0,'b','r'), (10,1,'t','l')"
     f = lambda a, b: f"CASE WHEN abs({b} - {a}) < 1e-12 THEN 0.5 ELSE least(greatest((lev - {a}) / ({b} - {a}), 0), 1) END"
     pick = lambda e, c: "CASE " + " ".join(f"WHEN {e} = '{k}' THEN {k}{c}" for k in "brtl") + " END"
-    return f"""WITH {_grid_sql(bins)},
+    return f"""WITH {_grid_sql(bins, "c0 * sqrt(0.5)", "c1 * sqrt(0.3)")},
 full_ AS (SELECT box.*, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, coalesce(n, 0) AS n FROM box CROSS JOIN range(0, {bins}) a(i) CROSS JOIN range(0, {bins}) b(j) LEFT JOIN g ON g.sample_id = box.sample_id AND g.bx = i AND g.by_ = j),
 cells AS (SELECT a.*, CAST(a.n AS DOUBLE) AS va, CAST(b.n AS DOUBLE) AS vb, CAST(c.n AS DOUBLE) AS vc, CAST(d.n AS DOUBLE) AS vd, max(a.n) OVER (PARTITION BY a.sample_id) AS inner_top
   FROM full_ a JOIN full_ b ON b.sample_id = a.sample_id AND b.i = a.i + 1 AND b.j = a.j JOIN full_ c ON c.sample_id = a.sample_id AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN full_ d ON d.sample_id = a.sample_id AND d.i = a.i AND d.j = a.j + 1),
@@ -373,7 +375,7 @@ levelled AS (SELECT cells.*, f AS level, f * top AS lev FROM cells JOIN tops USI
 ends AS (SELECT *, CASE WHEN va > lev THEN 1 ELSE 0 END + CASE WHEN vb > lev THEN 2 ELSE 0 END + CASE WHEN vc > lev THEN 4 ELSE 0 END + CASE WHEN vd > lev THEN 8 ELSE 0 END AS k,
   x0 + (i + 0.5) * (x1 - x0) / {bins} AS xi, x0 + (i + 1.5) * (x1 - x0) / {bins} AS xj, y0 + (j + 0.5) * (y1 - y0) / {bins} AS yi, y0 + (j + 1.5) * (y1 - y0) / {bins} AS yj FROM levelled),
 edges AS (SELECT *, xi + {f('va', 'vb')} * (xj - xi) AS bx_, yi AS by__, xj AS rx_, yi + {f('vb', 'vc')} * (yj - yi) AS ry_, xj + {f('vc', 'vd')} * (xi - xj) AS tx_, yj AS ty_, xi AS lx_, yj + {f('vd', 'va')} * (yi - yj) AS ly_ FROM ends)
-SELECT sample_id, level, i, j, part, round({pick('e1', 'x_')}, 8) AS xa, round({pick('e1', 'y_').replace('by_', 'by__')}, 8) AS ya, round({pick('e2', 'x_')}, 8) AS xb, round({pick('e2', 'y_').replace('by_', 'by__')}, 8) AS yb
+SELECT sample_id, level, i, j, part, round({pick('e1', 'x_')}, 6) AS xa, round({pick('e1', 'y_').replace('by_', 'by__')}, 6) AS ya, round({pick('e2', 'x_')}, 6) AS xb, round({pick('e2', 'y_').replace('by_', 'by__')}, 6) AS yb
 FROM edges JOIN (VALUES {cases}) c(k, part, e1, e2) USING (k)"""
 
 
@@ -679,6 +681,46 @@ def _logicle_counts_sql() -> str:
     return _counts_sql([("Bright", f"(c2 - 4000.25 BETWEEN {lo!r} AND {hi!r})", "true")])
 
 
+def _saved_tubes(spark: SparkSession, sf_dir: str) -> str:
+    """The tubes as FCS files in a folder of their own, with their matrices and a cytometer's name."""
+    folder, words = shared_folder(spark, "fcs"), _tube_table(spark, sf_dir).select("sample_id", "keywords")
+    save_events(tubes(spark, sf_dir), PANEL, folder, {"$DATE": "01-JAN-2020"}, words)
+    return folder
+
+
+def s_fcs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tubes written and read again, by channel names in another order and case; files hold 32-bit floats."""
+    ev = read_events(spark, _saved_tubes(spark, sf_dir), ["time", "PE-A", "FITC-A", "SSC-A", "fsc-a"], rangeBytes="400000")
+    return ev.where("error IS NULL").select("sample_id", *[F.col(f"c{i}").alias(n) for i, n in enumerate(("day", "pe", "fitc", "ssc", "fsc"))])
+
+
+def s_fcs_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = read_files(spark, _saved_tubes(spark, sf_dir))
+    told = fcs.info(meta).select("path", "version", "n_events", "n_params", "cytometer", "date", F.array_join("channels", "|").alias("channels"), "spillover")
+    return told.join(meta.select("path", "sample_id"), "path").drop("path")
+
+
+def k_fcs_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events of FITC+ of compensated data, a file for each tube, read again with its own keywords."""
+    t, folder = tubes(spark, sf_dir), shared_folder(spark, "fcs")
+    marked = t.withColumns({"c2_raw": F.col("c2"), "c3_raw": F.col("c3")})
+    inside = compensate(marked, PANEL, SPILL).where(GatePlan([CELLS, FITC], PANEL).effective(2)).select("sample_id", "event_idx", "c0", "c1", F.col("c2_raw").alias("c2"), F.col("c3_raw").alias("c3"), "c4")
+    fcs.export_population(inside, F.lit(True), PANEL, _tube_table(spark, sf_dir).select("sample_id", "keywords"), "FITC +", folder)
+    words = read_files(spark, folder).select("path", F.coalesce(F.try_element_at("keywords", F.lit("SPILL")), F.lit("")).alias("spill"))
+    read = read_events(spark, folder).groupBy("path", "sample_id").agg(F.count("event_idx").alias("n"), F.sum("c2").alias("fitc"), F.max("event_idx").alias("last"))
+    return _rounded(read.join(words, "path").drop("path"), 2)
+
+
+def s_fcs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tubes' files as a stream of ranges: batches of at most 5,000 events, so that files go over several; events for each tube and their greatest number."""
+    folder, work = _saved_tubes(spark, sf_dir), shared_folder(spark, "stream")
+    ev = stream_events(spark, folder, PANEL.channels, eventsPerBatch="5000", progress=f"{work}/progress")
+    query = ev.drop("path").writeStream.format("parquet").option("path", f"{work}/events").option("checkpointLocation", f"{work}/checkpoint").start()
+    query.processAllAvailable()
+    query.stop()
+    return _rounded(spark.read.parquet(f"{work}/events").groupBy("sample_id").agg(F.count("event_idx").alias("n"), F.count_distinct("event_idx").alias("n_distinct"), F.max("event_idx").alias("last"), F.sum("c1").alias("ssc")), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     x, y = F.col, F.col
     columns = {
@@ -690,6 +732,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_logicle_inverse": lambda: inverse((y("c_acctbal") + 1000) / 11000 * 4.5, LOGICLE),
     }
     named = (p_compensate, a_channel_stats, a_popstats, a_popstats_empty, a_spillover, a_residual, a_flow_rate, a_margins, a_qc, a_stain_index, a_titration, a_batch, a_histogram, a_density, a_singlet, a_mode, s_range_mask, s_spillover_parse)
+    named += (s_fcs_events, s_fcs_info, s_fcs_stream, k_fcs_gated)
     named += (a_titration_lost, a_contours, a_auto_threshold, a_sample, a_tube_batch, a_tube_rejects, a_self_check, g_deepest, g_logicle, p_tube_inverse)
     named += (a_best_titration, a_heat, s_spillover_keyword, a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
     return {n: _column_query(c) for n, c in columns.items()} | {n: _count_query(n) for n in COUNTS} | {f.__name__: f for f in named}
@@ -722,6 +765,12 @@ def oracle_sql() -> dict[str, str]:
         "a_channel_names": f"WITH {CHANNELS_SQL} SELECT CAST(min(ord) AS BIGINT) AS ord, arg_min(name, ord) AS channel FROM channels WHERE upper(name) <> 'TIME' GROUP BY upper(name)",
         "a_chart": f"WITH {TUBES} SELECT substr(sample_id, 1, 1) AS \"group\", sample_id, round(quantile_cont(c0, 0.5) FILTER (WHERE {_M[1]}), 6) AS value FROM tubes GROUP BY sample_id HAVING count(*) FILTER (WHERE {_M[1]}) > 0",
         "a_backgate": f"WITH {TUBES} SELECT *, 'population' AS layer FROM ({_sample_sql(_FITC, 20000)}) UNION ALL SELECT *, 'parent' FROM ({_sample_sql(_M[1], 8000)})",
+        "s_fcs_events": f"WITH {TUBES} SELECT sample_id, " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {n}" for c, n in zip(("c4", "c3", "c2", "c1", "c0"), ("day", "pe", "fitc", "ssc", "fsc"), strict=True)) + " FROM tubes",
+        "s_fcs_info": f"WITH {TUBES}, n AS (SELECT sample_id, count(*) AS n_events FROM tubes GROUP BY sample_id) SELECT sample_id, 'FCS3.0' AS version, n_events, 5 AS n_params, CASE WHEN sample_id IN ('RO') THEN 'none' END AS cytometer, '01-JAN-2020' AS date, 'FSC-A|SSC-A|FITC-A|PE-A|Time' AS channels, CASE sample_id "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (_, v) in TUBE_SPILL.items()) + " END AS spillover FROM n",
+        "s_fcs_stream": f"WITH {TUBES} SELECT sample_id, count(*) AS n, count(*) AS n_distinct, count(*) - 1 AS last, round(sum(CAST(CAST(c1 AS FLOAT) AS DOUBLE)), 2) AS ssc FROM tubes GROUP BY sample_id",
+        "k_fcs_gated": f"WITH {COMPENSATED}, raw AS (SELECT tubes.sample_id, tubes.c2 FROM (SELECT *, c2 * {float(_INV[0][0])!r} + c3 * {float(_INV[1][0])!r} AS f FROM tubes) tubes WHERE {_M[1]} AND f BETWEEN 4500.5 AND 9500.5) SELECT sample_id || '_FITC__' AS sample_id, count(*) AS n, count(*) - 1 AS last, round(sum(CAST(CAST(c2 AS FLOAT) AS DOUBLE)), 2) AS fitc, CASE sample_id "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (_, v) in TUBE_SPILL.items()) + " ELSE '' END AS spill FROM raw GROUP BY sample_id",
         "a_sample": f"WITH {TUBES} {_sample_sql(_FITC, 700)}",
         "g_deepest": _deepest_sql(),
         "g_logicle": _logicle_counts_sql(),

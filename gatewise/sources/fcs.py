@@ -145,11 +145,11 @@ def decode(head: FcsText, data: bytes, first: int = 0, count: int | None = None)
     return out
 
 
-class _Remote:
+class Remote:
     """A file whose slices are read when they are asked for."""
 
     def __init__(self, path: str):
-        files, place = _filesystem(path)
+        files, place = filesystem(path)
         self.file = files.open_input_file(place)
 
     def __len__(self) -> int:
@@ -160,10 +160,13 @@ class _Remote:
         return self.file.read_at(max(stop - start, 0), start)
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
+    """(file system, path in it) of a path or URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def _said(path: str, content) -> tuple:
@@ -179,7 +182,7 @@ def read_metadata(spark: SparkSession, paths: str | list[str], whole: bool = Fal
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [_said(path, bytes(pdf["content"].iloc[i]) if whole else _Remote(path)) for i, path in enumerate(pdf["path"])]
+            rows = [_said(path, bytes(pdf["content"].iloc[i]) if whole else Remote(path)) for i, path in enumerate(pdf["path"])]
             yield pd.DataFrame(rows, columns=["path", "version", "n_events", "n_params", "keywords", "channels", "data_start", "error"])
 
     files = spark.read.format("binaryFile").load(paths)
@@ -199,7 +202,7 @@ def peek_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             found = []
             for path in pdf["path"]:
                 try:
-                    found.append(peek_events(_Remote(path)))
+                    found.append(peek_events(Remote(path)))
                 except (FcsError, OSError):
                     found.append(None)
             yield pd.DataFrame({"path": pdf["path"], "n_events": pd.array(found, "Int64")})
@@ -247,7 +250,7 @@ def decode_ranges(meta: DataFrame, n_params: int, chunk: int = 65_536) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, ranges in pdf.groupby("path"):
-                remote = _Remote(path)
+                remote = Remote(path)
                 head = read_header(remote)
                 width = head.record().itemsize
                 for at in ranges["first"]:
@@ -291,60 +294,37 @@ def pick_delimiter(texts: list[str]) -> str:
     raise FcsError("no delimiter is free")
 
 
-def to_bytes(values: np.ndarray, names: list[str], labels: list[str | None] | None = None, keywords: dict[str, str] | None = None, spillover: str | None = None) -> bytes:
-    """An FCS3.0 file of little-endian floats; other keywords are copied, sorted."""
-    if not len(values):
+def head_bytes(n_events: int, names: list[str], labels: list[str | None] | None = None, keywords: dict[str, str] | None = None, spillover: str | None = None) -> bytes:
+    """Header and TEXT of an FCS3.0 file of little-endian floats; other keywords are copied, sorted."""
+    if not n_events:
         raise FcsError("no events")
-    own = {"$PAR": str(len(names)), "$TOT": str(len(values)), "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$MODE": "L", "$NEXTDATA": "0"}
+    own = {"$PAR": str(len(names)), "$TOT": str(n_events), "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$MODE": "L", "$NEXTDATA": "0"}
     for i, n in enumerate(names):
         top = (keywords or {}).get(f"$P{i + 1}R") or "262144"
         own |= {f"$P{i + 1}N": n, f"$P{i + 1}B": "32", f"$P{i + 1}E": "0,0", f"$P{i + 1}R": top} | ({f"$P{i + 1}S": labels[i]} if labels and labels[i] else {})
     if spillover:
         own |= {"$SPILLOVER": spillover, "SPILL": spillover}
     taken = {k for k in own} | {"$BEGINDATA", "$ENDDATA", "$BEGINANALYSIS", "$ENDANALYSIS", "$BEGINSTEXT", "$ENDSTEXT", "SPILLOVER", "$SPILL"}
-    rest = {k: v for k, v in sorted((keywords or {}).items()) if v and k not in taken and not re.fullmatch(r"\$P\d+[A-Z]+", k)}
-    mark = pick_delimiter([*own, *own.values(), *rest, *rest.values()])
-    data = np.ascontiguousarray(values, "<f4").tobytes()
+    rest = {k: v for k, v in sorted((keywords or {}).items()) if k and v and k not in taken and not re.fullmatch(r"\$P\d+[A-Z]+", k)}
+    mark, size = pick_delimiter([*own, *own.values(), *rest, *rest.values()]), 4 * n_events * len(names)
 
     def text(begin: int) -> bytes:
-        where = {"$BEGINDATA": f"{begin:012d}", "$ENDDATA": f"{begin + len(data) - 1:012d}", "$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0"}
+        where = {"$BEGINDATA": f"{begin:012d}", "$ENDDATA": f"{begin + size - 1:012d}", "$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0"}
         return (mark + mark.join(x for kv in {**where, **own, **rest}.items() for x in kv) + mark).encode()
 
     begin = HEADER + len(text(0))
-    ends = [HEADER, begin - 1, begin, begin + len(data) - 1]
+    ends = [HEADER, begin - 1, begin, begin + size - 1]
     places = [x if max(ends[2:]) <= HEADER_MAX or i < 2 else 0 for i, x in enumerate(ends)]
-    return b"FCS3.0    " + b"".join(f"{x:>8d}".encode() for x in [*places, 0, 0]) + text(begin) + data
-
-
-def write_samples(events: DataFrame, panel: Panel, folder: str, spillover: str | None = None, keywords: dict[str, str] | None = None, originals: DataFrame | None = None, suffix: str = "") -> DataFrame:
-    """Write each sample as ``folder``/sample_id + suffix.fcs, in event order; returns (sample_id, n_events, path).
-
-    ``keywords`` go into every file; ``originals`` has (sample_id, keywords) of the files that the events
-    come from, and each file gets its own, stains and ranges included. A file is one sample and so is written
-    by one task; ``folder`` is a path or URI that all executors see. Samples without events give no file.
-    """
-    names, columns = list(panel.channels), list(panel.columns)
-
-    def written(pdf: pd.DataFrame, known: dict[str, str]) -> pd.DataFrame:
-        files, base = _filesystem(folder)
-        name = pdf["sample_id"].iloc[0]
-        files.create_dir(base, recursive=True)
-        place = f"{base}/{name}{suffix}.fcs"
-        with files.open_output_stream(place) as out:
-            out.write(to_bytes(pdf.sort_values("event_idx")[columns].to_numpy(), names, [known.get(f"$P{i + 1}S") for i in range(len(names))], known, spillover or next((known[k] for k in SPILL_KEYWORDS if known.get(k)), None)))
-        return pd.DataFrame({"sample_id": [name], "n_events": [len(pdf)], "path": [place]})
+    return b"FCS3.0    " + b"".join(f"{x:>8d}".encode() for x in [*places, 0, 0]) + text(begin)
 
-    def with_own(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"sample_id": [], "n_events": [], "path": []})
-        return written(pdf, (dict(own["keywords"].iloc[0]) if len(own) else {}) | (keywords or {}))
 
-    rows, schema = events.select("sample_id", "event_idx", *columns).groupBy("sample_id"), "sample_id string, n_events long, path string"
-    if originals is None:
-        return rows.applyInPandas(lambda pdf: written(pdf, keywords or {}), schema)
-    return rows.cogroup(originals.select("sample_id", "keywords").groupBy("sample_id")).applyInPandas(with_own, schema)
+def to_bytes(values: np.ndarray, names: list[str], labels: list[str | None] | None = None, keywords: dict[str, str] | None = None, spillover: str | None = None) -> bytes:
+    """A whole FCS3.0 file."""
+    return head_bytes(len(values), names, labels, keywords, spillover) + np.ascontiguousarray(values, "<f4").tobytes()
 
 
 def export_population(events: DataFrame, mask: Column, panel: Panel, originals: DataFrame, population: str, folder: str) -> DataFrame:
     """Raw events of one population, a file for each tube with the tube's own keywords; ``mask`` is that of compensated data."""
-    return write_samples(events.where(mask), panel, folder, originals=originals, suffix="_" + re.sub(r"[^A-Za-z0-9._-]", "_", population))
+    from .fcs_source import save_events
+
+    return save_events(events.where(mask), panel, folder, originals=originals, suffix="_" + re.sub(r"[^A-Za-z0-9._-]", "_", population))

@@ -15,6 +15,7 @@ from gatewise.operators.compensation import Spillover, choose_spillover, compens
 from gatewise.operators.selfcheck import compare_probes
 from gatewise.plans.gates import GatePlan, data_bounds, deepest_population, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
+from gatewise.sources.fcs_source import read_events, read_files, save_events, stream_events
 
 # Published asinh(x / 150) and logicle (T 262144, W 0.5, M 4.5, A 0) results.
 ASINH = {-2000: -3.284817639, -500: -1.918896472, -1: -0.006666617285, 0: 0.0, 100: 0.6251451173, 5000: 4.199930002, 262144: 8.159161218}
@@ -315,7 +316,7 @@ def test_fcs_round_trip(spark, tmp_path):
     assert rejects.count() == 1
     meta = fcs.info(fcs.read_metadata(spark, str(tmp_path / "t1.fcs"))).first()
     assert meta["cytometer"] == "x|y" and meta["channels"] == ["FSC-A", "FITC-A"]
-    out = fcs.write_samples(ev, panel, str(tmp_path / "out")).collect()
+    out = save_events(ev, panel, str(tmp_path / "out")).collect()
     assert out[0]["n_events"] == 3 and (tmp_path / "out" / "t1.fcs").exists()
     with pytest.raises(fcs.FcsError):
         fcs.to_bytes(values[:0], ["a", "b"])
