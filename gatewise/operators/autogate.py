@@ -14,15 +14,11 @@ from ..functions.formats import finite
 from ..functions.transforms import asinh, forward, inverse
 from ..model import Gate, Panel, Transform
 from .compensation import Spillover
+from .quantiles import equal_width_bin, values_at
 
 FEWEST, COFACTOR = 50, 150.0
 
 
-def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Bin 0 to bins - 1; the greatest value belongs to the last."""
-    return F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * bins).cast("int"), F.lit(bins - 1)))
-
-
 def histogram(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
     """(by, lo, hi, n, counts) of finite values, counts an array of all bins. Sums are combined before the shuffle."""
     clean = values.select(*by, finite(F.col(value)).alias("x")).where("x IS NOT NULL")
@@ -83,25 +79,6 @@ def mode_of(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFram
     return h.select(*by, F.when(F.col("hi") > F.col("lo"), F.col("lo") + (best["i"] + 0.5) / bins * (F.col("hi") - F.col("lo"))).alias("mode"))
 
 
-def values_at_ranks(values: DataFrame, value: str, shares: tuple[float, ...], by: list[str], bins: int = 1024) -> DataFrame:
-    """(by, at0, at1, ...): the sorted values at the truncated index (n - 1) * share.
-
-    Counts by equal-width ranges tell in which range a rank lies; only the distinct values of
-    those ranges are ordered, so that no group is sorted as a whole.
-    """
-    ends = values.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    binned = values.join(ends, by).withColumn("_bin", F.coalesce(equal_width_bin(F.col(value), F.col("_lo"), F.col("_hi"), bins), F.lit(0)))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy(*by, "_bin", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    ranks = F.array(*[F.floor((F.col("_n") - 1) * F.lit(p)) for p in shares])
-    wanted = counts.withColumn("_ranks", F.filter(ranks, lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0)
-    inside = binned.join(wanted.select(*by, "_bin", "_before"), [*by, "_bin"]).groupBy(*by, "_bin", "_before", "_n", value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    hit = lambda p: F.floor((F.col("_n") - 1) * F.lit(p)).between(F.col("_end") - F.col("_c"), F.col("_end") - 1)
-    return placed.groupBy(*by).agg(*[F.max(F.when(hit(p), F.col(value))).alias(f"at{i}") for i, p in enumerate(shares)])
-
-
 def singlet_vertices(events: DataFrame, area: str, height: str, by: list[str], tolerance: float = 0.15) -> DataFrame:
     """(by, h_lo, h_hi, slope, vertices): a band of areas about the mode of the area to height ratio, between two heights.
 
@@ -110,7 +87,9 @@ def singlet_vertices(events: DataFrame, area: str, height: str, by: list[str], t
     """
     clean = events.select(*by, finite(F.col(area)).alias("a"), finite(F.col(height)).alias("h")).where("h > 0")
     many = clean.groupBy(*by).agg(F.count("h").alias("_heights")).where(F.col("_heights") >= FEWEST)
-    core = values_at_ranks(clean, "h", (0.02, 0.98), by).withColumnsRenamed({"at0": "h_lo", "at1": "h_hi"}).join(many, by).where("h_hi > h_lo").select(*by, "h_lo", "h_hi")
+    cut = [lambda n, p=p: F.floor(F.lit(p) * (n - 1)) for p in (0.02, 0.98)]
+    core = values_at(clean, "h", lambda n: F.array_distinct(F.array(*[k(n) for k in cut])), by).join(many.select(*by), by)
+    core = core.select(*by, *[F.try_element_at("at", k(F.col("n"))).alias(c) for c, k in zip(("h_lo", "h_hi"), cut, strict=True)]).where("h_hi > h_lo")
     ratios = clean.join(core, by).where("a IS NOT NULL AND h BETWEEN h_lo AND h_hi").select(*by, (F.col("a") / F.col("h")).alias("r"))
     enough = ratios.groupBy(*by).agg(F.count("r").alias("_ratios")).where(F.col("_ratios") >= FEWEST)
     out = core.join(mode_of(ratios, "r", 64, by).withColumnRenamed("mode", "slope"), by).join(enough.select(*by), by).where("slope > 0")

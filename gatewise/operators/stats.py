@@ -1,7 +1,7 @@
 """Channel statistics, gate counts and population statistics.
 
-Percentiles are exact; their state is the distinct values of a group, so a group is a
-tube's population, not a whole corpus of tubes.
+Percentiles are exact. Where the largest tube's figures fit a bounded state they come with the other figures, from one pass; else they
+are found by ranges (``quantiles``), so that no task holds a tube.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.formats import finite
 from ..model import ALL_EVENTS, NO_PARENT, Gate, Panel, tree_order
 from ..plans.gates import GatePlan
+from ..sources.shared import written
+from .quantiles import exact_quantiles
 
 FLAT = 1e-12  # means and SDs up to here count as none
 
@@ -26,29 +28,47 @@ def cv(x: Column) -> Column:
     return F.when(F.abs(mean) > FLAT, 100 * sample_sd(x) / F.abs(mean))
 
 
-def percentiles(x: Column, *at: float) -> list[Column]:
-    """Exact percentiles from one state of the distinct values."""
-    found = F.percentile(x, F.array(*[F.lit(p) for p in at]))
-    return [F.get(found, i) for i in range(len(at))]
+def percentiles(x: Column, *at: float) -> Column:
+    """Exact percentiles, as an array, from one state of the distinct values."""
+    return F.percentile(x, F.array(*[F.lit(p) for p in at]))
 
 
-def median_and_robust_sd(x: Column) -> tuple[Column, Column]:
-    median, p84 = percentiles(x, 0.5, 0.84)
-    return median, (p84 - median) / F.lit(0.995)
+#: Values that the percentiles of one tube may hold in a task's state: events times figures.
+STATE = 4_000_000
 
 
-def channel_stats(events: DataFrame, panel: Panel, sample: str = "sample_id") -> DataFrame:
+def _fits(events: DataFrame, figures: int, sample: str, limit: int) -> bool:
+    """Whether the largest tube's percentiles fit the limit; one number comes to the driver."""
+    largest = events.groupBy(sample).count().agg(F.max("count")).first()[0]
+    return (largest or 0) * figures <= limit
+
+
+def _with_quantiles(aggs: dict[int, list[Column]], cells: dict[int, Column], shares: tuple[float, ...], events: DataFrame, sample: str, limit: int) -> DataFrame:
+    """(sample, _cell, s, q): for each cell the struct s of its figures ``aggs`` (n, lo and hi among them) and the percentiles q of its values."""
+    small = _fits(events, len(cells), sample, limit)
+    struct = lambda i: F.struct(*aggs[i], *([percentiles(cells[i], *shares).alias("q")] if small else []))
+    out = events.groupBy(sample).agg(*[struct(i).alias(f"_{i}") for i in cells])
+    out = out.select(sample, F.inline(F.array(*[F.struct(F.lit(i).alias("_cell"), F.col(f"_{i}").alias("s")) for i in cells])))
+    if small:
+        return out.select(sample, "_cell", "s", F.col("s.q").alias("q"))
+    out = written(out, "figures")
+    values = events.select(sample, F.inline(F.array(*[F.struct(F.lit(i).alias("_cell"), x.cast("double").alias("_v")) for i, x in cells.items()])))
+    q = exact_quantiles(values, "_v", shares, [sample, "_cell"], ends=out.select(sample, "_cell", "s.n", "s.lo", "s.hi"))
+    return out.join(q.select(sample, "_cell", F.array(*[f"q{i}" for i in range(len(shares))]).alias("q")), [sample, "_cell"], "left")
+
+
+def channel_stats(events: DataFrame, panel: Panel, sample: str = "sample_id", state: int = STATE) -> DataFrame:
     """One row for each sample and channel; non-finite values are left out, undefined figures are null."""
-    def figures(c: str) -> Column:
-        x = finite(F.col(c))
-        p05, p25, median, p75, p95 = percentiles(x, 0.05, 0.25, 0.5, 0.75, 0.95)
-        parts = {"n": F.count(x), "mean": F.avg(x), "geo_mean": F.exp(F.avg(F.when(x > 0, F.ln(x)))), "median": median, "sd": sample_sd(x), "cv": cv(x)}
-        parts |= {"min": F.min(x), "max": F.max(x), "p05": p05, "p25": p25, "p75": p75, "p95": p95}
-        return F.struct(*[v.alias(k) for k, v in parts.items()])
+    cells = {i: finite(F.col(c).cast("double")) for i, (_, c) in enumerate(panel.stat_channels())}
+
+    def figures(x: Column) -> list[Column]:
+        parts = {"n": F.count(x), "mean": F.avg(x), "geo_mean": F.exp(F.avg(F.when(x > 0, F.ln(x)))), "sd": sample_sd(x), "cv": cv(x), "lo": F.min(x), "hi": F.max(x)}
+        return [v.alias(k) for k, v in parts.items()]
 
-    out = events.groupBy(sample).agg(*[figures(c).alias(f"_{i}") for i, (_, c) in enumerate(panel.stat_channels())])
-    rows = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(f"_{i}").alias("s")) for i, (n, _) in enumerate(panel.stat_channels())])
-    return out.select(sample, F.inline(rows)).select(sample, "channel", "s.*")
+    out = _with_quantiles({i: figures(x) for i, x in cells.items()}, cells, (0.05, 0.25, 0.5, 0.75, 0.95), events, sample, state)
+    name = F.get(F.array(*[F.lit(n) for n, _ in panel.stat_channels()]), F.col("_cell"))
+    q = {k: F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("p05", "p25", "median", "p75", "p95"))}
+    return out.select(sample, name.alias("channel"), "s.n", "s.mean", "s.geo_mean", q["median"], "s.sd", "s.cv", F.col("s.lo").alias("min"), F.col("s.hi").alias("max"), *[q[k] for k in ("p05", "p25", "p75", "p95")])
 
 
 def gate_counts(events: DataFrame, gates: list[Gate], panel: Panel, sample: str = "sample_id") -> DataFrame:
@@ -62,10 +82,10 @@ def gate_counts(events: DataFrame, gates: list[Gate], panel: Panel, sample: str
     return out.withColumn("pct_parent", F.when(F.col("n_parent") > 0, 100.0 * F.col("n_in") / F.col("n_parent")).otherwise(0.0))
 
 
-def population_stats(events: DataFrame, gates: list[Gate], panel: Panel, sample: str = "sample_id", channels: list[str] | None = None) -> DataFrame:
+def population_stats(events: DataFrame, gates: list[Gate], panel: Panel, sample: str = "sample_id", channels: list[str] | None = None, state: int = STATE) -> DataFrame:
     """Statistics of "All events" and of every gate, in tree order, for each channel.
 
-    One aggregation over the events; populations without events have a row too. Counts include
+    One aggregation over the events, with three more passes if their percentiles are beyond ``state``; populations without events have a row too. Counts include
     events whose value isn't finite, the other figures leave them out.
     """
     plan = GatePlan(gates, panel)
@@ -76,21 +96,21 @@ def population_stats(events: DataFrame, gates: list[Gate], panel: Panel, sample:
     marked = events.select(sample, *[c for c in panel.columns if c in events.columns], *[m.alias(f"_m{i}") for i, (*_, m, _) in enumerate(pops)])
     place = {g.id: i + 1 for i, (g, _) in enumerate(tree_order(gates))}
     wanted = [(n, c) for n, c in panel.stat_channels() if channels is None or n in channels]
-    aggs = [F.count_if(F.col(f"_m{i}")).alias(f"_n{i}") for i in range(len(pops))]
-    for i in range(len(pops)):
-        for j, (_, c) in enumerate(wanted):
-            x = F.when(F.col(f"_m{i}"), finite(F.col(c)))
-            median, rsd = median_and_robust_sd(x)
-            aggs.append(F.struct(median.alias("median"), F.avg(x).alias("mean"), cv(x).alias("cv"), rsd.alias("rsd")).alias(f"_s{i}_{j}"))
-    out = marked.groupBy(sample).agg(*aggs)
-    rows = []
+    aggs, cells, rows = {}, {}, []
     for i, (name, parent, depth, _, above) in enumerate(pops):
-        base, total = F.col(f"_n{place[above] if above is not None else 0}"), F.col("_n0")
-        share = lambda d, i=i: F.when(d > 0, 100.0 * F.col(f"_n{i}") / d).otherwise(0.0)
-        for j, (channel, _) in enumerate(wanted):
-            fields = {"ord": F.lit(i), "population": F.lit(name), "parent": F.lit(parent), "depth": F.lit(depth), "count": F.col(f"_n{i}"), "pct_parent": share(base), "pct_total": share(total), "channel": F.lit(channel), "s": F.col(f"_s{i}_{j}")}
-            rows.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
-    return out.select(sample, F.inline(F.array(*rows))).select(sample, "ord", "population", "parent", "depth", "count", "pct_parent", "pct_total", "channel", "s.median", "s.mean", "s.cv", "s.rsd")
+        mask, base = F.col(f"_m{i}"), F.col(f"_m{place[above] if above is not None else 0}")
+        for j, (channel, c) in enumerate(wanted):
+            cell = i * len(wanted) + j
+            x = cells[cell] = F.when(mask, finite(F.col(c).cast("double")))
+            figures = {"count": F.count_if(mask), "above": F.count_if(base), "total": F.count(F.lit(1)), "n": F.count(x), "mean": F.avg(x), "cv": cv(x), "lo": F.min(x), "hi": F.max(x)}
+            aggs[cell] = [v.alias(k) for k, v in figures.items()]
+            rows.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("population"), F.lit(parent).alias("parent"), F.lit(depth).alias("depth"), F.lit(channel).alias("channel")))
+    if not cells:
+        raise ValueError("no channel is asked for")
+    out = _with_quantiles(aggs, cells, (0.5, 0.84), marked, sample, state).withColumn("_row", F.get(F.array(*rows), F.col("_cell")))
+    share = lambda d: F.when(F.col(d) > 0, 100.0 * F.col("s.count") / F.col(d)).otherwise(0.0)
+    median = F.get("q", F.lit(0))
+    return out.select(sample, "_row.ord", "_row.population", "_row.parent", "_row.depth", "s.count", share("s.above").alias("pct_parent"), share("s.total").alias("pct_total"), "_row.channel", median.alias("median"), "s.mean", "s.cv", ((F.get("q", F.lit(1)) - median) / F.lit(0.995)).alias("rsd"))
 
 
 def stain_index(pos: Column, neg: Column, rsd: Column) -> Column:

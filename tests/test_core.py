@@ -12,6 +12,7 @@ from gatewise.model import Gate, Panel, Session, Transform, boolean_gate, defaul
 from gatewise.operators import autogate, density, qc, stats
 from gatewise.operators.batch import batch, batch_tubes, channel_union
 from gatewise.operators.compensation import Spillover, choose_spillover, compensate, compensate_tubes, range_mask, tube_matrices
+from gatewise.operators.quantiles import exact_quantiles
 from gatewise.operators.selfcheck import compare_probes
 from gatewise.plans.gates import GatePlan, data_bounds, deepest_population, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
@@ -88,6 +89,29 @@ def test_statistics(spark):
     assert column(spark, [1000.0], stats.stain_index(F.col("x"), F.lit(100.0), F.lit(0.0))) == [None]
 
 
+def close(a, b):
+    return all(x == y or (x is not None and y is not None and x == pytest.approx(y, rel=1e-12)) for x, y in zip(a, b, strict=True))
+
+
+def test_percentiles_by_ranges(spark):
+    """The same figures as from one state: ties, outliers that make first steps useless, one value, none."""
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x), float(y), 0.0) for x, y in zip(rng.normal(0, 1, 3000), rng.integers(0, 5, 3000), strict=True)]
+    rows += [("b", float(x), 1.0, 0.0) for x in [*rng.lognormal(0, 3, 500), 1e200, -1e200, float("nan"), float("inf")]] + [("c", 5.0, float("nan"), 0.0), ("d", 1.0, 2.0, 0.0), ("d", 2.0, 2.0, 0.0)]
+    ev = spark.createDataFrame(rows, "sample_id string, c0 double, c1 double, c2 double")
+    told = lambda df: {tuple(r)[:2]: tuple(r)[2:] for r in df.collect()}
+    one, many = (told(stats.channel_stats(ev, PANEL, state=n)) for n in (10**9, 0))
+    assert one.keys() == many.keys() and len(one) == 8
+    for k in one:
+        assert close(many[k], one[k])
+    gates = [rect(1, -0.5, 3), rect(2, 100, 101, parent=1)]
+    one, many = (sorted(map(tuple, stats.population_stats(ev, gates, PANEL, state=n).collect())) for n in (10**9, 0))
+    for a, b in zip(one, many, strict=True):
+        assert a[:9] == b[:9] and close(a[9:], b[9:])
+    found = exact_quantiles(ev.where("sample_id = 'a'"), "c0", (0.0, 0.1, 1.0), ["sample_id"], bins=3).first()
+    assert tuple(found)[2:] == pytest.approx(tuple(np.quantile([r[1] for r in rows if r[0] == "a"], (0, 0.1, 1))))
+
+
 def test_population_rows(spark):
     gates = [rect(1, 0, 5, name="low"), rect(2, 100, 200, parent=1, name="none"), rect(3, 0, 9, parent=77, name="orphan")]
     rows = stats.population_stats(events(spark, [(1, 10), (4, 20), (8, 30)]), gates, PANEL, channels=["fitc-a"]).orderBy("ord").collect()
