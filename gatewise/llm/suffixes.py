@@ -32,9 +32,9 @@ from .scratch import materialize
 from .substrings import copies_of, lists, member_of, text_of, within
 
 #: Text that a task samples before it sends the ranks on, in bytes.
-GATHER = 64 << 20
+GATHER = 8 << 20
 #: A rank is hot if so many documents of ``GATHER`` bytes of text have it, or if that leaves more than ``HOT`` pairs of it.
-MANY_HERE, HOT = 512, 100_000
+MANY_HERE, HOT = 64, 20_000
 #: Bits of a rank; marks of ranks that many documents of a pack have, and of hot ones.
 RANK, MARK, HOT_BIT = np.uint64((1 << 47) - 1), np.uint64(1 << 47), np.uint64(1 << 62)
 _BYTES = np.random.default_rng(5077).integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -197,32 +197,145 @@ def _contexts(steps: list[int], hot: bool):
     return run
 
 
-def _strings(window: int):
-    """(a, b, doc_id, around) -> (x, y, a, b, doc_id, at): each full window of a context, by 128 bits."""
+#: Hot strings of one bucket go to so many tasks, each with the bucket's minima.
+SALTS = 8
+_PACKED = "bucket int, salt int, x binary, y binary, a binary, b binary, docs binary, ats binary"
+
+
+def _packs(columns: list[np.ndarray], bucket: np.ndarray, names: list[str], **more: int) -> Iterator[pa.RecordBatch]:
+    """One batch with a row for each bucket, whose columns hold the numbers of all its entries."""
+    order = np.argsort(bucket, kind="stable")
+    kinds, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    if len(kinds):
+        packed = [pa.array([c[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.array(np.full(len(kinds), v), pa.int32()) for v in more.values()], *packed], names=["bucket", *more, *names])
+
+
+def _unpacked(cells: list[bytes], kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), kind)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(first ``by`` columns, rows) of each run of rows that agree in these."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[:by] != now:
+                yield now, rows
+                rows = []
+            now = row[:by]
+            rows.append(row[by:])
+    if rows:
+        yield now, rows
+
+
+def _hot_strings(parts: int, window: int):
+    """(a, b, doc_id, around) -> each full window of a context by 128 bits, in packs by bucket of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt, held, size = TaskContext.get().partitionId(), [], 0
+        done = lambda: _packs([np.concatenate(c) for c in zip(*held, strict=True)], np.concatenate([h[0] for h in held]).view(np.uint64) % np.uint64(parts), ["x", "y", "a", "b", "docs", "ats"], salt=salt % SALTS)
         for batch in batches:
+            a, b, doc = (np.asarray(batch.column(i)) for i in range(3))
             for row, off, data in tk.blocks(batch.column(3)):
                 at = np.nonzero(within(off, window))[0]
-                if len(at):
-                    of = text_of(off)[at]
-                    x, y = (tk.long_array(_doubled(data, window, i)[at]) for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([x, y, *(batch.column(c).take(pa.array(row + of)) for c in range(3)), pa.array(at - off[of])], names=["x", "y", "a", "b", "doc_id", "at"])
+                of = text_of(off)[at]
+                x, y = (_doubled(data, window, i)[at].view(np.int64) for i in (0, 1))
+                held.append((x, y, a[row + of], b[row + of], doc[row + of], (at - off[of]).astype(np.int64)))
+                size += len(data)
+                if size >= GATHER // 4:
+                    yield from done()
+                    held, size, salt = [], 0, salt + 1
+        if held:
+            yield from done()
+
+    return run
+
+
+def _ends_of(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (x, y) in order, with the least and greatest document of each."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.nonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))[0] if len(x) else np.zeros(0, np.int64)
+    return (x[first], y[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)) if len(x) else (x, y, low, high)
+
+
+def _string_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, x, y, docs) -> (bucket, x, y, low, high), each string once in a row."""
+    for batch in batches:
+        rows = []
+        for bucket, x, y, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc = np.frombuffer(docs, np.int64)
+            rows.append((bucket, *(v.tobytes() for v in _ends_of(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), doc, doc))))
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "x", "y", "low", "high"])
+
+
+def _repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole buckets -> (bucket, salt, x, y, low as docs) of strings in two documents and more, for each salt."""
+    for (bucket,), rows in _buckets(batches):
+        x, y, low, high = _ends_of(*(_unpacked([r[i] for r in rows]) for i in range(4)))
+        x, y, low = (v[low < high].tobytes() for v in (x, y, low))
+        none = pa.nulls(SALTS, pa.binary())
+        same = lambda v: pa.array([v] * SALTS, pa.binary())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * SALTS, pa.int32()), pa.array(range(SALTS), pa.int32()), same(x), same(y), none, none, same(low), none], names=["bucket", "salt", "x", "y", "a", "b", "docs", "ats"])
+
+
+def _lost_strings(parts: int):
+    """Minima of a bucket and salt, then its strings pack by pack -> (a, b, at) of strings that a smaller document has, in packs by context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y, doc = (np.frombuffer(row[c], np.int64) for c in ("x", "y", "docs"))
+                if row["ats"] is None:
+                    known = (row["bucket"], row["salt"]), x, y, doc
+                    continue
+                if known is None or known[0] != (row["bucket"], row["salt"]) or not len(known[1]):
+                    continue
+                _, kx, ky, low = known
+                at = np.searchsorted(kx, x)
+                last = len(kx) - 1
+                at = np.minimum(at, last)
+                while (more := (kx[at] == x) & (ky[at] < y) & (at < last) & (kx[np.minimum(at + 1, last)] == x)).any():  # strings that agree in the first 64 bits
+                    at = at + more
+                gone = (kx[at] == x) & (ky[at] == y) & (doc > low[at])
+                a, b, place = (np.frombuffer(row[c], np.int64)[gone] for c in ("a", "b", "ats"))
+                yield from _packs([a, b, place], a.view(np.uint64) % np.uint64(parts), ["a", "b", "ats"])
 
     return run
 
 
+def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of whole buckets of contexts -> (a, b, ats)."""
+    for _, rows in _buckets(batches):
+        a, b, at = (_unpacked([r[i] for r in rows]) for i in range(3))
+        order = np.lexsort((b, a))
+        a, b, at = a[order], b[order], at[order]
+        first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0]
+        ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(at))
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), ats], names=["a", "b", "ats"])
+
+
 def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
     """Contexts (a, b, doc_id, version, start, around) -> (doc_id, version, start, stop) of strings that a smaller document has.
 
-    All documents with a context but the smallest lose it whole; for that one, the strings of
-    different contexts are compared. Minima are combined before they are shuffled, and what
-    joins are plain inner and left joins, which AQE splits.
+    All documents with a context but the smallest lose it whole; for that one, the strings of different contexts are compared. Strings
+    aren't rows: they are shuffled in packs by bucket, least and greatest documents of each pack's strings first, which give the minima of the repeated ones, then the packs
+    themselves, each to one of ``SALTS`` tasks of its bucket with these minima, so that a string in all contexts isn't one task's. What they lose goes back by context.
     """
+    spark = contexts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = materialize(contexts.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min("around").alias("around")), "hot-kinds")
-    strings = materialize(kinds.mapInArrow(_strings(window), "x long, y long, a long, b long, doc_id long, at long"), "hot-strings")
-    least = materialize(strings.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("x", "y", "low"), "repeated-hot-strings")
-    again = strings.join(least, ["x", "y"]).where("doc_id > low").groupBy("a", "b").agg(F.collect_list("at").alias("ats"))
+    strings = materialize(kinds.mapInArrow(_hot_strings(parts, window), _PACKED), "hot-strings")
+    ends = strings.select("bucket", "x", "y", "docs").mapInArrow(_string_ends, "bucket int, x binary, y binary, low binary, high binary")
+    least = ends.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_strings, _PACKED)
+    dealt = least.unionByName(strings).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("ats").isNotNull())
+    lost = dealt.mapInArrow(_lost_strings(parts), "bucket int, a binary, b binary, ats binary")
+    again = lost.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_context, "a long, b long, ats array<long>")
     known = materialize(kinds.select("a", "b", F.col("doc_id").alias("smallest")).join(again, ["a", "b"], "left"), "hot-known")
     span = lambda at, size: F.struct((F.col("start") + at).alias("start"), (F.col("start") + at + size).alias("stop"))
     own = F.transform(F.coalesce("ats", F.array().cast("array<long>")), lambda at: span(at, F.lit(window)))
