@@ -309,15 +309,22 @@ def _lost_strings(parts: int):
     return run
 
 
-def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs of whole buckets of contexts -> (a, b, ats)."""
-    for _, rows in _buckets(batches):
-        a, b, at = (_unpacked([r[i] for r in rows]) for i in range(3))
-        order = np.lexsort((b, a))
-        a, b, at = a[order], b[order], at[order]
-        first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0]
-        ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(at))
-        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), ats], names=["a", "b", "ats"])
+def _by_context(window: int):
+    """Packs of whole buckets of contexts -> (a, b, starts, stops): the bytes of each context that its lost strings cover, overlapping ones as one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _buckets(batches):
+            a, b, at = (_unpacked([r[i] for r in rows]) for i in range(3))
+            order = np.lexsort((at, b, a))
+            a, b, at = a[order], b[order], at[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            begins = np.nonzero(new | np.concatenate([[True], at[1:] > at[:-1] + window]))[0]
+            last = np.append(begins[1:], len(at)) - 1
+            first = np.nonzero(new)[0]
+            offsets = pa.array(np.append(np.searchsorted(begins, first), len(begins)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.ListArray.from_arrays(offsets, pa.array(at[begins])), pa.ListArray.from_arrays(offsets, pa.array(at[last] + window))], names=["a", "b", "starts", "stops"])
+
+    return run
 
 
 def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
@@ -335,10 +342,11 @@ def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
     least = ends.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_strings, _PACKED)
     dealt = least.unionByName(strings).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("ats").isNotNull())
     lost = dealt.mapInArrow(_lost_strings(parts), "bucket int, a binary, b binary, ats binary")
-    again = lost.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_context, "a long, b long, ats array<long>")
+    again = lost.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_context(window), "a long, b long, starts array<long>, stops array<long>")
     known = materialize(kinds.select("a", "b", F.col("doc_id").alias("smallest")).join(again, ["a", "b"], "left"), "hot-known")
-    span = lambda at, size: F.struct((F.col("start") + at).alias("start"), (F.col("start") + at + size).alias("stop"))
-    own = F.transform(F.coalesce("ats", F.array().cast("array<long>")), lambda at: span(at, F.lit(window)))
+    span = lambda first, last: F.struct((F.col("start") + first).alias("start"), (F.col("start") + last).alias("stop"))
+    none = F.array().cast("array<long>")
+    own = F.zip_with(F.coalesce("starts", none), F.coalesce("stops", none), span)
     lost = F.when(F.col("doc_id") > F.col("smallest"), F.array(span(F.lit(0).cast("long"), F.octet_length("around").cast("long")))).otherwise(own)
     return contexts.join(known, ["a", "b"]).select("doc_id", "version", F.inline(lost))
 
