@@ -328,7 +328,7 @@ def _by_context(window: int):
 
 
 def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """Contexts (a, b, doc_id, version, start, around) -> (doc_id, version, start, stop) of strings that a smaller document has.
+    """Contexts (a, b, doc_id, version, start, around) -> (doc_id, starts, stops, versions): for each document the spans of strings that a smaller one has.
 
     All documents with a context but the smallest lose it whole; for that one, the strings of different contexts are compared. Strings
     aren't rows: they are shuffled in packs by bucket, least and greatest documents of each pack's strings first, which give the minima of the repeated ones, then the packs
@@ -344,11 +344,13 @@ def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
     lost = dealt.mapInArrow(_lost_strings(parts), "bucket int, a binary, b binary, ats binary")
     again = lost.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_context(window), "a long, b long, starts array<long>, stops array<long>")
     known = materialize(kinds.select("a", "b", F.col("doc_id").alias("smallest")).join(again, ["a", "b"], "left"), "hot-known")
-    span = lambda first, last: F.struct((F.col("start") + first).alias("start"), (F.col("start") + last).alias("stop"))
-    none = F.array().cast("array<long>")
-    own = F.zip_with(F.coalesce("starts", none), F.coalesce("stops", none), span)
-    lost = F.when(F.col("doc_id") > F.col("smallest"), F.array(span(F.lit(0).cast("long"), F.octet_length("around").cast("long")))).otherwise(own)
-    return contexts.join(known, ["a", "b"]).select("doc_id", "version", F.inline(lost))
+    none, moved = F.array().cast("array<long>"), lambda c: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda at: F.col("start") + at)
+    whole = F.col("doc_id") > F.col("smallest")
+    told = contexts.join(known, ["a", "b"]).select(
+        "doc_id", "version", F.when(whole, F.array("start")).otherwise(moved("starts")).alias("starts"), F.when(whole, F.array(F.col("start") + F.octet_length("around"))).otherwise(moved("stops")).alias("stops")
+    )
+    told = told.withColumn("versions", F.transform("starts", lambda _: F.col("version")))
+    return told.groupBy("doc_id").agg(*[F.coalesce(F.flatten(F.collect_list(c)), none).alias(c) for c in ("starts", "stops", "versions")])
 
 
 def _spans(window: int):
@@ -466,11 +468,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, with_text: bool = T
     judged = lambda live: known.join(live, "doc_id").select("doc_id", "version", "text", "live")
     around = judged(live).mapInArrow(_contexts(steps, False), f"rank long, {columns}")
     spans = around.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_spans(window), "doc_id long, version long, start long, stop long")
+    spans = spans.groupBy("doc_id").agg(*[F.collect_list(F.col(c)).alias(f"{c}s") for c in ("start", "stop", "version")])
     hot = live.where(F.exists("live", lambda r: r >= int(HOT_BIT)))
     if not hot.isEmpty():
         contexts = materialize(judged(hot).mapInArrow(_contexts(steps, True), f"a long, b long, {columns}"), "hot-contexts")
-        spans = spans.unionByName(_hot_spans(contexts, window))
-    spans = spans.groupBy("doc_id").agg(*[F.collect_list(F.col(c)).alias(f"{c}s") for c in ("start", "stop", "version")])
+        both = spans.unionByName(_hot_spans(contexts, window))
+        spans = both.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "versions")])
     judged = known.join(spans.join(copies.select("doc_id", "copies"), "doc_id", "full_outer"), "doc_id", "left").select("doc_id", "version", "text", "starts", "stops", "versions", "copies")
     none = F.lit(None).cast("array<long>")
     nameless = docs.where("doc_id IS NULL").select("doc_id", "version", "text", *[none.alias(c) for c in ("starts", "stops", "versions")], F.lit(None).cast("array<string>").alias("copies"))
