@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 ALL_EVENTS, NO_PARENT = "All events", "—"
+#: A quadrant's edge beyond this is an open side.
+OPEN_SIDE = 5e11
 
 
 @dataclass(frozen=True)
@@ -120,13 +122,16 @@ def quadrant_gates(first_id: int, group: int, x: str, y: str, cx: float, cy: flo
 
 
 def move_quadrant(gates: list[Gate], group: int, cx: float, cy: float) -> list[Gate]:
-    """The quadrants of a group about another centre, still half open."""
-    mine = [g for g in gates if g.quad_group == group]
-    moved = {}
-    for old in mine:
-        new = quadrant_gates(0, group, old.x_channel, old.y_channel, cx, cy)
-        moved[old.id] = new[["UR", "UL", "LL", "LR"].index(old.name.rsplit(" ", 1)[-1])].shape
-    return [replace(g, shape=moved[g.id]) if g.id in moved else g for g in gates]
+    """The quadrants of a group about another centre, still half open; sides are told by their open ends, so names don't matter."""
+
+    def moved(shape: dict) -> dict:
+        out = dict(shape)
+        for axis, c in (("x", cx), ("y", cy)):
+            upper = shape[f"{axis}_min"] > -OPEN_SIDE
+            out[f"{axis}_min" if upper else f"{axis}_max"] = c if upper else math.nextafter(c, -math.inf)
+        return out
+
+    return [replace(g, shape=moved(g.shape)) if g.quad_group == group and g.kind == "rect" else g for g in gates]
 
 
 def boolean_gate(id: int, op: str, refs: list[Gate], parent: int | None = None) -> Gate:

@@ -20,6 +20,11 @@ SPILL_KEYWORDS = ("$SPILLOVER", "SPILLOVER", "$SPILL", "SPILL")
 LARGEST_INVERSE = 1e6
 
 
+def shortest(v: float) -> str:
+    """The fewest digits that give the number back, without an exponent or an empty fraction."""
+    return np.format_float_positional(float(v), trim="-")
+
+
 @dataclass(frozen=True)
 class Spillover:
     channels: tuple[str, ...]
@@ -59,10 +64,10 @@ class Spillover:
         return cls(tuple(channels), tuple(tuple(cells[s, t] for t in channels) for s in channels))
 
     def format(self) -> str:
-        return ",".join([str(len(self.channels)), *self.channels, *(repr(float(v)) for row in self.matrix for v in row)])
+        return ",".join([str(len(self.channels)), *self.channels, *(shortest(v) for row in self.matrix for v in row)])
 
     def to_csv(self) -> str:
-        return "\n".join([",".join(["", *self.channels]), *(",".join([c, *(repr(float(v)) for v in r)]) for c, r in zip(self.channels, self.matrix, strict=True))]) + "\n"
+        return "\n".join([",".join(["", *self.channels]), *(",".join([c, *(shortest(v) for v in r)]) for c, r in zip(self.channels, self.matrix, strict=True))]) + "\n"
 
     def to_json(self) -> str:
         return json.dumps({"channels": self.channels, "matrix": self.matrix})

@@ -70,14 +70,17 @@ class GatePlan:
         return shape_mask(g.shape, forward(F.col(x), g.x_transform), forward(F.col(y), g.y_transform))
 
     def ancestors(self, id: int) -> list[int]:
+        """The gate and those above it, each once: masks in a circle of parents would only repeat."""
         out, at = [], id
-        while at is not None and at in self.known and len(out) < DEEPEST:
+        while at is not None and at in self.known and at not in out and len(out) < DEEPEST:
             out.append(at)
             at = self.known[at].parent
         return out
 
     def _settled(self, id: int) -> bool:
-        return id in self.known and all(a in self.own for a in self.ancestors(id))
+        """Whether the masks of a gate and all its ancestors are known; never below a parent that isn't there, or in a circle of parents."""
+        chain = self.ancestors(id)
+        return id in self.known and self.known[chain[-1]].parent is None and all(a in self.own for a in chain)
 
     def evaluable(self, id: int) -> bool:
         return all(self.own.get(a) is not None for a in self.ancestors(id))

@@ -6,7 +6,9 @@ discount and tax stand for FSC-A, SSC-A, FITC-A and PE-A, the ship day for Time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,15 +16,16 @@ from pyspark.sql import functions as F
 
 from .functions import formats
 from .functions.transforms import asinh_panel, forward, inverse, inverse_value, logicle
-from .model import Gate, Panel, Transform, boolean_gate, quadrant_gates
+from .model import Gate, Panel, Session, Transform, boolean_gate, default_transforms, delete_gate, move_quadrant, quadrant_gates, reparent
 from .operators import autogate, qc, stats
 from .operators.batch import batch, batch_tubes, channel_names, chart_series
-from .operators.compensation import Spillover, compensate, parsed_spillover, range_mask, spillover_keyword, tube_matrices
+from .operators.compensation import Spillover, choose_spillover, compensate, parsed_spillover, range_mask, spillover_keyword, tube_matrices
 from .operators.density import backgate, contours, density, density_grid, heat_bucket, overlay, stride_sample
 from .operators.selfcheck import compare_probes
 from .plans.gates import GatePlan, deepest_population, missing_by_sample
 from .sources import fcs, sinks
 from .sources.fcs_source import read_events, read_files, save_events, stream_events
+from .sources.gating_ml import read_gating_ml
 from .sources.shared import shared_folder
 
 PANEL = Panel(("FSC-A", "SSC-A", "FITC-A", "PE-A", "Time"))
@@ -72,12 +75,12 @@ def _polygon_sql(points: list, x: str = "c0", y: str = "c1") -> str:
 SQL_MASK[4] = _polygon_sql(FIELD.shape["vertices"])
 
 
-def _counts_sql(rows: list[tuple[str, str, str]]) -> str:
+def _counts_sql(rows: list[tuple[str, str, str]], ctes: str = TUBES) -> str:
     """rows: (name, mask of the gate, mask of its parent)."""
     parts = [
         f"SELECT sample_id, {i} AS ord, '{n}' AS gate, count(*) FILTER (WHERE {m}) AS n_in, count(*) FILTER (WHERE {p}) AS n_parent, count(*) AS n_total FROM tubes GROUP BY sample_id" for i, (n, m, p) in enumerate(rows)
     ]
-    return f"WITH {TUBES}, u AS ({' UNION ALL '.join(parts)}) SELECT *, round(CASE WHEN n_parent > 0 THEN 100.0 * n_in / n_parent ELSE 0 END, 6) AS pct_parent FROM u"
+    return f"WITH {ctes}, u AS ({' UNION ALL '.join(parts)}) SELECT *, round(CASE WHEN n_parent > 0 THEN 100.0 * n_in / n_parent ELSE 0 END, 6) AS pct_parent FROM u"
 
 
 QUADRANTS = quadrant_gates(11, 1, "FITC-A", "PE-A", 5000.5, 4000.5)
@@ -721,6 +724,105 @@ def s_fcs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{work}/events").groupBy("sample_id").agg(F.count("event_idx").alias("n"), F.count_distinct("event_idx").alias("n_distinct"), F.max("event_idx").alias("last"), F.sum("c1").alias("ssc")), 2)
 
 
+def g_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after edits: FITC+ deleted between its parent and its child and out of an OR, Round put below Cells, a quadrant renamed and the four moved."""
+    below = replace(DIM, parent=FITC.id)
+    gates = [CELLS, FITC, below, ROUND, boolean_gate(8, "or", [FITC, ROUND]), replace(QUADRANTS[0], name="both"), *QUADRANTS[1:]]
+    gates = move_quadrant(reparent(delete_gate(gates, FITC.id), ROUND.id, CELLS.id), 1, 7000.5, 3000.5)
+    return _rounded(stats.gate_counts(tubes(spark, sf_dir), gates, PANEL))
+
+
+def _edits_sql() -> str:
+    right, up, inner = "c2 >= 7000.5", "c3 >= 3000.5", f"({_M[1]} AND {_M[3]})"
+    corners = [("both", f"({right} AND {up})"), (QUADRANTS[1].name, f"(NOT {right} AND {up})"), (QUADRANTS[2].name, f"(NOT {right} AND NOT {up})"), (QUADRANTS[3].name, f"({right} AND NOT {up})")]
+    return _counts_sql([("Cells", _M[1], "true"), ("Dim", f"({_M[1]} AND {_M[5]})", _M[1]), ("Round", inner, _M[1]), ("FITC+ OR Round", inner, "true"), *[(n, m, "true") for n, m in corners]])
+
+
+def g_unevaluable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates out of order, on a channel that isn't there, below such a gate, below an unknown parent, in a circle, and what Boolean gates make of them."""
+    lost = Gate(21, "Lost", {"shape": "range", "x_min": 0.0, "x_max": 1.0}, 1, "APC-A", "APC-A")
+    child, orphan = replace(FITC, id=23, name="Child", parent=21), replace(FITC, id=25, name="Orphan", parent=99)
+    nots = [boolean_gate(i, "not", [g]) for i, g in ((22, lost), (24, child), (26, orphan), (27, NONE))]
+    circle = [Gate(28, "Circle A", {"shape": "boolean", "op": "or", "refs": [29, 1]}), Gate(29, "Circle B", {"shape": "boolean", "op": "not", "refs": [28]})]
+    gates = [nots[0], orphan, lost, CELLS, child, *nots[1:], NONE, *circle]
+    return _rounded(stats.population_stats(tubes(spark, sf_dir), gates, PANEL, channels=["FITC-A"]))
+
+
+def _unevaluable_sql() -> str:
+    """Only the NOT of a gate that is merely empty holds events; a NOT of an orphan never becomes ready."""
+    none = f"({_M[1]} AND {_M[6]})"
+    tops = lambda *rows: [(n, "All events", 1, m, "true") for n, m in rows]
+    pops = [POPS[0], *tops(("NOT Lost", "false")), POPS[1], ("Lost", "Cells", 2, "false", _M[1]), ("Child", "Lost", 3, "false", "false"), ("Nothing", "Cells", 2, none, _M[1])]
+    pops += tops(("NOT Child", "false"), ("NOT Orphan", "false"), ("NOT Nothing", f"NOT {none}"), ("Circle A", "false"), ("Circle B", "false"))
+    return _popstats_sql([*pops, ("Orphan", "—", 1, _M[2], "true")], [("FITC-A", "c2")])
+
+
+def k_gating_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates written as Gating-ML and read again: raw values counted in data space, an ellipse as a 64-gon."""
+    text, _ = sinks.gating_ml([CELLS, FITC, DIM, ROUND, FIELD, NOTS, ORS])
+    return _rounded(stats.gate_counts(tubes(spark, sf_dir), read_gating_ml(text), PANEL))
+
+
+def _gating_ml_sql() -> str:
+    dim = f"({_M[1]} AND c3 BETWEEN {150 * math.sinh(3.0)!r} AND {150 * math.sinh(4.2)!r})"
+    turn, s = [math.tau * i / 64 for i in range(64)], ROUND.shape
+    c, d = math.cos(s["angle"]), math.sin(s["angle"])
+    ring = _polygon_sql([(s["cx"] + s["rx"] * math.cos(t) * c - s["ry"] * math.sin(t) * d, s["cy"] + s["rx"] * math.cos(t) * d + s["ry"] * math.sin(t) * c) for t in turn])
+    rows = [("Cells", _M[1], "true"), ("FITC_", _FITC, _M[1]), ("Dim", dim, _M[1]), ("Round", ring, "true"), ("Field", _M[4], "true"), ("NOT_FITC_", f"({_M[1]} AND NOT {_FITC})", _M[1]), ("FITC__OR_Round", f"({_FITC} OR {ring})", "true")]
+    return _counts_sql(rows)
+
+
+def k_r_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouped table that goes with the R script, as a reader of the file finds it."""
+    folder = shared_folder(spark, "r")
+    sinks.r_bundle(_rounded(stats.population_stats(tubes(spark, sf_dir), TREE, PANEL)).withColumn("group", F.substring("sample_id", 1, 1)), folder)
+    return spark.read.option("header", True).csv(f"{folder}/populations.csv")
+
+
+def k_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.gate_counts(tubes(spark, sf_dir), COUNTS["g_not"][0], PANEL)
+    return sinks.tsv(rows.select("sample_id", "ord", "gate", F.nullif("n_in", F.lit(0)).alias("n_in"), "n_parent", "n_total"))
+
+
+def p_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under a matrix that went through its CSV and JSON files and beats the one embedded."""
+    found = choose_spillover(True, Spillover.load(Spillover.load(SPILL.to_csv()).to_json()), "2,FITC-A,PE-A,1,0.5,0.5,1", strict=True)
+    out = compensate(tubes(spark, sf_dir), PANEL, found)
+    return _rounded(out.select("event_idx", "sample_id", F.col("c2").alias("fitc"), F.col("c3").alias("pe"), F.lit(found.format()).alias("keyword"), F.lit(found.max_off_diagonal).alias("spread")))
+
+
+def p_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default axes of a panel: one carried over under another case, one logicle that can't be built (and so is linear), the rest by the kind of channel."""
+    panel = Panel((*PANEL.channels, "APC-A"), (*PANEL.columns, "c5"))
+    axes = default_transforms(panel, {"fitc-a": ASINH, "PE-A": Transform("logicle", w=-1.0)})
+    t = tubes(spark, sf_dir).withColumn("c5", F.col("c1") * 100 - 1000)
+    shown = {n: forward(F.col(c), axes[n]) for n, c in zip(panel.channels, panel.columns, strict=True)}
+    names = {"fsc": "FSC-A", "fitc": "FITC-A", "pe": "PE-A", "day": "Time"}
+    label = F.lit("|".join(axes[n].label for n in panel.channels))
+    return _rounded(t.select("event_idx", "sample_id", *[shown[n].alias(k) for k, n in names.items()], inverse(shown["APC-A"], LOGICLE).alias("apc_back"), (shown["APC-A"] == F.col("c5")).alias("apc_linear"), label.alias("axes")))
+
+
+def s_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved session opened again after one of its files was lost: its gates over the files that are left, with their groups and the active one."""
+    folder = _saved_tubes(spark, sf_dir)
+    meta = read_files(spark, folder).where("error IS NULL").select("path", "sample_id", "n_events", "n_params", "error")
+    there = sorted(r["path"] for r in meta.select("path").collect())  # a session names its files
+    saved = Session((f"{folder}/lost.fcs", *there), ("lost", *[f"group {i % 2}" for i in range(len(there))]), 2, True, (ASINH,), (CELLS, FITC), {"channels": ["FITC-A"], "rows": [[1.0, 2.0]]})
+    session = Session.load(saved.dump(), found=there)
+    tags = spark.createDataFrame([(p, g, i == session.active) for i, (p, g) in enumerate(zip(session.paths, session.groups, strict=True))], "path string, grp string, active boolean")
+    tubes_ = meta.join(tags, "path").select("sample_id", "grp", "active", F.lit(session.spillover is None).alias("matrix_dropped"))
+    peeked = fcs.peek_files(spark, f"{folder}/*.fcs").select(F.regexp_extract("path", r"([^/]*)\.fcs$", 1).alias("sample_id"), F.col("n_events").alias("n_peeked"))
+    counts = stats.gate_counts(read_events(spark, folder, PANEL.channels).where("error IS NULL"), list(session.gates), PANEL)
+    return _rounded(counts.join(tubes_, "sample_id").join(peeked, "sample_id"))
+
+
+def _session_sql() -> str:
+    floats = TUBES.replace("tubes AS", "exact AS", 1) + ", tubes AS (SELECT sample_id, " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in PANEL.columns) + " FROM exact)"
+    tags = "tags AS (SELECT sample_id, 'group ' || CAST((row_number() OVER (ORDER BY sample_id) - 1) % 2 AS VARCHAR) AS grp, row_number() OVER (ORDER BY sample_id) = 2 AS active FROM (SELECT DISTINCT sample_id FROM exact))"
+    counts = _counts_sql([("Cells", _M[1], "true"), ("FITC+", _FITC, _M[1])], f"{floats}, {tags}")
+    return f"SELECT * FROM ({counts}) JOIN (WITH {floats}, {tags} SELECT sample_id, grp, active, true AS matrix_dropped FROM tags) USING (sample_id) JOIN (WITH {TUBES} SELECT sample_id, count(*) AS n_peeked FROM tubes GROUP BY sample_id) USING (sample_id)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     x, y = F.col, F.col
     columns = {
@@ -732,6 +834,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_logicle_inverse": lambda: inverse((y("c_acctbal") + 1000) / 11000 * 4.5, LOGICLE),
     }
     named = (p_compensate, a_channel_stats, a_popstats, a_popstats_empty, a_spillover, a_residual, a_flow_rate, a_margins, a_qc, a_stain_index, a_titration, a_batch, a_histogram, a_density, a_singlet, a_mode, s_range_mask, s_spillover_parse)
+    named += (g_edits, g_unevaluable, k_gating_ml, k_r_table, k_tsv, p_matrix_file, p_axes, s_session)
     named += (s_fcs_events, s_fcs_info, s_fcs_stream, k_fcs_gated)
     named += (a_titration_lost, a_contours, a_auto_threshold, a_sample, a_tube_batch, a_tube_rejects, a_self_check, g_deepest, g_logicle, p_tube_inverse)
     named += (a_best_titration, a_heat, s_spillover_keyword, a_valley, a_cross_check, a_channel_names, a_chart, a_backgate, k_population_table, k_titration_table, k_qc_table, k_transform_dump, k_events_text, p_formats, p_utc_date, p_file_token, p_asinh_panel, g_missing_channels)
@@ -740,6 +843,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     customer = lambda e: f"SELECT c_custkey, round({e}, 6) AS value FROM customer"
+    table = "WITH r AS (" + _popstats_sql(POPS, STATS) + """) SELECT substr(sample_id, 1, 1) AS "group", sample_id AS sample, population, parent, CAST(depth AS VARCHAR) AS depth, CAST(count AS VARCHAR) AS count,
+          printf('%.4f', pct_parent) AS pct_parent, printf('%.4f', pct_total) AS pct_total, channel, coalesce(printf('%.4f', median), 'NA') AS median, coalesce(printf('%.4f', mean), 'NA') AS mean, coalesce(printf('%.4f', cv), 'NA') AS cv FROM r"""
     return {
         "p_log": customer("log10(greatest(c_acctbal, 1.0))"),
         "p_asinh": customer("asinh(c_acctbal / 150.0)"),
@@ -750,8 +855,15 @@ def oracle_sql() -> dict[str, str]:
         "a_spillover": _spillover_sql(),
         "a_valley": VALLEY_SQL,
         "a_cross_check": _cross_check_sql(),
-        "k_population_table": "WITH r AS (" + _popstats_sql(POPS, STATS) + """) SELECT substr(sample_id, 1, 1) AS "group", sample_id AS sample, population, parent, CAST(depth AS VARCHAR) AS depth, CAST(count AS VARCHAR) AS count,
-          printf('%.4f', pct_parent) AS pct_parent, printf('%.4f', pct_total) AS pct_total, channel, coalesce(printf('%.4f', median), 'NA') AS median, coalesce(printf('%.4f', mean), 'NA') AS mean, coalesce(printf('%.4f', cv), 'NA') AS cv FROM r""",
+        "k_population_table": table,
+        "k_r_table": table,
+        "k_tsv": f"SELECT concat_ws(chr(9), sample_id, ord, gate, coalesce(CAST(nullif(n_in, 0) AS VARCHAR), 'NA'), n_parent, n_total) AS value FROM ({_counts_sql(COUNTS['g_not'][1])})",
+        "g_edits": _edits_sql(),
+        "g_unevaluable": _unevaluable_sql(),
+        "k_gating_ml": _gating_ml_sql(),
+        "p_matrix_file": f"WITH {COMPENSATED} SELECT event_idx, sample_id, round(c2, 6) AS fitc, round(c3, 6) AS pe, '2,FITC-A,PE-A,1,0.08,0.03,1' AS keyword, CAST(0.08 AS DOUBLE) AS spread FROM comp",
+        "p_axes": f"WITH {TUBES} SELECT event_idx, sample_id, round(c0, 6) AS fsc, round(asinh(c2 / 150.0), 6) AS fitc, round(c3, 6) AS pe, c4 AS day, round(c1 * 100 - 1000, 6) AS apc_back, false AS apc_linear, 'linear|linear|asinh 150|logicle T=262144 W=-1 M=4.5 A=0|linear|logicle T=262144 W=0.5 M=4.5 A=0' AS axes FROM tubes",
+        "s_session": _session_sql(),
         "k_titration_table": "WITH r AS (" + TITRATION_SQL + """) SELECT '' AS "group", sample_id AS sample, '' AS concentration, """ + ", ".join(f"coalesce(printf('%.4f', {c}), 'NA') AS {c}" for c in sinks.TITRATION[3:]) + " FROM r",
         "k_qc_table": "WITH r AS (" + QC_SQL + """) SELECT '' AS "group", sample_id AS sample, CAST(n_events AS VARCHAR) AS events, coalesce(printf('%.2f', viable), '') AS pct_viable, coalesce(printf('%.2f', flow_dev), '') AS flow_dev_pct,
           coalesce(printf('%.2f', offscale_pct), '') AS offscale_pct, coalesce(offscale_channel, '') AS offscale_channel, flags FROM r""",

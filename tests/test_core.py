@@ -1,6 +1,7 @@
 """Known answers of transforms, gates, statistics, matrices, files and exports."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from gatewise.operators.quantiles import exact_quantiles
 from gatewise.operators.selfcheck import compare_probes
 from gatewise.plans.gates import GatePlan, data_bounds, deepest_population, gate_at, missing_channels
 from gatewise.sources import fcs, sinks
+from gatewise.sources.gating_ml import read_gating_ml
 from gatewise.sources.fcs_source import read_events, read_files, save_events, stream_events
 
 # Published asinh(x / 150) and logicle (T 262144, W 0.5, M 4.5, A 0) results.
@@ -503,3 +505,37 @@ def test_exports(spark):
     df = spark.createDataFrame([(" 1.5 ", "my_PE-Cy7 tube"), ("x", "pe"), ("inf", "none")], "t string, f string")
     assert [r[0] for r in df.select(numeric_tag(F.col("t"))).collect()] == [1.5, None, None]
     assert [r[0] for r in df.select(file_token(F.col("f"), ["PE-A", "PE-Cy7-A"])).collect()] == ["PE-Cy7-A", None, None]
+
+
+def test_boolean_over_orphans(spark):
+    """A NOT of a gate below an unknown parent, or in a circle of parents, holds nothing; of a merely empty gate, everything."""
+    gates = [rect(1, 0, 5, parent=77, name="orphan"), rect(2, 0, 5, parent=3, name="a"), rect(3, 0, 5, parent=2, name="b"), rect(4, 90, 99, name="empty")]
+    nots = [boolean_gate(10 + g.id, "not", [g]) for g in gates]
+    df = GatePlan([*gates, *nots], PANEL).add_masks(events(spark, [(1, 1), (8, 8)]))
+    assert [df.where(f"g{g.id}").count() for g in nots] == [0, 0, 0, 2]
+    assert df.where("g1").count() == 1
+
+
+def test_renamed_quadrant_moves():
+    one = quadrant_gates(5, 1, "x", "y", 1.0, 1.0)
+    renamed = [replace(g, name="any") for g in one]
+    assert [g.shape for g in move_quadrant(renamed, 1, 2.0, 3.0)] == [g.shape for g in quadrant_gates(5, 1, "x", "y", 2.0, 3.0)]
+
+
+def test_gating_ml_read_again():
+    gates = [Gate(1, "a", {"shape": "rect", "x_min": 0.0, "x_max": 5.0, "y_min": -1.0, "y_max": 2.0}, None, "FSC-A", "FITC-A"), Gate(2, "b", {"shape": "range", "x_min": -1e12, "x_max": 7.5}, 1, "FSC-A", "FSC-A"), Gate(3, "c", {"shape": "polygon", "vertices": [[0.0, 1.0], [2.0, 3.0], [4.0, -1.5]]}, 2, "FSC-A", "fitc-a")]
+    gates.append(boolean_gate(4, "or", [gates[0], gates[2]], parent=1))
+    back = read_gating_ml(sinks.gating_ml(gates)[0])
+    assert [(g.name, g.parent, g.kind) for g in back] == [("a", None, "rect"), ("b", 1, "range"), ("c", 2, "polygon"), ("a_OR_c", 1, "boolean")]
+    assert back[0].shape == gates[0].shape and back[1].shape["x_min"] == -math.inf and back[1].shape["x_max"] == 7.5 and back[2].shape == gates[2].shape and back[3].shape["refs"] == [1, 3]
+    text = sinks.gating_ml(gates[:1])[0]
+    with pytest.raises(ValueError):
+        read_gating_ml(text.replace("RectangleGate", "QuadrantGate"))
+    with pytest.raises(ValueError):
+        read_gating_ml(text.replace("<gating:dimension ", '<gating:dimension gating:transformation-ref="t" ', 1))
+    assert read_gating_ml(sinks.gating_ml([replace(gates[0], parent=None)])[0].replace("<gating:RectangleGate ", '<gating:RectangleGate gating:parent_id="gone" '))[0].parent == 0
+
+
+def test_numbers_of_matrix_files():
+    m = Spillover(("a", "b"), ((1.0, 1e-7), (0.1, 1e20)))
+    assert m.format() == "2,a,b,1,0.0000001,0.1,100000000000000000000" and Spillover.parse(m.format()) == m == Spillover.load(m.to_csv())
