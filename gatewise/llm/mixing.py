@@ -15,6 +15,22 @@ from .scratch import materialize
 PART_DIGITS = 3
 
 
+def _totals_before(nodes: DataFrame, parent: list[str], order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """``nodes`` with, under each name of ``sums``, the total of a column over the rows of the same parent that come before in ``order``.
+
+    Nodes are dealt into ranges of the whole order and written with their range's number; totals within a range and
+    of the ranges before it are taken apart, so no task holds the children of one parent.
+    """
+    ranges = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(nodes.repartitionByRange(ranges, *parent, *order).withColumn("_range", F.spark_partition_id()), name)
+    within = Window.partitionBy(*parent, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*parent).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*parent, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    ends = ends.select(*parent, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(ends, [*parent, "_range"])
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Give each parent's ``budget`` to its children by ``weight``, at most ``capacity`` each.
 
@@ -23,22 +39,22 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     rest. Integers are shared by rounding running totals, so nothing is lost.
     """
     wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products of tokens and weights go beyond a long
-    ratio = F.col("capacity") / F.col("weight")
-    before = Window.partitionBy(*parent).orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*parent)
-    out = nodes.withColumn("ratio", ratio)
-    out = out.withColumn("left", F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0)))
-    out = out.withColumn("still", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    out = out.withColumn("full", wide("left") * wide("weight") >= wide("capacity") * wide("still"))
+    place = F.struct("ratio", "node")
+    out = nodes.withColumn("ratio", F.col("capacity") / F.col("weight"))
+    out = _totals_before(out, parent, ["ratio", "node"], {"taken": "capacity", "lighter": "weight"}, f"shares-{len(parent)}")
+    whole = out.groupBy(*parent).agg(F.sum("weight").alias("all_weight"))
+    out = out.join(whole, parent)
+    full = wide("budget") - wide("taken")
+    out = materialize(out.withColumn("full", full * wide("weight") >= wide("capacity") * (wide("all_weight") - wide("lighter"))), f"filled-{len(parent)}")
     # once one child isn't full, none after it is
-    out = out.withColumn("full", F.min("full").over(Window.partitionBy(*parent).orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, 0)))
-    rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(whole), F.lit(0))
-    out = out.withColumn("rest", rest).withColumn("open", F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole))
-    run = Window.partitionBy(*parent, "full").orderBy("ratio", "node").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("weight").over(run)
-    share = F.expr("(CAST(rest AS DECIMAL(38,0)) * CAST(upto AS DECIMAL(38,0))) DIV open") - F.expr("(CAST(rest AS DECIMAL(38,0)) * CAST(upto - weight AS DECIMAL(38,0))) DIV open")
-    out = out.withColumn("upto", upto).withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(share).cast("long"))
-    return out.drop("ratio", "left", "still", "full", "rest", "open", "upto")
+    first = out.groupBy(*parent).agg(F.min(F.when(~F.col("full"), place)).alias("first"))
+    out = out.join(first, parent).withColumn("full", F.col("first").isNull() | (place < F.col("first")))
+    sums = {"full_capacity": F.when(F.col("full"), F.col("capacity")), "full_weight": F.when(F.col("full"), F.col("weight"))}
+    out = out.join(out.groupBy(*parent).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]), parent)
+    out = out.withColumn("rest", F.col("budget") - F.col("full_capacity")).withColumn("open", F.col("all_weight") - F.col("full_weight"))
+    upto = "CAST(rest AS DECIMAL(38,0)) * CAST(lighter - full_weight {} AS DECIMAL(38,0)) DIV open"
+    share = F.expr(f"({upto.format('+ weight')}) - ({upto.format('')})")
+    return out.withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(share).cast("long")).select(*nodes.columns, "share")
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], budget: int, weights: Mapping[str, int], max_epochs: int) -> DataFrame:
@@ -53,8 +69,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], budget: int, weights: Map
         name = F.concat(F.lit(f"{path[-1]}="), F.coalesce(F.col(path[-1]), F.lit("")))
         nodes = nodes.withColumn("weight", F.coalesce(known[name], F.lit(1)).cast("long") if known is not None else F.lit(1).cast("long"))
         if total is None:
-            nodes = nodes.withColumn("budget", F.lit(budget).cast("long"))
-            nodes = nodes.withColumn("budget", F.least("budget", F.sum("capacity").over(Window.partitionBy("_root"))))
+            most = nodes.agg(F.sum("capacity").alias("n")).first()["n"] or 0
+            nodes = nodes.withColumn("budget", F.lit(min(budget, most)).cast("long"))
         else:
             nodes = nodes.join(total, parent)
         total = _share(nodes, ["_root", *parent]).select(*path, F.col("share").alias("budget"))
@@ -80,7 +96,7 @@ def mix_sources(
     are taken as often as the whole epochs of their leaf. Equal doc_ids (and missing ones) of a leaf stand side by side in its orders and count as
     separate rows. Other columns are ignored, but ``row`` names a column of unique values that is returned
     too and orders rows of equal doc_id and size; an empty table gives an empty result.
-    Leaves of any size are fine: the order is cut into 16 ** PART_DIGITS parts by its first digits, the parts
+    Parents with any number of children are fine: their running totals are taken in ranges. Leaves of any size are fine: the order is cut into 16 ** PART_DIGITS parts by its first digits, the parts
     are summed, and only documents of one part are ordered in one task.
     """
     if any(w < 1 for w in (weights or {}).values()):
