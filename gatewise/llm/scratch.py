@@ -33,9 +33,8 @@ def qualified(spark: SparkSession, path: str) -> str:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
-#: Folder of the intermediate tables of the work at hand, below the shared one, and the catalog's names for those in buckets.
+#: Folder of the intermediate tables of the work at hand, below the shared one.
 _folder: ContextVar[str] = ContextVar("folder", default="kept")
-_tables: dict[str, list[str]] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -54,8 +53,6 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[], None]]:
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    for table in _tables.pop(folder, []):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gatewise/{folder}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -69,11 +66,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """The same, dealt into sorted buckets by the columns ``by``: joins on them read it without another shuffle."""
+    """The same, dealt into sorted buckets by the columns ``by``: joins on them read it without another shuffle.
+
+    Buckets need a name in the catalog, which is dropped at once: the table is external, so its files stay, and the result's plan has the buckets already.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"gatewise_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.repartition(parts, *by).write.bucketBy(parts, *by).sortBy(*by)
     writer.option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(table)
-    _tables.setdefault(_folder.get(), []).append(table)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
