@@ -184,17 +184,18 @@ class _Page:
 
 
 def _search(top: float, k: int):
-    """(queries, page) -> the page's best k of each query."""
+    """(queries, page) -> the page's best k of each query, and a row without a query that has the number of scores computed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int | None, int, int]] = []
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
                 page = _Page({c: part.column(c)[0].as_py() for c in BINARY}, top)
                 cards = part.column("queries").flatten()
                 qids = np.asarray(cards.field("query_id"))
-                found, _ = page.search(_matrix(cards.field("v")), qids, cards.field("floor").to_pylist(), k)
+                found, computed = page.search(_matrix(cards.field("v")), qids, cards.field("floor").to_pylist(), k)
+                out.append((None, len(qids), computed))
                 out += [(int(q), i, -s) for q, best in zip(qids, found, strict=True) for s, i in best]
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
@@ -270,7 +271,7 @@ def _grown(routed: DataFrame, top: float) -> DataFrame:
     return materialize(out.drop("node", "n"), "paged")
 
 
-def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
+def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, done: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """The ``k`` greatest inner products of each query: (query_id, rank, vec_id, score).
 
     ``vectors`` has vec_id and embedding; components become floor(``scale`` * x) of the double
@@ -281,6 +282,7 @@ def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale:
     different lengths are compared as if zeros followed the shorter one. Scores beyond a long are cut to its range. Repeated candidates count
     each; rows that repeat a query's vec_id with other vectors offer their best together, equal ones once. Other columns are ignored.
 
+    ``done`` is filled with the pairs of a query and a page that were searched, and the scores computed there, in each pass.
     At most ``ROOTS`` vectors and their cells' radii come to the driver; a node of any size is split by joins that AQE splits.
     """
     spark = vectors.sparkSession
@@ -315,7 +317,11 @@ def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale:
     def searched(asked: DataFrame, name: str) -> DataFrame:
         rows = in_blocks(asked, "page", ["q", "query_id", "v", "floor"], QUERIES, "queries")
         hits = rows.join(tree.select("page", *BINARY), "page").mapInArrow(_search(top, k), "query_id long, vec_id long, score long")
-        return materialize(hits, name)
+        hits = materialize(hits, name)
+        if done is not None:
+            met = hits.where("query_id IS NULL").agg(F.sum("vec_id"), F.sum("score")).first()
+            done[name] = (met[0] or 0, met[1] or 0)
+        return hits.where("query_id IS NOT NULL")
 
     def floors(hits: DataFrame) -> DataFrame:
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)

@@ -10,6 +10,9 @@ import pyarrow as pa
 import pytest
 
 from gatewise.llm import licences, queries, runs, tries
+from gatewise.llm.mixing import leaf_budgets
+from gatewise.llm.substrings import remove_repeats
+from gatewise.llm.topk import top_inner_products
 from tests.llm.test_oracles import same
 
 
@@ -172,3 +175,40 @@ def test_odd_conversations(spark, tmp_path):
     (tmp_path / "none").mkdir()
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "none" / "conversations.parquet"))
     assert queries.op13_conversation_trie(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_budgets_of_one_parent_in_ranges(spark):
+    """A thousand children of one parent, most of equal ratio, over four ranges: shares as running totals give them one by one."""
+    rng = random.Random(5)
+    tokens = {f"s{i:04d}": rng.choice([0, 1, 1, 1, 7, 500]) for i in range(1000)}
+    weights = {n: rng.choice([1, 1, 3]) for n in tokens}
+    leaves = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    for budget in (0, 700, 5000, 10**6):
+        order = sorted(tokens, key=lambda n: (2 * tokens[n] / weights[n], n))
+        left, weight, want = min(budget, 2 * sum(tokens.values())), sum(weights.values()), {}
+        while order and left * weights[order[0]] >= 2 * tokens[order[0]] * weight:
+            name = order.pop(0)
+            want[name] = 2 * tokens[name]
+            left, weight = left - want[name], weight - weights[name]
+        upto = 0
+        for name in order:
+            want[name] = left * (upto + weights[name]) // weight - left * upto // weight
+            upto += weights[name]
+        got = leaf_budgets(leaves, ["source"], budget, {f"source={n}": w for n, w in weights.items()}, 2)
+        assert {r["source"]: r["budget"] for r in got.collect()} == want
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 70}" for j in range(60 + i)), "en", "s", 0) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert remove_repeats(docs, window=20).where("n_removed > 0").count() == 7
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_top_k_counts_its_work(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    done = {}
+    got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, done=done)
+    assert got.count() == 60 and set(done) == {"home-hits", "next-hits", "other-hits"}
+    assert done["home-hits"][0] == 6 and 0 < sum(s for _, s in done.values()) <= 6 * 600
