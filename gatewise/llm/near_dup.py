@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ SYMBOLS, CHUNK, MAX_DISTANCE = 64, 4, 31
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Two blocks with more near pairs are compared as wholes.
 MANY = 256
+#: Pairs confirmed at once, and the bytes of their texts (a longer pair is confirmed by itself).
+PAIRS, PAIR_BYTES = 256, 4 << 20
 #: Salt of the hashes with which links are confirmed, so that no collision confirms itself.
 OTHER = 1
 _SEEDS = np.random.default_rng(977).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,6 +129,17 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array((sig[0] != sig[1]).sum(1) <= MAX_DISTANCE))
 
 
+def _pair_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """(first, number) of the pairs confirmed at once, of a batch with their texts in columns 2 and 3."""
+    ends = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(i)).fill_null(0), np.int64) for i in (2, 3)))
+    at = 0
+    while at < len(ends):
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_BYTES, "right"))
+        n = min(max(full - at, 1), PAIRS)
+        yield at, n
+        at += n
+
+
 def _confirm(words: int, percent: int):
     """Pairs whose full sets are similar enough; (a, b, text_a, text_b)."""
 
@@ -139,8 +153,8 @@ def _confirm(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, n in _pair_spans(batch):
+                part = batch.slice(at, n)
                 (ha, na), (hb, nb) = sets(part.column(2)), sets(part.column(3))
                 h, pair = np.concatenate([ha, hb]), np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
                 order = np.argsort(h)
