@@ -103,8 +103,6 @@ def _filesystem(uri: str):
 
 
 def _write(tokenizer: str, end_id: int, wide: int, uri: str):
-    kind = np.dtype("<u2") if wide == 2 else np.dtype("<u4")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, encoder = TaskContext.get(), _encoder(tokenizer)
         part = context.partitionId()
@@ -121,9 +119,10 @@ def _write(tokenizer: str, end_id: int, wide: int, uri: str):
                     entries = np.zeros(len(off) - 1, INDEX)
                     chunk = []
                     for i in range(len(entries)):
-                        seq = np.append(found[first[i] : first[i + 1]], end_id).astype(kind)
+                        seq = np.append(found[first[i] : first[i + 1]], end_id)
+                        width = wide if seq.max() <= 0xFFFF else 4
                         head = (int(known[row + i]), int(values[row + i]))
-                        record = frame(struct.pack(PAYLOAD, *head, len(seq), wide) + seq.tobytes())
+                        record = frame(struct.pack(PAYLOAD, *head, len(seq), width) + seq.astype(f"<u{width}").tobytes())
                         entries[i] = (*head, offset, len(seq))
                         chunk.append(record)
                         offset += len(record)
@@ -169,7 +168,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabula
 
     A null text has the end id alone; null doc_ids come first and are written without one;
     rows that repeat a doc_id are all written, in the order of their texts (nulls first). Added tokens of the tokenizer that stand in a text
-    get their own id, as in the library by default. Other columns are ignored; an empty table
+    get their own id, as in the library by default. Ids take two bytes up to a ``vocabulary`` of 65,536, else four; a record
+    with a greater id than two bytes hold takes four in any case. Other columns are ignored; an empty table
     gives parts without records. Files are written by the tasks to ``uri`` (by default a new
     folder beside ``spark.checkpoint.dir``'s tables; without a scheme it is in Spark's default file system),
     under a name of the attempt, and then moved in place.

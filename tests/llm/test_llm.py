@@ -482,3 +482,27 @@ def test_empty_tables(spark):
         assert out.count() == 0
     assert top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
+
+
+def test_pairs_are_confirmed_in_bounded_parts(monkeypatch):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    rows = [(i, i + 100, t, t if i % 3 else t[: len(t) // 2]) for i, t in enumerate(base)] + [(90, 190, None, "a b"), (91, 191, "x " * 3000, "x " * 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["a", "b", "text_a", "text_b"])
+    whole = pa.Table.from_batches(near_dup._confirm(5, 80)(iter([batch]))).to_pylist()
+    assert {"a": 1, "b": 101} in whole and {"a": 91, "b": 191} in whole and len(whole) < len(rows)
+    monkeypatch.setattr(near_dup, "PAIR_BYTES", 500)
+    monkeypatch.setattr(near_dup, "PAIRS", 3)
+    spans = list(near_dup._pair_spans(batch))
+    assert sum(n for _, n in spans) == len(rows) and max(n for _, n in spans) <= 3 and (len(rows) - 1, 1) in spans
+    assert pa.Table.from_batches(near_dup._confirm(5, 80)(iter([batch]))).to_pylist() == whole
+    assert not list(near_dup._pair_spans(batch.slice(0, 0)))
+
+
+def test_token_files_with_an_end_id_over_two_bytes(spark):
+    docs = frame(spark)
+    short, wide = (sorted(read_token_files(*write_token_files(docs, BYTE_BPE, end_id=end)).collect()) for end in (2, 70000))
+    assert [r["n_tokens"] for r in short] == [r["n_tokens"] for r in wide]
+    uri, parts = write_token_files(docs, BYTE_BPE, end_id=70000)
+    for part in (r["part"] for r in parts.where("docs > 0").collect()):
+        assert read_record(uri, part, 0)[1][-1] == 70000
