@@ -16,6 +16,14 @@ def fixed(x: Column, digits: int) -> Column:
     return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded by its binary value, halves away from zero (``round`` would round its shortest decimal form); too large ones have no such digits and stay."""
+    size = F.abs(x) * 10.0**digits
+    whole = F.floor(size)
+    up = F.when(size - whole >= 0.5, whole + 1).otherwise(whole)
+    return F.when(size < 2.0**52, F.signum(x) * up / 10.0**digits).otherwise(x)
+
+
 def finite(x: Column) -> Column:
     """The value if it is finite, else null."""
     return F.when(F.abs(x) < float("inf"), x)

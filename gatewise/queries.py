@@ -49,7 +49,7 @@ def tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[formats.rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 CELLS = Gate(1, "Cells", {"shape": "rect", "x_min": 20000.5, "x_max": 80000.5, "y_min": 9.5, "y_max": 45.5}, None, "FSC-A", "SSC-A")
@@ -158,7 +158,7 @@ def _channel_stats_sql() -> str:
 
 
 def _column_query(out: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _table(spark, sf_dir, "customer").select("c_custkey", F.round(out(), 6).alias("value"))
+    return lambda spark, sf_dir: _table(spark, sf_dir, "customer").select("c_custkey", out().alias("value")).withColumn("value", formats.rounded(F.col("value"), 6))
 
 
 def _logicle_inverse_sql() -> str:
@@ -493,7 +493,8 @@ def k_qc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_transform_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.transform_dump(_table(spark, sf_dir, "customer"), F.col("c_acctbal"), F.round(forward(F.col("c_acctbal"), ASINH), 8))
+    c = _table(spark, sf_dir, "customer").select("c_acctbal", forward(F.col("c_acctbal"), ASINH).alias("shown"))
+    return sinks.transform_dump(c, F.col("c_acctbal"), formats.rounded(F.col("shown"), 8))
 
 
 def k_events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
