@@ -13,17 +13,18 @@ from ..functions.binding import let
 from ..functions.formats import finite
 from ..functions.transforms import asinh, forward, inverse
 from ..model import Gate, Panel, Transform
+from ..sources.shared import written
 from .compensation import Spillover
-from .quantiles import equal_width_bin, values_at
+from .quantiles import equal_width_bin, same_group, values_at
 
 FEWEST, COFACTOR = 50, 150.0
 
 
 def histogram(values: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
-    """(by, lo, hi, n, counts) of finite values, counts an array of all bins. Sums are combined before the shuffle."""
+    """(by, lo, hi, n, counts) of finite values, counts an array of all bins. Sums are combined before the shuffle; values meet a written table of their groups' ends, so they aren't shuffled."""
     clean = values.select(*by, finite(F.col(value)).alias("x")).where("x IS NOT NULL")
     ends = clean.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
-    counted = (clean.join(ends, by) if by else clean.crossJoin(F.broadcast(ends))).withColumn("bin", equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins))
+    counted = (same_group(clean, written(ends, "ends"), by) if by else clean.crossJoin(F.broadcast(ends))).withColumn("bin", equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins))
     counted = counted.groupBy(*by, "lo", "hi", "n", "bin").count()
     held = F.map_from_entries(F.collect_list(F.struct(F.coalesce("bin", F.lit(0)).alias("bin"), "count")))
     counts = counted.groupBy(*by, "lo", "hi", "n").agg(held.alias("held"))
@@ -86,11 +87,11 @@ def singlet_vertices(events: DataFrame, area: str, height: str, by: list[str], t
     of 64 bins. Groups with fewer than 50 heights or ratios, one height alone or no positive slope have no row. Vertices are (area, height).
     """
     clean = events.select(*by, finite(F.col(area)).alias("a"), finite(F.col(height)).alias("h")).where("h > 0")
-    many = clean.groupBy(*by).agg(F.count("h").alias("_heights")).where(F.col("_heights") >= FEWEST)
     cut = [lambda n, p=p: F.floor(F.lit(p) * (n - 1)) for p in (0.02, 0.98)]
-    core = values_at(clean, "h", lambda n: F.array_distinct(F.array(*[k(n) for k in cut])), by).join(many.select(*by), by)
+    core = values_at(clean, "h", lambda n: F.array_distinct(F.array(*[k(n) for k in cut])), by).where(F.col("n") >= FEWEST)
     core = core.select(*by, *[F.try_element_at("at", k(F.col("n"))).alias(c) for c, k in zip(("h_lo", "h_hi"), cut, strict=True)]).where("h_hi > h_lo")
-    ratios = clean.join(core, by).where("a IS NOT NULL AND h BETWEEN h_lo AND h_hi").select(*by, (F.col("a") / F.col("h")).alias("r"))
+    core = written(core, "heights")  # small, so that events aren't sorted by group in one task each
+    ratios = same_group(clean, core, by).where("a IS NOT NULL AND h BETWEEN h_lo AND h_hi").select(*by, (F.col("a") / F.col("h")).alias("r"))
     enough = ratios.groupBy(*by).agg(F.count("r").alias("_ratios")).where(F.col("_ratios") >= FEWEST)
     out = core.join(mode_of(ratios, "r", 64, by).withColumnRenamed("mode", "slope"), by).join(enough.select(*by), by).where("slope > 0")
     corner = lambda h, t: F.array(F.col("slope") * F.col(h) * (1 + t), F.col(h))

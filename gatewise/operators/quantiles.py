@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,13 @@ def equal_width_bin(x, lo, hi, bins: int):
     return F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * bins).cast("int"), F.lit(bins - 1)))
 
 
+def same_group(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``by`` in which nulls are a group too. ``right`` is small and of a size that Spark knows (``written``), so ``left`` isn't shuffled."""
+    told = right.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(told[f"_by{i}"]) for i, c in enumerate(by)])
+    return left.join(told, same, how).drop(*[f"_by{i}" for i in range(len(by))])
+
+
 def group_ends(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, n, lo, hi) of each group's values."""
     return values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -36,11 +45,12 @@ def values_at(values: DataFrame, value: str, ranks, by: list[str], bins: int = B
     up_to = Window.partitionBy(*bounds).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     hit = (F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_start") + F.col("_c"))
     for step in range(3):
-        inside = clean.join(wanted.select(*bounds).distinct(), by) if step else clean.join(ends.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), by)
+        told = wanted.select(*bounds).distinct() if step else ends.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        inside = same_group(clean, told, by)
         place = F.col("_x") if step == 2 else F.coalesce(equal_width_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins), F.lit(0))
         counts = inside.where("_x BETWEEN _lo AND _hi").groupBy(*bounds, place.alias("_bin")).agg(F.count("_x").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_greatest"))
         counts = counts.withColumn("_here", F.coalesce(F.sum("_c").over(up_to), F.lit(0)))
-        found = wanted.join(counts, bounds).withColumn("_start", F.col("_before") + F.col("_here")).where(hit)
+        found = same_group(counts, wanted, bounds).withColumn("_start", F.col("_before") + F.col("_here")).where(hit)
         wanted = written(found.select(*by, "n", "_k", F.col("_start").alias("_before"), F.col("_least").alias("_lo"), F.col("_greatest").alias("_hi")), "bounds")
     return wanted.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_lo"))).alias("at"))
 

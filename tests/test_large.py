@@ -1,7 +1,10 @@
 """What only shows on larger tables: values between two roundings, tubes that no task may hold."""
 
+import pytest
+
 from gatewise import queries
 from gatewise.functions import formats
+from gatewise.operators import autogate
 
 
 def test_rounding_by_binary_value(spark):
@@ -16,3 +19,29 @@ def test_transform_dump_between_two_roundings(spark, tmp_path):
     spark.createDataFrame([(1, 8035.95), (2, -20.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["raw"]: r["transformed"] for r in queries.queries()["k_transform_dump"](spark, str(tmp_path)).collect()}
     assert got == {"8035.950000": "4.6742794800", "-20.000000": "-0.1329414000"}
+
+
+def large(spark, folder, n=200_000):
+    """Events of three tubes, of more bytes than the session would send round below."""
+    spark.range(n).selectExpr("concat('t', id % 3) AS sample_id", "id AS event_idx", "rand(1) * 1000 AS c0", "rand(2) * 1000 + 1 AS c1", "rand(3) AS c2").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_tables(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1MB")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_singlet_ratios_are_not_sorted_by_tube(spark, tmp_path, monkeypatch, small_tables):
+    seen, mode_of = [], autogate.mode_of
+    monkeypatch.setattr(autogate, "mode_of", lambda values, *a: seen.append(values) or mode_of(values, *a))
+    out = autogate.singlet_vertices(large(spark, f"{tmp_path}/ev"), "c0", "c1", ["sample_id"])
+    assert "SortMergeJoin" not in plan(seen[0]) and "Exchange hashpartitioning" not in plan(seen[0])
+    assert {r["sample_id"] for r in out.collect()} == {"t0", "t1", "t2"}
