@@ -74,11 +74,12 @@ def channel_stats(events: DataFrame, panel: Panel, sample: str = "sample_id", st
 def gate_counts(events: DataFrame, gates: list[Gate], panel: Panel, sample: str = "sample_id") -> DataFrame:
     """(sample, ord, gate, n_in, n_parent, n_total, pct_parent) in list order, in one pass."""
     plan = GatePlan(gates, panel)
-    parts = []
+    parts, place = [], {id: i for i, id in enumerate(plan.known)}
+    marked = events.select(sample, *[plan.effective(id).alias(f"_m{i}") for id, i in place.items()])
     for i, g in enumerate(gates):
-        above = F.count(F.lit(1)) if g.parent not in plan.known else F.count_if(plan.effective(g.parent))
-        parts.append(F.struct(F.lit(i).alias("ord"), F.lit(g.name).alias("gate"), F.count_if(plan.effective(g.id)).alias("n_in"), above.alias("n_parent"), F.count(F.lit(1)).alias("n_total")))
-    out = events.groupBy(sample).agg(F.array(*parts).alias("rows")).select(sample, F.inline("rows"))
+        above = F.count(F.lit(1)) if g.parent not in plan.known else F.count_if(F.col(f"_m{place[g.parent]}"))
+        parts.append(F.struct(F.lit(i).alias("ord"), F.lit(g.name).alias("gate"), F.count_if(F.col(f"_m{place[g.id]}")).alias("n_in"), above.alias("n_parent"), F.count(F.lit(1)).alias("n_total")))
+    out = marked.groupBy(sample).agg(F.array(*parts).alias("rows")).select(sample, F.inline("rows"))
     return out.withColumn("pct_parent", F.when(F.col("n_parent") > 0, 100.0 * F.col("n_in") / F.col("n_parent")).otherwise(0.0))
 
 

@@ -13,6 +13,35 @@ from ..model import ALL_EVENTS, Gate, Panel, Transform, gate_path, inside, tree_
 DEEPEST = 1000
 
 
+def polygon_mask(points: list, x: Column, y: Column) -> Column:
+    """Whether a ray to the right crosses an odd number of edges.
+
+    The heights of the vertices part the plane into slabs, each crossed by few edges: a position finds its slab by halving and looks at those alone. Where
+    edges cross so many slabs that the expression would grow by more than a few times, all edges are looked at.
+    """
+    edges = [(xi, yi, xj, yj) for (xi, yi), (xj, yj) in zip(points, [points[-1], *points[:-1]], strict=True) if yi != yj]  # a horizontal edge is crossed by no ray
+    heights = sorted({float(v) for _, v in points})
+    slabs = [[], *[[e for e in edges if min(e[1], e[3]) <= lo and max(e[1], e[3]) >= hi] for lo, hi in zip(heights, heights[1:], strict=False)], []]
+
+    def odd(crossed: list[Column]) -> Column:
+        return sum(crossed, F.lit(0)) % 2 == 1
+
+    def left(e: tuple) -> Column:
+        xi, yi, xj, yj = e
+        return x < F.lit(float(xj - xi)) * (y - float(yi)) / float(yj - yi) + float(xi)
+
+    if sum(map(len, slabs)) > 4 * len(points):
+        return odd([F.when(((F.lit(float(e[1])) > y) != (F.lit(float(e[3])) > y)) & left(e), 1).otherwise(0) for e in edges])
+
+    def among(first: int, last: int) -> Column:
+        if last - first == 1:
+            return odd([F.when(left(e), 1).otherwise(0) for e in slabs[first]])
+        mid = (first + last) // 2
+        return F.when(y < heights[mid - 1], among(first, mid)).otherwise(among(mid, last))
+
+    return among(0, len(slabs))
+
+
 def shape_mask(shape: dict, x: Column, y: Column) -> Column:
     """Whether a display position lies in a shape; NaN and null lie in none."""
     kind = shape["shape"]
@@ -32,12 +61,7 @@ def shape_mask(shape: dict, x: Column, y: Column) -> Column:
         points = shape["vertices"]
         if len(points) < 3:
             return F.lit(False)
-        crossed = F.lit(0)
-        for (xi, yi), (xj, yj) in zip(points, [points[-1], *points[:-1]], strict=True):
-            if yi != yj:  # a horizontal edge is crossed by no ray
-                left = F.lit(float(xj - xi)) * (y - float(yi)) / float(yj - yi) + float(xi)
-                crossed = crossed + F.when(((F.lit(float(yi)) > y) != (F.lit(float(yj)) > y)) & (x < left), 1).otherwise(0)
-        inside = (crossed % 2 == 1) & ~F.isnan(x) & ~F.isnan(y)
+        inside = polygon_mask(points, x, y) & ~F.isnan(x) & ~F.isnan(y)
     return F.coalesce(inside, F.lit(False))
 
 

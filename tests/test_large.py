@@ -1,5 +1,6 @@
 """What only shows on larger tables: values between two roundings, tubes that no task may hold."""
 
+import math
 import os
 
 import pytest
@@ -9,6 +10,7 @@ from gatewise.functions import formats
 from gatewise.model import Panel
 from gatewise.operators import autogate
 from gatewise.operators.compensation import compensate_tubes, tube_matrices
+from gatewise.plans.gates import polygon_mask, shape_mask
 from gatewise.sources import fcs_source
 
 
@@ -69,3 +71,17 @@ def test_matrices_of_tubes_do_not_sort_events(spark, tmp_path, small_tables):
     names = ev.select("sample_id").distinct().selectExpr("sample_id", "array('FITC-A', 'PE-A', 'SSC-A') AS channels", "map('SPILL', '2,FITC-A,PE-A,1,0.1,0.2,1') AS keywords")
     out = compensate_tubes(ev, Panel(("FITC-A", "PE-A", "SSC-A"), ("c0", "c1", "c2")), tube_matrices(names))
     assert "SortMergeJoin" not in plan(out) and out.count() == 200_000
+
+
+@pytest.mark.parametrize("corners", [64, 7, 40])
+def test_polygons_by_slabs(spark, corners):
+    """As if all edges were looked at, at the vertices' own heights too; a comb has too many edges in a slab to be parted."""
+    ring = [[50 + 40 * math.cos(math.tau * i / corners), 50 + 40 * math.sin(math.tau * i / corners)] for i in range(corners)]
+    points = [[i * 2.0, i % 2 * (50.0 + i)] for i in range(corners)] if corners == 40 else ring
+    at = [(x * 3.0, y) for x in range(34) for y in [*range(0, 101, 9), *[v for _, v in points[::5]]]] + [(float("nan"), 50.0), (50.0, float("nan")), (None, 50.0)]
+    rows = spark.createDataFrame([(i, x, float(y)) for i, (x, y) in enumerate(at)], "i int, x double, y double")
+    got = {r[0] for r in rows.where(shape_mask({"shape": "polygon", "vertices": points}, rows.x, rows.y)).select("i").collect()}
+    crossed = lambda x, y: sum((yi > y) != (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi for (xi, yi), (xj, yj) in zip(points, [points[-1], *points[:-1]], strict=True) if yi != yj)
+    assert got == {i for i, (x, y) in enumerate(at) if x is not None and crossed(x, y) % 2}
+    if corners == 64:  # by halving, not by 64 comparisons of heights at each place
+        assert polygon_mask(points, rows.x, rows.y)._jc.toString().count("!") == 0
