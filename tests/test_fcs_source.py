@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatewise import queries
 from gatewise.model import Panel
 from gatewise.sources import fcs
-from gatewise.sources.fcs_source import FcsReader, FcsWriter, Written, list_files, read_events, read_files, register, save_events, stream_events
+from gatewise.sources.fcs_source import FcsReader, FcsStreamReader, FcsWriter, Written, list_files, read_events, read_files, register, save_events, stream_events
+from gatewise.sources.shared import LOGS, local_logs
 
 
 def tube(n, seed=0, names=("FSC-A", "PE-A"), **more):
@@ -157,3 +159,41 @@ def test_stream_by_ranges(spark, tmp_path):
     assert spark.table(name).where("error IS NULL").count() == 1480
     shutil.rmtree(inbox)
     assert list_files(str(tmp_path)) == []
+
+
+def test_streams_share_files(spark, tmp_path):
+    """Each event and each damaged file comes to one of the queries, whose batches keep the bound; files that come later are shared too."""
+    inbox, parts = str(tmp_path / "in"), 3
+    os.mkdir(inbox)
+    arrive(inbox, "z.fcs", tube(1000, 1))
+    arrive(inbox, "a.fcs", tube(2, 2))
+    arrive(inbox, "m.fcs", b"damaged")
+
+    def run():
+        with local_logs(spark, str(tmp_path)):
+            streams = [stream_events(spark, inbox, ["FSC-A"], eventsPerBatch="150", progress=f"{tmp_path}/{k}/progress", part=str(k), parts=str(parts)) for k in range(parts)]
+            started = [s.writeStream.format("parquet").option("path", f"{tmp_path}/{k}/out").option("checkpointLocation", f"{tmp_path}/{k}/check").start() for k, s in enumerate(streams)]
+        for q in started:
+            q.processAllAvailable()
+            q.stop()
+        return [p.numInputRows for q in started for p in q.recentProgress if p.numInputRows]
+
+    def told():
+        got = [spark.read.parquet(f"{tmp_path}/{k}/out") for k in range(parts)]
+        rows = got[0].unionByName(got[1]).unionByName(got[2]).groupBy("sample_id").agg(F.count("event_idx"), F.countDistinct("event_idx"), F.max("event_idx"), F.count("error"))
+        return [tuple(r) for r in rows.orderBy("sample_id").collect()], [g.where("sample_id = 'z'").count() for g in got]
+
+    assert max(run()) <= 150 and told() == ([("a", 2, 2, 1, 0), ("m", 0, 0, None, 1), ("z", 1000, 1000, 999, 0)], [333, 333, 334])
+    arrive(inbox, "zz.fcs", tube(400, 3))
+    assert max(run()) <= 150 and told()[0][-1] == ("zz", 400, 400, 399, 0) and told()[1] == [333, 333, 334]
+    with pytest.raises(ValueError, match="part"):
+        FcsStreamReader({"path": inbox, "part": "3", "parts": "3"}, [])
+
+
+def test_stream_query_keeps_its_bound_in_several_queries(spark, monkeypatch):
+    """The bound makes a batch one task, so one query would use one core whatever the cluster has."""
+    seen, stream = [], queries.stream_events
+    monkeypatch.setattr(queries, "stream_events", lambda *a, **options: seen.append(options) or stream(*a, **options))
+    assert sum(r["n"] for r in queries.s_fcs_stream(spark, "/root/testdata/sf0.001").collect()) == 6000
+    assert {o["eventsPerBatch"] for o in seen} == {"5000"} and len({(o["part"], o["parts"], o["progress"]) for o in seen}) == len(seen) > 1
+    assert spark.conf.get(LOGS, None) is None
