@@ -15,7 +15,7 @@ from ..functions.transforms import asinh, forward, inverse
 from ..model import Gate, Panel, Transform
 from ..sources.shared import written
 from .compensation import Spillover
-from .quantiles import equal_width_bin, same_group, values_at
+from .quantiles import equal_width_bin, medians, same_group, values_at
 
 FEWEST, COFACTOR = 50, 150.0
 
@@ -141,25 +141,28 @@ def spillover_table(events: DataFrame, panel: Panel, controls: Controls, sample:
 
     A control's primary channel has the greatest median over the unstained control's, the last of equals. Its row are the medians of its positive events
     over background, by the primary one: events over the valley of asinh(x / 150) in that channel, or all if fewer than 50 are over it. All controls
-    go through each pass together; what is joined with events are tables of a row for each control.
+    go through each pass together; what is joined with events are written tables of a row for each control, so events aren't shuffled.
     """
     names, columns = zip(*panel.fluorescence(), strict=True)
-    middle = lambda x: F.coalesce(F.percentile(x, F.lit(0.5)), F.lit(0.0))
+    cells = [f"_c{i}" for i in range(len(columns))]
+    values = {k: finite(F.col(c)) for k, c in zip(cells, columns, strict=True)}
+    middle = F.array(*[F.coalesce(f"{k}.median", F.lit(0.0)) for k in cells])
     events = events.where(F.col(sample).isin(controls.unstained, *controls.stains))
-    plain = events.groupBy(sample).agg(F.array(*[middle(finite(F.col(c))) for c in columns]).alias("_plain"))
+    plain = medians(events, values, [sample]).select(sample, middle.alias("_plain"))
     bare = F.max(F.when(F.col(sample) == controls.unstained, F.col("_plain"))).over(Window.partitionBy(F.lit(0)))
     plain = plain.withColumn("_background", bare).where(F.col(sample) != controls.unstained)
     signal = F.zip_with("_plain", "_background", lambda x, b: x - b)
     best = F.array_max(F.transform(signal, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-    stains = plain.select(sample, "_background", best.alias("_best"))
+    stains = written(plain.select(sample, "_plain", "_background", best.alias("_best")), "stains")
     place = F.get(F.array(*[F.col(c).cast("double") for c in columns]), F.col("_best.i"))
-    shown = events.join(stains.select(sample, "_best"), sample).withColumn("_d", asinh(place / COFACTOR))
-    shown = shown.join(valley_table(shown, "_d", 128, [sample]).select(sample, "threshold"), sample, "left")
-    shown = shown.withColumn("_p", F.col("threshold").isNull() | (F.coalesce(F.col("_d") > F.col("threshold"), F.lit(False)) & ~F.isnan("_d")))
-    picked = lambda c: F.when(F.count_if(F.col("_p")) >= FEWEST, middle(F.when(F.col("_p"), finite(F.col(c))))).otherwise(middle(finite(F.col(c))))
-    bright = shown.groupBy(sample).agg(F.array(*[picked(c) for c in columns]).alias("_bright"))
+    shown = same_group(events, stains.select(sample, "_best"), [sample]).withColumn("_d", asinh(place / COFACTOR))
+    cuts = written(valley_table(shown, "_d", 128, [sample]).select(sample, "threshold"), "cuts")
+    over = F.col("threshold").isNull() | (F.coalesce(F.col("_d") > F.col("threshold"), F.lit(False)) & ~F.isnan("_d"))
+    shown = same_group(shown, cuts, [sample], "left").where(over)
+    bright = medians(shown, values, [sample], {"_over": F.count(F.lit(1))}).select(sample, "_over", middle.alias("_bright"))
+    bright = stains.join(bright, sample, "left").select(sample, F.when(F.col("_over") >= FEWEST, F.col("_bright")).otherwise(F.col("_plain")).alias("_bright"))
     wanted = events.sparkSession.createDataFrame([(s,) for s in controls.stains], f"{sample} string")
-    rows = wanted.join(stains, sample, "left").join(bright, sample, "left").withColumn("_row", F.zip_with("_bright", "_background", lambda x, b: x - b))
+    rows = wanted.join(stains.drop("_plain"), sample, "left").join(bright, sample, "left").withColumn("_row", F.zip_with("_bright", "_background", lambda x, b: x - b))
     own, taken = F.get("_row", F.col("_best.i")), F.count_if(F.col("_best.v") > 0).over(Window.partitionBy("_best.i"))
     reason = F.when(F.lit(len(controls.stains) != len(names)), "there is one control for each channel").when(F.col("_best").isNull(), "the control or the unstained one has no events")
     reason = reason.when(~(F.col("_best.v") > 0), "no signal").when(taken > 1, "its channel is another control's").when(~(own > 0), "no positive signal")

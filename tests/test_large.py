@@ -4,11 +4,12 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatewise import queries
 from gatewise.functions import formats
 from gatewise.model import Panel
-from gatewise.operators import autogate
+from gatewise.operators import autogate, quantiles
 from gatewise.operators.compensation import compensate_tubes, tube_matrices
 from gatewise.plans.gates import polygon_mask, shape_mask
 from gatewise.sources import fcs_source
@@ -85,3 +86,33 @@ def test_polygons_by_slabs(spark, corners):
     assert got == {i for i, (x, y) in enumerate(at) if x is not None and crossed(x, y) % 2}
     if corners == 64:  # by halving, not by 64 comparisons of heights at each place
         assert polygon_mask(points, rows.x, rows.y)._jc.toString().count("!") == 0
+
+
+@pytest.mark.parametrize("near", [0.003, -0.2])
+def test_medians_between_sketched_ends(spark, monkeypatch, near):
+    """As from one state of all values; where the ends (here the wrong way round) have no median between them, by ranges."""
+    monkeypatch.setattr(quantiles, "NEAR", near)
+    ev = spark.range(30_001).selectExpr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS s", "exp(id % 997 / 50.0) AS x", "CASE WHEN id % 4 <> 2 THEN CAST(id * 7919 % 30001 AS DOUBLE) END AS y", "CAST(id % 2 AS INT) AS z")
+    ev = ev.unionByName(spark.createDataFrame([("one", 5.0, None, 1), ("two", -1.0, 3.0, 4), ("two", 2.0, 3.0, 9)], ev.schema))
+    want = ev.groupBy("s").agg(F.count("x"), F.percentile("x", F.lit(0.5)), F.count("y"), F.percentile("y", F.lit(0.5)), F.percentile("z", F.lit(0.5)), F.sum("z"))
+    got = quantiles.medians(ev, {n: F.col(n) for n in "xyz"}, ["s"], {"sum": F.sum("z")}).select("s", "x.n", "x.median", "y.n", "y.median", "z.median", "sum")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect()))) and got.count() == 6
+
+
+def by_state(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a state of a tube's values")
+
+    monkeypatch.setattr(F, "percentile", refuse)
+
+
+def test_spillover_holds_no_tube(spark, tmp_path, monkeypatch, small_tables):
+    """Neither in a state nor by sorting events by tube; what is counted by its value is a small share."""
+    by_state(monkeypatch)
+    seen = []
+    monkeypatch.setattr(quantiles, "same_group", lambda left, right, by, how="inner", keep=quantiles.same_group: seen.append(keep(left, right, by, how)) or seen[-1])
+    monkeypatch.setattr(autogate, "same_group", quantiles.same_group)
+    ev = large(spark, f"{tmp_path}/ev").selectExpr("sample_id", "IF(sample_id = 't1', 9000 + c0, c2) AS c0", "IF(sample_id = 't2', 9000 + c1, c2) AS c1")
+    m = autogate.compute_spillover(ev, Panel(("FITC-A", "PE-A")), autogate.Controls("t0", ("t1", "t2")))
+    assert m.matrix[0][0] == m.matrix[1][1] == 1.0 and abs(m.matrix[0][1]) < 1e-3
+    assert len(seen) > 5 and not [s for s in seen if "SortMergeJoin" in plan(s)]
