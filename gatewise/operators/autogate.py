@@ -200,17 +200,16 @@ def cross_check(events: DataFrame, panel: Panel, cuts: Mapping[str, float] | Dat
         told = events
     else:
         found = display_cuts(events, panel, transforms, by=by) if cuts is None else cuts
-        wide = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("channel", "cut"))).alias("_cuts"))
+        wide = written(found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("channel", "cut"))).alias("_cuts")), "cuts")
         told, given = events.join(wide, by), {n: F.try_element_at("_cuts", F.lit(n)) for n, _ in fluor}
     sources = F.array(*[F.struct(F.lit(n).alias("source"), finite(F.col(c).cast("double")).alias("_x"), given[n].alias("_cut")) for n, c in fluor])
     split = told.select(by, *[finite(F.col(c).cast("double")).alias(f"_y{i}") for i, (_, c) in enumerate(fluor)], F.inline(sources)).where("_cut IS NOT NULL AND _x IS NOT NULL")
 
-    def side(i: int) -> Column:
-        y = F.col(f"_y{i}")
-        middle = lambda v: F.percentile(F.when(y.isNotNull(), v), F.lit(0.5))
-        return F.struct(F.count(y).alias("n"), middle(y).alias("y"), middle(F.col("_x")).alias("x"))
-
-    halves = split.groupBy(by, "source", (F.col("_x") > F.col("_cut")).alias("_over")).agg(F.array(*[side(i) for i in range(len(fluor))]).alias("_t"))
+    other = {i: F.when(F.col("source") != n, F.col(f"_y{i}")) for i, (n, _) in enumerate(fluor)}  # a source isn't its own target
+    cells = {f"_t{i}": y for i, y in other.items()} | {f"_s{i}": F.when(y.isNotNull(), F.col("_x")) for i, y in other.items()}
+    side = lambda i: F.struct(F.col(f"_t{i}.n").alias("n"), F.col(f"_t{i}.median").alias("y"), F.col(f"_s{i}.median").alias("x"))
+    halves = medians(split.withColumn("_over", F.col("_x") > F.col("_cut")), cells, [by, "source", "_over"])
+    halves = halves.select(by, "source", "_over", F.array(*[side(i) for i in other]).alias("_t"))
     both = halves.groupBy(by, "source").agg(F.max(F.when(F.col("_over"), F.col("_t"))).alias("_hi"), F.max(F.when(~F.col("_over"), F.col("_t"))).alias("_lo"))
 
     def cell(i: int, name: str) -> Column:

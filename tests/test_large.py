@@ -116,3 +116,14 @@ def test_spillover_holds_no_tube(spark, tmp_path, monkeypatch, small_tables):
     m = autogate.compute_spillover(ev, Panel(("FITC-A", "PE-A")), autogate.Controls("t0", ("t1", "t2")))
     assert m.matrix[0][0] == m.matrix[1][1] == 1.0 and abs(m.matrix[0][1]) < 1e-3
     assert len(seen) > 5 and not [s for s in seen if "SortMergeJoin" in plan(s)]
+
+
+def test_residuals_hold_no_tube(spark, tmp_path, monkeypatch, small_tables):
+    ev, panel = large(spark, f"{tmp_path}/ev"), Panel(("FITC-A", "PE-A", "APC-A"), ("c0", "c1", "c2"))
+    x, y = ("c0", "c1")
+    half = lambda v, where: F.expr(f"percentile({v}, 0.5) FILTER (WHERE {where})")
+    rise = lambda v: half(v, f"{x} > 500") - half(v, f"NOT {x} > 500")
+    want = {r["sample_id"]: r["v"] for r in ev.groupBy("sample_id").agg((rise(y) / rise(x)).alias("v")).collect()}
+    by_state(monkeypatch)
+    got = autogate.cross_check(ev, panel, {"FITC-A": 500.0}).collect()
+    assert {r["sample_id"]: r["residual"] for r in got if r["target"] == "PE-A"} == pytest.approx(want, rel=1e-12) and len(got) == 6
