@@ -12,7 +12,8 @@ from gatewise import queries
 from gatewise.model import Panel
 from gatewise.sources import fcs
 from gatewise.sources.fcs_source import FcsReader, FcsStreamReader, FcsWriter, Written, list_files, read_events, read_files, register, save_events, stream_events
-from gatewise.sources.shared import LOGS, local_logs
+from gatewise.sources.shared import LOCAL, LOGS, local_logs
+from gatewise.streaming.ingest import store
 
 
 def tube(n, seed=0, names=("FSC-A", "PE-A"), **more):
@@ -197,3 +198,61 @@ def test_stream_query_keeps_its_bound_in_several_queries(spark, monkeypatch):
     assert sum(r["n"] for r in queries.s_fcs_stream(spark, "/root/testdata/sf0.001").collect()) == 6000
     assert {o["eventsPerBatch"] for o in seen} == {"5000"} and len({(o["part"], o["parts"], o["progress"]) for o in seen}) == len(seen) > 1
     assert spark.conf.get(LOGS, None) is None
+
+
+def test_stored_batches_come_in_once(spark, tmp_path):
+    """A file for each batch and partition; a batch that runs again, here since its commit is lost, leaves the files as they are."""
+    inbox, out, check = str(tmp_path / "in"), tmp_path / "out", tmp_path / "check"
+    os.mkdir(inbox)
+    arrive(inbox, "z.fcs", tube(950, 1))
+    arrive(inbox, "a.fcs", tube(30, 2))
+    arrive(inbox, "m.fcs", b"damaged")
+
+    def run():
+        with local_logs(spark, str(check)):
+            q = store(stream_events(spark, inbox, ["FSC-A", "PE-A"], eventsPerBatch="400", eventsPerTask="150", progress=f"{tmp_path}/progress"), str(out), str(check))
+        q.processAllAvailable()
+        q.stop()
+        return [p.numInputRows for p in q.recentProgress if p.numInputRows]
+
+    def told():
+        rows = spark.read.parquet(str(out)).groupBy("sample_id").agg(F.count("event_idx"), F.countDistinct("event_idx"), F.count("error"))
+        return sorted(tuple(r) for r in rows.collect()), sorted(os.listdir(out))
+
+    assert run() == [400, 400, 181]
+    rows, files = told()
+    assert rows == [("a", 30, 30, 0), ("m", 0, 0, 1), ("z", 950, 950, 0)] and files[:3] == ["000000000-00000.parquet", "000000000-00001.parquet", "000000000-00002.parquet"]
+    assert not [f for _, _, names in os.walk(check) for f in names if f.endswith(".crc")]
+    os.remove(check / "commits" / "2")
+    os.remove(out / files[-1])
+    assert run() == [181] and told() == (rows, files)
+    got = spark.read.parquet(str(out)).where("sample_id = 'z'").orderBy("event_idx").select("c0", "c1").collect()
+    assert np.array_equal(got, values(open(f"{inbox}/z.fcs", "rb").read()))
+    with pytest.raises(Exception, match="NoneType"):  # no batch, so no name
+        read_events(spark, inbox).mapInArrow(__import__("gatewise.streaming.ingest", fromlist=["x"])._parquet(str(out)), "n long").collect()
+
+
+def test_a_batch_does_not_pay_for_those_before(spark, tmp_path, monkeypatch):
+    """No log of a sink that each batch lists; files of at most a batch; settings of the session as before."""
+    monkeypatch.setattr(queries, "shared_folder", lambda _, name: f"file:{tmp_path}/{name}")
+    assert sum(r["n"] for r in queries.s_fcs_stream(spark, "/root/testdata/sf0.001").collect()) == 6000
+    made = [f"{place}/{f}" for place, _, names in os.walk(tmp_path / "stream") for f in names]
+    assert not [f for f in made if "_spark_metadata" in f or f.endswith(".crc")]
+    assert len([f for f in made if f.endswith(".parquet")]) == 6 * queries.STREAMS and {spark.conf.get(n, None) for n in LOCAL} == {None}
+
+
+def test_workers_do_not_search_modules_for_garbage(spark, folder):
+    """Spark's workers look through all objects after each task, those of modules too unless they are set aside."""
+
+    def read(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from gatewise.sources.fcs_source import Slice, _Events
+
+        n = sum(len(b) for _ in batches for b in _Events(["FSC-A"], "PERMISSIVE").read([Slice(f"{folder}/a.fcs")]))
+        yield pa.RecordBatch.from_pydict({"n": [n], "aside": [gc.get_freeze_count()]})
+
+    (row,) = spark.range(0, 1, 1, 1).mapInArrow(read, "n long, aside long").collect()
+    assert row["n"] == 1000 and row["aside"] > 10_000
